@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from telemark.llm import decontaminate, substring_dedup, suffix_dedup
+from telemark.llm import decontaminate, near_dedup, substring_dedup, suffix_dedup
 from telemark.llm._tables import read
 
 
@@ -15,6 +15,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_dedup.links(read(spark, sf_dir, "documents"), near_dedup.Forest(shingle=4))
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(read(spark, sf_dir, "documents"), with_text=False)
 
@@ -24,7 +29,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op6_suffix_dedup, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op4_near_dedup, op6_suffix_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
