@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from telemark.llm import decontaminate, near_dedup, substring_dedup, suffix_dedup
+from telemark.llm import decontaminate, near_dedup, packing, substring_dedup, suffix_dedup
 from telemark.llm._tables import read
 
 
@@ -24,12 +25,16 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(read(spark, sf_dir, "documents"), with_text=False)
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(read(spark, sf_dir, "documents"), with_text=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op4_near_dedup, op6_suffix_dedup, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op4_near_dedup, op6_suffix_dedup, op7_packing, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
