@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from telemark.llm import decontaminate, near_dedup, packing, substring_dedup, suffix_dedup
+from telemark.llm import decontaminate, language_id, near_dedup, packing, substring_dedup, suffix_dedup
 from telemark.llm._tables import read
 
 
@@ -16,6 +16,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dedup.links(read(spark, sf_dir, "documents"), near_dedup.Forest(shingle=4))
     return out.select("doc_id", "n_shingles", "component_id", "kept")
@@ -34,7 +38,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op4_near_dedup, op6_suffix_dedup, op7_packing, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op4_near_dedup, op6_suffix_dedup, op7_packing, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
