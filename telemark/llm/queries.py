@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from telemark.llm import decontaminate, language_id, near_dedup, packing, substring_dedup, suffix_dedup
+from telemark.llm import decontaminate, language_id, near_dedup, packing, quality, substring_dedup, suffix_dedup
 from telemark.llm._tables import read
 
 
@@ -25,6 +25,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(read(spark, sf_dir, "documents"), with_text=False)
 
@@ -38,7 +42,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op4_near_dedup, op6_suffix_dedup, op7_packing, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op4_near_dedup, op5_quality, op6_suffix_dedup, op7_packing, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
