@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from telemark.llm import decontaminate, language_id, near_dedup, packing, quality, substring_dedup, suffix_dedup
+from telemark.llm import decontaminate, language_id, near_dedup, nearest, packing, quality, substring_dedup, suffix_dedup
 from telemark.llm._tables import read
 
 
@@ -37,12 +38,16 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(read(spark, sf_dir, "documents"), with_text=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op4_near_dedup, op5_quality, op6_suffix_dedup, op7_packing, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op4_near_dedup, op5_quality, op6_suffix_dedup, op7_packing, op8_nearest, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
