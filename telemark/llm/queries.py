@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemark.llm import decontaminate, language_id, near_dedup, nearest, packing, quality, substring_dedup, suffix_dedup
+from telemark.llm import chat, decontaminate, language_id, line_dedup, near_dedup, nearest, packing, quality, substring_dedup, suffix_dedup
 from telemark.llm._tables import read
 
 
@@ -21,6 +21,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(read(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dedup.links(read(spark, sf_dir, "documents"), near_dedup.Forest(shingle=4))
     return out.select("doc_id", "n_shingles", "component_id", "kept")
@@ -42,13 +46,17 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(read(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report(read(spark, sf_dir, "conversations"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(read(spark, sf_dir, "documents"), with_text=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op4_near_dedup, op5_quality, op6_suffix_dedup, op7_packing, op8_nearest, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_line_dedup, op4_near_dedup, op5_quality, op6_suffix_dedup, op7_packing, op8_nearest, op9_chat, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": line_dedup.oracle_sql(), "op9_chat": chat.oracle_sql()}
