@@ -41,7 +41,7 @@ from telemark.llm._tables import Scratch, keyed, same_row
 LENGTH = 200
 ANCHOR = 100
 GROUP_LIMIT = 50_000
-COLLECTION = 3_000
+COLLECTION = 1_000
 SEGMENT = 1 << 18
 
 _SEEDS = "doc_id long, text_key long, anchor long, body long, first int, windows int, before int"
@@ -141,35 +141,38 @@ def _scan(bwt: _Column, lcp: _Column, rows: np.ndarray, counts: np.ndarray, stri
         sorted_b = b[order]
         begins = np.flatnonzero(np.concatenate(([True], sorted_b[1:] != sorted_b[:-1])))
         symbols, sizes = sorted_b[begins], np.diff(np.append(begins, len(b)))
-        target = np.arange(len(b)) + np.repeat(base[symbols] + seen[symbols] - begins, sizes)
-        mine = np.zeros(len(b), bool)
-        mine[rows[lo:hi] - start] = True
-        mine = mine[order]
-        where = np.empty(len(b), np.int64)
-        where[order] = target
-        places[lo:hi] = where[rows[lo:hi] - start]
-        after = np.empty(len(b), bool)
-        after[0] = False
-        after[1:] = mine[:-1]
-        after[begins] = fresh[symbols]
+        shift = np.zeros(len(counts), np.int64)  # from a row's place in this order to that of its next suffix
+        shift[symbols] = base[symbols] + seen[symbols] - begins
+        flags = np.zeros(len(b), bool)
+        flags[rows[lo:hi] - start] = True
+        mine = flags[order]
+        ours = np.flatnonzero(mine)
+        places[lo + np.searchsorted(rows[lo:hi], order[ours] + start)] = ours + shift[sorted_b[ours]]
+        mine[1:] |= mine[:-1].copy()  # the prefixes of the rows after ours change as well
+        mine[begins] = fresh[symbols] | flags[order[begins]]
+        asked = np.flatnonzero(mine)
+        asked = asked[sorted_b[asked] > 0]
         first = np.zeros(len(b), bool)
         first[begins] = True
-        asked = np.flatnonzero((mine | after) & (sorted_b > 0))
         inner = asked[~first[asked]]
         outer = asked[first[asked]]
-        at.append(target[inner])
+        at.append(inner + shift[sorted_b[inner]])
         value.append(_range_minima(prefix, order[inner - 1] + 1, order[inner]) + np.uint8(1))
-        ahead = np.minimum.accumulate(prefix)
         s = sorted_b[outer]
-        at.append(target[outer])
-        value.append(np.where(seen[s] > 0, np.minimum(since[s], ahead[order[outer]]) + np.uint8(1), 0).astype(np.uint8))
-        behind = np.full(len(b) + 1, 255, np.uint8)
-        behind[:-1] = np.minimum.accumulate(prefix[::-1])[::-1]
-        since = np.minimum(since, behind[0])
-        last = begins + sizes - 1
-        since[symbols] = behind[order[last] + 1]
-        fresh[symbols] = mine[last]
-        seen[symbols] += sizes
+        at.append(outer + shift[s])
+        if start:
+            ahead = np.minimum.accumulate(prefix)
+            value.append(np.where(seen[s] > 0, np.minimum(since[s], ahead[order[outer]]) + np.uint8(1), 0).astype(np.uint8))
+        else:
+            value.append(np.zeros(len(outer), np.uint8))
+        if start + len(b) < bwt.n:
+            behind = np.full(len(b) + 1, 255, np.uint8)
+            behind[:-1] = np.minimum.accumulate(prefix[::-1])[::-1]
+            last = begins + sizes - 1
+            since = np.minimum(since, behind[0])
+            since[symbols] = behind[order[last] + 1]
+            fresh[symbols] = flags[order[last]]
+            seen[symbols] += sizes
     return places, np.concatenate(at), np.concatenate(value)
 
 
@@ -319,15 +322,18 @@ def _cut(length: int, with_text: bool, batches: Iterator[pa.RecordBatch]) -> Ite
 def repeated_windows(texts: DataFrame, scratch: Scratch, length: int, anchor: int, group_limit: int, collection: int, segment: int) -> DataFrame:
     """doc_id, text_key, lo, hi: runs of window starts whose windows start elsewhere too."""
     seeds = texts.mapInArrow(_seeds(length, anchor), _SEEDS)
-    often = seeds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # written, so that the join reads plain shuffles on both sides and a frequent anchor can be split there
+    often = scratch.write(seeds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "often")
     seeds = scratch.write(seeds.join(often, "anchor", "left_semi"), "seeds")
 
     one = seeds.groupBy("anchor", "body").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_key", "first", "windows", "before")).alias("rep"))
-    sizes = one.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_bodies"))
-    distinct = scratch.write(one.join(sizes, "anchor").select("anchor", "body", "copies", "n_bodies", "rep.*"), "bodies")
+    sizes = one.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_bodies"), F.min("copies").alias("fewest"))
+    distinct = scratch.write(one.join(sizes, "anchor").select("anchor", "body", "copies", "n_bodies", "fewest", "rep.*"), "bodies")
     alone = distinct.where("n_bodies = 1").select("anchor", "body", F.array(F.struct(F.lit(0).alias("lo"), F.col("windows").alias("hi"))).alias("runs"))
 
-    many = distinct.where("n_bodies > 1")
+    # where all of an anchor's stretches occur more than once, every window does
+    every = distinct.where("n_bodies > 1 and fewest > 1").select("anchor", "body", F.array(F.struct(F.lit(0).alias("lo"), F.col("windows").alias("hi"))).alias("runs"))
+    many = distinct.where("n_bodies > 1 and fewest = 1")
     wanted = many.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "body", "copies", "first", "windows", "before")).alias("wanted"))
     found = texts.join(wanted, same_row(texts, wanted)).select(texts["doc_id"], texts["text_key"], "text", "wanted")
     content = found.mapInArrow(lambda batches: _fetch(length, batches), "anchor long, body long, copies long, windows int, before int, content binary")
@@ -335,7 +341,7 @@ def repeated_windows(texts: DataFrame, scratch: Scratch, length: int, anchor: in
     hot = distinct.where(F.col("n_bodies") > group_limit).select("anchor").distinct()
     cool = content.join(hot, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
     solved = cool.mapInArrow(_repeats(length, anchor, collection, segment), "anchor long, body long, runs array<struct<lo:int,hi:int>>")
-    runs = alone.unionByName(solved).unionByName(_by_window(content.join(hot, "anchor", "left_semi"), length))
+    runs = alone.unionByName(every).unionByName(solved).unionByName(_by_window(content.join(hot, "anchor", "left_semi"), length))
     runs = scratch.write(runs.where(F.size("runs") > 0), "runs")
     each = seeds.join(runs, ["anchor", "body"]).select("doc_id", "text_key", "first", F.explode("runs").alias("r"))
     return each.select("doc_id", "text_key", (F.col("first") + F.col("r.lo")).alias("lo"), (F.col("first") + F.col("r.hi")).alias("hi"))
