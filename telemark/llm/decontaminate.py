@@ -80,7 +80,7 @@ def _single_spaced(block: K.Block, w: K.Words) -> tuple[np.ndarray, np.ndarray,
     return text, starts, starts + size
 
 
-def _scan(batches: Iterator[pa.RecordBatch], grams) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], grams, carried: list[str]) -> Iterator[pa.RecordBatch]:
     wanted: _Set = grams.value
     for batch in batches:
         for block in K.blocks(batch.column("text")):
@@ -123,34 +123,39 @@ def _scan(batches: Iterator[pa.RecordBatch], grams) -> Iterator[pa.RecordBatch]:
             here = batch.slice(block.first, rows)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [here.column("doc_id"), here.column("text_key"), pa.array(np.diff(w.offsets), pa.int64()), *(pa.array([s[k] for s in spans], longs) for k in range(4)), pa.array([sorted(x) for x in items_of], pa.list_(pa.string()))],
-                names=["doc_id", "text_key", "n_words", "hit_starts", "hit_ends", "byte_starts", "byte_ends", "items"],
+                [here.column("doc_id"), here.column("text_key"), pa.array(np.diff(w.offsets), pa.int64()), *(pa.array([s[k] for s in spans], longs) for k in range(4)), pa.array([sorted(x) for x in items_of], pa.list_(pa.string())), *(here.column(c) for c in carried)],
+                names=["doc_id", "text_key", "n_words", "hit_starts", "hit_ends", "byte_starts", "byte_ends", "items", *carried],
             )
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, set_limit: int = SET_LIMIT) -> DataFrame:
-    """A row for each document: its words, the hit stretches (in words and in bytes) and the items found."""
+def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, set_limit: int = SET_LIMIT, carry: list[str] | None = None) -> DataFrame:
+    """A row for each document: its words, the hit stretches (in words and in bytes) and the items found.
+
+    The columns to carry go along as _c0, _c1 and so on.
+    """
     spark = docs.sparkSession
     windows = item_windows(benchmark, n)
     sides = -(-max(1, windows.count()) // set_limit)
-    texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry or [])))
     side = F.pmod(F.xxhash64("gram"), F.lit(sides))
 
-    def scan(k: int) -> DataFrame:
+    def scan(k: int, carried: list[str]) -> DataFrame:
         grams = spark.sparkContext.broadcast(_Set((windows.where(side == k) if sides > 1 else windows).collect()))
-        return texts.mapInArrow(lambda batches: _scan(batches, grams), _FOUND)
+        fields = "".join(f", {c} {texts.schema[c].dataType.simpleString()}" for c in carried)
+        return texts.select("doc_id", "text_key", "text", *carried).mapInArrow(lambda batches: _scan(batches, grams, carried), _FOUND + fields)
 
-    found = scan(0)
+    carried = [f"_c{i}" for i in range(len(carry or []))]
+    found = scan(0, carried)
     if sides == 1:
         return found
-    lists = [c for c in found.columns if c not in ("doc_id", "text_key", "n_words")]
-    more = scan(1)
+    lists = [c for c in found.columns if c not in ("doc_id", "text_key", "n_words", *carried)]
+    more = scan(1, [])
     for k in range(2, sides):
-        more = more.unionByName(scan(k))
+        more = more.unionByName(scan(k, []))
     more = more.where(F.size("items") > 0).groupBy("doc_id", "text_key").agg(*(F.flatten(F.collect_list(c)).alias(f"more_{c}") for c in lists))
     joined = found.alias("f").join(more.alias("m"), F.col("f.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("f.text_key") == F.col("m.text_key")), "left")
     both = [F.concat(c, F.coalesce(f"more_{c}", F.array())).alias(c) for c in lists]
-    return joined.select("f.doc_id", "f.text_key", "n_words", *both[:-1], F.array_sort(F.array_distinct(both[-1])).alias("items"))
+    return joined.select("f.doc_id", "f.text_key", "n_words", *both[:-1], F.array_sort(F.array_distinct(both[-1])).alias("items"), *carried)
 
 
 def _n_hit() -> Column:
@@ -168,22 +173,23 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, set_limit: in
     return found.select("doc_id", "n_words", _n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", digest.alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def _carried(docs: DataFrame) -> list[Column]:
+    return [F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)]
+
+
 def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, max_hit_share: float = 0.0, set_limit: int = SET_LIMIT) -> DataFrame:
     """The rows whose hit words are at most that share of their words, all columns kept; rows without words stay."""
-    texts = docs.withColumn("_text_key", F.xxhash64("text"))
-    found = find_hits(docs, benchmark, n, set_limit).withColumn("n_hit", _n_hit())
-    bad = found.where(F.col("n_hit") > F.col("n_words") * max_hit_share).select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
-    return texts.join(bad, texts["doc_id"].eqNullSafe(bad["_bad_id"]) & (texts["_text_key"] == bad["_bad_key"]), "left_anti").drop("_text_key")
+    found = find_hits(docs, benchmark, n, set_limit, docs.columns)
+    return found.where(_n_hit() <= F.col("n_words") * max_hit_share).select(*_carried(docs))
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, set_limit: int = SET_LIMIT) -> DataFrame:
     """All rows and columns, each text without its hit stretches (first to last hit byte of each)."""
-    found = find_hits(docs, benchmark, n, set_limit).where(F.size("items") > 0).select(F.col("doc_id").alias("_found_id"), F.col("text_key").alias("_found_key"), F.array_sort(F.arrays_zip("byte_starts", "byte_ends")).alias("_spans")).dropDuplicates(["_found_id", "_found_key"])
-    texts = docs.withColumn("_text_key", F.xxhash64("text"))
-    joined = texts.join(found, texts["doc_id"].eqNullSafe(found["_found_id"]) & (texts["_text_key"] == found["_found_key"]), "left")
+    found = find_hits(docs, benchmark, n, set_limit, docs.columns)
+    rows = found.select(*_carried(docs), F.array_sort(F.arrays_zip("byte_starts", "byte_ends")).alias("_spans"))
     raw = F.encode("text", "UTF-8")
     zero = F.struct(F.lit(b"").alias("kept"), F.lit(0).cast("long").alias("to"))
     step = lambda a, s: F.struct(F.concat(a["kept"], F.substring(raw, (a["to"] + 1).cast("int"), F.greatest(F.lit(0).cast("long"), s["byte_starts"] - a["to"]).cast("int"))).alias("kept"), F.greatest(a["to"], s["byte_ends"]).alias("to"))
     rest = lambda a: F.concat(a["kept"], F.substring(raw, (a["to"] + 1).cast("int"), F.octet_length("text")))
     cut = F.decode(F.aggregate("_spans", zero, step, rest), "UTF-8")
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut)).drop("_spans", "_found_id", "_found_key", "_text_key")
+    return rows.withColumn("text", F.when(F.size("_spans") == 0, F.col("text")).otherwise(cut)).drop("_spans")

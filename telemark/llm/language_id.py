@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from telemark.llm import _text as K
 
@@ -162,21 +163,22 @@ def train(labelled: DataFrame, shape: Shape = Shape()) -> Network | None:
     return network
 
 
-def predict(docs: DataFrame, network: Network | None) -> DataFrame:
-    """doc_id, text_key, lang_pred, score: one row per document."""
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("has_letter"), "text")
+def predict(docs: DataFrame, network: Network | None, carry: list[str] | None = None) -> DataFrame:
+    """All rows, with the columns to carry (or all), `lang_pred` and `score` (columns of those names are replaced)."""
+    rows = docs.drop("lang_pred", "score")
+    carried = carry or rows.columns
     if network is None:
-        return texts.select("doc_id", "text_key", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return rows.select(*carried).withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         names = np.array([*net.languages, UNKNOWN])
         for batch in batches:
-            known = batch.column("has_letter").to_numpy(zero_copy_only=False)
+            known = batch.column("_has_letter").to_numpy(zero_copy_only=False)
             for block in K.blocks(batch.column("text"), 1 << 18):
-                rows = batch.slice(block.first, len(block.offsets) - 1)
-                ok = known[block.first : block.first + len(rows)]
+                n = len(block.offsets) - 1
+                ok = known[block.first : block.first + n]
                 windows, count = _windows(block, net.shape.window)
                 logs = [net.log_probabilities(windows[k : k + 64]) for k in range(0, len(windows), 64)]
                 total = np.concatenate((np.zeros((1, len(net.languages))), np.cumsum(np.concatenate(logs), axis=0, dtype=np.float64))) if logs else np.zeros((1, len(net.languages)))
@@ -186,24 +188,25 @@ def predict(docs: DataFrame, network: Network | None) -> DataFrame:
                 p /= p.sum(axis=1, keepdims=True)
                 best = np.where(ok, p.argmax(axis=1), len(names) - 1)
                 score = np.where(ok, p.max(axis=1), 0.0)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_key"), pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=["doc_id", "text_key", "lang_pred", "score"])
+                kept = [batch.column(c).slice(block.first, n) for c in carried]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=[*carried, "lang_pred", "score"])
 
-    return texts.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, lang_pred string, score double")
+    given = rows.select(*dict.fromkeys([*carried, "text"])).withColumn("_has_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    out = T.StructType([*(rows.schema[c] for c in carried), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return given.mapInArrow(run, out)
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def identify(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
-    """doc_id, text_key, held_out, lang_pred, score; learns from the rows that aren't held out."""
+def identify(docs: DataFrame, shape: Shape = Shape(), carry: list[str] | None = None) -> DataFrame:
+    """All rows, the columns to carry (or all; doc_id among them) with lang_pred, score and held_out; learns from the rows that aren't held out."""
     network = train(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "lang", "text"), shape)
-    return predict(docs, network).withColumn("held_out", held_out(F.col("doc_id")))
+    return predict(docs, network, carry).withColumn("held_out", held_out(F.col("doc_id")))
 
 
 def keep_known(docs: DataFrame, shape: Shape = Shape(), least: float = 0.0) -> DataFrame:
     """The rows, all columns kept, whose language is known with at least that score."""
     found = identify(docs, shape).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    keys = found.select(F.col("doc_id").alias("_known_id"), F.col("text_key").alias("_known_key")).distinct()
-    texts = docs.withColumn("_text_key", F.xxhash64("text"))
-    return texts.join(keys, texts["doc_id"].eqNullSafe(keys["_known_id"]) & (texts["_text_key"] == keys["_known_key"]), "left_semi").drop("_text_key")
+    return found.select(*docs.columns)

@@ -18,7 +18,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.identify(read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+    return language_id.identify(read(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
