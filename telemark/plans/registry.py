@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from telemark.plans import promql
+from telemark.plans import promql, structured
 
 FLAGSHIP = "promql_sum_rate"
-_MODULES = (promql,)
+_MODULES = (promql, structured)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
