@@ -13,13 +13,13 @@ The orders are dealt out by range, so that a crowded region may span many tasks.
 
 Candidates are confirmed in three steps, and those whose ends are already in one component
 are left out: for each set its most frequent neighbour; then one candidate for each pair of
-components; then all other neighbours, and in every region that still holds several
-components, all pairs between different components whose signatures agree on at least
-`agreement` of the minima (more than five standard deviations below the threshold).  The
-last step runs in blocks of at most `block` members, and only members outside the region's
-largest component are sent to all blocks.  So no cap drops a candidate; what can be missed
-is a pair at the threshold that no tree brings together: (1 - 0.8 ** depth) ** trees, 3e-6
-with the defaults, and falling fast above it.
+components; then every region that still holds several components is compared in full,
+on the sets themselves.  That last step runs in blocks of at most about `block` members;
+only members outside the region's largest component are sent to all of its blocks, regions
+with the same members count once, and a block returns one link for each two components that
+it joins, not all pairs.  So no cap drops a candidate; what can be missed is a pair at the
+threshold that no tree brings together: (1 - 0.8 ** depth) ** trees, 3e-6 with the defaults,
+and falling fast above it.
 
 Equal sets are one node from the start, so copies are never compared.
 
@@ -52,7 +52,6 @@ class Forest(NamedTuple):
     similarity_percent: int = 80
     trees: int = 32
     depth: int = 5
-    agreement: float = 0.6
     block: int = 512
 
 
@@ -165,24 +164,65 @@ def _confirmed(forest: Forest):
     return run
 
 
-def _agreeing(forest: Forest):
-    """Blocks of a region to pairs of different components whose signatures agree well enough."""
+def _sets(forest: Forest):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in K.blocks(batch.column("text")):
+                values, offsets = shingle_sets(block, forest.shingle)
+                parts = [v.tobytes() for v in np.split(values, offsets[1:-1])]
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(block.first, len(parts)), pa.array(parts, pa.binary())], names=["node", "shingles"])
+
+    return run
+
+
+def common_counts(guests: list[np.ndarray], members: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each guest the number of values that it has in common with each member, exactly."""
+    sets = [*members, *guests]
+    sizes = np.array([len(x) for x in sets])
+    values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1  # a value of one set alone is in no intersection
+    column = (np.cumsum(shared) - 1)[column][keep] if (keep := shared[column]).any() else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(sets)), sizes)[keep]
+    width, offsets = int(shared.sum()), np.searchsorted(owner, np.arange(len(sets) + 1))
+    if not width:
+        yield from (np.zeros(len(members), np.int64) for _ in guests)
+    elif width <= 1 << 16:  # bit maps
+        bits = np.zeros((len(sets), -(-width // 64) * 8), np.uint8)
+        for k in range(0, len(sets), 64):
+            flags = np.zeros((min(64, len(sets) - k), bits.shape[1] * 8), bool)
+            part = slice(offsets[k], offsets[min(k + 64, len(sets))])
+            flags[owner[part] - k, column[part]] = True
+            bits[k : k + 64] = np.packbits(flags, axis=1)
+        words = bits.view(np.uint64)
+        for g in range(len(members), len(sets)):
+            yield np.bitwise_count(words[: len(members)] & words[g]).sum(axis=1, dtype=np.int64)
+    else:
+        of_members = column[: offsets[len(members)]]
+        for g in range(len(members), len(sets)):
+            mark = np.zeros(width + 1, bool)
+            mark[column[offsets[g] : offsets[g + 1]]] = True
+            yield np.diff(np.concatenate(([0], np.cumsum(mark[of_members])))[offsets[: len(members) + 1]])
+
+
+def _joined_parts(forest: Forest):
+    """Blocks of a region to confirmed links between components, one for each two that they join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.select(["guests", "members"]).to_pylist():
-                guests, members = row["guests"], row["members"]
-                if not guests or not members:
-                    continue
-                sig = [np.stack([np.frombuffer(x["signature"], np.uint32).astype(np.uint8) for x in side]) for side in (guests, members)]
-                node, part = ([np.array([x[c] for x in side]) for side in (guests, members)] for c in ("node", "component"))
+            for r in range(len(batch)):
+                sides = [batch.column(c).slice(r, 1).flatten() for c in ("guests", "members")]
+                node, part = ([s.field(c).to_numpy().copy() for s in sides] for c in ("node", "component"))
+                sets = [[np.frombuffer(x, np.uint64) for x in s.field("shingles").to_pylist()] for s in sides]
+                size = np.array([len(x) for x in sets[1]])
                 a, b = [], []
-                for k in range(len(guests)):
-                    agree = (sig[1] == sig[0][k]).mean(axis=1)
-                    at = np.flatnonzero((agree >= forest.agreement) & (part[1] != part[0][k]))
-                    a.append(np.minimum(node[1][at], node[0][k]))
-                    b.append(np.maximum(node[1][at], node[0][k]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
+                for g, common in enumerate(common_counts(*sets)):
+                    linked = np.flatnonzero((100 * common >= forest.similarity_percent * (size + len(sets[0][g]) - common)) & (part[1] != part[0][g]))
+                    for c, k in zip(*np.unique(part[1][linked], return_index=True), strict=True):
+                        a.append(min(node[0][g], node[1][linked[k]]))
+                        b.append(max(node[0][g], node[1][linked[k]]))
+                        for p in part:
+                            p[p == c] = part[0][g]
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -194,20 +234,23 @@ def _ends(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return both.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb")
 
 
-def _region_pairs(members: DataFrame, parts: DataFrame, signatures: DataFrame, forest: Forest) -> DataFrame:
-    """Pairs between the components of regions that hold several."""
+def _mixed_regions(members: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members with their components, regions that hold several components: of equal regions one)."""
     placed = members.select("region", "node").distinct().join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    counts = placed.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = counts.groupBy("region").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("size"), F.max_by("component", F.struct("n", "component")).alias("main")).where("parts > 1").drop("parts")
-    rows = placed.join(mixed, "region").join(signatures, "node")
+    counts = placed.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.max("node").alias("last"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"))
+    mixed = counts.groupBy("region").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("size"), F.max_by("component", F.struct("n", "component")).alias("main"), F.min("first").alias("a"), F.max("last").alias("b"), F.expr("bit_xor(x)").alias("x"), F.expr("bit_xor(y)").alias("y"))
+    return placed, mixed.where("parts > 1").groupBy("size", "x", "y").agg(F.min(F.struct("region", "main", "a", "b")).alias("r")).select("size", "r.*")
+
+
+def _region_links(placed: DataFrame, mixed: DataFrame, sets: DataFrame, forest: Forest) -> DataFrame:
+    rows = placed.join(mixed.select("region", "size", "main"), "region").join(sets, "node")
     blocks = F.ceil(F.col("size") / forest.block).cast("int")
-    member = rows.select("region", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.lit(False).alias("guest"), "node", "component", "signature")
-    guest = rows.where("component <> main").select("region", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("guest"), "node", "component", "signature")
-    one = F.struct("node", "component", "signature")
-    guests_apart = guest.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(1 << 20)) % F.lit(64))
+    one = F.struct("node", "component", "shingles")
+    member = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    guest = rows.where("component <> main").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     members_of = member.groupBy("region", "block").agg(F.collect_list(one).alias("members"))
-    guests_of = guests_apart.groupBy("region", "block", "part").agg(F.collect_list(one).alias("guests"))
-    return guests_of.join(members_of, ["region", "block"]).select("guests", "members").mapInArrow(_agreeing(forest), "a long, b long").distinct()
+    guests_of = guest.groupBy("region", "block", "part").agg(F.collect_list(one).alias("guests"))
+    return guests_of.join(members_of, ["region", "block"]).select("guests", "members").mapInArrow(_joined_parts(forest), "a long, b long").distinct()
 
 
 def links(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
@@ -247,9 +290,13 @@ def links(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     tried = tried.unionByName(one_each)
     parts = components(edges, scratch, "parts-2")
 
-    rest = pairs.select("a", "b").unionByName(_region_pairs(members, parts, signatures, forest)).distinct()
-    rest = scratch.write(_ends(rest.join(tried, ["a", "b"], "left_anti"), parts).select("a", "b"), "tried-3")
-    edges = edges.unionByName(confirm(rest, "links-3"))
+    placed, mixed = _mixed_regions(members, parts)
+    mixed = scratch.write(mixed, "mixed")
+    twos = mixed.where("size = 2").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    larger = mixed.where("size > 2")
+    wanted = placed.join(larger.select("region"), "region", "left_semi").select("node").distinct()
+    sets = scratch.write(found.join(wanted, "node", "left_semi").mapInArrow(_sets(forest), "node long, shingles binary"), "sets")
+    edges = edges.unionByName(confirm(twos, "links-3")).unionByName(scratch.write(_region_links(placed, larger, sets, forest), "links-4"))
     parts = components(edges, scratch, "parts-3")
 
     of_class = classes.join(parts, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
