@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from telemark.llm._tables import Scratch
 
@@ -15,21 +16,23 @@ def components(links: DataFrame, scratch: Scratch, name: str, most: int = 60) ->
     smaller ones; the links end as stars around the components' smallest nodes, after
     about as many rounds as the logarithm of the longest path.  The links stay in a
     shared table between rounds, and only their number and a checksum reach the driver.
+    A round is three shuffles of pairs of numbers; a hub's pairs are sorted in one task,
+    which spills, and nothing but their minimum is held.
     """
-    links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    links = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     links = scratch.write(links, f"{name}-0")
+    of_node = Window.partitionBy("a")
     mark = None
     for k in range(1, most):
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        large = both.withColumn("m", F.least(F.min("b").over(of_node), "a")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = large.withColumn("m", F.min("b").over(of_node))
+        small = low.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct()
         after = scratch.write(small, f"{name}-{k}")
         scratch.drop(f"{name}-{k - 1}")
         links = after
         now = after.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
-        if tuple(now) == mark:
+        if tuple(now) == mark or not now[0]:
             break
         mark = tuple(now)
     else:

@@ -11,10 +11,9 @@ neighbours have the longest common prefixes: each set takes the next one of its
 candidate, so that a crowded region is compared at whatever depth tells its members apart.
 The orders are dealt out by range, so that a crowded region may span many tasks.
 
-Candidates are confirmed in three steps, and those whose ends are already in one component
-are left out: for each set its most frequent neighbour; then one candidate for each pair of
-components; then every region that still holds several components is compared in full,
-on the sets themselves.  That last step runs in blocks of at most about `block` members;
+Candidates are confirmed in two steps: first, for each set, its `nearest` most frequent
+neighbours; then every region that still holds several components is compared in full,
+on the sets themselves.  That step runs in blocks of at most about `block` members;
 only members outside the region's largest component are sent to all of its blocks, regions
 with the same members count once, and a block returns one link for each two components that
 it joins, not all pairs.  So no cap drops a candidate; what can be missed is a pair at the
@@ -53,6 +52,7 @@ class Forest(NamedTuple):
     trees: int = 32
     depth: int = 5
     block: int = 512
+    nearest: int = 2
 
 
 def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -227,16 +227,9 @@ def _joined_parts(forest: Forest):
     return run
 
 
-def _ends(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """a, b and the components of both, where these differ."""
-    pa_, pb = parts.select(F.col("node").alias("a"), F.col("component").alias("ca")), parts.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    both = pairs.join(pa_, "a", "left").join(pb, "b", "left")
-    return both.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb")
-
-
-def _mixed_regions(members: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _mixed_regions(members: DataFrame, parts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(members with their components, regions that hold several components: of equal regions one)."""
-    placed = members.select("region", "node").distinct().join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = scratch.write(members.select("region", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
     counts = placed.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.max("node").alias("last"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"))
     mixed = counts.groupBy("region").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("size"), F.max_by("component", F.struct("n", "component")).alias("main"), F.min("first").alias("a"), F.max("last").alias("b"), F.expr("bit_xor(x)").alias("x"), F.expr("bit_xor(y)").alias("y"))
     return placed, mixed.where("parts > 1").groupBy("size", "x", "y").agg(F.min(F.struct("region", "main", "a", "b")).alias("r")).select("size", "r.*")
@@ -260,8 +253,9 @@ def links(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     texts = keyed(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = scratch.write(texts.mapInArrow(_signatures(forest), "doc_id long, text_key long, n_shingles long, set_a long, set_b long, signature binary"), "signatures")
     usable = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.write(usable.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "text_key")).alias("rep")).select("set_a", "set_b", F.col("rep.doc_id").alias("node"), F.col("rep.text_key").alias("text_key")), "classes")
-    signatures = usable.join(classes.select("node", F.col("text_key").alias("rep_key")), (F.col("doc_id") == F.col("node")) & (F.col("text_key") == F.col("rep_key"))).select("node", "signature")
+    equal = usable.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("signature").alias("signature"))  # equal sets, equal signatures
+    classes = scratch.write(equal.select("set_a", "set_b", F.col("rep.doc_id").alias("node"), F.col("rep.text_key").alias("text_key"), "signature"), "classes")
+    signatures = classes.select("node", "signature")
 
     names = ["region", *(f"p{x}" for x in LEVELS if x > forest.depth)]
     paths = signatures.mapInArrow(_paths(forest), "node long, " + ", ".join(f"{x} long" for x in names))
@@ -275,29 +269,27 @@ def links(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
 
     def confirm(some: DataFrame, name: str) -> DataFrame:
         a, b = found.select(F.col("node").alias("a"), F.col("text").alias("text_a")), found.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        return scratch.write(some.select("a", "b").distinct().join(a, "a").join(b, "b").mapInArrow(_confirmed(forest), "a long, b long"), name)
+        return scratch.write(some.join(a, "a").join(b, "b").mapInArrow(_confirmed(forest), "a long, b long"), name)
 
     ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "votes"))
-    best = ends.groupBy("a").agg(F.max_by("b", F.struct("votes", -F.col("b"))).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    edges = confirm(best, "links-1")
-    tried = scratch.write(best.distinct(), "tried-1")
-    parts = components(edges, scratch, "parts-1")
-
-    apart = _ends(pairs.join(tried, ["a", "b"], "left_anti"), parts)
-    one_each = apart.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max_by(F.struct("a", "b"), F.struct("votes", "a", "b")).alias("p")).select("p.a", "p.b")
-    one_each = scratch.write(one_each, "tried-2")
-    edges = edges.unionByName(confirm(one_each, "links-2"))
-    tried = tried.unionByName(one_each)
-    parts = components(edges, scratch, "parts-2")
-
-    placed, mixed = _mixed_regions(members, parts)
+    order = Window.partitionBy("a").orderBy(F.desc("votes"), "b")
+    best = ends.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= forest.nearest)
+    tried = scratch.write(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
+    parts = scratch.write(components(confirm(tried, "links-1"), scratch, "parts-1"), "parts")
+
+    placed, mixed = _mixed_regions(members, parts, scratch)
     mixed = scratch.write(mixed, "mixed")
-    twos = mixed.where("size = 2").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    larger = mixed.where("size > 2")
+    larger = mixed.where("size = 2").join(tried, ["a", "b"], "left_anti").select(*mixed.columns).unionByName(mixed.where("size > 2"))
     wanted = placed.join(larger.select("region"), "region", "left_semi").select("node").distinct()
     sets = scratch.write(found.join(wanted, "node", "left_semi").mapInArrow(_sets(forest), "node long, shingles binary"), "sets")
-    edges = edges.unionByName(confirm(twos, "links-3")).unionByName(scratch.write(_region_links(placed, larger, sets, forest), "links-4"))
-    parts = components(edges, scratch, "parts-3")
+    more = scratch.write(_region_links(placed, larger, sets, forest), "links-2")
+
+    # the second time only whole components are joined
+    of_a, of_b = (parts.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    between = more.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = components(between, scratch, "parts-2").select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    alone = joined.join(parts.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("whole").alias("component"))
+    parts = parts.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component")).unionByName(alone)
 
     of_class = classes.join(parts, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
     out = rows.select("doc_id", "text_key", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b"], "left")
@@ -306,10 +298,10 @@ def links(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
-    """The documents that are kept, with all their columns: one row of each component, and of repeated rows one."""
-    kept = links(docs, forest).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_key")).distinct()
+    """The documents that are kept, with all their columns: one row for each kept doc_id, and all rows without one."""
+    found = links(docs, forest).where("kept")
+    keys = found.groupBy(F.col("doc_id").alias("_kept_id")).agg(F.min("text_key").alias("_kept_key"))
     texts = docs.withColumn("_text_key", F.xxhash64("text"))
-    out = texts.join(kept, texts["doc_id"].eqNullSafe(kept["_kept_id"]) & (texts["_text_key"] == kept["_kept_key"]), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(*(c for c in out.columns if c != "doc_id"))
-    known = out.where("doc_id is not null").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    return known.unionByName(out.where("doc_id is null")).drop("_text_key")
+    same = (texts["doc_id"] == keys["_kept_id"]) & (texts["_text_key"] == keys["_kept_key"])
+    known = texts.join(keys.where("_kept_id is not null"), same, "left_semi").dropDuplicates(["doc_id"])
+    return known.unionByName(texts.where("doc_id is null")).select(*docs.columns)
