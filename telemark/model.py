@@ -38,6 +38,15 @@ def label_key(labels: str | Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(kept))))
 
 
+def labels_of(key: str | Column) -> Column:
+    """The label map of a canonical text.
+
+    Aggregates carry the text alone: a map in an aggregate's buffer would force Spark to sort
+    where it could hash.
+    """
+    return F.from_json(col(key), "map<string,string>")
+
+
 def keep_labels(labels: str | Column, names: list[str]) -> Column:
     return F.map_filter(col(labels), lambda k, _: k.isin(*names) if names else F.lit(False))
 
@@ -79,6 +88,6 @@ def materialize(vector: DataFrame) -> DataFrame:
     """The result of a query: dropped names gone, and an error where two series became one."""
     name = F.when(F.col("drop_name"), F.lit(None)).otherwise(F.col("metric"))
     out = vector.withColumn("metric", name)
-    out = out.groupBy("metric", "lkey", "t").agg(F.first("labels").alias("labels"), F.first("src_ts").alias("src_ts"), F.first("value").alias("value"), F.count(F.lit(1)).alias("_n"))
+    out = out.groupBy("metric", "lkey", "t").agg(F.first("src_ts").alias("src_ts"), F.first("value").alias("value"), F.count(F.lit(1)).alias("_n"))
     checked = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("vector cannot contain metrics with the same labelset: "), F.col("lkey")))).otherwise(F.col("value"))
-    return out.select("metric", "labels", "lkey", "t", "src_ts", checked.cast("double").alias("value"))
+    return out.select("metric", labels_of("lkey").alias("labels"), "lkey", "t", "src_ts", checked.cast("double").alias("value"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from telemark.functions import ieee
-from telemark.model import METADATA_LABELS, VECTOR, drop_labels, keep_labels, label, label_key, put_label
+from telemark.model import METADATA_LABELS, VECTOR, drop_labels, keep_labels, label, label_key, labels_of, put_label
 from telemark.operators.windows import Grid, constant
 
 _LABEL_NAME = re.compile(r"[a-zA-Z_][a-zA-Z0-9_]*")
@@ -180,9 +180,12 @@ def _grouped(v: DataFrame, by: list[str] | None, without: list[str] | None) -> D
 
 
 def _result(g: DataFrame, value: Column) -> DataFrame:
-    name = F.when(F.map_contains_key("_group", F.lit("__name__")), F.element_at("_group", "__name__"))
+    g = g.withColumn("_group", labels_of("_gkey"))
+    named = F.map_contains_key("_group", F.lit("__name__"))
+    name = F.when(named, F.try_element_at("_group", F.lit("__name__")))
     labels = F.map_filter("_group", lambda k, _: k != "__name__")
-    return g.select(name.alias("metric"), labels.alias("labels"), label_key(labels).alias("lkey"), "t", F.col("t").alias("src_ts"), value.cast("double").alias("value"), name.isNull().alias("drop_name"))
+    key = F.when(named, label_key(labels)).otherwise(F.col("_gkey"))
+    return g.select(name.alias("metric"), labels.alias("labels"), key.alias("lkey"), "t", F.col("t").alias("src_ts"), value.cast("double").alias("value"), name.isNull().alias("drop_name"))
 
 
 def _quantile_at(values: Column, q: float) -> Column:
@@ -208,7 +211,7 @@ _AGGREGATES = {
 
 def aggregate(v: DataFrame, op: str, by: list[str] | None = None, without: list[str] | None = None) -> DataFrame:
     """sum, avg, count, group, min, max, stddev, stdvar of each group and step."""
-    g = _grouped(v, by, without).groupBy("_gkey", "t").agg(F.first("_group").alias("_group"), _AGGREGATES[op](F.col("value")).alias("v"))
+    g = _grouped(v, by, without).groupBy("_gkey", "t").agg(_AGGREGATES[op](F.col("value")).alias("v"))
     return _result(g, F.col("v"))
 
 
@@ -220,8 +223,8 @@ def quantile(v: DataFrame, q: float, by: list[str] | None = None, without: list[
     """
     g = _grouped(v, by, without).groupBy("_gkey", "t")
     if exact_nan or not 0 <= q <= 1:
-        return _result(g.agg(F.first("_group").alias("_group"), F.collect_list("value").alias("w")), _quantile_at(F.col("w"), q))
-    return _result(g.agg(F.first("_group").alias("_group"), F.percentile("value", q).alias("v")), F.col("v"))
+        return _result(g.agg(F.collect_list("value").alias("w")), _quantile_at(F.col("w"), q))
+    return _result(g.agg(F.percentile("value", q).alias("v")), F.col("v"))
 
 
 def topk(v: DataFrame, k: int, by: list[str] | None = None, without: list[str] | None = None, largest: bool = True) -> DataFrame:
@@ -255,8 +258,8 @@ def count_values(v: DataFrame, name: str, by: list[str] | None = None, without:
     """How many series of each group have each value; the value becomes a label."""
     check_label(name)
     g = _grouped(v, by, without).withColumn("_value", format_value(F.col("value")))
-    g = g.withColumn("_group", put_label("_group", name, F.col("_value"))).groupBy("_gkey", "_value", "t")
-    return _result(g.agg(F.first("_group").alias("_group"), F.count(F.lit(1)).alias("n")), F.col("n"))
+    g = g.withColumn("_gkey", label_key(put_label("_group", name, F.col("_value")))).groupBy("_gkey", "t")
+    return _result(g.agg(F.count(F.lit(1)).alias("n")), F.col("n"))
 
 
 # --- binary operators ---------------------------------------------------------------------

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from telemark.functions import ieee
-from telemark.model import METADATA_LABELS, VECTOR, drop_labels, label_key, samples
+from telemark.model import METADATA_LABELS, VECTOR, drop_labels, label_key, labels_of, samples
 
 LOOKBACK_MS = 300_000
 MINUTE, HOUR, DAY = 60_000, 3_600_000, 86_400_000
@@ -81,19 +81,19 @@ def expand(raw: DataFrame, grid: Grid, width: int, offset: int = 0, closed_left:
 def instant(raw: DataFrame, grid: Grid, offset: int = 0, lookback: int = LOOKBACK_MS) -> DataFrame:
     """At each step the latest sample of the last five minutes, unless it is a staleness marker."""
     rows = expand(raw, grid, lookback, offset, keep_stale=True)
-    latest = rows.groupBy("metric", "lkey", "t").agg(F.first("labels").alias("labels"), F.max_by(F.struct("src_ts", "value", "is_stale"), "ts_ms").alias("s"))
-    return latest.where(~F.col("s.is_stale")).select("metric", "labels", "lkey", "t", F.col("s.src_ts").alias("src_ts"), F.col("s.value").alias("value"), F.lit(False).alias("drop_name"))
+    latest = rows.groupBy("metric", "lkey", "t").agg(*(F.max_by(c, "ts_ms").alias(c) for c in ("src_ts", "value", "is_stale")))
+    return latest.where(~F.col("is_stale")).select("metric", labels_of("lkey").alias("labels"), "lkey", "t", "src_ts", "value", F.lit(False).alias("drop_name"))
 
 
 def instant_smoothed(raw: DataFrame, grid: Grid, offset: int = 0, lookback: int = LOOKBACK_MS) -> DataFrame:
     """At each step the value interpolated between the samples around it; the nearer one where there is but one."""
-    before = expand(raw, grid, lookback, offset, closed_left=True).groupBy("metric", "lkey", "t").agg(F.first("labels").alias("labels"), F.max_by(F.struct("ts_ms", "value"), "ts_ms").alias("a"))
+    before = expand(raw, grid, lookback, offset, closed_left=True).groupBy("metric", "lkey", "t").agg(F.max_by(F.struct("ts_ms", "value"), "ts_ms").alias("a"))
     ahead = expand(raw, grid, lookback, offset - lookback, closed_left=True).withColumn("ts_ms", F.col("ts_ms") + lookback)
-    after = ahead.groupBy("metric", "lkey", "t").agg(F.first("labels").alias("labels_b"), F.min_by(F.struct("ts_ms", "value"), "ts_ms").alias("b"))
+    after = ahead.groupBy("metric", "lkey", "t").agg(F.min_by(F.struct("ts_ms", "value"), "ts_ms").alias("b"))
     both = before.join(after, ["metric", "lkey", "t"], "full_outer")
     share = (F.col("t") - F.col("a.ts_ms")) / (F.col("b.ts_ms") - F.col("a.ts_ms")).cast("double")
     value = F.when(F.col("b.ts_ms").isNull(), F.col("a.value")).when(F.col("a.ts_ms").isNull(), F.col("b.value")).when(F.col("a.ts_ms") == F.col("b.ts_ms"), F.col("a.value")).otherwise(F.col("a.value") + (F.col("b.value") - F.col("a.value")) * share)
-    return both.select("metric", F.coalesce("labels", "labels_b").alias("labels"), "lkey", "t", F.col("t").alias("src_ts"), value.alias("value"), F.lit(False).alias("drop_name"))
+    return both.select("metric", labels_of("lkey").alias("labels"), "lkey", "t", F.col("t").alias("src_ts"), value.alias("value"), F.lit(False).alias("drop_name"))
 
 
 def _chunked(raw: DataFrame, grid: Grid, width: int, offset: int, closed_left: bool = False, chunk_steps: int | None = None) -> DataFrame:
@@ -109,8 +109,11 @@ def _chunked(raw: DataFrame, grid: Grid, width: int, offset: int, closed_left: b
 
 
 def _vector(df: DataFrame, value: Column, drop_name: bool = True, src_ts: Column | None = None) -> DataFrame:
-    labels = drop_labels("labels", list(METADATA_LABELS)) if drop_name else F.col("labels")
-    out = df.select("metric", labels.alias("labels"), label_key(labels).alias("lkey") if drop_name else F.col("lkey"), "t", (src_ts if src_ts is not None else F.col("t")).alias("src_ts"), value.cast("double").alias("value"), F.lit(drop_name).alias("drop_name"))
+    labels, key = labels_of("lkey"), F.col("lkey")
+    if drop_name:
+        labels = drop_labels(labels, list(METADATA_LABELS))
+        key = F.when(key.rlike('"__(type|unit)__":'), label_key(labels)).otherwise(key)
+    out = df.select("metric", labels.alias("labels"), key.alias("lkey"), "t", (src_ts if src_ts is not None else F.col("t")).alias("src_ts"), value.cast("double").alias("value"), F.lit(drop_name).alias("drop_name"))
     return out.select(*VECTOR)
 
 
@@ -138,7 +141,7 @@ def increase(raw: DataFrame, grid: Grid, width: int, offset: int = 0, chunk_step
     """Growth of a counter over each window, resets made good, carried to the window's edges; windows of two samples at least."""
     rows = at_steps(_chunked(raw, grid, width, offset, chunk_steps=chunk_steps).withColumn("reset", _reset()), grid)
     g = rows.groupBy("metric", "lkey", "_chunk", "t").agg(
-        F.first("labels").alias("labels"), F.count(F.lit(1)).alias("n"), F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts"),
+        F.count(F.lit(1)).alias("n"), F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts"),
         F.min_by("value", "ts_ms").alias("first_value"), F.max_by("value", "ts_ms").alias("last_value"), (F.sum("reset") - F.min_by("reset", "ts_ms")).alias("resets"),
     )
     g = g.where("n > 1").withColumn("change", F.col("last_value") - F.col("first_value") + F.col("resets"))
@@ -151,14 +154,14 @@ def rate(raw: DataFrame, grid: Grid, width: int, offset: int = 0, chunk_steps: i
 
 def delta_sum(raw: DataFrame, grid: Grid, width: int, offset: int = 0, per_second: bool = False) -> DataFrame:
     """increase() and rate() of series that hold deltas: the sum of the window."""
-    g = expand(raw, grid, width, offset).groupBy("metric", "lkey", "t").agg(F.first("labels").alias("labels"), F.sum("value").alias("v"))
+    g = expand(raw, grid, width, offset).groupBy("metric", "lkey", "t").agg(F.sum("value").alias("v"))
     return _vector(g, F.col("v") / (width / 1000.0) if per_second else F.col("v"))
 
 
 def _last_two(raw: DataFrame, grid: Grid, width: int, offset: int) -> DataFrame:
     rows = at_steps(_chunked(raw, grid, width, offset), grid)
-    last = rows.groupBy("metric", "lkey", "_chunk", "t").agg(F.first("labels").alias("labels"), F.count(F.lit(1)).alias("n"), F.max_by(F.struct("value", "prev", "ts_ms", "prev_ts"), "ts_ms").alias("s"))
-    return last.where("n > 1").select("metric", "lkey", "labels", "t", "s.*")
+    last = rows.groupBy("metric", "lkey", "_chunk", "t").agg(F.count(F.lit(1)).alias("n"), *(F.max_by(c, "ts_ms").alias(c) for c in ("value", "prev", "ts_ms", "prev_ts")))
+    return last.where("n > 1")
 
 
 def irate(raw: DataFrame, grid: Grid, width: int, offset: int = 0) -> DataFrame:
@@ -175,7 +178,7 @@ def idelta(raw: DataFrame, grid: Grid, width: int, offset: int = 0) -> DataFrame
 
 def delta(raw: DataFrame, grid: Grid, width: int, offset: int = 0) -> DataFrame:
     """Last less first value; a sample at the window's left edge counts."""
-    g = expand(raw, grid, width, offset, closed_left=True).groupBy("metric", "lkey", "t").agg(F.first("labels").alias("labels"), F.count(F.lit(1)).alias("n"), F.max_by("value", "ts_ms").alias("b"), F.min_by("value", "ts_ms").alias("a"))
+    g = expand(raw, grid, width, offset, closed_left=True).groupBy("metric", "lkey", "t").agg(F.count(F.lit(1)).alias("n"), F.max_by("value", "ts_ms").alias("b"), F.min_by("value", "ts_ms").alias("a"))
     return _vector(g.where("n > 1"), F.col("b") - F.col("a"))
 
 
@@ -189,7 +192,7 @@ def resets(raw: DataFrame, grid: Grid, width: int, offset: int = 0) -> DataFrame
 
 def _counted(raw: DataFrame, grid: Grid, width: int, offset: int, condition: Column) -> DataFrame:
     rows = _chunked(raw, grid, width, offset).withColumn("hit", F.coalesce(condition, F.lit(False)).cast("long"))
-    g = at_steps(rows, grid).groupBy("metric", "lkey", "_chunk", "t").agg(F.first("labels").alias("labels"), (F.sum("hit") - F.min_by("hit", "ts_ms")).alias("n"))
+    g = at_steps(rows, grid).groupBy("metric", "lkey", "_chunk", "t").agg((F.sum("hit") - F.min_by("hit", "ts_ms")).alias("n"))
     return _vector(g, F.col("n"))
 
 
@@ -204,13 +207,13 @@ def predict_linear(raw: DataFrame, grid: Grid, width: int, seconds: float, offse
 
 def _regression(raw: DataFrame, grid: Grid, width: int, offset: int) -> DataFrame:
     rows = expand(raw, grid, width, offset).withColumn("x", (F.col("ts_ms") - F.col("t")) / 1000.0)  # centred on the step, against cancellation
-    g = rows.groupBy("metric", "lkey", "t").agg(F.first("labels").alias("labels"), F.count(F.lit(1)).alias("n"), F.regr_slope("value", "x").alias("slope"), F.regr_intercept("value", "x").alias("intercept"))
+    g = rows.groupBy("metric", "lkey", "t").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("value", "x").alias("slope"), F.regr_intercept("value", "x").alias("intercept"))
     return g.where("n > 1")
 
 
 def double_exponential_smoothing(raw: DataFrame, grid: Grid, width: int, smoothing: float, trend: float, offset: int = 0) -> DataFrame:
     """Holt's linear method over the window's samples in order of time."""
-    g = expand(raw, grid, width, offset).groupBy("metric", "lkey", "t").agg(F.first("labels").alias("labels"), F.array_sort(F.collect_list(F.struct("ts_ms", "value"))).alias("w"))
+    g = expand(raw, grid, width, offset).groupBy("metric", "lkey", "t").agg(F.array_sort(F.collect_list(F.struct("ts_ms", "value"))).alias("w"))
     g = g.where(F.size("w") > 1)
     first, second = F.get("w", F.lit(0))["value"], F.get("w", F.lit(1))["value"]
     start = F.struct(first.alias("level"), (second - first).alias("slope"))
@@ -239,12 +242,12 @@ _OVER_TIME = {
 
 def over_time(raw: DataFrame, function: str, grid: Grid, width: int, offset: int = 0) -> DataFrame:
     """avg, sum, count, present, min, max, stddev, stdvar, last, first and ts_of_* of each window; last and first keep the name."""
-    g = expand(raw, grid, width, offset).groupBy("metric", "lkey", "t").agg(F.first("labels").alias("labels"), _OVER_TIME[function](F.col("value")).alias("v"))
+    g = expand(raw, grid, width, offset).groupBy("metric", "lkey", "t").agg(_OVER_TIME[function](F.col("value")).alias("v"))
     return _vector(g, F.col("v"), drop_name=function not in ("last", "first"))
 
 
 def quantile_over_time(raw: DataFrame, q: float, grid: Grid, width: int, offset: int = 0) -> DataFrame:
-    g = expand(raw, grid, width, offset).groupBy("metric", "lkey", "t").agg(F.first("labels").alias("labels"), F.percentile("value", max(0.0, min(1.0, q))).alias("v"))
+    g = expand(raw, grid, width, offset).groupBy("metric", "lkey", "t").agg(F.percentile("value", max(0.0, min(1.0, q))).alias("v"))
     return _vector(g, F.lit(-ieee.INF if q < 0 else ieee.INF) if not 0 <= q <= 1 else F.col("v"))
 
 
@@ -253,7 +256,7 @@ def mad_over_time(raw: DataFrame, grid: Grid, width: int, offset: int = 0) -> Da
     rows = expand(raw, grid, width, offset)
     middle = rows.groupBy("metric", "lkey", "t").agg(F.percentile("value", 0.5).alias("m"))
     apart = rows.join(middle, ["metric", "lkey", "t"])
-    g = apart.groupBy("metric", "lkey", "t").agg(F.first("labels").alias("labels"), F.percentile(F.abs(F.col("value") - F.col("m")), 0.5).alias("v"))
+    g = apart.groupBy("metric", "lkey", "t").agg(F.percentile(F.abs(F.col("value") - F.col("m")), 0.5).alias("v"))
     return _vector(g, F.col("v"))
 
 
@@ -295,7 +298,7 @@ def anchored(raw: DataFrame, function: str, grid: Grid, width: int, offset: int
     key = ["metric", "lkey", "_chunk", "t"]
     reset, changed = _reset(), F.coalesce(F.col("value") != F.col("prev"), F.lit(False))
     g = held.groupBy(*key).agg(
-        F.first("labels").alias("labels"), F.max(F.when(~F.col("inside"), F.col("x")))["value"].alias("before"), F.min(F.when(F.col("inside"), F.col("x")))["value"].alias("first"),
+        F.max(F.when(~F.col("inside"), F.col("x")))["value"].alias("before"), F.min(F.when(F.col("inside"), F.col("x")))["value"].alias("first"),
         F.max("x")["value"].alias("last"), F.count(F.when(F.col("inside"), 1)).alias("n"),
         F.sum(F.when(F.col("inside"), reset)).alias("resets"), F.min_by(F.when(F.col("inside"), reset), F.when(F.col("inside"), F.col("ts_ms"))).alias("first_reset"),
         F.sum(F.when(F.col("inside"), changed.cast("int"))).alias("changed"), F.min_by(F.when(F.col("inside"), changed.cast("int")), F.when(F.col("inside"), F.col("ts_ms"))).alias("first_changed"),
@@ -311,7 +314,7 @@ def anchored(raw: DataFrame, function: str, grid: Grid, width: int, offset: int
 def smoothed(raw: DataFrame, function: str, grid: Grid, width: int, offset: int = 0, lookback: int = LOOKBACK_MS) -> DataFrame:
     """delta, increase or rate between values interpolated at both edges of the window."""
     spread = expand(raw, grid, width + 2 * lookback, offset - lookback).withColumn("ts_ms", F.col("ts_ms") + lookback)
-    g = spread.groupBy("metric", "lkey", "t").agg(F.first("labels").alias("labels"), F.array_sort(F.collect_list(F.struct("ts_ms", "value"))).alias("w"))
+    g = spread.groupBy("metric", "lkey", "t").agg(F.array_sort(F.collect_list(F.struct("ts_ms", "value"))).alias("w"))
     counter = function != "delta"
 
     def edge(x: Column) -> Column:
