@@ -311,9 +311,9 @@ def _(spark, d):
     return _flat(V.round_to(V.clamp(_v(spark, d), 20, 300), 0.5))
 
 
-@_query("promql_calendar", _ctes("SELECT t, f AS field, round(y::DOUBLE, 6) AS value FROM (SELECT t, unnest(['year', 'month', 'day_of_month', 'day_of_week', 'day_of_year', 'days_in_month', 'hour', 'minute']) AS f, unnest([year(ts), month(ts), day(ts), dayofweek(ts), dayofyear(ts), day(last_day(ts)), hour(ts), minute(ts)]) AS y FROM (SELECT t, make_timestamp(t * 1000) AS ts FROM grid))"))
+@_query("promql_calendar", _ctes("SELECT t, f AS field, round(y::DOUBLE, 6) AS value FROM (SELECT t, unnest(['year', 'month', 'day_of_month', 'day_of_week', 'day_of_year', 'days_in_month', 'hour', 'minute']) AS f, unnest([year(ts), month(ts), day(ts), dayofweek(ts), dayofyear(ts), day(last_day(ts)), hour(ts), minute(ts)]) AS y FROM (SELECT DISTINCT t, make_timestamp(t * 1000) AS ts FROM latest))", _V, views=("gauges",)))
 def _(spark, d):
-    steps = V.vector(V.time(GRID, spark).join(S.gauges(spark, d).select("metric").limit(1), how="cross").select("t", "value"))
+    steps = V.timestamp(V.aggregate(_v(spark, d), "count"))
     rows = None
     for field in ("year", "month", "day_of_month", "day_of_week", "day_of_year", "days_in_month", "hour", "minute"):
         one = _flat(V.calendar(steps, field), ()).withColumn("field", F.lit(field))
