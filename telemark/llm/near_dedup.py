@@ -291,6 +291,8 @@ def links(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     alone = joined.join(parts.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("whole").alias("component"))
     parts = parts.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component")).unionByName(alone)
 
+    for name in ("crowded", "members", "pairs", "texts", "tried", "placed", "mixed", "sets"):  # all that reads them is written
+        scratch.drop(name)
     of_class = classes.join(parts, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
     out = rows.select("doc_id", "text_key", "n_shingles", "set_a", "set_b").join(of_class, ["set_a", "set_b"], "left")
     linked = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))

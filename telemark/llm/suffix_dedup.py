@@ -343,6 +343,8 @@ def repeated_windows(texts: DataFrame, scratch: Scratch, length: int, anchor: in
     solved = cool.mapInArrow(_repeats(length, anchor, collection, segment), "anchor long, body long, runs array<struct<lo:int,hi:int>>")
     runs = alone.unionByName(every).unionByName(solved).unionByName(_by_window(content.join(hot, "anchor", "left_semi"), length))
     runs = scratch.write(runs.where(F.size("runs") > 0), "runs")
+    for name in ("often", "bodies"):  # all that reads them is written
+        scratch.drop(name)
     each = seeds.join(runs, ["anchor", "body"]).select("doc_id", "text_key", "first", F.explode("runs").alias("r"))
     return each.select("doc_id", "text_key", (F.col("first") + F.col("r.lo")).alias("lo"), (F.col("first") + F.col("r.hi")).alias("hi"))
 
