@@ -22,7 +22,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,10 +34,26 @@ from pyspark.sql import functions as F
 SIZE = 4096
 END_ID = 2
 MOST_OPEN = 4096
-CACHE_WORDS = 300_000
+CACHE_WORDS = 700_000
 SLICE = 1 << 20
 
-_PLAIN = re.compile(r"([a-z]+)([.,;:!?%&$#*]*)")
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[97:123] = True
+_MARK[list(b".,;:!?%&$#*")] = True
+
+
+def _words(text: str) -> list[bytes]:
+    """Lower-cased words; between a letter and a mark the tokenizer parts words anyway, and a space there leaves fewer different ones."""
+    data = text.encode().lower()
+    a = np.frombuffer(data, np.uint8)
+    at = np.flatnonzero(_MARK[a[1:]] & _LETTER[a[:-1]]) + 1
+    if len(at):
+        old = np.ones(len(a) + len(at), bool)
+        old[at + np.arange(len(at))] = False
+        out = np.full(len(old), 32, np.uint8)
+        out[old] = a
+        data = out.tobytes()
+    return data.split()
 
 
 class WordIds:
@@ -51,60 +66,56 @@ class WordIds:
         vocab = self._tokenizer.get_vocab()
         self._ends = np.zeros(max(vocab.values()) + 1, bool)
         self._ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self._new: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
+        self._new: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
         self._most = most
 
-    def _encode(self, words: list[str]) -> dict[str, bytes]:
-        """Of words that aren't cached: letters at once, joined by spaces and parted at the word ends; others one by one."""
-        letters = [w for w in words if w.isascii() and w.isalpha()]
-        ids = np.array(self._tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, np.uint32)
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self._tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, missing: set[bytes]) -> None:
+        """Words of letters are encoded at once, joined by spaces and parted at the word ends; others one by one."""
+        new = self._new
+        if self._old:
+            new.update((w, v) for w in missing if (v := self._old.get(w)) is not None)
+            missing = missing - new.keys()
+        words = [(w, w.decode()) for w in missing]
+        letters = [x for x in words if x[1].isalpha()]
+        ids = np.array(self._tokenizer.encode(" ".join([x for _, x in letters]), add_special_tokens=False).ids, np.uint32)
         ends = np.flatnonzero(self._ends[ids]) + 1 if len(ids) else np.zeros(0, np.int64)
-        out = {}
         if len(ends) == len(letters):
             data, at = ids.tobytes(), 0
-            for w, e in zip(letters, (ends * 4).tolist(), strict=True):
-                out[w] = data[at:e]
+            for (w, _), e in zip(letters, (ends * 4).tolist(), strict=True):
+                new[w] = data[at:e]
                 at = e
-        rest = [w for w in words if w not in out]
-        for w, e in zip(rest, self._tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            out[w] = np.array(e.ids, np.uint32).tobytes()
-        return out
+            words = [x for x in words if x[0] not in new]
+        new.update(zip([w for w, _ in words], self._encode([x for _, x in words]), strict=True))
 
-    def _learn(self, missing: set[str]) -> None:
-        cut, parts = {}, set()
-        for w in missing:
-            if (known := self._old.get(w)) is not None:
-                self._new[w] = known
-            elif w.isascii() and (m := _PLAIN.fullmatch(w.lower())):
-                cut[w] = m.groups()
-                parts.update(x for x in m.groups() if x)
-            else:
-                cut[w] = (w,)
-                parts.add(w)
-        known = {x: v for x in parts if (v := self._new.get(x, self._old.get(x))) is not None}
-        known |= self._encode([x for x in parts if x not in known])
-        for w, xs in cut.items():
-            self._new[w] = b"".join(known[x] for x in xs if x)
-
-    def of(self, texts: list[str | None]) -> list[bytes]:
+    def of(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        lists = []
-        for text in texts:
-            lists.append((text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
         if len(self._new) > self._most:
             self._old, self._new = self._new, {}
-        missing = set().union(*lists) - self._new.keys() if lists else set()
+        # the markers of special tokens count before letters are lower-cased
+        special = [i for i, t in enumerate(texts) if "<|" in t]
+        get = self._new.get
+        lists = [_words(t) if "<|" not in t else [] for t in texts]
+        found = [list(map(get, words)) for words in lists]
+        holes = [i for i, ids in enumerate(found) if None in ids]
+        missing = {w for i in holes for w, ids in zip(lists[i], found[i], strict=True) if ids is None}
         if missing:
             self._learn(missing)
-        get = self._new.__getitem__
-        return [b"".join(map(get, words)) for words in lists]
+        for i in holes:
+            found[i] = [get(w) if ids is None else ids for w, ids in zip(lists[i], found[i], strict=True)]
+        out = [b"".join(ids) for ids in found]
+        for i, ids in zip(special, self._encode([texts[i] for i in special]), strict=True):
+            out[i] = ids
+        return out
 
 
-def _slices(text: str | None) -> list[str]:
+def _slices(text: str) -> list[str]:
     """A long text cut at spaces, so that its list of words stays small."""
-    if text is None or len(text) <= SLICE:
-        return [text or ""]
+    if len(text) <= SLICE or "<|" in text:
+        return [text]
     out, at = [], 0
     while at < len(text):
         end = text.find(" ", at + SLICE)
@@ -128,7 +139,7 @@ def token_ids(path: str, texts: list[str | None]) -> list[np.ndarray]:
         while end < len(texts) and (size < SLICE or end == at):
             size += len(texts[end] or "")
             end += 1
-        part = [_slices(t) for t in texts[at:end]]
+        part = [_slices(t or "") for t in texts[at:end]]
         if all(len(p) == 1 for p in part):
             found = words.of([p[0] for p in part])
         else:
