@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from telemark.functions import ieee
-from telemark.model import VECTOR, drop_labels, keep_labels, label, label_key, put_label
+from telemark.model import VECTOR, drop_labels, keep_labels, label, label_key, labels_of, put_label
 from telemark.operators.windows import at_steps, steps_of
 
 CUSTOM = -53
@@ -29,9 +29,9 @@ def _classic(v: DataFrame) -> DataFrame:
     text = label("labels", "le")
     le = F.when(text.isin("+Inf", "Inf", "inf"), F.lit(ieee.INF)).otherwise(text.try_cast("double"))
     rest = drop_labels("labels", ["le"])
-    rows = v.select(rest.alias("labels"), label_key(rest).alias("lkey"), "t", le.alias("le"), "value").where(F.col("le").isNotNull())
-    merged = rows.groupBy("lkey", "t", "le").agg(F.first("labels").alias("labels"), F.sum("value").alias("value"))
-    g = merged.groupBy("lkey", "t").agg(F.first("labels").alias("labels"), F.array_sort(F.collect_list(F.struct("le", "value"))).alias("b"))
+    rows = v.select(label_key(rest).alias("lkey"), "t", le.alias("le"), "value").where(F.col("le").isNotNull())
+    merged = rows.groupBy("lkey", "t", "le").agg(F.sum("value").alias("value"))
+    g = merged.groupBy("lkey", "t").agg(F.array_sort(F.collect_list(F.struct("le", "value"))).alias("b")).withColumn("labels", labels_of("lkey"))
     start = F.array().cast("array<struct<le:double,value:double>>")
     grown = F.aggregate("b", start, lambda acc, x: F.array_append(acc, F.struct(x["le"].alias("le"), F.greatest(x["value"], F.coalesce(F.get(acc, F.size(acc) - 1)["value"], F.lit(0.0))).alias("value"))))
     return g.withColumn("b", grown)
