@@ -75,12 +75,15 @@ def dropped_lines(docs: DataFrame, tree: Tree = Tree()) -> DataFrame:
     kept = tokens.where(F.col("token") != FIELD).join(common, ["leaf", "at", "token"]).groupBy("leaf", "masked_key").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("constant"))
     sized = distinct.select("leaf", "masked_key", F.size(F.split("masked", " ")).alias("size")).join(kept, ["leaf", "masked_key"])
     templates = sized.where(F.size("constant") * 100 >= F.col("size") * tree.constant_percent).select("leaf", "masked_key", F.xxhash64("leaf", F.to_json("constant")).alias("template"))
+    templates = scratch.write(templates, "templates")  # so that the next join reads plain shuffles, and splits a very common line
 
     top = F.lit((1 << 63) - 1)
     placed = scratch.write(seen.select("doc_id", "text_key", "place", "around", "leaf", "masked_key").join(templates, ["leaf", "masked_key"]).withColumn("owner", F.coalesce("doc_id", top)).drop("leaf", "masked_key"), "placed")
     per_document = placed.groupBy("template", "owner").agg(F.min("around").alias("around"))
     per_around = per_document.groupBy("template", "around").agg(F.min("owner").alias("first"))
     recurring = scratch.write(per_around.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first")).where(F.col("n") >= tree.least).select("template", "first"), "recurring")
+    for name in ("leaves", "lines", "tokens", "common", "templates"):  # all that reads them is written
+        scratch.drop(name)
     out = placed.join(recurring, "template")
     return (out.where("owner <> first") if tree.keep_first else out).select("doc_id", "text_key", "place")
 
