@@ -4,11 +4,11 @@ Method: a log-template tree of fixed depth.  Level one is a line's number of tok
 next levels its first `lead` tokens; tokens with a digit are variable from the start.  In a
 leaf a token stays in the template where at least `least` lines have it at that place, and
 any other token becomes a variable field; lines of one leaf with the same template form its
-group.  A template recurs if documents in at least `least` different surroundings (the lines
-before and after) have it and at least `constant_percent` of its tokens are constant, so
-prose that merely shares some frequent words is left alone, and so are copies of whole
-documents, whose lines have the same surroundings.  Of a recurring template the document with
-the smallest doc_id keeps its lines, with keep_first; all other lines of it are dropped.
+group.  A template recurs if at least `least` documents have it, whatever lines stand around
+it, and at least `constant_percent` of its tokens are constant, so prose that merely shares
+some frequent words is left alone.  Copies of a whole text count as one document: they are
+for near_dedup.  Of a recurring template the document with the smallest doc_id keeps its
+lines, with keep_first; all other lines of it are dropped.
 
 Built from DataFrame functions alone.  Leaves with too few lines are left out before any
 token is looked at; equal lines are aggregated before tokens are counted, so a very common
@@ -16,8 +16,11 @@ line is one row with its number; counts are summed up before they are shuffled.
 
 Cases: null text has no lines and stays null; empty and blank lines are never dropped; a
 null doc_id counts as larger than any id; rows that share a doc_id are one document; repeated
-rows are treated alike; a text of one line has empty surroundings; an empty table gives no
-rows; other columns are ignored by report() and kept by clean().
+rows are treated alike; an empty table gives no rows; other columns are ignored by report()
+and kept by clean().
+
+oracle_sql() counts the different lines before and after instead of the documents, so it
+leaves blocks of recurring lines and lines between blank ones that are dropped here.
 """
 
 from __future__ import annotations
@@ -49,14 +52,11 @@ def _tokens(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, tree: Tree) -> DataFrame:
-    """A row for each line that isn't blank: doc_id, text_key, place, line, around, leaf."""
-    cut = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.split("text", "\n").alias("lines"))
-    none = F.lit("")
-    with_around = F.transform("lines", lambda x, i: F.struct(x.alias("line"), F.xxhash64(F.coalesce(F.get("lines", i - 1), none), F.lit("\n"), F.coalesce(F.get("lines", i + 1), none)).alias("around")))
-    each = cut.select("doc_id", "text_key", F.posexplode(with_around).alias("place", "l")).select("doc_id", "text_key", "place", "l.line", "l.around")
+    """A row for each line that isn't blank: doc_id, text_key, place, line, leaf."""
+    each = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
     each = each.where(F.btrim("line", F.lit("\t\x0b\x0c\r ")) != "")
     tokens = _tokens(F.col("line"))
-    lead = [F.coalesce(_masked(F.get(tokens, F.lit(i))), none) for i in range(tree.lead)]
+    lead = [F.coalesce(_masked(F.get(tokens, F.lit(i))), F.lit("")) for i in range(tree.lead)]
     return each.withColumn("leaf", F.xxhash64(F.size(tokens), *lead))
 
 
@@ -66,7 +66,7 @@ def dropped_lines(docs: DataFrame, tree: Tree = Tree()) -> DataFrame:
     lines = _lines(docs, tree)
     full = scratch.write(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= tree.least).select("leaf"), "leaves")
     seen = lines.join(full, "leaf", "left_semi").withColumn("masked", F.array_join(F.transform(_tokens(F.col("line")), _masked), " "))
-    seen = scratch.write(seen.select("doc_id", "text_key", "place", "around", "leaf", "masked", F.xxhash64("masked").alias("masked_key")), "lines")
+    seen = scratch.write(seen.select("doc_id", "text_key", "place", "leaf", "masked", F.xxhash64("masked").alias("masked_key")), "lines")
 
     distinct = seen.groupBy("leaf", "masked_key").agg(F.count(F.lit(1)).alias("n"), F.min("masked").alias("masked"))
     tokens = scratch.write(distinct.select("leaf", "masked_key", "n", F.posexplode(F.split("masked", " ")).alias("at", "token")), "tokens")
@@ -78,10 +78,10 @@ def dropped_lines(docs: DataFrame, tree: Tree = Tree()) -> DataFrame:
     templates = scratch.write(templates, "templates")  # so that the next join reads plain shuffles, and splits a very common line
 
     top = F.lit((1 << 63) - 1)
-    placed = scratch.write(seen.select("doc_id", "text_key", "place", "around", "leaf", "masked_key").join(templates, ["leaf", "masked_key"]).withColumn("owner", F.coalesce("doc_id", top)).drop("leaf", "masked_key"), "placed")
-    per_document = placed.groupBy("template", "owner").agg(F.min("around").alias("around"))
-    per_around = per_document.groupBy("template", "around").agg(F.min("owner").alias("first"))
-    recurring = scratch.write(per_around.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first")).where(F.col("n") >= tree.least).select("template", "first"), "recurring")
+    placed = scratch.write(seen.select("doc_id", "text_key", "place", "leaf", "masked_key").join(templates, ["leaf", "masked_key"]).withColumn("owner", F.coalesce("doc_id", top)).drop("leaf", "masked_key"), "placed")
+    per_document = placed.select("template", "owner", "text_key").distinct().groupBy("template", "owner").agg(F.bit_xor(F.xxhash64("text_key")).alias("texts"))
+    per_text = per_document.groupBy("template", "texts").agg(F.min("owner").alias("first"))  # copies of a whole text are one
+    recurring = scratch.write(per_text.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first")).where(F.col("n") >= tree.least).select("template", "first"), "recurring")
     for name in ("leaves", "lines", "tokens", "common", "templates"):  # all that reads them is written
         scratch.drop(name)
     out = placed.join(recurring, "template")
