@@ -4,18 +4,29 @@ Method: for every participant the dialogue is rendered with that speaker as the
 and all others as named users; the mask marks what the assistant says, end marker included,
 as the text to learn from.
 
-A dialogue is rendered in sections: part k holds the turns numbered k * most_turns up to the
+whole() and report_whole() render a conversation as one dialogue up to `most_chars`
+characters, far above ordinary ones.  A longer one is cut by position: a turn is in the
+section in which its first character falls, and the turns that reach into the last quarter
+before a section are carried into it as context, which the mask leaves out.  A section is
+rendered for the speakers of its own turns, so every turn is learnt exactly once.
+
+rotate() and report() render in sections of few turns: part k holds the turns numbered k * most_turns up to the
 next part, and a part in which turn numbers repeat is cut into sections of most_turns turns.
 A section is rendered for the speakers that it holds; one without a speaker's turns has
 nothing to learn for that speaker.  So every turn is the assistant's exactly once, and no row
-holds more than most_turns turns, however long a conversation is.  Turns of the same number
-follow the digests of their speaker and text; counts by digest prefix give each turn its
-place, so that no task sorts more than the turns of one number and prefix.
+holds more than most_turns turns, however long a conversation is.
+
+Turns of the same number follow the digests of their speaker and text; counts (or sizes) by
+digest prefix give each turn its place, so that no task sorts more than the turns of one
+number and prefix, or the totals of blocks of turn numbers of one conversation.
+
+oracle_sql() is report(), in sections; report_whole() agrees with it on conversations of
+64 turns at most that are numbered within one part 0 and have no null turns.
 
 Built from DataFrame functions alone.
 
 Cases: a null conv_id is a conversation of its own; a null turn comes after all others in a
-part of its own; a null or blank role is `unknown`; null text is empty; repeated rows are
+part of its own (in whole(): last); a null or blank role is `unknown`; null text is empty; repeated rows are
 turns of their own; `<|` in a text is written `< |`, and names lose the characters of the
 markers, so no text can forge a turn; an empty table gives no rows; other columns are ignored.
 """
@@ -27,19 +38,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 MOST_TURNS = 64
+MOST_CHARS = 1_000_000
 END = "<|end|>"
 _LAST = (1 << 63) - 1
 
 
-def _turns(conversations: DataFrame, most_turns: int) -> DataFrame:
-    """conv_id, part, section, at, name, body."""
+def _named(conversations: DataFrame, block: int) -> DataFrame:
+    """conv_id, turn, name, body, part (blocks of turn numbers), digest, prefix."""
     name = F.btrim(F.translate(F.coalesce(F.col("role"), F.lit("")), "<|>\n\r\t", "      "))
     rows = conversations.select(
         "conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(_LAST)).alias("turn"),
         F.when(name == "", "unknown").otherwise(name).alias("name"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("body"),
     )
-    part = F.expr(f"(turn - pmod(turn, {most_turns}L)) div {most_turns}L")
-    rows = rows.withColumns({"part": part, "digest": F.md5(F.concat_ws("\x01", "name", "body"))}).withColumn("prefix", F.substring("digest", 1, 2))
+    part = F.expr(f"(turn - pmod(turn, {block}L)) div {block}L")
+    return rows.withColumns({"part": part, "digest": F.md5(F.concat_ws("\x01", "name", "body"))}).withColumn("prefix", F.substring("digest", 1, 2))
+
+
+def _turns(conversations: DataFrame, most_turns: int) -> DataFrame:
+    """conv_id, part, section, at, name, body."""
+    rows = _named(conversations, most_turns)
     before = Window.partitionBy("conv_id", "part").orderBy("turn", "prefix")
     counts = rows.groupBy("conv_id", "part", "turn", "prefix").agg(F.count(F.lit(1)).alias("n")).withColumn("first", F.sum("n").over(before) - F.col("n")).drop("n")
     inside = Window.partitionBy("conv_id", "part", "turn", "prefix").orderBy("digest")
@@ -50,6 +67,23 @@ def _turns(conversations: DataFrame, most_turns: int) -> DataFrame:
     return joined.select("conv_id", "part", F.expr(f"(first + inside - 1) div {most_turns}L").alias("section"), at.alias("at"), "name", "body")
 
 
+def _placed(conversations: DataFrame) -> DataFrame:
+    """conv_id, at (characters of the conversation before the turn), size, name, body."""
+    size = F.length("name") + F.length("body") + len("<|user |>\n" + END + "\n")
+    rows = _named(conversations, MOST_TURNS).withColumn("size", size.cast("long"))
+    group = ("conv_id", "part", "turn", "prefix")
+    sizes = rows.groupBy(*group).agg(F.sum("size").alias("size"))
+    blocks = sizes.groupBy("conv_id", "part").agg(F.sum("size").alias("size"))
+    blocks = blocks.select(F.col("conv_id").alias("b_conv_id"), F.col("part").alias("b_part"), (F.sum("size").over(Window.partitionBy("conv_id").orderBy("part")) - F.col("size")).alias("ahead"))
+    sizes = sizes.join(blocks, F.col("conv_id").eqNullSafe(F.col("b_conv_id")) & (F.col("part") == F.col("b_part")))
+    before = Window.partitionBy("conv_id", "part").orderBy("turn", "prefix")
+    c = sizes.select(*(F.col(x).alias(f"c_{x}") for x in group), (F.col("ahead") + F.sum("size").over(before) - F.col("size")).alias("first"))
+    inside = Window.partitionBy(*group).orderBy("digest").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = rows.withColumn("inside", F.sum("size").over(inside) - F.col("size"))
+    joined = ranked.join(c, F.col("conv_id").eqNullSafe(F.col("c_conv_id")) & (F.col("part") == F.col("c_part")) & (F.col("turn") == F.col("c_turn")) & (F.col("prefix") == F.col("c_prefix")))
+    return joined.select("conv_id", (F.col("first") + F.col("inside")).alias("at"), "size", "name", "body")
+
+
 def _opening(name: Column, speaker: Column) -> Column:
     return F.when(name == speaker, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user "), name, F.lit("|>\n")))
 
@@ -58,7 +92,24 @@ def rotate(conversations: DataFrame, most_turns: int = MOST_TURNS) -> DataFrame:
     """conv_id, part, section, speaker, n_turns, text, mask (array of start, end in characters)."""
     turns = _turns(conversations, most_turns)
     sections = turns.groupBy("conv_id", "part", "section").agg(F.array_sort(F.collect_list(F.struct("at", "name", "body"))).alias("turns"))
-    spoken = sections.withColumn("speaker", F.explode(F.array_sort(F.array_distinct(F.transform("turns", lambda t: t["name"])))))
+    return _rendered(sections.withColumn("turns", F.transform("turns", lambda t: t.withField("own", F.lit(True)))))
+
+
+def whole(conversations: DataFrame, most_chars: int = MOST_CHARS) -> DataFrame:
+    """rotate()'s columns, part being 0: one row for a speaker of a conversation of up to most_chars characters; n_turns counts carried turns too."""
+    turns = _placed(conversations)
+    section = F.expr(f"at div {most_chars}L")
+    later = F.greatest(section + 1, F.expr(f"(at + size) div {most_chars}L"))
+    carried = F.col("at") + F.col("size") > later * most_chars - most_chars // 4
+    own, context = F.struct(section.alias("section"), F.lit(True).alias("own")), F.struct(later.alias("section"), F.lit(False).alias("own"))
+    placed = turns.withColumn("p", F.explode(F.when(carried, F.array(own, context)).otherwise(F.array(own))))
+    sections = placed.groupBy("conv_id", F.col("p.section").alias("section")).agg(F.array_sort(F.collect_list(F.struct("at", "name", "body", F.col("p.own").alias("own")))).alias("turns"))
+    return _rendered(sections.withColumn("part", F.lit(0).cast("long")))
+
+
+def _rendered(sections: DataFrame) -> DataFrame:
+    """A row for each speaker of the section's own turns."""
+    spoken = sections.withColumn("speaker", F.explode(F.array_sort(F.array_distinct(F.transform(F.filter("turns", lambda t: t["own"]), lambda t: t["name"])))))
     speaker = F.col("speaker")
     text = F.array_join(F.transform("turns", lambda t: F.concat(_opening(t["name"], speaker), t["body"], F.lit(END + "\n"))), "")
     spans = F.array().cast("array<struct<start:bigint,end:bigint>>")
@@ -68,7 +119,7 @@ def rotate(conversations: DataFrame, most_turns: int = MOST_TURNS) -> DataFrame:
         begin = acc["to"] + F.length(_opening(t["name"], speaker))
         end = begin + F.length(t["body"]) + len(END)
         span = F.struct(begin.cast("long").alias("start"), end.cast("long").alias("end"))
-        return F.struct((end + 1).cast("long").alias("to"), F.when(t["name"] == speaker, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+        return F.struct((end + 1).cast("long").alias("to"), F.when(t["own"] & (t["name"] == speaker), F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
     mask = F.aggregate("turns", start, step, lambda acc: acc["spans"])
     return spoken.select("conv_id", "part", "section", "speaker", F.size("turns").cast("long").alias("n_turns"), text.alias("text"), mask.alias("mask"))
@@ -76,7 +127,15 @@ def rotate(conversations: DataFrame, most_turns: int = MOST_TURNS) -> DataFrame:
 
 def report(conversations: DataFrame, most_turns: int = MOST_TURNS) -> DataFrame:
     """rotate() with the mask written as start-end pairs and its number of characters."""
-    out = rotate(conversations, most_turns)
+    return _written(rotate(conversations, most_turns))
+
+
+def report_whole(conversations: DataFrame, most_chars: int = MOST_CHARS) -> DataFrame:
+    """whole() written as in report()."""
+    return _written(whole(conversations, most_chars))
+
+
+def _written(out: DataFrame) -> DataFrame:
     spans = F.array_join(F.transform("mask", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
     chars = F.aggregate("mask", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return out.select("conv_id", "part", "section", "speaker", "n_turns", "text", spans.alias("mask"), chars.alias("n_masked"))

@@ -47,7 +47,7 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.report(read(spark, sf_dir, "conversations"))
+    return chat.report_whole(read(spark, sf_dir, "conversations"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

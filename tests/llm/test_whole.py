@@ -1,6 +1,10 @@
 """Cases in which an operator once did less than the whole job."""
 
-from telemark.llm import line_dedup
+import random
+
+import pytest
+
+from telemark.llm import chat, line_dedup, queries
 
 
 def test_lines_recur_by_documents(spark):
@@ -29,3 +33,47 @@ def test_lines_of_one_id_count_once(spark):
     assert {r["n_dropped"] for r in line_dedup.report(df).collect()} == {0}
     more = df.unionByName(spark.createDataFrame([(9, "a notice that stands here\nz")], df.schema))
     assert {(r["doc_id"], r["n_dropped"]) for r in line_dedup.report(more).collect()} == {(1, 0), (2, 1), (3, 1), (4, 1), (9, 1)}
+
+
+def rendered(turns, most_chars):
+    """By plain Python: speaker, text and masked spans of each section of (name, body) turns."""
+    placed, at = [], 0
+    for name, body in turns:
+        placed.append((at, at + len(name) + len(body) + 18, name, body))
+        at = placed[-1][1]
+    out = []
+    for section in sorted({a // most_chars for a, *_ in placed}):
+        last = max((a // most_chars for a, *_ in placed if a // most_chars < section), default=-1)
+        held = [(a // most_chars == section, name, body) for a, end, name, body in placed if a // most_chars == section or (a // most_chars == last and end > section * most_chars - most_chars // 4)]
+        for speaker in {name for own, name, _ in held if own}:
+            text, mask = "", []
+            for own, name, body in held:
+                text += "<|assistant|>\n" if name == speaker else f"<|user {name}|>\n"
+                if own and name == speaker:
+                    mask.append((len(text), len(text + body + chat.END)))
+                text += body + chat.END + "\n"
+            out.append((section, speaker, len(held), text, tuple(mask)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("most_chars", [chat.MOST_CHARS, 400])
+def test_chat_renders_whole_conversations(spark, most_chars):
+    rng = random.Random(8)
+    sizes = {1: (0, 100), 2: (60, 11), 3: (-70, 140), None: (5, 70)}
+    talks = {c: [(rng.choice(["ann", "bob", "cy"]), f"{k} " + "é" * rng.choice([1, 30, 90])) for k in range(n)] for c, (_, n) in sizes.items()}
+    talks[3][50] = ("dee", "long " * 500)
+    rows = [(c, sizes[c][0] + k, *t) for c, turns in talks.items() for k, t in enumerate(turns)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    found = chat.whole(df, most_chars).collect()
+    for c, turns in talks.items():
+        got = [(r["section"], r["speaker"], r["n_turns"], r["text"], tuple((m["start"], m["end"]) for m in r["mask"])) for r in found if r["conv_id"] == c]
+        assert sorted(got) == rendered(turns, most_chars)
+        assert sum(len(r[4]) for r in got) == len(turns)
+
+
+def test_chat_query_renders_long_conversations_whole(spark, tmp_path):
+    rows = [(1, k, "ab"[k % 2], f"turn {k}") for k in range(100)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    out = queries.op9_chat(spark, str(tmp_path)).collect()
+    assert sorted((r["speaker"], r["n_turns"]) for r in out) == [("a", 100), ("b", 100)]
