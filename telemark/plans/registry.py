@@ -1,4 +1,8 @@
-"""All registered queries of the library with their SQL over the same tables."""
+"""All registered queries of the library with their SQL over the same tables.
+
+A query that takes a range of time is there twice: NAME over a fixed range within the given
+tables, and NAME_whole over all rows, from the tables' own first day to their last.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +10,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from telemark.plans import promql, structured
+from telemark.plans import promql, ranges, structured
 
 FLAGSHIP = "promql_sum_rate"
 _MODULES = (promql, structured)
+_FIXED, _WHOLE = ([m.build(*r) for m in _MODULES] for r in (ranges.FIXED, ranges.WHOLE_SQL))
+#: Counts of the last hour, day and week: their ranges are the request.
+_RELATIVE = {"overview"}
+
+
+def _ranged() -> list[tuple[int, str]]:
+    """Place of the module and name of each query that takes a range."""
+    pairs = enumerate(zip(_FIXED, _WHOLE, strict=True))
+    return [(i, n) for i, ((queries_, sql), (_, whole)) in pairs for n in queries_ if n not in _RELATIVE and (n not in sql or sql[n] != whole[n])]
+
+
+def _over_all(i: int, name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: _MODULES[i].build(*ranges.whole(spark, sf_dir))[0][name](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for m in _MODULES for name, f in m.queries().items()}
+    return {name: f for q, _ in _FIXED for name, f in q.items()} | {f"{n}_whole": _over_all(i, n) for i, n in _ranged()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in _MODULES for name, sql in m.oracle_sql().items()}
+    return {name: s for _, sql in _FIXED for name, s in sql.items()} | {f"{n}_whole": _WHOLE[i][1][n] for i, n in _ranged() if n in _WHOLE[i][1]}
