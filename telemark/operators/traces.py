@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from telemark.model import attr_num, attr_str, has_attr
 from telemark.operators.metrics import aggregate_column
+from telemark.tables import Scratch
 
 RESOLUTION_NS = {"SECONDLY": 10**9, "MINUTELY": 60 * 10**9, "HOURLY": 3600 * 10**9}
 OPERATIONS = 20
@@ -125,11 +126,12 @@ def services(spans: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
     return spans.where((F.col("ts_start_ns") >= start_ns) & (F.col("ts_start_ns") < end_ns)).select("service_name").distinct().orderBy("service_name")
 
 
-def flame_graph(spans: DataFrame, max_depth: int = 64) -> DataFrame:
+def flame_graph(spans: DataFrame) -> DataFrame:
     """trace_id, span_id, parent_span_id, depth, offset_ns, duration_ns, place among its siblings.
 
     A span whose parent is missing is a root; of spans with one id the last one counts.
-    Each level is one join of the spans with the level above, until a level is empty.
+    The jump towards the root doubles in each join until all spans are at it, however deep
+    they are; parents that form a cycle raise an error.
     """
     last = Window.partitionBy("trace_id", "span_id").orderBy(F.desc("ts_start_ns"), F.desc("ts_end_ns"))
     rows = spans.withColumn("_n", F.row_number().over(last)).where("_n = 1").select("trace_id", "span_id", "parent_span_id", "ts_start_ns", "ts_end_ns")
@@ -138,11 +140,18 @@ def flame_graph(spans: DataFrame, max_depth: int = 64) -> DataFrame:
     begin = Window.partitionBy("trace_id")
     siblings = Window.partitionBy("trace_id", "_parent").orderBy("ts_start_ns", "span_id")
     placed = known.withColumns({"offset_ns": F.col("ts_start_ns") - F.min("ts_start_ns").over(begin), "duration_ns": F.greatest(F.lit(0).cast("long"), F.col("ts_end_ns") - F.col("ts_start_ns")), "place": F.row_number().over(siblings)})
+    scratch = Scratch(spans.sparkSession, "flames")
+    placed = scratch.write(placed, "placed")
     # the path to the root is found for all spans at once: each round doubles the length of the jump
     up = placed.select("trace_id", "span_id", F.col("_parent").alias("up"), F.when(F.col("_parent").isNull(), 0).otherwise(1).alias("depth"))
-    jump = 1
-    while jump < max_depth:
+    up, k, most = scratch.write(up, "up-0"), 0, None
+    while not up.where("up IS NOT NULL").isEmpty():
+        most = most or placed.groupBy("trace_id").count().agg(F.max("count")).first()[0]
+        if 2**k >= most:
+            raise ValueError("the parents of some spans form a cycle")
         above = up.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"), F.col("up").alias("_up"), F.col("depth").alias("_d"))
-        up = up.join(above, (F.col("trace_id") == F.col("_t")) & (F.col("up") == F.col("_s")), "left").select("trace_id", "span_id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"))
-        jump *= 2
+        longer = up.join(above, (F.col("trace_id") == F.col("_t")) & (F.col("up") == F.col("_s")), "left").select("trace_id", "span_id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"))
+        k += 1
+        up = scratch.write(longer, f"up-{k}")
+        scratch.drop(f"up-{k - 1}")
     return placed.join(up.select("trace_id", "span_id", "depth"), ["trace_id", "span_id"]).select("trace_id", "span_id", "parent_span_id", "depth", "offset_ns", "duration_ns", "place")

@@ -358,6 +358,6 @@ def build(events: tuple, lines: tuple) -> tuple[dict, dict[str, str]]:
 
     @_query("flame_graph", with_views("SELECT trace_id, span_id, parent_span_id, CASE WHEN parent_span_id = '' THEN 0 ELSE 1 END AS depth, ts_start_ns - min(ts_start_ns) OVER (PARTITION BY trace_id) AS offset_ns, greatest(0, ts_end_ns - ts_start_ns) AS duration_ns, row_number() OVER (PARTITION BY trace_id, parent_span_id ORDER BY ts_start_ns, span_id) AS place FROM spans", "spans"))
     def _(spark, d):
-        return T.flame_graph(_spans(spark, d), max_depth=4)
+        return T.flame_graph(_spans(spark, d))
 
     return _QUERIES, _SQL
