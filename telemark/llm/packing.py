@@ -13,7 +13,9 @@ at most `most_open` sequences whatever its number of rows.
 
 Tokens are those of the tokenizer file for the whole text, without special tokens added,
 then `end_id`.  As that tokenizer drops white space and never joins across it, words are
-looked up in a cache of bounded size, and only new ones are encoded.
+looked up in a table of at most `TABLE_WORDS` words, and only new ones are encoded.  The
+table is a few flat arrays (about 40 bytes a word, kept by the Python worker for its next
+task) and knows a word by a hash of 64 bits; when it is full it starts anew.
 
 Cases: null and empty texts are the end token alone; doc_id may be null or repeat, each row
 is packed for itself; a text of any length is cut; an empty table gives no rows; other
@@ -31,122 +33,178 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from telemark.llm import _text as K
+
 SIZE = 4096
 END_ID = 2
 MOST_OPEN = 4096
-CACHE_WORDS = 700_000
+TABLE_WORDS = 1_200_000
 SLICE = 1 << 20
+#: Token ids of one batch of rows on their way back to Spark.
+FLUSH_IDS = 1 << 20
 
 _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[97:123] = True
 _MARK[list(b".,;:!?%&$#*")] = True
 
 
-def _words(text: str) -> list[bytes]:
-    """Lower-cased words; between a letter and a mark the tokenizer parts words anyway, and a space there leaves fewer different ones."""
-    data = text.encode().lower()
-    a = np.frombuffer(data, np.uint8)
-    at = np.flatnonzero(_MARK[a[1:]] & _LETTER[a[:-1]]) + 1
-    if len(at):
-        old = np.ones(len(a) + len(at), bool)
-        old[at + np.arange(len(at))] = False
-        out = np.full(len(old), 32, np.uint8)
-        out[old] = a
-        data = out.tobytes()
-    return data.split()
+class WordTable:
+    """Hashes of words to their token ids, in flat arrays of bounded size."""
+
+    def __init__(self, most: int, kind: type):
+        self.most = most
+        self._bits = max(4, (3 * most // 2).bit_length())  # at most two thirds full
+        self._keys = np.zeros(1 << self._bits, np.uint64)
+        self._entry = np.zeros(1 << self._bits, np.int32)
+        self._start = np.zeros(most + 1, np.int64)
+        self._ids = np.zeros(1 << 16, kind)
+        self.words = 0
+
+    def clear(self) -> None:
+        self._keys[:] = 0
+        self.words = 0
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(64 - self._bits)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The entry of each hash; -1 where it isn't known."""
+        out = np.full(len(hashes), -1, np.int64)
+        slot, left = self._slot(hashes), np.arange(len(hashes))
+        while len(left):
+            keys = self._keys[slot]
+            hit = keys == hashes
+            out[left[hit]] = self._entry[slot[hit]]
+            on = np.flatnonzero(~hit & (keys != 0))
+            left, hashes, slot = left[on], hashes[on], (slot[on] + 1) & (len(self._keys) - 1)
+        return out
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Different hashes, none of them known."""
+        first, total = self.words, int(self._start[self.words])
+        ends = total + np.cumsum(sizes)
+        if len(hashes):
+            while ends[-1] > len(self._ids):
+                self._ids = np.concatenate((self._ids, np.zeros_like(self._ids)))
+            self._ids[total : ends[-1]] = ids
+            self._start[first + 1 : first + 1 + len(hashes)] = ends
+        self.words += len(hashes)
+        entry, slot = np.arange(first, self.words, dtype=np.int32), self._slot(hashes)
+        while len(hashes):
+            free = np.flatnonzero(self._keys[slot] == 0)
+            self._keys[slot[free]] = hashes[free]  # of several for one slot, one stays
+            mine = self._keys[slot] == hashes
+            self._entry[slot[mine]] = entry[mine]
+            hashes, entry, slot = hashes[~mine], entry[~mine], (slot[~mine] + 1) & (len(self._keys) - 1)
+
+    def ids_of(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the entries one after another, and where each entry's begin."""
+        first = self._start[entries]
+        sizes = self._start[entries + 1] - first
+        begins = np.concatenate(([0], np.cumsum(sizes)))
+        return self._ids[np.repeat(first - begins[:-1], sizes) + np.arange(begins[-1])], begins
 
 
 class WordIds:
-    """Token ids of texts by white-space separated words, with two generations of cached words."""
+    """Token ids of blocks of texts, by words."""
 
-    def __init__(self, path: str, most: int = CACHE_WORDS):
+    def __init__(self, path: str, most: int = TABLE_WORDS):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._special = [t.content.encode() for t in self._tokenizer.get_added_tokens_decoder().values()]
         vocab = self._tokenizer.get_vocab()
         self._ends = np.zeros(max(vocab.values()) + 1, bool)
         self._ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self._new: dict[bytes, bytes] = {}
-        self._old: dict[bytes, bytes] = {}
-        self._most = most
+        self.table = WordTable(most, np.uint16 if len(self._ends) <= 1 << 16 else np.uint32)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self._tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
 
-    def _learn(self, missing: set[bytes]) -> None:
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         """Words of letters are encoded at once, joined by spaces and parted at the word ends; others one by one."""
-        new = self._new
-        if self._old:
-            new.update((w, v) for w in missing if (v := self._old.get(w)) is not None)
-            missing = missing - new.keys()
-        words = [(w, w.decode()) for w in missing]
-        letters = [x for x in words if x[1].isalpha()]
-        ids = np.array(self._tokenizer.encode(" ".join([x for _, x in letters]), add_special_tokens=False).ids, np.uint32)
-        ends = np.flatnonzero(self._ends[ids]) + 1 if len(ids) else np.zeros(0, np.int64)
-        if len(ends) == len(letters):
-            data, at = ids.tobytes(), 0
-            for (w, _), e in zip(letters, (ends * 4).tolist(), strict=True):
-                new[w] = data[at:e]
-                at = e
-            words = [x for x in words if x[0] not in new]
-        new.update(zip([w for w, _ in words], self._encode([x for _, x in words]), strict=True))
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        if len(self._new) > self._most:
-            self._old, self._new = self._new, {}
-        # the markers of special tokens count before letters are lower-cased
-        special = [i for i, t in enumerate(texts) if "<|" in t]
-        get = self._new.get
-        lists = [_words(t) if "<|" not in t else [] for t in texts]
-        found = [list(map(get, words)) for words in lists]
-        holes = [i for i, ids in enumerate(found) if None in ids]
-        missing = {w for i in holes for w, ids in zip(lists[i], found[i], strict=True) if ids is None}
-        if missing:
-            self._learn(missing)
-        for i in holes:
-            found[i] = [get(w) if ids is None else ids for w, ids in zip(lists[i], found[i], strict=True)]
-        out = [b"".join(ids) for ids in found]
-        for i, ids in zip(special, self._encode([texts[i] for i in special]), strict=True):
-            out[i] = ids
-        return out
+        letters = np.array([w.isalpha() for w in words], bool)
+        for part in (letters, ~letters):
+            at = np.flatnonzero(part)
+            if not len(at):
+                continue
+            some = [words[i] for i in at.tolist()]
+            if part is letters:
+                ids, _ = self._encoded([" ".join(some)])
+                ends = np.flatnonzero(self._ends[ids]) + 1
+                if len(ends) == len(some):
+                    self.table.add(hashes[at], ids, np.diff(ends, prepend=0))
+                    continue
+            self.table.add(hashes[at], *self._encoded(some))
+
+    def _words(self, data: np.ndarray, offsets: np.ndarray) -> K.Words:
+        """Words between white space, parted between a letter and a mark as well: the tokenizer does so anyway, and there are fewer different ones."""
+        w = K.words(K.Block(0, data, offsets), K.SPACED)
+        parted = np.flatnonzero(_MARK[data[1:]] & _LETTER[data[:-1]]) + 1
+        parted = parted[~np.isin(parted, offsets)] if len(parted) and len(offsets) > 2 else parted
+        starts, ends = np.sort(np.concatenate((w.starts, parted))), np.sort(np.concatenate((w.ends, parted)))
+        return K.Words(starts, ends, np.searchsorted(starts, offsets))
+
+    def _plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts without special tokens, and where each text's begin."""
+        data = K.lower_ascii(data)
+        w = self._words(data, offsets)
+        hashes = K.Roll.of_bytes(data).between(w.starts, w.ends) | np.uint64(1)  # 0 is an empty slot
+        entries = self.table.find(hashes)
+        if (entries < 0).any():
+            missing = np.flatnonzero(entries < 0)
+            new, at = np.unique(hashes[missing], return_index=True)
+            if self.table.words + len(new) > self.table.most:
+                self.table.clear()
+                missing = np.arange(len(hashes))
+                new, at = np.unique(hashes, return_index=True)
+            if len(new) > self.table.most:  # more different words than the table holds
+                return self._whole(data, offsets)
+            at = missing[at]
+            text = data.tobytes()
+            self._learn(new, [text[a:b].decode() for a, b in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)])
+            entries = self.table.find(hashes)
+        ids, begins = self.table.ids_of(entries)
+        return ids.astype(np.uint32), begins[w.offsets]
+
+    def _whole(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        text, cuts = data.tobytes(), offsets.tolist()
+        ids, sizes = self._encoded([text[a:b].decode() for a, b in zip(cuts, cuts[1:], strict=False)])
+        return ids, np.concatenate(([0], np.cumsum(sizes)))
+
+    def of(self, block: K.Block) -> Iterator[np.ndarray]:
+        """The ids of each text of a block."""
+        text = block.data.tobytes()
+        if any(s in text for s in self._special):  # their markers count before letters are lower-cased
+            parts = [(self._whole if any(s in text[a:b] for s in self._special) else self._plain)(block.data[a:b], np.array([0, b - a])) for a, b in zip(block.offsets.tolist(), block.offsets[1:].tolist(), strict=False)]
+            yield from (ids for ids, _ in parts)
+        elif len(block.offsets) == 2 and len(text) > SLICE:
+            yield np.concatenate([self._plain(block.data[a:b], np.array([0, b - a]))[0] for a, b in _slices(text)])
+        else:
+            ids, begins = self._plain(block.data, block.offsets)
+            yield from (ids[a:b] for a, b in zip(begins.tolist(), begins[1:].tolist(), strict=False))
 
 
-def _slices(text: str) -> list[str]:
-    """A long text cut at spaces, so that its list of words stays small."""
-    if len(text) <= SLICE or "<|" in text:
-        return [text]
-    out, at = [], 0
+def _slices(text: bytes) -> Iterator[tuple[int, int]]:
+    """A long text cut at spaces, so that a slice's arrays stay small."""
+    at = 0
     while at < len(text):
-        end = text.find(" ", at + SLICE)
+        end = text.find(b" ", at + SLICE)
         end = len(text) if end < 0 else end
-        out.append(text[at:end])
+        yield at, end
         at = end
-    return out
 
 
-_tokenizers: dict[str, WordIds] = {}
+_known: dict[str, WordIds] = {}
 
 
-def token_ids(path: str, texts: list[str | None]) -> list[np.ndarray]:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordIds(path)
-    words = _tokenizers[path]
-    out = []
-    at = 0
-    while at < len(texts):
-        size, end = 0, at
-        while end < len(texts) and (size < SLICE or end == at):
-            size += len(texts[end] or "")
-            end += 1
-        part = [_slices(t or "") for t in texts[at:end]]
-        if all(len(p) == 1 for p in part):
-            found = words.of([p[0] for p in part])
-        else:
-            found = [b"".join(b for s in p for b in words.of([s])) for p in part]
-        out += [np.frombuffer(x, np.uint32) for x in found]
-        at = end
-    return out
+def token_ids(path: str, texts: pa.Array) -> Iterator[np.ndarray]:
+    """Ids of each text of a column; a null text has none."""
+    if path not in _known:
+        _known[path] = WordIds(path)
+    for block in K.blocks(texts, SLICE):
+        yield from _known[path].of(block)
 
 
 class Packer:
@@ -165,7 +223,7 @@ class Packer:
             self._close([(doc, start, ids[start : start + self.size], total)])
             start += self.size
         if start < total:
-            self._place((doc, start, ids[start:], total))
+            self._place((doc, start, ids[start:].copy(), total))  # a view would hold the whole text's ids while it waits
             if self.open > self.most_open:
                 self.merge(last=False)
 
@@ -245,22 +303,30 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = E
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(size, TaskContext.get().partitionId() << 32, most_open)
 
-        def flushed() -> pa.RecordBatch:
-            rows, packer.done = packer.done, []
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 8
-            ids = [pa.array([x.astype(np.int32) for x in columns[7]], pa.list_(pa.int32()))] if with_ids else []
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:7]] + ids, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids])
+        def flushed() -> Iterator[pa.RecordBatch]:
+            rows, packer.done = packer.done[::-1], []
+            while rows:
+                part, n = [], 0
+                while rows and n < FLUSH_IDS:
+                    part.append(rows.pop())
+                    n += len(part[-1][7])
+                columns = list(zip(*part, strict=True))
+                ids = []
+                if with_ids:
+                    cuts = np.concatenate(([0], np.cumsum(columns[2]))).astype(np.int32)
+                    ids = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(columns[7]).view(np.int32)))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:7]] + ids, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids])
 
         end = np.array([end_id], np.uint32)
         for whole in batches:
             for k in range(0, len(whole), 256):
                 batch = whole.slice(k, 256)
-                for doc, ids in zip(batch.column("doc_id").to_pylist(), token_ids(tokenizer_path, batch.column("text").to_pylist()), strict=True):
+                for doc, ids in zip(batch.column("doc_id").to_pylist(), token_ids(tokenizer_path, batch.column("text")), strict=True):
                     packer.add(doc, np.concatenate((ids, end)))
-                if len(packer.done) > 2000:
-                    yield flushed()
+                if sum(len(x[7]) for x in packer.done) > FLUSH_IDS:
+                    yield from flushed()
         packer.merge()
-        yield flushed()
+        yield from flushed()
 
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, fields)

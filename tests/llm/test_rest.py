@@ -54,22 +54,23 @@ def test_decontaminate(spark, docs, texts, limit):
     assert decontaminate.report(docs, benchmark.limit(0)).where("contaminated").count() == 0
 
 
-def test_packing(docs, texts):
+def packed_pieces(rows, texts, size):
+    """Each document's pieces give its ids back, and sequences are full or a power of two."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    ids = {i: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], np.uint32) for i, t in texts.items()}
-    rows = packing.pack(docs.where("doc_id is not null"), TOKENIZER, size=256, most_open=5).collect()
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
         pieces[r["doc_id"]].append(r)
         sequences[r["sequence_id"]].append(r)
     assert set(pieces) == set(texts)
-    for i, x in ids.items():
+    for i, t in texts.items():
+        x = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], np.uint32)
         at = 0
         for r in sorted(pieces[i], key=lambda r: r["start"]):
             part = x[at : at + r["length"]]
-            assert (r["start"], r["doc_tokens"], r["ids_crc32"], r["ids"]) == (at, len(x), zlib.crc32(part.tobytes()), part.tolist())
+            assert (r["start"], r["doc_tokens"], r["ids_crc32"]) == (at, len(x), zlib.crc32(part.tobytes()))
+            assert "ids" not in r or r["ids"] == part.tolist()
             at += r["length"]
         assert at == len(x)
     for members in sequences.values():
@@ -77,15 +78,46 @@ def test_packing(docs, texts):
         for r in sorted(members, key=lambda r: r["offset"]):
             assert r["offset"] == at
             at += r["length"]
-        assert at <= 256 and (at == 256 or at & (at - 1) == 0)
+        assert at <= size and (at == size or at & (at - 1) == 0)
+
+
+@pytest.mark.parametrize(("size", "most_open"), [(256, 5), (4096, 4096), (4, 2)])
+def test_packing(docs, texts, size, most_open):
+    rows = packing.pack(docs, TOKENIZER, size=size, most_open=most_open).collect()
+    packed_pieces(rows, {**texts, None: texts[0]}, size)
+
 
+def test_packing_flushes_in_parts(docs, texts, monkeypatch):
+    monkeypatch.setattr(packing, "FLUSH_IDS", 1000)
+    packer = packing.Packer(64, 0, 8)
+    for i in range(300):
+        packer.add(i, np.arange(1 + i * 7 % 150, dtype=np.uint32))
+    packer.merge()
+    assert sum(len(x[7]) for x in packer.done) == sum(1 + i * 7 % 150 for i in range(300))
+    assert packing.pack(docs.limit(0), TOKENIZER).count() == 0
 
-def test_tokens_of_odd_texts():
+
+ODD = ["", " ", "a,b.c!! x%%%", "don't it's, we'll", "<|endoftext|> X<|ENDOFTEXT|>", "İstanbul Σας ﬁ ½ é", "a b", "１２ 3.5%", "x" * 3000, "a\x0bb\x0cc\x1cd", None, "a.", ".b", "e\u0301.e\u0301", "the a. the .b"]
+
+
+@pytest.mark.parametrize("most", [5, 40, 100_000])
+def test_tokens_of_odd_texts(most, monkeypatch):
     from tokenizers import Tokenizer
 
+    import pyarrow as pa
+
     tokenizer = Tokenizer.from_file(TOKENIZER)
-    odd = ["", " ", "a,b.c!! x%%%", "don't it's, we'll", "<|endoftext|> X<|ENDOFTEXT|>", "İstanbul Σας ﬁ ½ é", "a b", "１２ 3.5%", "x" * 3000, "a\x0bb\x0cc\x1cd"]
-    assert [x.tolist() for x in packing.token_ids(TOKENIZER, odd)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in odd]
+    rng = random.Random(9)
+    long = " ".join("".join(rng.choices("abcdefg.é1", k=rng.randint(1, 9))) for _ in range(3000))
+    texts = [*ODD, long, *ODD[::-1]]
+    monkeypatch.setattr(packing, "_known", {TOKENIZER: packing.WordIds(TOKENIZER, most)})
+    monkeypatch.setattr(packing, "SLICE", 700)
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [x.tolist() for x in packing.token_ids(TOKENIZER, pa.array(texts))] == want
+    monkeypatch.setattr(packing, "SLICE", 1 << 20)
+    huge = "kala muna, " * 200_000
+    assert len(next(packing.token_ids(TOKENIZER, pa.array([huge])))) == 3 * 200_000
 
 
 SPOKEN = {"aa": ["kala", "muna", "sato", "rami"], "bb": ["proz", "krit", "vlos", "drun"], "cc": ["ilée", "ouré", "éteau", "née"]}
