@@ -194,7 +194,7 @@ def test_nearest(spark):
     rows = [(i, rng.normal(size=8).tolist()) for i in range(400)]
     rows += [(1000 + i, rows[50][1]) for i in range(30)] + [(2000, [0.0] * 8), (2050, None), (2100, [1.0] * 7), (2150, [float("nan")] * 8), (2200, [None] * 8), (None, rows[0][1])]
     df = spark.createDataFrame([(i, v, "x", "y") for i, v in rows], "vec_id long, embedding array<double>, id string, vector string")
-    got = sorted(map(tuple, nearest.search(df, F.col("id") % 50 == 0, p=nearest.Polytopes(block=16)).collect()))
+    got = sorted(map(tuple, nearest.search(df, F.col("id") % 50 == 0, p=nearest.Polytopes(cell=25, block=16)).collect()))
     want = nearest_brute(rows, 5)
     exact = {(q, v): s for q, _, v, s in nearest_brute(rows, 1000)}
     assert all(s == exact[q, v] for q, _, v, s in got)
@@ -206,6 +206,66 @@ def test_nearest(spark):
     assert nearest.search(few.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_nearest_with_copies_and_repeated_rows(spark):
+    """A vector that many rows share, queries among them; repeated rows; an id with two vectors."""
+    rng = np.random.default_rng(6)
+    hot = rng.normal(size=8).tolist()
+    rows = [(i, hot if i % 3 == 0 else rng.normal(size=8).tolist()) for i in range(301)]
+    rows += rows[:40] + [(50, rng.normal(size=8).tolist()), (7, hot), (7, hot)]
+    df = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<double>")
+    best = defaultdict(dict)
+    x, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+    norm = np.sqrt((x * x).sum(axis=1))
+    for a in np.flatnonzero(ids % 50 == 0):
+        for b, s in enumerate((x[a] * x).sum(axis=1) / (norm[a] * norm)):
+            if ids[a] != ids[b]:
+                best[int(ids[a])][int(ids[b])] = max(s, best[int(ids[a])].get(int(ids[b]), -2))
+    want = sorted((q, r, v, s) for q, near in best.items() for r, (v, s) in enumerate(sorted(near.items(), key=lambda e: (-e[1], e[0]))[:5], 1))
+    every = nearest.Polytopes(cell=30, block=20, recall=1.0)
+    assert sorted(map(tuple, nearest.search(df, F.col("id") % 50 == 0, p=every).collect())) == want
+
+
+def test_nearest_looks_at_few_vectors_of_clusters(spark, monkeypatch):
+    """Cells grow in number with the vectors: in clusters a query is compared with under a tenth of them."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(400, 64))
+    x = (centres[rng.integers(0, 400, 20_000)] + 0.4 * rng.normal(size=(20_000, 64))).astype(np.float32)
+    u = x.astype(np.float64) / np.linalg.norm(x, axis=1, keepdims=True)
+    p = nearest.Polytopes(cell=100)
+    tables = nearest.make_tables(len(x), 64, p)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    seen = []
+    real = nearest.probes_needed
+    monkeypatch.setattr(nearest, "probes_needed", lambda *a: seen.append(real(*a)) or seen[-1])
+    got = defaultdict(set)
+    for r in nearest.search(df, F.col("id") % 50 == 0, p=p).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits, compared = 0, 0
+    sizes = [np.bincount(t.cell_of(u), minlength=t.cells) for t in tables]
+    for q in range(0, 20_000, 50):
+        s = u @ u[q]
+        s[q] = -2
+        hits += len(got[q] & set(np.argsort(-s)[:5].tolist()))
+        compared += sum(int(n[t.probes(u[q : q + 1], seen[0])[0]].sum()) for t, n in zip(tables, sizes, strict=True))
+    assert tables[0].cells >= 128 and hits >= 0.9 * 5 * 400 and compared / 400 < 2_000
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables")
+def test_nearest_recall_on_the_table(spark):
+    """The table's vectors have no structure, so smaller cells than the query's are probed to show the recall."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    table = df.toArrow()
+    ids, x = table.column(0).to_numpy(), np.array(table.column(1).to_pylist(), np.float32).astype(np.float64)
+    norm = np.sqrt((x * x).sum(axis=1))
+    want = set()
+    for q in np.flatnonzero(ids % 50 == 0):
+        s = (x[q] * x).sum(axis=1) / (norm[q] * norm)
+        want |= {(int(ids[q]), int(ids[j])) for j in [j for j in np.lexsort((ids, -s)) if j != q][:5]}
+    for p in (nearest.Polytopes(), nearest.Polytopes(cell=60)):
+        got = {(r["query_id"], r["vec_id"]) for r in nearest.search(df, F.col("id") % 50 == 0, p=p).collect()}
+        assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+
+
 def against_sql(df, sql, **tables):
     con = duckdb.connect()
     for name, t in tables.items():
