@@ -13,8 +13,8 @@ The orders are dealt out by range, so that a crowded region may span many tasks.
 
 Candidates are confirmed in two steps: first, for each set, its `nearest` most frequent
 neighbours; then every region that still holds several components is compared in full,
-on the sets themselves.  That step runs in blocks of at most about `block` members;
-only members outside the region's largest component are sent to all of its blocks, regions
+on the sets themselves.  That step runs in blocks of at most about `block` members and
+`block_bytes` of sets; only members outside the region's largest component are sent to all of its blocks, regions
 with the same members count once, and a block returns one link for each two components that
 it joins, not all pairs.  So no cap drops a candidate; what can be missed is a pair at the
 threshold that no tree brings together: (1 - 0.8 ** depth) ** trees, 3e-6 with the defaults,
@@ -24,8 +24,11 @@ Equal sets are one node from the start, so copies are never compared.
 
 Cases: null, empty and blank texts have an empty set and are linked with nothing; fewer
 words than a shingle make one shingle of all; rows of a null doc_id take no part in links,
-have no component and are kept; rows that share a doc_id are one node; an empty table
-gives no rows; other columns are ignored by links() and kept by keep_one().
+have no component and are kept; an empty table gives no rows; other columns are ignored by
+links() and kept by keep_one().  Rows that share a doc_id are one document for links(), so
+all that is near any of its texts is one component.  keep_one() tells such rows apart by
+their texts (the second and further ones by a hash of id and text in place of the id), so a
+text is dropped for a near copy alone; of equal rows one stays.
 """
 
 from __future__ import annotations
@@ -52,6 +55,7 @@ class Forest(NamedTuple):
     trees: int = 32
     depth: int = 5
     block: int = 512
+    block_bytes: int = 16 << 20
     nearest: int = 2
 
 
@@ -107,7 +111,7 @@ def _signatures(forest: Forest):
 
 
 def _paths(forest: Forest):
-    """A row for each tree: the region and ever longer prefixes of the tree's order."""
+    """A row for each tree: the size of the set, the region and ever longer prefixes of the tree's order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = forest.trees * forest.depth
@@ -122,8 +126,8 @@ def _paths(forest: Forest):
                     state = K.mix(state ^ (signature[:, (tree * forest.depth + d) % n] + np.uint64(d << 33)))
                     if d + 1 == forest.depth or (d + 1 in LEVELS and d + 1 > forest.depth):
                         out.append(pa.array(state.ravel().view(np.int64)))
-                node = np.repeat(batch.column("node").to_numpy(), forest.trees)
-                yield pa.RecordBatch.from_arrays([pa.array(node), *out], names=["node", "region", *(f"p{x}" for x in LEVELS if x > forest.depth)])
+                each = [pa.array(np.repeat(batch.column(c).to_numpy(), forest.trees)) for c in ("node", "n_shingles")]
+                yield pa.RecordBatch.from_arrays([*each, *out], names=["node", "n_shingles", "region", *(f"p{x}" for x in LEVELS if x > forest.depth)])
 
     return run
 
@@ -229,15 +233,16 @@ def _joined_parts(forest: Forest):
 
 def _mixed_regions(members: DataFrame, parts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(members with their components, regions that hold several components: of equal regions one)."""
-    placed = scratch.write(members.select("region", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-    counts = placed.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.max("node").alias("last"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"))
-    mixed = counts.groupBy("region").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("size"), F.max_by("component", F.struct("n", "component")).alias("main"), F.min("first").alias("a"), F.max("last").alias("b"), F.expr("bit_xor(x)").alias("x"), F.expr("bit_xor(y)").alias("y"))
-    return placed, mixed.where("parts > 1").groupBy("size", "x", "y").agg(F.min(F.struct("region", "main", "a", "b")).alias("r")).select("size", "r.*")
+    placed = scratch.write(members.select("region", "node", "n_shingles").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    counts = placed.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"), F.min("node").alias("first"), F.max("node").alias("last"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"))
+    mixed = counts.groupBy("region").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("size"), F.sum("w").alias("weight"), F.max_by("component", F.struct("n", "component")).alias("main"), F.min("first").alias("a"), F.max("last").alias("b"), F.expr("bit_xor(x)").alias("x"), F.expr("bit_xor(y)").alias("y"))
+    return placed, mixed.where("parts > 1").groupBy("size", "x", "y").agg(F.min(F.struct("region", "weight", "main", "a", "b")).alias("r")).select("size", "r.*")
 
 
 def _region_links(placed: DataFrame, mixed: DataFrame, sets: DataFrame, forest: Forest) -> DataFrame:
-    rows = placed.join(mixed.select("region", "size", "main"), "region").join(sets, "node")
-    blocks = F.ceil(F.col("size") / forest.block).cast("int")
+    blocks = F.greatest(F.ceil(F.col("size") / forest.block), F.ceil(F.col("weight") * 8 / forest.block_bytes)).cast("int")
+    rows = placed.join(mixed.select("region", "size", "main", blocks.alias("blocks")), "region").join(sets, "node")
+    blocks = F.col("blocks")
     one = F.struct("node", "component", "shingles")
     member = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     guest = rows.where("component <> main").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -253,14 +258,19 @@ def links(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     texts = keyed(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     rows = scratch.write(texts.mapInArrow(_signatures(forest), "doc_id long, text_key long, n_shingles long, set_a long, set_b long, signature binary"), "signatures")
     usable = rows.where("n_shingles > 0 and doc_id is not null")
-    equal = usable.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("signature").alias("signature"))  # equal sets, equal signatures
-    classes = scratch.write(equal.select("set_a", "set_b", F.col("rep.doc_id").alias("node"), F.col("rep.text_key").alias("text_key"), "signature"), "classes")
-    signatures = classes.select("node", "signature")
+    equal = usable.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))  # equal sets, equal signatures
+    classes = scratch.write(equal.select("set_a", "set_b", F.col("rep.doc_id").alias("node"), F.col("rep.text_key").alias("text_key"), "n_shingles", "signature"), "classes")
+    signatures = classes.select("node", "n_shingles", "signature")
+
+    # an id that has several sets ties their classes together
+    one = F.struct("set_a", "set_b")
+    several = usable.groupBy("doc_id").agg(F.min(one).alias("x"), F.max(one).alias("y")).where("x <> y").select("doc_id")
+    ties = usable.join(several, "doc_id", "left_semi").join(classes.select("set_a", "set_b", "node"), ["set_a", "set_b"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
 
     names = ["region", *(f"p{x}" for x in LEVELS if x > forest.depth)]
-    paths = signatures.mapInArrow(_paths(forest), "node long, " + ", ".join(f"{x} long" for x in names))
+    paths = signatures.mapInArrow(_paths(forest), "node long, n_shingles long, " + ", ".join(f"{x} long" for x in names))
     crowded = scratch.write(paths.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("region"), "crowded")
-    members = scratch.write(paths.join(crowded, "region", "left_semi").select("node", *names), "members")
+    members = scratch.write(paths.join(crowded, "region", "left_semi").select("node", "n_shingles", *names), "members")
     ordered = members.repartitionByRange(*names).sortWithinPartitions(*names, "node")
     pairs = scratch.write(ordered.mapInArrow(_neighbours, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes")), "pairs")
 
@@ -275,7 +285,7 @@ def links(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     order = Window.partitionBy("a").orderBy(F.desc("votes"), "b")
     best = ends.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= forest.nearest)
     tried = scratch.write(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "tried")
-    parts = scratch.write(components(confirm(tried, "links-1"), scratch, "parts-1"), "parts")
+    parts = scratch.write(components(confirm(tried, "links-1").unionByName(ties), scratch, "parts-1"), "parts")
 
     placed, mixed = _mixed_regions(members, parts, scratch)
     mixed = scratch.write(mixed, "mixed")
@@ -300,10 +310,12 @@ def links(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
-    """The documents that are kept, with all their columns: one row for each kept doc_id, and all rows without one."""
-    found = links(docs, forest).where("kept")
-    keys = found.groupBy(F.col("doc_id").alias("_kept_id")).agg(F.min("text_key").alias("_kept_key"))
-    texts = docs.withColumn("_text_key", F.xxhash64("text"))
-    same = (texts["doc_id"] == keys["_kept_id"]) & (texts["_text_key"] == keys["_kept_key"])
-    known = texts.join(keys.where("_kept_id is not null"), same, "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(texts.where("doc_id is null")).select(*docs.columns)
+    """The documents that are kept, with all their columns, and all rows without a doc_id."""
+    row = F.struct(*docs.columns).alias("row")
+    texts = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").alias("text"))
+    each = texts.groupBy("doc_id").agg(F.min("text_key").alias("x"), F.max("text_key").alias("y")).where("doc_id is not null and x <> y")
+    own = F.when(F.col("x").isNull() | (F.col("text_key") == F.col("x")), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "text_key", F.lit("near")))
+    texts = texts.join(each.select("doc_id", "x"), "doc_id", "left").select("row", own.alias("node"), "text_key", "text")
+    found = links(texts.select(F.col("node").alias("doc_id"), "text"), forest).where("kept and doc_id is not null").select(F.col("doc_id").alias("node"), "text_key")
+    known = texts.join(found, ["node", "text_key"], "left_semi").dropDuplicates(["node"])
+    return known.select("row.*").unionByName(docs.where("doc_id is null"))

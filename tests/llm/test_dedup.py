@@ -137,6 +137,56 @@ def test_near_chain_and_hub(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
 
 
+def test_near_of_repeated_ids(spark):
+    """An id with two texts ties both components for links(); keep_one() looks at the texts."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (7, b), (8, c), (8, c + " end"), (9, c), (1, "else " + b[::-1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.links(df).collect()} == {(1, 1, True), (5, 1, False), (7, 1, False), (8, 8, True), (9, 8, False)}
+    kept = sorted(map(tuple, near_dedup.keep_one(df).collect()))
+    assert len(kept) == 4 and {t for _, t in kept} >= {a, b, "else " + b[::-1]} and kept[-1][0] in (8, 9)
+
+
+@pytest.mark.parametrize("share", [1 / 2000, 0.2, 1.0])
+def test_components_with_hubs(spark, monkeypatch, share, tmp_path):
+    from telemark.llm import _components
+    from telemark.llm._tables import Scratch
+
+    monkeypatch.setattr(_components, "HUB_SHARE", share)
+    rng = np.random.default_rng(5)
+    pairs = [(500, int(i)) for i in range(501, 900)] + [(0, 950), (950, 940), (940, 930)] + [tuple(map(int, rng.integers(1000, 1400, 2))) for _ in range(220)] + [(499, 500), (7, 7)]
+    got = _components.components(spark.createDataFrame(pairs, "a long, b long"), Scratch(spark, "test"), "c")
+    part = {x: x for p in pairs if p[0] != p[1] for x in p}
+
+    def root(i):
+        while part[i] != i:
+            i = part[i]
+        return i
+
+    for x, y in pairs:
+        if x != y:
+            x, y = root(x), root(y)
+            part[max(x, y)] = min(x, y)
+    rows = got.collect()
+    assert {r["node"]: r["component"] for r in rows} == {i: root(i) for i in part} and len(rows) == len(part)
+
+
+def test_near_crowded_region_of_unlike_documents(spark):
+    """Many documents that share most of their words, at similarities under the threshold, and a few true pairs among them."""
+    rng = np.random.default_rng(2)
+    base = [f"b{i}" for i in range(60)]
+    rows = [(i, " ".join(base + [f"o{i}x{j}" for j in range(22)])) for i in range(150)]
+    for i in range(0, 150, 10):
+        w = rows[i][1].split()
+        w[int(rng.integers(70, 80))] = "other"
+        rows.append((1000 + i, " ".join(w)))
+    want = least_reachable(sets_of(dict(rows), 5))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for forest in (near_dedup.Forest(), near_dedup.Forest(block=16, block_bytes=40_000)):
+        assert {r["doc_id"]: r["component_id"] for r in near_dedup.links(df, forest).collect()} == want
+    assert sum(i != c for i, c in want.items()) == 15
+
+
 def test_common_counts_both_ways(monkeypatch):
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, int(n)).astype(np.uint64)) for n in rng.integers(0, 40, 9)]
