@@ -10,8 +10,10 @@ repeats, which are cut out.
 
 Skew: equal stretches around one anchor (copies) are first aggregated to one row with
 the smallest doc_id; anchors that no second stretch shares never meet text again.  An
-anchor with more than `group_limit` different stretches is dealt out further, by the
-whole windows' hashes, with the same result.
+anchor with more than `group_limit` different stretches isn't extended in one task: its
+windows are dealt out by hashes of their words, so that no task holds them all, with the
+same result.  A window may be 61 words longer than the anchor at most (a stretch's windows
+are the bits of one number).
 
 Cases: null text and null doc_id (the latter counts as larger than any id, and null ids
 don't cover each other); repeated rows of one doc_id never cover each other; texts with
@@ -229,7 +231,7 @@ def _by_window(stretches: DataFrame, window: int) -> DataFrame:
 def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, group_limit: int = GROUP_LIMIT, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, with_text, kept_text: one row per document."""
     texts, marks = covered_windows(docs, window, anchor, group_limit)
-    marks = marks.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "windows", "bits")).alias("covered"))
+    marks = marks.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("first", "windows", "bits")).alias("covered"))  # equal rows mark the same
     none = F.array().cast("array<struct<first:int,windows:int,bits:bigint>>")
     joined = texts.join(marks, same_row(texts, marks), "left").select(texts["doc_id"], texts["text_key"], "text", F.coalesce("covered", none).alias("covered"))
     return joined.mapInArrow(lambda batches: _cut(window, with_text, batches), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)

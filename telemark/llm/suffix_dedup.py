@@ -11,17 +11,20 @@ Spark deals out the collection: each window of `length` bytes goes to its least
 of one anchor form one stretch.  Anchors that occur once hold no repeat and end there.
 Equal stretches are aggregated to one row with their number; only stretches that differ
 around one anchor need a transform.  Whole anchor groups are gathered to collections of
-some thousand strings, sorted runs of one partition; within a group the anchor counts as
+some thousand strings, sorted runs of one partition (the sequential files are temporary
+ones of the task, made again with it); within a group the anchor counts as
 one symbol, as all its strings agree on it, so there are at most 2 * (length - anchor) + 1
 rounds whatever the length of the texts.
 
-An anchor with more than `group_limit` different stretches is dealt out further, by the
-whole windows' hashes, with the same result.
+An anchor with more than `group_limit` different stretches doesn't go through the transform,
+whose collection it would outgrow: its windows are dealt out by hashes of their 200 bytes, so
+that no task holds them all, with the same result.
 
 Cases: null and empty texts have no bytes and the digest of the empty string; texts under
 the length are never cut; repeated rows repeat each other's bytes and are all cut; an empty
 table gives no rows; other columns are ignored; doc_id may be null.  Stretches are compared
-by two 64-bit hashes where they are equal as a whole, by their symbols otherwise.
+by two 64-bit hashes where they are equal as a whole, by their symbols otherwise (but for
+anchors over the limit, see above).
 """
 
 from __future__ import annotations
@@ -43,6 +46,7 @@ ANCHOR = 100
 GROUP_LIMIT = 50_000
 COLLECTION = 1_000
 SEGMENT = 1 << 18
+_SHIFT = 19  # bits of a place in a segment, and of one mark
 
 _SEEDS = "doc_id long, text_key long, anchor long, body long, first int, windows int, before int"
 _RUNS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
@@ -127,6 +131,9 @@ def _scan(bwt: _Column, lcp: _Column, rows: np.ndarray, counts: np.ndarray, stri
     """Where the next suffixes go (rows are those of their tails, ascending), and the common prefixes that change."""
     base = strings + np.concatenate(([0], np.cumsum(counts[1:])))
     base = np.concatenate(([0], base[:-1]))  # of symbol c: rows whose first symbol is smaller
+    assert segment <= 1 << (_SHIFT - 1)
+    short = np.uint32 if len(counts) <= 1 << (32 - _SHIFT) else np.uint64
+    one, shifts = short(1), short(_SHIFT)
     seen = np.zeros(len(counts), np.int64)
     since = np.full(len(counts), 255, np.uint8)  # least prefix since the symbol's last row
     fresh = np.zeros(len(counts), bool)  # whether that row is one of ours
@@ -137,32 +144,36 @@ def _scan(bwt: _Column, lcp: _Column, rows: np.ndarray, counts: np.ndarray, stri
     for start in range(0, bwt.n, segment):
         b, prefix = bwt.read(segment), lcp.read(segment)
         lo, hi = np.searchsorted(rows, [start, start + len(b)])
-        order = np.argsort(b, kind="stable")
-        sorted_b = b[order]
-        begins = np.flatnonzero(np.concatenate(([True], sorted_b[1:] != sorted_b[:-1])))
-        symbols, sizes = sorted_b[begins], np.diff(np.append(begins, len(b)))
+        # symbol, place and whether the row is ours in one number, so that one plain sort gives the stable order
+        packed = b.astype(short) << shifts
+        packed |= np.arange(0, 2 * len(b), 2, dtype=short)
+        packed[rows[lo:hi] - start] |= one
+        packed.sort()
+        symbol_at = lambda x: (packed[x] >> shifts).astype(np.int64)
+        row_at = lambda x: ((packed[x] & ((one << shifts) - one)) >> one).astype(np.int64)
+        edges = np.searchsorted(packed, np.arange(len(counts), dtype=short) << shifts)
+        sizes = np.diff(np.append(edges, len(b)))
+        symbols = np.flatnonzero(sizes)
+        begins, sizes = edges[symbols], sizes[symbols]
         shift = np.zeros(len(counts), np.int64)  # from a row's place in this order to that of its next suffix
         shift[symbols] = base[symbols] + seen[symbols] - begins
-        flags = np.zeros(len(b), bool)
-        flags[rows[lo:hi] - start] = True
-        mine = flags[order]
-        ours = np.flatnonzero(mine)
-        places[lo + np.searchsorted(rows[lo:hi], order[ours] + start)] = ours + shift[sorted_b[ours]]
-        mine[1:] |= mine[:-1].copy()  # the prefixes of the rows after ours change as well
-        mine[begins] = fresh[symbols] | flags[order[begins]]
-        asked = np.flatnonzero(mine)
-        asked = asked[sorted_b[asked] > 0]
-        first = np.zeros(len(b), bool)
-        first[begins] = True
-        inner = asked[~first[asked]]
-        outer = asked[first[asked]]
-        at.append(inner + shift[sorted_b[inner]])
-        value.append(_range_minima(prefix, order[inner - 1] + 1, order[inner]) + np.uint8(1))
-        s = sorted_b[outer]
+        ours = np.flatnonzero((packed & one).astype(bool))
+        places[lo + np.searchsorted(rows[lo:hi], row_at(ours) + start)] = ours + shift[symbol_at(ours)]
+        # the prefixes of the rows after ours change as well
+        behind_ours = ours[ours + 1 < len(b)] + 1
+        behind_ours = behind_ours[symbol_at(behind_ours) == symbol_at(behind_ours - 1)]
+        asked = np.unique(np.concatenate((ours, behind_ours, begins[fresh[symbols]])))
+        s = symbol_at(asked)
+        asked, s = asked[s > 0], s[s > 0]
+        first = asked == edges[s]
+        inner, outer = asked[~first], asked[first]
+        at.append(inner + shift[s[~first]])
+        value.append(_range_minima(prefix, row_at(inner - 1) + 1, row_at(inner)) + np.uint8(1))
+        s = s[first]
         at.append(outer + shift[s])
         if start:
             ahead = np.minimum.accumulate(prefix)
-            value.append(np.where(seen[s] > 0, np.minimum(since[s], ahead[order[outer]]) + np.uint8(1), 0).astype(np.uint8))
+            value.append(np.where(seen[s] > 0, np.minimum(since[s], ahead[row_at(outer)]) + np.uint8(1), 0).astype(np.uint8))
         else:
             value.append(np.zeros(len(outer), np.uint8))
         if start + len(b) < bwt.n:
@@ -170,8 +181,8 @@ def _scan(bwt: _Column, lcp: _Column, rows: np.ndarray, counts: np.ndarray, stri
             behind[:-1] = np.minimum.accumulate(prefix[::-1])[::-1]
             last = begins + sizes - 1
             since = np.minimum(since, behind[0])
-            since[symbols] = behind[order[last] + 1]
-            fresh[symbols] = flags[order[last]]
+            since[symbols] = behind[row_at(last) + 1]
+            fresh[symbols] = (packed[last] & one) > 0
             seen[symbols] += sizes
     return places, np.concatenate(at), np.concatenate(value)
 
@@ -353,7 +364,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group_lim
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, the kept bytes: one row per document."""
     texts = keyed(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
     marks = repeated_windows(texts, Scratch(docs.sparkSession, "suffix"), length, anchor, group_limit, collection, segment)
-    marks = marks.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("lo", "hi")).alias("repeated"))
+    marks = marks.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("lo", "hi")).alias("repeated"))  # equal rows mark the same
     none = F.array().cast("array<struct<lo:int,hi:int>>")
     joined = texts.join(marks, same_row(texts, marks), "left").select(texts["doc_id"], "text", F.coalesce("repeated", none).alias("repeated"))
     return joined.mapInArrow(lambda batches: _cut(length, with_text, batches), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)

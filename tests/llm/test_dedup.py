@@ -62,7 +62,31 @@ def test_suffix(docs, texts, limit, collection, segment):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
-def test_transform_on_random_strings():
+@pytest.mark.parametrize("operator", [substring_dedup, suffix_dedup])
+def test_many_equal_rows_bring_each_mark_once(spark, texts, operator, monkeypatch):
+    rows = [(1, texts[12])] + [(2, texts[12])] * 200 + [(3, texts[13])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    real = operator._cut
+
+    def cut(window, with_text, batches):
+        batches = list(batches)
+        for b in batches:
+            marks = b.column("covered" if operator is substring_dedup else "repeated")
+            assert max(np.diff(marks.offsets.to_numpy())) < 60
+        return real(window, with_text, iter(batches))
+
+    monkeypatch.setattr(operator, "_cut", cut)
+    out = operator.dedup(df, with_text=False).collect()
+    most = {(r["doc_id"], r["n_removed"]) for r in out}
+    words, size = len(texts[12].split()), len(texts[12].encode())
+    assert len(out) == 202 and ((2, words) in most if operator is substring_dedup else {(1, size), (2, size)} <= most)
+    assert len(most) == 3
+
+
+@pytest.mark.parametrize("bits", [19, 31])
+def test_transform_on_random_strings(monkeypatch, bits):
+    """31 bits leave too few for the symbols in the short form."""
+    monkeypatch.setattr(suffix_dedup, "_SHIFT", bits)
     rng = np.random.default_rng(1)
     for _ in range(30):
         most = int(rng.integers(1, 15))
