@@ -4,15 +4,16 @@ Method: the normalised n-grams of the test items form a hash set that is broadca
 every task scans the token windows of its own texts against it, hits are verified
 on the words themselves, and spans or documents are removed.  No row is shuffled.
 
-The set is broadcast only below `set_limit` n-grams.  A larger set is dealt into
-blocks of at most about that many, each of which is broadcast and scanned in turn;
-the blocks' findings are then joined by document.
+The set is broadcast only below `set_limit` rows and SET_BYTES bytes.  A larger set is dealt
+into blocks of at most about that many, each of which is broadcast and scanned in turn;
+the blocks' findings are then joined by document.  The ids of a window that very many items
+share are dealt into parts, so that no row is long.
 
 Words: A-Z lower-cased, then maximal runs of letters a-z, digits and characters
 over U+007F.  An item of fewer than n words, but not none, is one window.
 
-Cases: null text has no words; null item texts give no windows; repeated items are
-found under each of their ids; repeated documents each give a row; an empty
+Cases: null text has no words; null item texts give no windows; an item without an id hits
+words but isn't listed; repeated items are found under each of their ids; repeated documents each give a row; an empty
 benchmark hits nothing; other columns are ignored by report() and kept by the removers.
 """
 
@@ -26,9 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemark.llm import _text as K
+from telemark.llm._tables import Scratch
 
 WINDOW = 10
-SET_LIMIT = 2_000_000
+SET_LIMIT = 500_000
+SET_BYTES = 64 << 20
+_PARTS = 1024
 
 ITEM_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -36,12 +40,12 @@ _FOUND = "doc_id long, text_key long, n_words long, hit_starts array<long>, hit_
 
 
 def item_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """One row for each distinct window: gram (words joined by a space), length, items."""
+    """One row for each distinct window and part of its items: gram (words joined by a space), length, items."""
     lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    listed = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), F.regexp_extract_all(lowered, F.lit(ITEM_WORDS), F.lit(0)).alias("w"))
+    listed = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.regexp_extract_all(lowered, F.lit(ITEM_WORDS), F.lit(0)).alias("w"))
     starts = listed.where(F.size("w") > 0).select("item_id", "w", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1))).alias("at"))
     grams = starts.select("item_id", F.slice("w", F.col("at"), n).alias("g"))
-    return grams.groupBy(F.array_join("g", " ").alias("gram")).agg(F.first(F.size("g")).alias("length"), F.sort_array(F.collect_set("item_id")).alias("items"))
+    return grams.groupBy(F.array_join("g", " ").alias("gram"), F.pmod(F.xxhash64("item_id"), F.lit(_PARTS)).alias("part")).agg(F.first(F.size("g")).alias("length"), F.sort_array(F.collect_set("item_id")).alias("items"))
 
 
 class _Set:
@@ -50,7 +54,7 @@ class _Set:
     def __init__(self, rows: list):
         self.by_length: dict[int, dict[bytes, list[str]]] = {}
         for r in rows:
-            self.by_length.setdefault(r["length"], {})[r["gram"].encode()] = r["items"]
+            self.by_length.setdefault(r["length"], {}).setdefault(r["gram"].encode(), []).extend(r["items"])
         self.bits = {}
         for length, grams in self.by_length.items():
             hashes = _gram_hashes(list(grams))
@@ -134,25 +138,30 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, set_limit:
     The columns to carry go along as _c0, _c1 and so on.
     """
     spark = docs.sparkSession
-    windows = item_windows(benchmark, n)
-    sides = -(-max(1, windows.count()) // set_limit)
+    scratch = Scratch(spark, "items")
+    windows = scratch.write(item_windows(benchmark, n), "windows")
+    size = F.length("gram") + F.aggregate("items", F.lit(0), lambda a, x: a + F.length(x))
+    rows, held = windows.agg(F.count(F.lit(1)), F.sum(size)).first()
+    sides = max(1, -(-rows // set_limit), -(-(held or 0) // SET_BYTES))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text"), *(F.col(c).alias(f"_c{i}") for i, c in enumerate(carry or [])))
     side = F.pmod(F.xxhash64("gram"), F.lit(sides))
 
     def scan(k: int, carried: list[str]) -> DataFrame:
-        grams = spark.sparkContext.broadcast(_Set((windows.where(side == k) if sides > 1 else windows).collect()))
+        grams = spark.sparkContext.broadcast(_Set((windows.where(side == k) if sides > 1 else windows).toArrow().to_pylist()))
         fields = "".join(f", {c} {texts.schema[c].dataType.simpleString()}" for c in carried)
         return texts.select("doc_id", "text_key", "text", *carried).mapInArrow(lambda batches: _scan(batches, grams, carried), _FOUND + fields)
 
     carried = [f"_c{i}" for i in range(len(carry or []))]
     found = scan(0, carried)
     if sides == 1:
+        scratch.drop("windows")
         return found
     lists = [c for c in found.columns if c not in ("doc_id", "text_key", "n_words", *carried)]
     more = scan(1, [])
     for k in range(2, sides):
         more = more.unionByName(scan(k, []))
-    more = more.where(F.size("items") > 0).groupBy("doc_id", "text_key").agg(*(F.flatten(F.collect_list(c)).alias(f"more_{c}") for c in lists))
+    scratch.drop("windows")
+    more = more.where(F.size("hit_starts") > 0).groupBy("doc_id", "text_key").agg(*(F.flatten(F.collect_list(c)).alias(f"more_{c}") for c in lists))
     joined = found.alias("f").join(more.alias("m"), F.col("f.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("f.text_key") == F.col("m.text_key")), "left")
     both = [F.concat(c, F.coalesce(f"more_{c}", F.array())).alias(c) for c in lists]
     return joined.select("f.doc_id", "f.text_key", "n_words", *both[:-1], F.array_sort(F.array_distinct(both[-1])).alias("items"), *carried)
