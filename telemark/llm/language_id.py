@@ -7,13 +7,13 @@ length, all of them are scored in batches, and the text's language is the one wi
 largest mean log-probability, by which the score is made as well.
 
 Learning takes rows with a text and a language from a hash sample of about `per_language`
-documents for each language, `windows_each` windows of each at most; that bound is all that
-reaches the driver.  Prediction reads the text and nothing else.
+documents for each language, `windows_each` different windows of each at most; twice their
+number is the most that reaches the driver, however often a row is repeated.  Prediction reads the text and nothing else.
 
 Cases: a null text, or one without any letter, is `und` with score 0; without a labelled
 row everything is `und`; with one language all texts with letters get it; repeated rows are
-predicted alike; very long texts are scored window by window; other columns are ignored by
-predict() and kept by keep_known().
+predicted alike; very long texts are scored window by window; other columns are kept by
+keep_known(), whatever their names; predict() replaces columns named as those that it adds.
 """
 
 from __future__ import annotations
@@ -151,8 +151,9 @@ def train(labelled: DataFrame, shape: Shape = Shape()) -> Network | None:
     share = F.lit(0.0)
     for lang in sorted(counts):
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, shape.per_language / counts[lang]))).otherwise(share)
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) < share * (1 << 20))
-    sample = drawn.select("lang", "text").mapInArrow(_sampled(shape), "lang string, window binary").collect()
+    drawn = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1 << 20)) < share * (1 << 20))
+    windows = drawn.select("lang", "text").mapInArrow(_sampled(shape), "lang string, window binary").distinct()
+    sample = windows.orderBy(F.xxhash64("window", "lang"), "window", "lang").limit(2 * shape.per_language * shape.windows_each * len(counts)).collect()
     languages = sorted({r["lang"] for r in sample})
     if not languages:
         return None
@@ -208,5 +209,8 @@ def identify(docs: DataFrame, shape: Shape = Shape(), carry: list[str] | None =
 
 def keep_known(docs: DataFrame, shape: Shape = Shape(), least: float = 0.0) -> DataFrame:
     """The rows, all columns kept, whose language is known with at least that score."""
-    found = identify(docs, shape).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return found.select(*docs.columns)
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    held = [F.col(c).alias(name) for c, name in names.items()]
+    inner = docs.select(*held, *(F.col(c).alias(c) for c in ("doc_id", "lang", "text")))
+    found = identify(inner, shape, list(dict.fromkeys([*names.values(), "doc_id"]))).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return found.select(*(F.col(name).alias(c) for c, name in names.items()))

@@ -6,8 +6,9 @@ lookup table; the pairs of features whose residuals a two-way split fits best th
 two-dimensional tables in the same way.  A text's score is the logistic function of the sum
 of its bins' table entries, added up for whole batches at once.
 
-Learning takes a hash sample of about `sample` labelled documents (a documented bound: it is
-all that reaches the driver, as feature rows); counts and features cover whole texts.
+Learning takes a hash sample of about `sample` labelled documents; twice as many different
+feature rows are the most that reaches the driver, however often a document or a label is
+repeated.  Counts and features cover whole texts.
 
 Cases: null and empty texts have features of zero and a score like any other; labelled
 documents without a text row, or with a null label, are left out; several labels of one
@@ -208,13 +209,13 @@ def _with_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), label: str = "quality") -> Additive:
-    """From a hash sample of the labels; they, not the texts, are what is sent to all tasks, at most twice `sample` rows."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
+    """From a hash sample of the labels: they, at most twice `sample` rows, are sent to all tasks, not the texts."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
     share = min(1.0, s.sample / max(1, known.count()))
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1 << 20)) < share * (1 << 20))
-    small = drawn.count() <= 2 * s.sample
-    texts = docs.select("doc_id", "text").join(F.broadcast(drawn) if small else drawn, "doc_id").select("label", "text")
-    rows = texts.mapInArrow(_with_features, "label int, features array<double>").collect()
+    draw = F.xxhash64("doc_id", "label", F.lit("quality"))
+    drawn = known.where(F.pmod(draw, F.lit(1 << 20)) < share * (1 << 20)).orderBy(draw, "doc_id", "label").limit(2 * s.sample)
+    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("label", "text")
+    rows = texts.mapInArrow(_with_features, "label int, features array<double>").distinct().orderBy(F.xxhash64("features", "label"), "features", "label").limit(2 * s.sample).collect()
     data = np.array(sorted([*r["features"], r["label"]] for r in rows)) if rows else np.zeros((0, len(FEATURES) + 1))
     return Additive(data[:, :-1], data[:, -1], s)
 
