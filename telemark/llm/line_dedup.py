@@ -17,10 +17,8 @@ line is one row with its number; counts are summed up before they are shuffled.
 Cases: null text has no lines and stays null; empty and blank lines are never dropped; a
 null doc_id counts as larger than any id; rows that share a doc_id are one document; repeated
 rows are treated alike; an empty table gives no rows; other columns are ignored by report()
-and kept by clean().
-
-oracle_sql() counts the different lines before and after instead of the documents, so it
-leaves blocks of recurring lines and lines between blank ones that are dropped here.
+and kept by clean(), whatever their names.  Leaves, masked lines, templates and texts are
+compared by 64-bit hashes (oracle_sql() compares them in full).
 """
 
 from __future__ import annotations
@@ -88,18 +86,24 @@ def dropped_lines(docs: DataFrame, tree: Tree = Tree()) -> DataFrame:
     return (out.where("owner <> first") if tree.keep_first else out).select("doc_id", "text_key", "place")
 
 
+def _cut(docs: DataFrame, tree: Tree) -> DataFrame:
+    """row (all columns), kept_text, n_lines, n_dropped."""
+    drop = dropped_lines(docs, tree).groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("places"))
+    drop = drop.select(F.col("doc_id").alias("drop_id"), F.col("text_key").alias("drop_key"), "places")
+    texts = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").alias("whole"), F.xxhash64("text").alias("key"))
+    joined = texts.join(drop, F.col("id").eqNullSafe(F.col("drop_id")) & (F.col("key") == F.col("drop_key")), "left")
+    lines = F.split("whole", "\n")
+    rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "places")
+    kept = F.when(F.col("places").isNull(), F.col("whole")).otherwise(F.array_join(F.transform(rest, lambda i: F.get(lines, i)), "\n"))
+    n_lines = F.when(F.col("whole").isNull(), 0).otherwise(F.size(lines)).cast("long")
+    n_dropped = F.when(F.col("places").isNull(), 0).otherwise(F.size("places")).cast("long")
+    return joined.select("row", kept.alias("kept_text"), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
+
+
 def cleaned(docs: DataFrame, tree: Tree = Tree()) -> DataFrame:
-    """All rows and columns, with `kept_text`, `n_lines` and `n_dropped` beside the text."""
-    drop = dropped_lines(docs, tree).groupBy(F.col("doc_id").alias("_drop_id"), F.col("text_key").alias("_drop_key")).agg(F.collect_set("place").alias("_places"))
-    texts = docs.withColumn("_text_key", F.xxhash64("text"))
-    joined = texts.join(drop, texts["doc_id"].eqNullSafe(drop["_drop_id"]) & (texts["_text_key"] == drop["_drop_key"]), "left")
-    lines = F.split("text", "\n")
-    rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_places")
-    kept = F.when(F.col("_places").isNull(), F.col("text")).otherwise(F.array_join(F.transform(rest, lambda i: F.get(lines, i)), "\n"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    n_dropped = F.coalesce(F.size("_places"), F.lit(0)).cast("long")
-    n_dropped = F.when(F.col("_places").isNull(), F.lit(0).cast("long")).otherwise(n_dropped)
-    return joined.withColumns({"kept_text": kept, "n_lines": n_lines, "n_dropped": n_dropped}).drop("_text_key", "_drop_id", "_drop_key", "_places")
+    """All rows and columns, with `kept_text`, `n_lines` and `n_dropped` beside the text (in place of columns of those names)."""
+    added = ("kept_text", "n_lines", "n_dropped")
+    return _cut(docs, tree).select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c not in added), *added)
 
 
 def report(docs: DataFrame, tree: Tree = Tree()) -> DataFrame:
@@ -110,31 +114,25 @@ def report(docs: DataFrame, tree: Tree = Tree()) -> DataFrame:
 
 def clean(docs: DataFrame, tree: Tree = Tree()) -> DataFrame:
     """The documents with their remaining lines; those that lost lines and hold nothing but white space now are left out."""
-    out = cleaned(docs, tree)
     gone = (F.col("n_dropped") > 0) & ~F.coalesce(F.col("kept_text").rlike(r"\S"), F.lit(False))
-    return out.where(~gone).withColumn("text", F.col("kept_text")).drop("kept_text", "n_lines", "n_dropped")
+    return _cut(docs, tree).where(~gone).select(*(F.col("kept_text").alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def oracle_sql(tree: Tree = Tree()) -> str:
     """report() without the text, over the table documents."""
     blank = r"\x09\x0B\x0C\x0D "
+    lead = ", ".join(f"coalesce(string_split(masked, ' ')[{i + 1}], '')" for i in range(tree.lead))
+    keep = "p.owner <> r.first" if tree.keep_first else "TRUE"
     return rf"""
-WITH cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
-places AS (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS place FROM cut WHERE text IS NOT NULL),
-lines AS (
-  SELECT doc_id, place, lines[place] AS line,
-         CASE WHEN place > 1 THEN lines[place - 1] ELSE '' END || chr(10) || CASE WHEN place < len(lines) THEN lines[place + 1] ELSE '' END AS around
-  FROM places
-),
-trimmed AS (SELECT doc_id, place, around, regexp_replace(line, '^[{blank}]+|[{blank}]+$', '', 'g') AS line FROM lines),
+WITH cut AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS owner, text, string_split(text, chr(10)) AS lines FROM documents),
+places AS (SELECT r, owner, text, lines, unnest(range(1, len(lines) + 1)) AS place FROM cut WHERE text IS NOT NULL),
+lines AS (SELECT r, owner, text, place, lines[place] AS line FROM places),
+trimmed AS (SELECT r, owner, text, place, regexp_replace(line, '^[{blank}]+|[{blank}]+$', '', 'g') AS line FROM lines),
 masked AS (
-  SELECT doc_id, place, around,
-         regexp_replace(regexp_replace(line, '[{blank}]+', ' ', 'g'), '[^ ]*[0-9][^ ]*', '{FIELD}', 'g') AS masked
+  SELECT r, owner, text, place, regexp_replace(regexp_replace(line, '[{blank}]+', ' ', 'g'), '[^ ]*[0-9][^ ]*', '{FIELD}', 'g') AS masked
   FROM trimmed WHERE line <> ''
 ),
-seen AS (
-  SELECT *, string_split(masked, ' ') AS t, concat_ws(' ', CAST(len(string_split(masked, ' ')) AS VARCHAR), {", ".join(f"coalesce(string_split(masked, ' ')[{i + 1}], '')" for i in range(tree.lead))}) AS leaf FROM masked
-),
+seen AS (SELECT *, string_split(masked, ' ') AS t, concat_ws(' ', CAST(len(string_split(masked, ' ')) AS VARCHAR), {lead}) AS leaf FROM masked),
 tokens AS (SELECT leaf, masked, unnest(range(1, len(t) + 1)) AS pos, unnest(t) AS token, n FROM (SELECT leaf, masked, any_value(t) AS t, count(*) AS n FROM seen GROUP BY leaf, masked)),
 common AS (SELECT leaf, pos, token FROM tokens GROUP BY leaf, pos, token HAVING sum(n) >= {tree.least} AND token <> '{FIELD}'),
 templates AS (
@@ -142,14 +140,14 @@ templates AS (
   FROM tokens LEFT JOIN common ON tokens.leaf = common.leaf AND tokens.pos = common.pos AND tokens.token = common.token
   GROUP BY tokens.leaf, tokens.masked HAVING count(common.token) * 100 >= count(*) * {tree.constant_percent}
 ),
-placed AS (SELECT s.doc_id, s.place, s.around, t.template FROM seen s JOIN templates t ON s.leaf = t.leaf AND s.masked = t.masked),
-alone AS (SELECT template, doc_id, min(hash(around)) AS around FROM placed GROUP BY template, doc_id),
-recurring AS (SELECT template, min(doc_id) AS first FROM alone GROUP BY template HAVING count(DISTINCT around) >= {tree.least}),
-dropped AS (SELECT DISTINCT p.doc_id, p.place FROM placed p JOIN recurring r ON p.template = r.template WHERE p.doc_id <> r.first),
+placed AS (SELECT s.r, s.owner, s.text, s.place, t.template FROM seen s JOIN templates t ON s.leaf = t.leaf AND s.masked = t.masked),
+per_document AS (SELECT template, owner, string_agg(DISTINCT md5(text), ',' ORDER BY md5(text)) AS texts FROM placed GROUP BY template, owner),
+recurring AS (SELECT template, min(owner) AS first FROM per_document GROUP BY template HAVING count(DISTINCT texts) >= {tree.least}),
+dropped AS (SELECT DISTINCT p.r, p.place FROM placed p JOIN recurring r ON p.template = r.template WHERE {keep}),
 kept AS (
-  SELECT l.doc_id, count(d.place) AS n_dropped, string_agg(l.line, chr(10) ORDER BY l.place) FILTER (WHERE d.place IS NULL) AS text
-  FROM lines l LEFT JOIN dropped d ON l.doc_id = d.doc_id AND l.place = d.place GROUP BY l.doc_id
+  SELECT l.r, count(d.place) AS n_dropped, string_agg(l.line, chr(10) ORDER BY l.place) FILTER (WHERE d.place IS NULL) AS text
+  FROM lines l LEFT JOIN dropped d ON l.r = d.r AND l.place = d.place GROUP BY l.r
 )
 SELECT cut.doc_id, coalesce(len(cut.lines), 0)::BIGINT AS n_lines, coalesce(kept.n_dropped, 0)::BIGINT AS n_dropped, sha256(coalesce(kept.text, '')) AS kept_sha256
-FROM cut LEFT JOIN kept ON cut.doc_id = kept.doc_id
+FROM cut LEFT JOIN kept ON cut.r = kept.r
 """

@@ -31,8 +31,8 @@ def test_decontaminate(spark, docs, texts, limit):
     windows = defaultdict(set)
     for i, t in items:
         w = item_words(t)
-        for k in range(max(1, len(w) - 9) if w and i else 0):
-            windows[tuple(w[k : k + 10])].add(str(i))
+        for k in range(max(1, len(w) - 9) if w else 0):
+            windows[tuple(w[k : k + 10])] |= {str(i)} if i else set()
     want = {}
     for i, t in texts.items():
         w, hit, found = item_words(t), set(), set()
@@ -145,6 +145,9 @@ def test_language(spark):
     assert all(0 <= r["score"] <= 1 for r in found)
     kept = language_id.keep_known(df, language_id.Shape(per_language=60))
     assert kept.columns == df.columns and kept.count() == len(rows) - 3
+    more = df.select("*", F.lit(77.0).alias("score"), F.lit("own").alias("lang_pred"), F.lit(3).alias("_has_letter"), F.lit(4).alias("held_out"))
+    kept = language_id.keep_known(more, language_id.Shape(per_language=60))
+    assert kept.columns == more.columns and kept.select("score", "lang_pred", "_has_letter", "held_out").distinct().collect() == [(77.0, "own", 3, 4)]
     assert {r["lang_pred"] for r in language_id.identify(df.where("lang is null")).collect()} == {"und"}
     assert language_id.identify(df.limit(0)).count() == 0
 
@@ -300,6 +303,10 @@ def test_lines(spark):
     assert (by[200]["n_lines"], by[200]["kept_text"], by[202]["kept_text"]) == (0, None, "\n \n")
     clean = line_dedup.clean(df)
     assert clean.columns == df.columns and clean.count() == len(rows)
+    more = df.select("*", *(F.lit(7).alias(c) for c in ("n_lines", "n_dropped", "kept_text", "_drop_id", "text_key", "row", "places")))
+    clean = line_dedup.clean(more)
+    assert clean.columns == more.columns and clean.select(*more.columns[3:]).distinct().collect() == [(7,) * 7]
+    assert {(r["doc_id"], r["text"]) for r in clean.collect()} == {(i, r["kept_text"]) for i, r in by.items()}
     assert line_dedup.report(df.limit(0)).count() == 0
     assert line_dedup.report(df.unionByName(df)).count() == 2 * len(rows)
 
@@ -309,7 +316,9 @@ def test_chat(spark):
     rows += [(3, 5, f"s{i % 3}", f"t{i}") for i in range(100)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     out = chat.report(df)
-    against_sql(out, chat.oracle_sql(), conversations=df)
+    against_sql(out, chat.sections_sql(), conversations=df)
+    for most in (chat.MOST_CHARS, 300):
+        against_sql(chat.report_whole(df, most), chat.oracle_sql(most), conversations=df)
     found = chat.rotate(df).collect()
     own = defaultdict(int)
     for r in found:

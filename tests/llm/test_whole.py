@@ -20,6 +20,10 @@ def test_lines_recur_by_documents(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     by = {r["doc_id"]: r["kept_text"] for r in line_dedup.report(df).collect()}
     texts = dict(rows)
+    from test_rest import against_sql
+
+    for some in (df, df.unionByName(df), spark.createDataFrame([*rows, (None, rows[1][1]), (None, None)], df.schema)):
+        against_sql(line_dedup.report(some).drop("kept_text"), line_dedup.oracle_sql(), documents=some)
     assert by[0] == texts[0] and all(by[i] == f"{own[i]}\nthus {own[i]}" for i in range(1, 6))
     assert by[10] == texts[10] and all(by[10 + i] == f"so {own[i]}\n\n\nand {own[i]}" for i in range(1, 6))
     assert by[20] == ""
