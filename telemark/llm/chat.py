@@ -20,8 +20,7 @@ Turns of the same number follow the digests of their speaker and text; counts (o
 digest prefix give each turn its place, so that no task sorts more than the turns of one
 number and prefix, or the totals of blocks of turn numbers of one conversation.
 
-oracle_sql() is report(), in sections; report_whole() agrees with it on conversations of
-64 turns at most that are numbered within one part 0 and have no null turns.
+oracle_sql() is report_whole(), sections_sql() is report().
 
 Built from DataFrame functions alone.
 
@@ -141,7 +140,43 @@ def _written(out: DataFrame) -> DataFrame:
     return out.select("conv_id", "part", "section", "speaker", "n_turns", "text", spans.alias("mask"), chars.alias("n_masked"))
 
 
-def oracle_sql(most_turns: int = MOST_TURNS) -> str:
+def oracle_sql(most_chars: int = MOST_CHARS) -> str:
+    """report_whole() over the table conversations."""
+    frame = len("<|user |>\n" + END + "\n")
+    return f"""
+WITH named AS (
+  SELECT conv_id, coalesce(turn, {_LAST})::BIGINT AS turn, trim(translate(coalesce(role, ''), '<|>' || chr(10) || chr(13) || chr(9), '      ')) AS name, replace(coalesce(text, ''), '<|', '< |') AS body
+  FROM conversations
+),
+sized AS (SELECT conv_id, turn, CASE WHEN name = '' THEN 'unknown' ELSE name END AS name, body FROM named),
+placed AS (
+  SELECT *, length(name) + length(body) + {frame} AS size,
+         (sum(length(name) + length(body) + {frame}) OVER turns)::BIGINT - (length(name) + length(body) + {frame}) AS place
+  FROM sized WINDOW turns AS (PARTITION BY conv_id ORDER BY turn, md5(name || chr(1) || body) ROWS UNBOUNDED PRECEDING)
+),
+cut AS (SELECT *, place // {most_chars} AS section, greatest(place // {most_chars} + 1, (place + size) // {most_chars}) AS later FROM placed),
+turns AS (
+  SELECT conv_id, section, place, name, body, TRUE AS own FROM cut
+  UNION ALL SELECT conv_id, later, place, name, body, FALSE FROM cut WHERE place + size > later * {most_chars} - {most_chars // 4}
+),
+speakers AS (SELECT DISTINCT conv_id, section, name AS speaker FROM turns WHERE own),
+rendered AS (
+  SELECT s.conv_id, s.section, s.speaker, t.place, t.own AND t.name = s.speaker AS learnt,
+         CASE WHEN t.name = s.speaker THEN '<|assistant|>' || chr(10) ELSE '<|user ' || t.name || '|>' || chr(10) END AS opening, t.body || '{END}' AS said
+  FROM speakers s JOIN turns t ON s.conv_id IS NOT DISTINCT FROM t.conv_id AND s.section = t.section
+),
+measured AS (
+  SELECT *, (sum(length(opening) + length(said) + 1) OVER (PARTITION BY conv_id, section, speaker ORDER BY place))::BIGINT - length(said) - 1 AS start FROM rendered
+)
+SELECT conv_id, 0::BIGINT AS part, section::BIGINT AS section, speaker, count(*)::BIGINT AS n_turns,
+       string_agg(opening || said || chr(10), '' ORDER BY place) AS text,
+       string_agg(start::VARCHAR || '-' || (start + length(said))::VARCHAR, ',' ORDER BY place) FILTER (WHERE learnt) AS mask,
+       (sum(length(said)) FILTER (WHERE learnt))::BIGINT AS n_masked
+FROM measured GROUP BY conv_id, section, speaker
+"""
+
+
+def sections_sql(most_turns: int = MOST_TURNS) -> str:
     """report() over the table conversations."""
     return f"""
 WITH named AS (
