@@ -49,7 +49,8 @@ def _classic_quantile(q: float) -> Column:
     upper, below = _at(b, at)["le"], F.coalesce(_at(b, at - 1)["value"], F.lit(0.0))
     lower = F.when(at == 0, F.lit(0.0)).otherwise(_at(b, at - 1)["le"])
     inside = lower + (upper - lower) * ieee.div(rank - below, _at(b, at)["value"] - below)
-    value = F.when(at >= n - 1, _at(b, n - 2)["le"]).when((at == 0) & (upper <= 0), upper).otherwise(inside)
+    empty = _at(b, at)["value"] == below  # the first bucket, at the quantile 0
+    value = F.when(at >= n - 1, _at(b, n - 2)["le"]).when((at == 0) & (upper <= 0) | empty, upper).otherwise(inside)
     return F.when((n < 2) | (top != ieee.INF) | (total == 0) | F.isnan(total), F.lit(ieee.NAN)).otherwise(value)
 
 
@@ -108,10 +109,7 @@ def native_from_explicit(h: DataFrame) -> DataFrame:
 
 def instant(samples: DataFrame, grid, width: int, offset: int = 0) -> DataFrame:
     """The latest histogram of each window."""
-    df = samples.withColumn("ts_ms", F.col("ts_ms") + F.lit(offset).cast("long"))
-    lo, hi = steps_of(F.col("ts_ms"), grid, width)
-    df = df.withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi")
-    df = at_steps(df, grid)
+    df = _in_windows(samples, grid, width, offset)
     return df.groupBy("metric", "lkey", "t").agg(F.first("labels").alias("labels"), F.max_by("hist", "ts_ms").alias("hist"))
 
 
@@ -148,7 +146,11 @@ def bucket_rows(v: DataFrame) -> DataFrame:
         high = F.when(h["schema"] == CUSTOM, F.coalesce(_at(h["custom_values"], F.col("p")), F.lit(ieee.INF))).otherwise(outer if sign > 0 else -inner)
         return rows.select(*keys, h["schema"].alias("schema"), F.lit(sign).alias("side"), i.alias("i"), low.alias("lower"), high.alias("upper"), "n")
 
-    zero = base.where("hist.zero_count > 0").select(*keys, h["schema"].alias("schema"), F.lit(0).alias("side"), F.lit(0).alias("i"), (-h["zero_threshold"]).alias("lower"), h["zero_threshold"].alias("upper"), h["zero_count"].alias("n"))
+    # around zero, but only on the side that is filled, if one alone is
+    filled = lambda name: F.exists(h[f"{name}_buckets"], lambda n: n != 0)
+    low = F.when(filled("negative") | ~filled("positive"), -h["zero_threshold"]).otherwise(F.lit(0.0))
+    high = F.when(filled("positive") | ~filled("negative"), h["zero_threshold"]).otherwise(F.lit(0.0))
+    zero = base.where("hist.zero_count > 0").select(*keys, h["schema"].alias("schema"), F.lit(0).alias("side"), F.lit(0).alias("i"), low.alias("lower"), high.alias("upper"), h["zero_count"].alias("n"))
     return side(1).unionByName(side(-1)).unionByName(zero).where("n <> 0")
 
 
@@ -169,15 +171,35 @@ def _inside(share: Column) -> Column:
 
 
 def quantile(v: DataFrame, q: float) -> DataFrame:
-    """The q-quantile of native histograms; NaN of empty ones."""
+    """The q-quantile of native histograms; NaN of empty ones.
+
+    A rank at the edge of an exponential bucket is the lower bound of the next filled one,
+    one at the edge of a custom bucket the edge itself.
+    """
     if not 0 <= q <= 1:
         return _value(v, F.lit(-ieee.INF if q < 0 else ieee.INF))
-    rows = _cumulative(v).where(F.col("upto") >= F.col("total") * q)
-    share = ieee.div(F.col("total") * q - (F.col("upto") - F.col("n")), F.col("n"))
-    first = rows.withColumn("x", _inside(share)).groupBy(*_KEY).agg(F.min_by("x", "upto").alias("x"))
+    known = v.select(*_KEY, F.col("hist.count").alias("all"), F.get("hist.positive_buckets", F.lit(0)).alias("n0"), F.get("hist.custom_values", F.lit(0)).alias("bound0"))
+    rows = _cumulative(v).join(known, _KEY)
+    is_custom = F.col("schema") == CUSTOM
+    rank = F.when(is_custom, F.col("total")).otherwise(F.col("all")) * q
+    below = F.col("upto") - F.col("n")
+    reaches = F.when(is_custom, F.col("upto") >= rank).otherwise((F.col("upto") > rank) | (F.col("upto") == F.col("total")) & (rank == F.col("total")))
+    x = F.when(rank == below, F.col("lower")).when(rank == F.col("upto"), F.col("upper")).otherwise(_inside(ieee.div(rank - below, F.col("n"))))
+    at_zero = F.when((F.col("n0") == 0) | (F.col("bound0") <= 0), F.col("bound0")).otherwise(F.lit(0.0))  # the first custom bucket, empty or not
+    x = F.when(is_custom, F.when(F.lit(q == 0), at_zero).otherwise(_inside(ieee.div(rank - below, F.col("n"))))).otherwise(x)
+    first = rows.where(reaches).withColumn("x", x).groupBy(*_KEY).agg(F.min_by("x", "upto").alias("x"))
     return _value(v.join(first, _KEY, "left"), F.coalesce("x", F.lit(ieee.NAN)))
 
 
+def quantiles(v: DataFrame, name: str, *qs: float) -> DataFrame:
+    """One series for each quantile of native histograms, which becomes a label."""
+    each = [quantile(v, q).withColumn("labels", put_label("labels", name, F.lit(f"{q:g}"))) for q in qs]
+    out = each[0]
+    for more in each[1:]:
+        out = out.unionByName(more)
+    return out.withColumn("lkey", label_key("labels")).select(*VECTOR)
+
+
 def fraction(v: DataFrame, low: float, high: float) -> DataFrame:
     """The share of observations of native histograms between two values."""
     lower, upper = F.col("lower"), F.col("upper")
@@ -207,9 +229,9 @@ def stddev(v: DataFrame) -> DataFrame:
     return variance(v).withColumn("value", F.sqrt("value"))
 
 
-def scale(v: DataFrame, factor: float) -> DataFrame:
+def scale(v: DataFrame, factor: float | Column) -> DataFrame:
     """All counts and the sum times a number."""
-    h, x = F.col("hist"), F.lit(float(factor))
+    h, x = F.col("hist"), factor if isinstance(factor, Column) else F.lit(float(factor))
     scaled = lambda c: F.transform(h[c], lambda n: n * x)
     return v.withColumn("hist", h.withField("positive_buckets", scaled("positive_buckets")).withField("negative_buckets", scaled("negative_buckets")).withField("zero_count", h["zero_count"] * x).withField("sum", h["sum"] * x).withField("count", h["count"] * x))
 
@@ -273,6 +295,23 @@ def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
     return add(a, scale(b, -1.0))
 
 
+def _canonical(h: Column) -> Column:
+    """What makes two histograms equal, whatever empty buckets they list."""
+    filled = lambda side: F.filter(F.transform(h[f"{side}_buckets"], lambda n, p: F.struct((p + h[f"{side}_offset"]).alias("i"), n.alias("n"))), lambda b: b["n"] != 0)
+    return F.struct(*(h[c] for c in ("schema", "zero_threshold", "zero_count", "custom_values", "sum", "count")), filled("positive"), filled("negative"))
+
+
+def compare(a: DataFrame, b: DataFrame, op: str, as_bool: bool = False) -> DataFrame:
+    """`==` or `!=` series by series: the left histograms for which it holds, or 1 and 0."""
+    if op not in ("==", "!="):
+        raise ValueError(f"histograms can't be compared by {op}")
+    other = b.select(*_KEY, _canonical(F.col("hist")).alias("_other"))
+    both = a.join(other, _KEY)
+    same = _canonical(F.col("hist")).eqNullSafe(F.col("_other"))
+    holds = same if op == "==" else ~same
+    return _value(both, holds.cast("double")) if as_bool else both.where(holds).select("metric", "labels", "lkey", "t", "hist")
+
+
 def mean(v: DataFrame, by: list[str] | None = None, without: list[str] | None = None) -> DataFrame:
     """The average histogram of each group."""
     kept = drop_labels("labels", without) if without is not None else keep_labels("labels", by or [])
@@ -294,20 +333,109 @@ def trim(v: DataFrame, op: str, cut: float) -> DataFrame:
     return rows.withColumn("n", F.col("n") * share).where("n > 0")
 
 
-def increase(samples: DataFrame, grid, width: int, offset: int = 0) -> DataFrame:
-    """Growth of cumulative histograms in each window: last less first, and what they held at each reset; windows of two at least."""
+def _in_windows(samples: DataFrame, grid, width: int, offset: int) -> DataFrame:
+    """The histograms with a row for each step t whose window holds them."""
     df = samples.withColumn("ts_ms", F.col("ts_ms") + F.lit(offset).cast("long"))
     lo, hi = steps_of(F.col("ts_ms"), grid, width)
-    df = df.withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi")
-    df = at_steps(df, grid)
-    order = Window.partitionBy("metric", "lkey", "t").orderBy("ts_ms")
-    every = Window.partitionBy("metric", "lkey", "t")
-    df = df.withColumns({"next_count": F.lead("hist.count").over(order), "first": F.row_number().over(order) == 1, "n": F.count(F.lit(1)).over(every)}).where("n > 1")
-    fell = F.col("next_count") < F.col("hist.count")
-    signed = F.when(F.col("next_count").isNull() | fell, 1.0).otherwise(0.0) - F.when(F.col("first"), 1.0).otherwise(0.0)
+    return at_steps(df.withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi"), grid).drop("_lo", "_hi")
+
+
+_SERIES = ["metric", "lkey", "t"]
+
+
+def _is_reset(a: Column, b: Column) -> Column:
+    """Whether b doesn't continue a: another schema, or a count, the zero bucket's or any bucket's among them, that fell."""
+
+    def fell(side: str) -> Column:
+        shift = a[f"{side}_offset"] - b[f"{side}_offset"]
+        now = lambda p: F.when(p + shift >= 0, F.get(b[f"{side}_buckets"], (p + shift).cast("int")))
+        return F.exists(F.transform(a[f"{side}_buckets"], lambda n, p: n > F.coalesce(now(p), F.lit(0.0))), lambda x: x)
+
+    return (a["schema"] != b["schema"]) | (b["count"] < a["count"]) | (b["zero_count"] < a["zero_count"]) | fell("positive") | fell("negative")
+
+
+def _followed(samples: DataFrame, grid, width: int, offset: int) -> DataFrame:
+    """Each histogram of a window with the next one, its place and whether that one is a reset."""
+    df = _in_windows(samples, grid, width, offset)
+    order = Window.partitionBy(*_SERIES).orderBy("ts_ms")
+    df = df.withColumns({"next": F.lead("hist").over(order), "k": F.row_number().over(order)})
+    return df.withColumn("reset", F.col("next").isNotNull() & F.coalesce(_is_reset(F.col("hist"), F.col("next")), F.lit(False)))
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    """The sum of the histograms of each series and step."""
+    labels = parts.groupBy(*_SERIES).agg(F.first("labels").alias("labels"))
+    both = parts.select(F.lit(None).cast("string").alias("metric"), F.create_map(F.lit("_name"), F.coalesce("metric", F.lit("")), F.lit("_key"), F.col("lkey")).alias("labels"), F.col("lkey"), "t", "hist")
+    out = combine(both, by=["_name", "_key"])
+    out = out.select(F.coalesce(F.element_at("labels", "_name"), F.lit("")).alias("_name"), F.element_at("labels", "_key").alias("lkey"), "t", "hist")
+    return out.join(labels.withColumn("_name", F.coalesce("metric", F.lit(""))), ["_name", "lkey", "t"]).select("metric", "labels", "lkey", "t", "hist")
+
+
+def increase(samples: DataFrame, grid, width: int, offset: int = 0, extrapolate: bool = True) -> DataFrame:
+    """Growth of cumulative histograms in each window of two at least: last less first, and what they held at each reset.
+
+    Extrapolated to the window's ends as for counters: by half a mean interval where an end is
+    further away than 1.1 of them, and not to before the count would have been zero.
+    """
+    df = _followed(samples, grid, width, offset)
+    stats = df.groupBy(*_SERIES).agg(F.min("ts_ms").alias("first"), F.max("ts_ms").alias("last"), F.count(F.lit(1)).alias("n"), F.min_by("hist.count", "ts_ms").alias("held")).where("n > 1")
+    df = df.join(stats.select(*_SERIES), _SERIES, "left_semi")
+    signed = F.when(F.col("next").isNull() | F.col("reset"), 1.0).otherwise(0.0) - F.when(F.col("k") == 1, 1.0).otherwise(0.0)
     parts = df.withColumn("sign", signed).where("sign <> 0")
-    plus, minus = parts.where("sign > 0").drop("sign"), scale(parts.where("sign < 0").drop("sign"), -1.0)
-    both = plus.unionByName(minus).select("metric", "labels", "lkey", "t", "hist")
-    labels = both.groupBy(*_KEY).agg(F.first("labels").alias("labels"))
-    out = combine(both.withColumn("labels", F.create_map(F.lit("_key"), F.col("lkey"))), by=["_key"])
-    return out.withColumn("lkey", F.element_at("labels", "_key")).drop("labels").join(labels, _KEY).select("metric", "labels", "lkey", "t", "hist")
+    out = _summed(scale(parts, F.col("sign")))
+    if not extrapolate:
+        return out
+    out = out.join(stats.drop("n").join(stats.select(*_SERIES, "n"), _SERIES), _SERIES)
+    sampled = (F.col("last") - F.col("first")).cast("double")
+    gap = sampled / (F.col("n") - 1)
+    to_start, to_end = (F.col("first") - (F.col("t") - width)).cast("double"), (F.col("t") - F.col("last")).cast("double")
+    to_start = F.when(to_start >= gap * 1.1, gap / 2).otherwise(to_start)
+    to_zero = sampled * F.col("held") / F.col("hist.count")
+    to_start = F.when((F.col("hist.count") > 0) & (F.col("held") >= 0) & (to_zero < to_start), to_zero).otherwise(to_start)
+    to_end = F.when(to_end >= gap * 1.1, gap / 2).otherwise(to_end)
+    return scale(out, ieee.div(sampled + to_start + to_end, sampled)).select("metric", "labels", "lkey", "t", "hist")
+
+
+def rate(samples: DataFrame, grid, width: int, offset: int = 0) -> DataFrame:
+    """increase() per second of the window."""
+    return scale(increase(samples, grid, width, offset), 1000.0 / width)
+
+
+def irate(samples: DataFrame, grid, width: int, offset: int = 0) -> DataFrame:
+    """Growth from the last but one to the last histogram of each window, per second (of one second at least)."""
+    df = _followed(samples, grid, width, offset)
+    order = Window.partitionBy(*_SERIES).orderBy(F.desc("ts_ms"))
+    two = df.withColumns({"back": F.row_number().over(order), "later": F.lag("ts_ms").over(order)}).where("back <= 2")
+    before = two.where("back = 2").select(*_SERIES, F.greatest((F.col("later") - F.col("ts_ms")) / 1000.0, F.lit(1.0)).alias("seconds"), F.col("reset").alias("anew"))
+    both = two.drop("reset").join(before, _SERIES).where("back = 1 or not anew")
+    return _summed(scale(both, F.when(F.col("back") == 1, 1.0).otherwise(-1.0) / F.col("seconds")))
+
+
+def sum_over_time(samples: DataFrame, grid, width: int, offset: int = 0) -> DataFrame:
+    return _summed(_in_windows(samples, grid, width, offset))
+
+
+def avg_over_time(samples: DataFrame, grid, width: int, offset: int = 0) -> DataFrame:
+    df = _in_windows(samples, grid, width, offset)
+    n = df.groupBy(*_SERIES).agg(F.count(F.lit(1)).alias("_n"))
+    return _summed(scale(df.join(n, _SERIES), 1.0 / F.col("_n")))
+
+
+def _counted(df: DataFrame, value: Column) -> DataFrame:
+    """A number for each series and step."""
+    g = df.groupBy(*_SERIES).agg(value.cast("double").alias("value"))
+    return g.select("metric", labels_of("lkey").alias("labels"), "lkey", "t", F.col("t").alias("src_ts"), "value", F.lit(True).alias("drop_name")).select(*VECTOR)
+
+
+def count_over_time(samples: DataFrame, grid, width: int, offset: int = 0) -> DataFrame:
+    return _counted(_in_windows(samples, grid, width, offset), F.count(F.lit(1)))
+
+
+def changes(samples: DataFrame, grid, width: int, offset: int = 0) -> DataFrame:
+    """How often a histogram of the window differs from the one before."""
+    differs = F.col("next").isNotNull() & ~_canonical(F.col("hist")).eqNullSafe(_canonical(F.col("next")))
+    return _counted(_followed(samples, grid, width, offset), F.count_if(differs))
+
+
+def resets(samples: DataFrame, grid, width: int, offset: int = 0) -> DataFrame:
+    return _counted(_followed(samples, grid, width, offset), F.count_if(F.col("reset")))

@@ -89,13 +89,18 @@ def value_hints(spans: DataFrame, attribute: str, limit: int = 100) -> DataFrame
 # --- rate, errors, duration ---------------------------------------------------------------
 
 
+def _inside(start_ns: int, end_ns: int) -> Column:
+    """Spans that begin and end within [start, end]."""
+    return (F.col("ts_start_ns") >= start_ns) & (F.col("ts_end_ns") <= end_ns)
+
+
 def red(spans: DataFrame, keys: list[str], start_ns: int, end_ns: int, resolution: str) -> DataFrame:
-    """By keys and time bucket of [start, end): count, errors, percentiles of the durations of OK spans, rates.
+    """By keys and time bucket, of the spans within [start, end]: count, errors, percentiles of the durations of OK spans, rates.
 
     A span without a status counts, but is neither an error nor part of the percentiles.
     """
     width = RESOLUTION_NS[resolution]
-    rows = spans.where((F.col("ts_start_ns") >= start_ns) & (F.col("ts_start_ns") < end_ns))
+    rows = spans.where(_inside(start_ns, end_ns))
     duration = F.col("ts_end_ns") - F.col("ts_start_ns")
     timed = F.when((F.col("span_status") == "OK") & (duration > 0), duration)
     g = rows.groupBy(*keys, (F.col("ts_start_ns") - F.col("ts_start_ns") % width).alias("bucket_ns")).agg(F.count(F.lit(1)).alias("count"), F.count_if(F.col("span_status") == "ERROR").alias("errors"), F.percentile(timed, _LEVELS).alias("p"))
@@ -106,7 +111,7 @@ def red(spans: DataFrame, keys: list[str], start_ns: int, end_ns: int, resolutio
 
 def red_totals(spans: DataFrame, keys: list[str], start_ns: int, end_ns: int) -> DataFrame:
     """By keys: count, errors, availability (null without spans)."""
-    rows = spans.where((F.col("ts_start_ns") >= start_ns) & (F.col("ts_start_ns") < end_ns))
+    rows = spans.where(_inside(start_ns, end_ns))
     g = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.count_if(F.col("span_status") == "ERROR").alias("errors"))
     return g.withColumn("availability", F.when(F.col("count") > 0, 1 - F.col("errors") / F.col("count")))
 
@@ -114,16 +119,16 @@ def red_totals(spans: DataFrame, keys: list[str], start_ns: int, end_ns: int) ->
 def red_operations(spans: DataFrame, service: str, start_ns: int, end_ns: int, resolution: str, most: int = OPERATIONS) -> DataFrame:
     """The first operations by name of a service, each with its own buckets."""
     own = spans.where(F.col("service_name") == service)
-    names = own.where((F.col("ts_start_ns") >= start_ns) & (F.col("ts_start_ns") < end_ns)).select("span_name").distinct().orderBy("span_name").limit(most)
+    names = own.where(_inside(start_ns, end_ns)).select("span_name").distinct().orderBy("span_name").limit(most)
     return red(own.join(F.broadcast(names), "span_name", "left_semi"), ["span_name"], start_ns, end_ns, resolution)
 
 
-def operation_count(spans: DataFrame, service: str) -> DataFrame:
-    return spans.where(F.col("service_name") == service).agg(F.countDistinct("span_name").alias("operations"))
+def operation_count(spans: DataFrame, service: str, start_ns: int, end_ns: int) -> DataFrame:
+    return spans.where((F.col("service_name") == service) & _inside(start_ns, end_ns) & (F.col("span_name") != "")).agg(F.countDistinct("span_name").alias("operations"))
 
 
 def services(spans: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
-    return spans.where((F.col("ts_start_ns") >= start_ns) & (F.col("ts_start_ns") < end_ns)).select("service_name").distinct().orderBy("service_name")
+    return spans.where(_inside(start_ns, end_ns)).select("service_name").distinct().orderBy("service_name")
 
 
 def flame_graph(spans: DataFrame) -> DataFrame:

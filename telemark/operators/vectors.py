@@ -300,8 +300,15 @@ class Matching(NamedTuple):
         return drop_labels(labels, list(self.ignoring))
 
 
-def _keyed(v: DataFrame, m: Matching) -> DataFrame:
-    return v.withColumn("_match", label_key(m.labels()))
+def _keyed(left: DataFrame, right: DataFrame, m: Matching) -> tuple[DataFrame, DataFrame]:
+    """Both sides with their match key; labels of the metric itself count only where both sides know them."""
+    if m.on is not None:
+        return tuple(v.withColumn("_match", label_key(m.labels())) for v in (left, right))
+    known = lambda v, side: v.agg(*(F.coalesce(F.bool_or(label("labels", n) != ""), F.lit(False)).alias(f"{side}{i}") for i, n in enumerate(METADATA_LABELS)))
+    unknown = F.array_compact(F.array(*(F.when(~(F.col(f"l{i}") & F.col(f"r{i}")), F.lit(n)) for i, n in enumerate(METADATA_LABELS))))
+    one_row = F.broadcast(known(left, "l").crossJoin(known(right, "r")).select(unknown.alias("_unknown")))
+    key = label_key(F.map_filter(m.labels(), lambda k, _: ~F.array_contains(F.col("_unknown"), k)))
+    return tuple(v.crossJoin(one_row).withColumn("_match", key).drop("_unknown") for v in (left, right))
 
 
 def _unique(v: DataFrame, side: str) -> DataFrame:
@@ -317,7 +324,7 @@ def binary(left: DataFrame, right: DataFrame, op: str, m: Matching = Matching(),
     A fill value stands in for a missing partner on its side.
     """
     many_left, many_right = m.group == "left", m.group == "right"
-    a, b = _keyed(left, m), _keyed(right, m)
+    a, b = _keyed(left, right, m)
     a = a if many_left else _unique(a, "left")
     b = b if many_right else _unique(b, "right")
     how = {(False, False): "inner", (True, False): "right_outer", (False, True): "left_outer", (True, True): "full_outer"}[(fill_left is not None, fill_right is not None)]
@@ -333,26 +340,27 @@ def binary(left: DataFrame, right: DataFrame, op: str, m: Matching = Matching(),
         labels = base
         other = F.col("l_labels" if many_right else "r_labels")
         for name in m.include:
-            value = F.when(other.isNull(), label(labels, name)).otherwise(label(other, name))
+            value = F.when(other.isNull() | (label(other, name) == ""), label(labels, name)).otherwise(label(other, name))
             labels = put_label(labels, name, value)
     comparing = op in ieee.COMPARISON
     if comparing and not as_bool:
         out = j.where(ieee.COMPARISON[op](lv, rv))
         kept = F.coalesce(*(("r_labels", "l_labels") if many_right else ("l_labels", "r_labels"))) if m.group is None and m.on is None and not m.ignoring else labels
-        side = "r" if many_right else "l"
-        value, name, dropped = (rv if many_right else lv), F.col(f"{side}_metric"), F.coalesce(F.col(f"{side}_drop_name"), F.lit(True))
-        return out.select(name.alias("metric"), kept.alias("labels"), label_key(kept).alias("lkey"), "t", F.col("t").alias("src_ts"), value.alias("value"), dropped.alias("drop_name"))
+        name, dropped = F.col("l_metric"), F.coalesce("l_drop_name", F.lit(True))  # the left value passes, whichever side is the many one
+        return out.select(name.alias("metric"), kept.alias("labels"), label_key(kept).alias("lkey"), "t", F.col("t").alias("src_ts"), lv.alias("value"), dropped.alias("drop_name"))
     value = ieee.COMPARISON[op](lv, rv).cast("double") if comparing else ieee.ARITHMETIC[op](lv, rv)
     labels = drop_labels(labels, list(METADATA_LABELS))
     return j.select(F.coalesce("l_metric", "r_metric").alias("metric"), labels.alias("labels"), label_key(labels).alias("lkey"), "t", F.col("t").alias("src_ts"), value.alias("value"), F.lit(True).alias("drop_name"))
 
 
 def and_(left: DataFrame, right: DataFrame, m: Matching = Matching()) -> DataFrame:
-    return _keyed(left, m).join(_keyed(right, m).select("_match", "t"), ["_match", "t"], "left_semi").select(*VECTOR)
+    a, b = _keyed(left, right, m)
+    return a.join(b.select("_match", "t"), ["_match", "t"], "left_semi").select(*VECTOR)
 
 
 def unless(left: DataFrame, right: DataFrame, m: Matching = Matching()) -> DataFrame:
-    return _keyed(left, m).join(_keyed(right, m).select("_match", "t"), ["_match", "t"], "left_anti").select(*VECTOR)
+    a, b = _keyed(left, right, m)
+    return a.join(b.select("_match", "t"), ["_match", "t"], "left_anti").select(*VECTOR)
 
 
 def or_(left: DataFrame, right: DataFrame, m: Matching = Matching()) -> DataFrame:

@@ -477,7 +477,7 @@ def build(events: tuple, lines: tuple) -> tuple[dict, dict[str, str]]:
         return _flat(H.avg(_native(spark, d)), ("returnflag",), 7)
 
 
-    @_query("promql_native_quantile", _ctes("SELECT t, returnflag, round(arg_min(pow(2, log2(lower) + (log2(upper) - log2(lower)) * (total * 0.75 - (upto - n)) / n), i), 4) AS value FROM (SELECT *, sum(n) OVER (PARTITION BY returnflag, t ORDER BY i) AS upto, sum(n) OVER (PARTITION BY returnflag, t) AS total FROM b) WHERE upto >= total * 0.75 GROUP BY t, returnflag", _EXP, grid=_H_GRID))
+    @_query("promql_native_quantile", _ctes("SELECT t, returnflag, round(arg_min(pow(2, log2(lower) + (log2(upper) - log2(lower)) * (total * 0.75 - (upto - n)) / n), i), 4) AS value FROM (SELECT *, sum(n) OVER (PARTITION BY returnflag, t ORDER BY i) AS upto, sum(n) OVER (PARTITION BY returnflag, t) AS total FROM b) WHERE upto > total * 0.75 GROUP BY t, returnflag", _EXP, grid=_H_GRID))
     def _(spark, d):
         return _flat(H.quantile(_native(spark, d), 0.75), ("returnflag",), 4)
 
@@ -503,4 +503,92 @@ def build(events: tuple, lines: tuple) -> tuple[dict, dict[str, str]]:
         kept = H.trim(_native(spark, d), "</", 30000.0)
         return kept.groupBy("t", label("labels", "returnflag").alias("returnflag")).agg(F.round(F.sum("n"), 6).alias("value"))
 
+    # --- histograms over ranges: lineitem's daily histograms, added up by day as cumulative ones --------
+
+    def _cumulated(spark, d) -> DataFrame:
+        return S.cumulative_exponential_samples(spark, d)
+
+
+    #: Every bucket of a return flag's cumulative histograms, day by day; a month starts anew.
+    _CUM = "e AS (SELECT l_returnflag AS returnflag, epoch_us(l_shipdate) // 1000 AS ts_ms, epoch_us(date_trunc('month', l_shipdate)) // 1000 AS month, ceil(log2(l_extendedprice) * 2)::INT AS i, count(*)::DOUBLE AS n FROM lineitem GROUP BY ALL), days AS (SELECT DISTINCT returnflag, month, ts_ms FROM e), cells AS (SELECT d.returnflag, d.month, d.ts_ms, i.i FROM days d JOIN (SELECT DISTINCT returnflag, month, i FROM e) i USING (returnflag, month)), c AS (SELECT x.returnflag, x.month, x.ts_ms, x.i, sum(coalesce(e.n, 0)) OVER (PARTITION BY x.returnflag, x.month, x.i ORDER BY x.ts_ms) AS n FROM cells x LEFT JOIN e USING (returnflag, month, ts_ms, i)), at_step AS (SELECT d.*, t FROM days d JOIN grid ON ts_ms > t - 1814400000 AND ts_ms <= t), w AS (SELECT returnflag, t, min(ts_ms) AS first, max(ts_ms) AS last, count(*) AS points FROM at_step GROUP BY ALL HAVING count(*) > 1), ends AS (SELECT returnflag, t, month, min(ts_ms) AS lo, max(ts_ms) AS hi FROM at_step GROUP BY ALL), grown AS (SELECT e.returnflag, e.t, c.i, sum(CASE WHEN c.ts_ms = e.hi THEN c.n ELSE 0 END - CASE WHEN c.ts_ms = w.first AND c.month = e.month AND c.ts_ms = e.lo THEN c.n ELSE 0 END) AS n FROM ends e JOIN w USING (returnflag, t) JOIN c ON c.returnflag = e.returnflag AND c.month = e.month AND c.ts_ms IN (e.lo, e.hi) GROUP BY ALL), held AS (SELECT w.returnflag, w.t, sum(c.n) AS n FROM w JOIN c ON c.returnflag = w.returnflag AND c.ts_ms = w.first GROUP BY ALL), x AS (SELECT w.*, held.n AS held, (last - first)::DOUBLE AS sampled, (last - first)::DOUBLE / (points - 1) AS gap, (SELECT sum(g.n) FROM grown g WHERE g.returnflag = w.returnflag AND g.t = w.t) AS total FROM w JOIN held USING (returnflag, t)), y AS (SELECT *, CASE WHEN first - (t - 1814400000) >= gap * 1.1 THEN gap / 2 ELSE first - (t - 1814400000) END AS s0, CASE WHEN t - last >= gap * 1.1 THEN gap / 2 ELSE t - last END AS s1 FROM x), z AS (SELECT *, (sampled + CASE WHEN total > 0 AND sampled * held / total < s0 THEN sampled * held / total ELSE s0 END + s1) / sampled AS factor FROM y)"
+    _WIDE = 21 * DAY
+
+
+    def _cells(v: DataFrame, digits: int = 6) -> DataFrame:
+        rows = H.bucket_rows(v)
+        return rows.select("t", label("labels", "returnflag").alias("returnflag"), F.col("i").cast("long").alias("i"), F.round("n", digits).alias("value"))
+
+
+    @_query("promql_native_increase", _ctes("SELECT t, returnflag, i::BIGINT AS i, round(n * factor, 6) AS value FROM grown JOIN z USING (returnflag, t) WHERE n <> 0", _CUM, grid=_H_GRID))
+    def _(spark, d):
+        return _cells(H.increase(_cumulated(spark, d), H_GRID, _WIDE))
+
+
+    @_query("promql_native_rate", _ctes("SELECT t, returnflag, i::BIGINT AS i, round(n * factor / 1814400, 12) AS value FROM grown JOIN z USING (returnflag, t) WHERE n <> 0", _CUM, grid=_H_GRID))
+    def _(spark, d):
+        return _cells(H.rate(_cumulated(spark, d), H_GRID, _WIDE), 12)
+
+
+    @_query("promql_native_irate", _ctes("SELECT t, returnflag, i::BIGINT AS i, round(n / greatest((last - before) / 1000.0, 1.0), 12) AS value FROM (SELECT k.returnflag, k.t, k.last, k.before, c.i, c.n - CASE WHEN p.month = c.month THEN coalesce(b.n, 0) ELSE 0 END AS n FROM (SELECT returnflag, t, max(ts_ms) AS last, max(ts_ms, 2)[2] AS before FROM at_step GROUP BY ALL HAVING count(*) > 1) k JOIN c ON c.returnflag = k.returnflag AND c.ts_ms = k.last JOIN days p ON p.returnflag = k.returnflag AND p.ts_ms = k.before LEFT JOIN c b ON b.returnflag = k.returnflag AND b.ts_ms = k.before AND b.i = c.i) WHERE n <> 0", _CUM, grid=_H_GRID))
+    def _(spark, d):
+        return _cells(H.irate(_cumulated(spark, d), H_GRID, _WIDE), 12)
+
+
+    @_query("promql_native_resets", _ctes("SELECT t, returnflag, (count(DISTINCT month) - 1)::DOUBLE AS value FROM at_step GROUP BY ALL", _CUM, grid=_H_GRID))
+    def _(spark, d):
+        return _flat(H.resets(_cumulated(spark, d), H_GRID, _WIDE), ("returnflag",))
+
+
+    @_query("promql_native_changes", _ctes("SELECT t, returnflag, (count(*) - 1)::DOUBLE AS value FROM at_step GROUP BY ALL", _CUM, grid=_H_GRID))
+    def _(spark, d):
+        return _flat(H.changes(_cumulated(spark, d), H_GRID, _WIDE), ("returnflag",))
+
+
+    _SPAN_OF = f"SELECT e.*, t FROM e JOIN grid ON ts_ms > t - {7 * DAY} AND ts_ms <= t"
+
+
+    @_query("promql_native_sum_over_time", _ctes(f"SELECT t, returnflag, i::BIGINT AS i, sum(n) AS value FROM ({_SPAN_OF}) GROUP BY ALL", _EXP, grid=_H_GRID))
+    def _(spark, d):
+        return _cells(H.sum_over_time(S.exponential_samples(spark, d), H_GRID, 7 * DAY))
+
+
+    @_query("promql_native_avg_over_time", _ctes(f"SELECT t, returnflag, i::BIGINT AS i, round(sum(n) / max(points), 6) AS value FROM ({_SPAN_OF}) x JOIN (SELECT returnflag, t, count(DISTINCT ts_ms) AS points FROM ({_SPAN_OF}) GROUP BY ALL) USING (returnflag, t) GROUP BY ALL", _EXP, grid=_H_GRID))
+    def _(spark, d):
+        return _cells(H.avg_over_time(S.exponential_samples(spark, d), H_GRID, 7 * DAY))
+
+
+    @_query("promql_native_count_over_time", _ctes(f"SELECT t, returnflag, count(DISTINCT ts_ms)::DOUBLE AS value FROM ({_SPAN_OF}) GROUP BY ALL", _EXP, grid=_H_GRID))
+    def _(spark, d):
+        return _flat(H.count_over_time(S.exponential_samples(spark, d), H_GRID, 7 * DAY), ("returnflag",))
+
+
+    @_query("promql_native_count", _ctes("SELECT t, returnflag, sum(n) AS value FROM b GROUP BY t, returnflag", _EXP, grid=_H_GRID))
+    def _(spark, d):
+        return _flat(H.count(_native(spark, d)), ("returnflag",))
+
+
+    @_query("promql_native_add", _ctes("SELECT t, returnflag, i::BIGINT AS i, 1.5 * n AS value FROM b", _EXP, grid=_H_GRID))
+    def _(spark, d):
+        return _cells(H.subtract(H.add(_native(spark, d), _native(spark, d)), H.scale(_native(spark, d), 0.5)))
+
+
+    @_query("promql_native_equal", _ctes("SELECT t, returnflag, (x.ts_ms = y.ts_ms)::DOUBLE AS value FROM latest x JOIN (SELECT returnflag, t, max(ts_ms) AS ts_ms FROM (SELECT DISTINCT returnflag, ts_ms FROM e) JOIN grid ON ts_ms > t - 691200000 AND ts_ms <= t - 86400000 GROUP BY ALL) y USING (returnflag, t)", _EXP, grid=_H_GRID))
+    def _(spark, d):
+        before = H.instant(S.exponential_samples(spark, d), H_GRID, 7 * DAY, offset=DAY)
+        return _flat(H.compare(_native(spark, d), before, "==", as_bool=True), ("returnflag",))
+
+
+    @_query("promql_native_quantiles", _ctes("SELECT t, returnflag, q::VARCHAR AS q, round(arg_min(pow(2, log2(lower) + (log2(upper) - log2(lower)) * (total * q - (upto - n)) / n), i), 4) AS value FROM (SELECT *, sum(n) OVER (PARTITION BY returnflag, t ORDER BY i) AS upto, sum(n) OVER (PARTITION BY returnflag, t) AS total FROM b) CROSS JOIN (SELECT unnest([0.25, 0.5, 0.9]::DOUBLE[]) AS q) WHERE upto > total * q GROUP BY t, returnflag, q", _EXP, grid=_H_GRID))
+    def _(spark, d):
+        return _flat(H.quantiles(_native(spark, d), "q", 0.25, 0.5, 0.9), ("returnflag", "q"), 4)
+
+
+    # --- set operations that leave rows, time and constants ---------------------------------------------
+
+    @_query("promql_unless_busy", _ctes(f"SELECT {_cols} FROM latest WHERE (t, event_type) NOT IN (SELECT t, event_type FROM latest WHERE value > 150)", _V, views=("gauges",)))
+    def _(spark, d):
+        v = W.instant(S.gauges(spark, d), GRID, lookback=DAY)
+        return _flat(V.unless(v, V.compare(v, ">", 150.0), V.Matching(on=("event_type",))))
+
+
     return _QUERIES, _SQL

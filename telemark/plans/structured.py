@@ -243,6 +243,13 @@ def build(events: tuple, lines: tuple) -> tuple[dict, dict[str, str]]:
         return Q.count_by(_logs(spark, d), f, ["service_name", "severity_text"], condition)
 
 
+    @_query("logs_free_text", with_views(f"SELECT service_name, severity_text, count(*) AS count FROM logs WHERE {_IN} AND num_value IS NOT NULL AND severity_text = 'INFO' AND (contains(lower(body), 'sent') OR contains(lower(service_name), 'sent')) GROUP BY ALL", "logs"))
+    def _(spark, d):
+        f = Q.LOGS
+        condition = Q.where(f, "fields['value']", "exists") & Q.where(f, "level", "=", "info") & Q.where(f, "nothing", "!exists") & Q.text(f, "sent")
+        return Q.count_by(_logs(spark, d), f, ["service_name", "severity_text"], condition)
+
+
     @_query("logs_remove", with_views("SELECT ts_ns, service_name, log_level FROM logs ORDER BY log_level ASC, trace_id, span_id LIMIT 1000", "logs"))
     def _(spark, d):
         return Q.find(S.logs(spark, d), Q.LOGS, remove=["stream", "body"], sort="level", descending=False)
@@ -257,7 +264,7 @@ def build(events: tuple, lines: tuple) -> tuple[dict, dict[str, str]]:
     # --- spans --------------------------------------------------------------------------------
 
     _SPAN = (LINES[0] * NS, LINES[1] * NS)
-    _SPAN_IN = f"ts_start_ns >= {_SPAN[0]} AND ts_start_ns < {_SPAN[1]}"
+    _SPAN_IN = f"ts_start_ns >= {_SPAN[0]} AND ts_end_ns <= {_SPAN[1]}"
     _RED = "count(*) AS count, count(*) FILTER (WHERE span_status = 'ERROR') AS errors, " + ", ".join(f"round(quantile_cont(CASE WHEN span_status = 'OK' AND ts_end_ns > ts_start_ns THEN ts_end_ns - ts_start_ns END, {q}), 3) AS p{round(q * 100)}" for q in (0.5, 0.75, 0.9, 0.99)) + ", round(count(*) / 3600, 9) AS rps, round(count(*) / 60, 9) AS rpm, round(count(*) FILTER (WHERE span_status = 'ERROR') / count(*), 9) AS error_rate"
 
 
@@ -292,9 +299,9 @@ def build(events: tuple, lines: tuple) -> tuple[dict, dict[str, str]]:
         return T.red_totals(_spans(spark, d), ["service_name"], *_SPAN).withColumn("availability", F.round("availability", 9))
 
 
-    @_query("operation_count", with_views("SELECT count(DISTINCT span_name) AS operations FROM spans WHERE service_name = 'orders'", "spans"))
+    @_query("operation_count", with_views(f"SELECT count(DISTINCT span_name) AS operations FROM spans WHERE {_SPAN_IN} AND service_name = 'orders' AND span_name <> ''", "spans"))
     def _(spark, d):
-        return T.operation_count(_spans(spark, d), "orders")
+        return T.operation_count(_spans(spark, d), "orders", *_SPAN)
 
 
     @_query("service_list", with_views(f"SELECT DISTINCT service_name FROM spans WHERE {_SPAN_IN}", "spans"))

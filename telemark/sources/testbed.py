@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from telemark.model import label_key, label_map
+from telemark.model import label_key, label_map, labels_of
 
 BOUNDS = (10.0, 20.0, 30.0, 40.0)
 _EMPTY = "map<string,string>"
@@ -87,6 +87,23 @@ def exponential_samples(spark: SparkSession, sf_dir: str, scale: int = 1) -> Dat
     return g.select(F.lit("price").alias("metric"), labels.alias("labels"), label_key(labels).alias("lkey"), "ts_ms", hist.alias("hist"))
 
 
+def cumulative_exponential_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """exponential_samples() added up from the first of each month on."""
+    daily = exponential_samples(spark, sf_dir)
+    month = F.unix_millis(F.date_trunc("month", F.timestamp_millis("ts_ms")))
+    rows = daily.select("metric", "lkey", month.alias("month"), "ts_ms", F.col("hist.sum").alias("s"), F.col("hist.positive_offset").alias("first"), F.posexplode("hist.positive_buckets").alias("p", "n")).withColumn("i", F.col("p") + F.col("first"))
+    one = ["metric", "lkey", "month"]
+    days = daily.select("metric", "lkey", month.alias("month"), "ts_ms", F.col("hist.sum").alias("s"))
+    cells = days.join(rows.select(*one, "i").distinct(), one).join(rows.select(*one, "ts_ms", "i", "n"), [*one, "ts_ms", "i"], "left")
+    upto = Window.partitionBy(*one, "i").orderBy("ts_ms")
+    grown = cells.withColumns({"n": F.sum(F.coalesce("n", F.lit(0.0))).over(upto), "s": F.sum("s").over(upto)}).where("n > 0")
+    g = grown.groupBy("metric", "lkey", "ts_ms").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("m"), F.max("s").alias("s"), F.sum("n").alias("n"))
+    none = F.array().cast("array<double>")
+    filled = F.transform(F.sequence("first", "last"), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)))
+    hist = F.struct(F.lit(1).alias("schema"), F.lit(0.0).alias("zero_threshold"), F.lit(0.0).alias("zero_count"), F.col("first").alias("positive_offset"), filled.alias("positive_buckets"), F.lit(0).alias("negative_offset"), none.alias("negative_buckets"), none.alias("custom_values"), F.col("s").alias("sum"), F.col("n").alias("count"))
+    return g.select("metric", labels_of("lkey").alias("labels"), "lkey", "ts_ms", hist.alias("hist"))
+
+
 _TYPES = ("click", "view", "purchase", "signup", "error")
 
 

@@ -184,8 +184,24 @@ def test_custom_bounds_that_all_have(spark):
 
 def test_native_increase_and_difference(spark):
     s = native(spark, (1, 0, hist(0, 1, [1, 1], 3)), (1, MIN, hist(0, 1, [4, 2], 9)), (1, 2 * MIN, hist(0, 1, [1, 0], 1)))
-    h = H.increase(s, W.instant_at(2 * MIN), 5 * MIN).select("hist.*").first()
+    h = H.increase(s, W.instant_at(2 * MIN), 5 * MIN, extrapolate=False).select("hist.*").first()
     assert (h["positive_buckets"], h["count"]) == ([4.0, 1.0], 5.0)  # 6 - 2 until the reset, then 1
+    h = H.increase(s, W.instant_at(2 * MIN), 5 * MIN).select("hist.*").first()
+    assert (h["positive_buckets"], h["count"]) == ([5.0, 1.25], 6.25)  # two minutes sampled, half a minute before them
+    h = H.rate(s, W.instant_at(2 * MIN), 5 * MIN).select("hist.*").first()
+    assert h["count"] == pytest.approx(6.25 / 300)
+    h = H.irate(s, W.instant_at(2 * MIN), 5 * MIN).select("hist.*").first()
+    assert h["count"] == pytest.approx(1 / 60)  # after a reset the last one as it is
+    h = H.irate(s, W.instant_at(MIN), 5 * MIN).select("hist.*").first()
+    assert h["positive_buckets"] == pytest.approx([3 / 60, 1 / 60])
+    close(values(H.resets(s, W.instant_at(2 * MIN), 5 * MIN)), {(2 * MIN,): 1})
+    close(values(H.changes(s, W.instant_at(2 * MIN), 5 * MIN)), {(2 * MIN,): 2})
+    close(values(H.count_over_time(s, W.instant_at(2 * MIN), 5 * MIN)), {(2 * MIN,): 3})
+    assert H.sum_over_time(s, W.instant_at(2 * MIN), 5 * MIN).select("hist.count").first()[0] == 9
+    assert H.avg_over_time(s, W.instant_at(2 * MIN), 5 * MIN).select("hist.count").first()[0] == 3
+    # one bucket that fell is a reset, though the count grew
+    s2 = native(spark, (1, 0, hist(0, 1, [5, 1], 3)), (1, MIN, hist(0, 0, [0, 3, 9], 9)))
+    close(values(H.resets(s2, W.instant_at(MIN), 5 * MIN)), {(MIN,): 1})
     v = H.instant(s, W.instant_at(MIN), MIN)
     assert H.subtract(v, v).select("hist.count").first()[0] == 0
     assert H.mean(v).select("hist.count").first()[0] == 6
@@ -199,3 +215,49 @@ def test_classic_quantile(spark):
     close(values(H.histogram_quantile(v, -1)), {(0,): -math.inf})
     close(values(H.histogram_fraction(v, 0.1, 0.2)), {(0,): 0.2})
     assert V.absent(v.where(F.lit(False)), W.instant_at(0), {"job": "x"}).select("labels").first()[0] == {"job": "x"}
+    # an empty first bucket at the quantile 0 gives its bound
+    rows = {("b", (("le", le),)): [v] for le, v in (("0.1", 0), ("0.2", 70), ("+Inf", 100))}
+    close(values(H.histogram_quantile(W.instant(load(spark, rows), W.instant_at(0)), 0.0)), {(0,): 0.1})
+
+
+def test_native_quantile_at_edges(spark):
+    """Ranks at an edge go on to the next filled bucket; the zero bucket reaches to the filled side alone."""
+    at = lambda h: H.instant(native(spark, (1, 0, h)), W.instant_at(0), MIN)
+    gap = at(hist(0, 1, [2, 0, 2], 9))  # (1, 2] and (4, 8]
+    close(values(H.quantile(gap, 0.5)), {(0,): 4.0})
+    close(values(H.quantile(gap, 1.0)), {(0,): 8.0})
+    close(values(H.quantiles(gap, "q", 0.5, 0.0), "q"), {("0.5", 0): 4.0, ("0", 0): 1.0})
+    positive = at(hist(0, 1, [2], 3, zero=2.0))
+    close(values(H.quantile(positive, 0.25)), {(0,): 0.0005})  # half way from 0 to 0.001
+    alone = at(hist(0, 1, [0], 0, zero=2.0))
+    close(values(H.quantile(alone, 0.5)), {(0,): 0.0})
+    negative = at((0, 0.001, 2.0, 0, [], 1, [2.0], [], -3.0, 4.0))
+    close(values(H.quantile(negative, 0.75)), {(0,): -0.0005})
+    custom = at(hist(H.CUSTOM, 0, [0, 2, 2], 9, (5, 10)))
+    close(values(H.quantiles(custom, "q", 0.0, 0.5, 1.0), "q"), {("0", 0): 5.0, ("0.5", 0): 10.0, ("1", 0): 10.0})
+
+
+def test_native_comparison(spark):
+    v = H.instant(native(spark, (1, 0, hist(0, 1, [1, 1], 3)), (2, 0, hist(0, 1, [1, 1], 3))), W.instant_at(0), MIN)
+    w = H.instant(native(spark, (1, 0, hist(0, 0, [0, 1, 1, 0], 3)), (2, 0, hist(0, 1, [1, 2], 3))), W.instant_at(0), MIN)
+    assert [r["lkey"] for r in H.compare(v, w, "==").collect()] == ['{"i":"1"}'] and [r["lkey"] for r in H.compare(v, w, "!=").collect()] == ['{"i":"2"}']
+    close(values(H.compare(v, w, "==", as_bool=True), "i"), {("1", 0): 1, ("2", 0): 0})
+    with pytest.raises(ValueError):
+        H.compare(v, w, "<")
+
+
+def test_matching_rules(spark):
+    """Comparisons keep the left value with many series on the right; included labels that are missing leave the own ones; units count where both sides know them."""
+    l = W.instant(load(spark, {("l", (("x", "1"), ("y", "a"))): [5]}), W.instant_at(0))
+    r = W.instant(load(spark, {("r", (("x", "1"), ("z", "p"), ("y", "own"))): [3], ("r", (("x", "1"), ("z", "q"), ("y", "own"))): [4]}), W.instant_at(0))
+    out = V.binary(l, r, ">", V.Matching(on=("x",), group="right"))
+    close(values(out, "z", "y"), {("p", "own", 0): 5, ("q", "own", 0): 5})
+    assert {x["metric"] for x in out.collect()} == {"l"}
+    out = V.binary(r, l, "+", V.Matching(on=("x",), group="left", include=("z", "y")))
+    close(values(out, "z", "y"), {("p", "a", 0): 8, ("q", "a", 0): 9})
+    one = W.instant(load(spark, {("a", (("x", "1"), ("__unit__", "s"))): [1]}), W.instant_at(0))
+    two = W.instant(load(spark, {("b", (("x", "1"),)): [2]}), W.instant_at(0))
+    three = W.instant(load(spark, {("c", (("x", "1"), ("__unit__", "m"))): [3]}), W.instant_at(0))
+    close(values(V.binary(one, two, "+"), "x"), {("1", 0): 3})
+    assert V.binary(one, three, "+").count() == 0 and V.and_(one, three).count() == 0
+    assert V.and_(one, two).count() == 1 and V.unless(one, two).count() == 0 and V.or_(one, two).count() == 1

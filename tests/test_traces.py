@@ -18,3 +18,11 @@ def test_depth_has_no_limit(spark):
 def test_cycle_is_an_error(spark):
     with pytest.raises(ValueError, match="cycle"):
         traces.flame_graph(frame(spark, [("a", ""), ("b", "d"), ("c", "b"), ("d", "c")])).collect()
+
+
+def test_red_takes_spans_that_end_in_the_window(spark):
+    rows = [("svc", "op", 10, 20, "OK"), ("svc", "late", 90, 120, "OK"), ("svc", "", 20, 100, "ERROR"), ("other", "op", 5, 30, "OK")]
+    spans = spark.createDataFrame(rows, "service_name string, span_name string, ts_start_ns long, ts_end_ns long, span_status string")
+    assert {(r["service_name"], r["count"], r["errors"]) for r in traces.red_totals(spans, ["service_name"], 10, 100).collect()} == {("svc", 2, 1)}
+    assert traces.operation_count(spans, "svc", 10, 100).first()[0] == 1
+    assert [r["service_name"] for r in traces.services(spans, 0, 100).collect()] == ["other", "svc"]
