@@ -209,8 +209,8 @@ def identify(docs: DataFrame, shape: Shape = Shape(), carry: list[str] | None =
 
 def keep_known(docs: DataFrame, shape: Shape = Shape(), least: float = 0.0) -> DataFrame:
     """The rows, all columns kept, whose language is known with at least that score."""
-    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    held = [F.col(c).alias(name) for c, name in names.items()]
-    inner = docs.select(*held, *(F.col(c).alias(c) for c in ("doc_id", "lang", "text")))
-    found = identify(inner, shape, list(dict.fromkeys([*names.values(), "doc_id"]))).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    read = ("doc_id", "lang", "text")
+    names = {c: c if c in read else f"_c{i}" for i, c in enumerate(docs.columns)}
+    inner = docs.select(*(F.col(c).alias(name) for c, name in names.items()))
+    found = identify(inner, shape, list(names.values())).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     return found.select(*(F.col(name).alias(c) for c, name in names.items()))

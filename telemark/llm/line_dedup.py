@@ -87,23 +87,23 @@ def dropped_lines(docs: DataFrame, tree: Tree = Tree()) -> DataFrame:
 
 
 def _cut(docs: DataFrame, tree: Tree) -> DataFrame:
-    """row (all columns), kept_text, n_lines, n_dropped."""
+    """row (all columns but the text), kept_text, n_lines, n_dropped."""
     drop = dropped_lines(docs, tree).groupBy("doc_id", "text_key").agg(F.collect_set("place").alias("places"))
     drop = drop.select(F.col("doc_id").alias("drop_id"), F.col("text_key").alias("drop_key"), "places")
-    texts = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").alias("whole"), F.xxhash64("text").alias("key"))
+    texts = docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").alias("whole"), F.xxhash64("text").alias("key"))
     joined = texts.join(drop, F.col("id").eqNullSafe(F.col("drop_id")) & (F.col("key") == F.col("drop_key")), "left")
     lines = F.split("whole", "\n")
     rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "places")
     kept = F.when(F.col("places").isNull(), F.col("whole")).otherwise(F.array_join(F.transform(rest, lambda i: F.get(lines, i)), "\n"))
     n_lines = F.when(F.col("whole").isNull(), 0).otherwise(F.size(lines)).cast("long")
     n_dropped = F.when(F.col("places").isNull(), 0).otherwise(F.size("places")).cast("long")
-    return joined.select("row", kept.alias("kept_text"), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
+    return joined.select("row", F.col("whole").alias("text"), kept.alias("kept_text"), n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
 
 
 def cleaned(docs: DataFrame, tree: Tree = Tree()) -> DataFrame:
     """All rows and columns, with `kept_text`, `n_lines` and `n_dropped` beside the text (in place of columns of those names)."""
     added = ("kept_text", "n_lines", "n_dropped")
-    return _cut(docs, tree).select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c not in added), *added)
+    return _cut(docs, tree).select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in added), *added)
 
 
 def report(docs: DataFrame, tree: Tree = Tree()) -> DataFrame:

@@ -311,11 +311,13 @@ def links(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
 
 def keep_one(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     """The documents that are kept, with all their columns, and all rows without a doc_id."""
-    row = F.struct(*docs.columns).alias("row")
+    row = F.struct(*(c for c in docs.columns if c != "text")).alias("row")
     texts = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").alias("text"))
     each = texts.groupBy("doc_id").agg(F.min("text_key").alias("x"), F.max("text_key").alias("y")).where("doc_id is not null and x <> y")
+    each = Scratch(docs.sparkSession, "ids").write(each.select("doc_id", "x"), "several")  # of known size: where it is small, no text is shuffled for it
     own = F.when(F.col("x").isNull() | (F.col("text_key") == F.col("x")), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "text_key", F.lit("near")))
-    texts = texts.join(each.select("doc_id", "x"), "doc_id", "left").select("row", own.alias("node"), "text_key", "text")
+    texts = texts.join(each, "doc_id", "left").select("row", own.alias("node"), "text_key", "text")
     found = links(texts.select(F.col("node").alias("doc_id"), "text"), forest).where("kept and doc_id is not null").select(F.col("doc_id").alias("node"), "text_key")
     known = texts.join(found, ["node", "text_key"], "left_semi").dropDuplicates(["node"])
-    return known.select("row.*").unionByName(docs.where("doc_id is null"))
+    columns = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return known.select(*columns).unionByName(docs.where("doc_id is null"))
