@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from telemark.model import attr_num, attr_str, has_attr
 
+#: Rows of a request that names no limit.
 MOST_ROWS = 1000
 _SCOPED = re.compile(r"(\w+)\[['\"](.+)['\"]\]")
 
@@ -144,7 +145,7 @@ def find(df: DataFrame, f: Fields, condition: Column | None = None, fields: list
         raise ValueError("the limit must be positive")
     rows = df if condition is None else df.where(condition)
     order = f.shown(sort) if sort else F.col(f.time)
-    rows = rows.orderBy(order.desc() if descending else order.asc(), *(c for c in ("trace_id", "span_id") if c in df.columns)).limit(min(limit, MOST_ROWS))
+    rows = rows.orderBy(order.desc() if descending else order.asc(), *(c for c in ("trace_id", "span_id") if c in df.columns)).limit(limit)
     if fields:
         return rows.select(*(f.shown(x).alias(column_name(x)) for x in fields))
     gone = {f.resolve(x)[1] for x in remove or []}
@@ -158,7 +159,7 @@ def count_by(df: DataFrame, f: Fields, fields: list[str], condition: Column | No
     rows = df if condition is None else df.where(condition)
     names = [column_name(x) for x in fields]
     g = rows.groupBy(*(f.shown(x).alias(n) for x, n in zip(fields, names, strict=True))).agg(F.count(F.lit(1)).alias("count"))
-    return g.orderBy(F.desc("count"), *names).limit(min(limit, MOST_ROWS))
+    return g.orderBy(F.desc("count"), *names).limit(limit)
 
 
 def contributions(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:

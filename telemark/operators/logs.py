@@ -10,7 +10,8 @@ from telemark.operators.filters import LOGS, MOST_ROWS
 
 #: Least level of each severity, from the highest down.
 BANDS = ((21, "FATAL"), (17, "ERROR"), (13, "WARN"), (9, "INFO"), (5, "DEBUG"), (1, "TRACE"))
-TOP, MOST_TOP, MOST_FIELDS = 20, 100, 100
+#: Rows of a request that names no limit.
+TOP, MOST_FIELDS = 20, 100
 
 
 def severity(level: Column) -> Column:
@@ -43,7 +44,7 @@ def severity_distribution(logs: DataFrame) -> DataFrame:
 
 def top(logs: DataFrame, column: str, k: int = TOP) -> DataFrame:
     """The most frequent values of a column."""
-    return logs.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "value").limit(min(k, MOST_TOP))
+    return logs.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "value").limit(k)
 
 
 def service_severity(logs: DataFrame, k: int = TOP) -> DataFrame:
@@ -51,7 +52,7 @@ def service_severity(logs: DataFrame, k: int = TOP) -> DataFrame:
     band = severity(F.col("log_level"))
     g = logs.groupBy("service_name").agg(F.count(F.lit(1)).alias("total"), *(F.count_if(band == name).alias(name.lower()) for _, name in BANDS))
     errors = F.col("error") + F.col("fatal")
-    return g.withColumns({"errors": errors, "error_ratio": errors / F.col("total")}).orderBy(F.desc("errors"), F.desc("total"), "service_name").limit(min(k, MOST_TOP))
+    return g.withColumns({"errors": errors, "error_ratio": errors / F.col("total")}).orderBy(F.desc("errors"), F.desc("total"), "service_name").limit(k)
 
 
 def fields(logs: DataFrame, prefix: str = "", limit: int = MOST_FIELDS) -> DataFrame:
@@ -63,14 +64,14 @@ def fields(logs: DataFrame, prefix: str = "", limit: int = MOST_FIELDS) -> DataF
 
     keys = F.concat(keys_of("attrs_str", "record"), keys_of("attrs_num", "record"), keys_of("res_str", "resource"), keys_of("res_num", "resource"))
     found = logs.select(F.explode(keys).alias("x")).groupBy("x.field", "x.scope").agg(F.count(F.lit(1)).alias("count"))
-    return named.unionByName(found).where(F.col("field").startswith(prefix) & (F.col("count") > 0)).orderBy(F.desc("count"), "field", "scope").limit(min(limit, MOST_FIELDS))
+    return named.unionByName(found).where(F.col("field").startswith(prefix) & (F.col("count") > 0)).orderBy(F.desc("count"), "field", "scope").limit(limit)
 
 
 def field_values(logs: DataFrame, field: str, condition: Column | None = None, prefix: str = "", limit: int = MOST_FIELDS) -> DataFrame:
     rows = logs if condition is None else logs.where(condition)
     value = LOGS.shown(field).cast("string")
     g = rows.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("count"))
-    return g.where((F.col("value") != "") & F.col("value").startswith(prefix)).orderBy(F.desc("count"), "value").limit(min(limit, MOST_FIELDS))
+    return g.where((F.col("value") != "") & F.col("value").startswith(prefix)).orderBy(F.desc("count"), "value").limit(limit)
 
 
 def attributes(logs: DataFrame, allowed: list[str] | None = None, resource: bool = True) -> DataFrame:
@@ -85,7 +86,7 @@ def attributes(logs: DataFrame, allowed: list[str] | None = None, resource: bool
 
 def newest(logs: DataFrame, condition: Column | None = None, limit: int = MOST_ROWS) -> DataFrame:
     rows = logs if condition is None else logs.where(condition)
-    return rows.orderBy(F.desc("ts_ns"), "trace_id").limit(min(limit, MOST_ROWS))
+    return rows.orderBy(F.desc("ts_ns"), "trace_id").limit(limit)
 
 
 def by_attribute(logs: DataFrame, key: str) -> DataFrame:

@@ -96,7 +96,8 @@ def histogram_latest(histograms: DataFrame, metric: str, start: int, end: int, t
 
 
 def exemplars(rows: DataFrame, metric: str, start_ns: int, end_ns: int, tags: dict[str, str] | None = None, limit: int = EXEMPLAR_LIMIT) -> DataFrame:
-    return rows.where((F.col("metric") == metric) & F.col("ts_ns").between(start_ns, end_ns) & has_tags(tags or {})).limit(limit)
+    """The first exemplars of the range, in order of time."""
+    return rows.where((F.col("metric") == metric) & F.col("ts_ns").between(start_ns, end_ns) & has_tags(tags or {})).orderBy("ts_ns", *(c for c in ("lkey", "span_id") if c in rows.columns)).limit(limit)
 
 
 # --- discovery ----------------------------------------------------------------------------

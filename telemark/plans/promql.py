@@ -455,7 +455,7 @@ def build(events: tuple, lines: tuple) -> tuple[dict, dict[str, str]]:
         return _flat(H.histogram_quantile(_buckets(spark, d), 0.9), ("returnflag",))
 
 
-    @_query("promql_histogram_quantiles")
+    @_query("promql_histogram_quantiles", _ctes("SELECT t, returnflag, q::VARCHAR AS q, round(arg_min(CASE WHEN le = 'Infinity' THEN 40 ELSE lower + (le - lower) * (total * q - below) / (value - below) END, le), 6) AS value FROM o CROSS JOIN (SELECT unnest([0.5, 0.9, 0.99]::DOUBLE[]) AS q) WHERE value >= total * q GROUP BY t, returnflag, q", _SUMMED, views=("buckets",), grid=_H_GRID))
     def _(spark, d):
         return _flat(H.histogram_quantiles(_buckets(spark, d), "q", 0.5, 0.9, 0.99), ("returnflag", "q"))
 
