@@ -33,10 +33,19 @@ def gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events_total{event_type, shard}: events so far; it starts again from zero after every hundredth."""
+    """events_total{event_type, shard}: events so far; it starts again from zero after every hundredth.
+
+    Events are numbered inside an hour and go on from the counts of the hours before, so no task holds a whole series.
+    """
     e = table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("user_id") % 4).alias("shard"), _ms("ts").alias("ts_ms"))
-    order = Window.partitionBy("event_type", "shard").orderBy("ts_ms", "event_id")
-    c = e.withColumn("value", (F.row_number().over(order) - 1) % 100 + 1)
+    e = e.withColumn("hour", F.col("ts_ms") - F.col("ts_ms") % 3_600_000)
+    keys = ("event_type", "shard", "hour")
+    sofar = Window.partitionBy("event_type", "shard").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = e.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("earlier", F.coalesce(F.sum("n").over(sofar), F.lit(0)))
+    hours = hours.select(*(F.col(k).alias(f"_{k}") for k in keys), "earlier")
+    placed = e.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("ts_ms", "event_id")))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    c = placed.join(hours, same).withColumn("value", (F.col("earlier") + F.col("place") - 1) % 100 + 1)
     return _samples(c.groupBy("event_type", "shard", "ts_ms").agg(F.max_by("value", "event_id").alias("value")), "events_total", label_map(event_type=F.col("event_type"), shard=F.col("shard")))
 
 
