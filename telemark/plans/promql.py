@@ -171,7 +171,10 @@ def build(events: tuple, lines: tuple) -> tuple[dict, dict[str, str]]:
         return _flat(W.absent_over_time(chosen, GRID, 1_800_000, {"event_type": "click"}), ("event_type",))
 
 
-    @_query("promql_double_exponential_smoothing")
+    _HOLT = "(0.5 * x.v + 0.5 * (a.l + a.s))"
+
+
+    @_query("promql_double_exponential_smoothing", _ctes(f"SELECT t, event_type, {_OUT}, round(list_reduce([{{'l': v[1], 's': v[2] - v[1], 'v': v[1]}}] || list_transform(v[2:], lambda y: {{'l': 0.0::DOUBLE, 's': 0.0::DOUBLE, 'v': y}}), lambda a, x: {{'l': {_HOLT}, 's': 0.3 * ({_HOLT} - a.l) + 0.7 * a.s, 'v': x.v}}).l, 6) AS value FROM (SELECT event_type, shard, t, list(value ORDER BY ts_ms) AS v FROM w GROUP BY ALL) WHERE len(v) > 1", f"w AS ({_within('gauges')})", views=("gauges",)))
     def _(spark, d):
         return _flat(W.double_exponential_smoothing(S.gauges(spark, d), GRID, DAY, 0.5, 0.3))
 
@@ -207,7 +210,11 @@ def build(events: tuple, lines: tuple) -> tuple[dict, dict[str, str]]:
         return _flat(W.at(lambda grid: W.instant(g, grid, lookback=DAY), END, GRID, spark))
 
 
-    @_query("promql_instant_smoothed")
+    def _nearest_samples(fold: str, condition: str) -> str:
+        return f"SELECT event_type, shard, t, {fold}(ts_ms) AS ts, arg_{fold}(value, ts_ms) AS v FROM gauges JOIN grid ON {condition} GROUP BY ALL"
+
+
+    @_query("promql_instant_smoothed", _ctes(f"SELECT t, event_type, {_OUT}, round(CASE WHEN b.ts IS NULL THEN a.v WHEN a.ts IS NULL THEN b.v WHEN a.ts = b.ts THEN a.v ELSE a.v + (b.v - a.v) * ((t - a.ts) / (b.ts - a.ts)::DOUBLE) END, 6) AS value FROM a FULL JOIN b USING (event_type, shard, t)", f"a AS ({_nearest_samples('max', f'ts_ms BETWEEN t - {DAY // 4} AND t')})", f"b AS ({_nearest_samples('min', f'ts_ms BETWEEN t AND t + {DAY // 4}')})", views=("gauges",)))
     def _(spark, d):
         return _flat(W.instant_smoothed(S.gauges(spark, d), GRID, lookback=DAY // 4))
 
@@ -224,7 +231,24 @@ def build(events: tuple, lines: tuple) -> tuple[dict, dict[str, str]]:
         return _flat(W.anchored(S.counters(spark, d), "increase", GRID, DAY, lookback=DAY))
 
 
-    @_query("promql_smoothed_rate")
+    def _edge_sql(name: str) -> str:
+        """The counter's value at that edge, between the samples a before and b after it."""
+        a, b = f"a_{name}", f"b_{name}"
+        base, rise = f"CASE WHEN {b}.v < {a}.v THEN 0 ELSE {a}.v END", f"CASE WHEN {b}.v < {a}.v THEN {b}.v ELSE {b}.v - {a}.v END"
+        return f"CASE WHEN {b}.ts IS NULL THEN {a}.v WHEN {a}.ts IS NULL THEN {b}.v WHEN {a}.ts = {b}.ts THEN {a}.v ELSE {base} + ({rise}) * (({name} - {a}.ts) / ({b}.ts - {a}.ts)::DOUBLE) END AS v_{name}"
+
+
+    _AROUND = ", ".join(f"{fold}(s) FILTER (WHERE ts_ms {op} {name}) AS {side}_{name}" for name in ("lo", "hi") for side, fold, op in (("a", "max", "<="), ("b", "min", ">=")))
+    _SMOOTHED = [
+        f"m AS (SELECT event_type, shard, t, t - {DAY} AS lo, t AS hi, ts_ms, value, {{'ts': ts_ms, 'v': value}} AS s FROM counters JOIN grid ON ts_ms > t - {DAY + DAY // 4} AND ts_ms <= t + {DAY // 4})",
+        f"g AS (SELECT event_type, shard, t, lo, hi, {_AROUND} FROM m GROUP BY ALL HAVING count(*) FILTER (WHERE ts_ms > lo AND ts_ms <= hi) > 0)",
+        f"e AS (SELECT event_type, shard, t, lo, hi, {_edge_sql('lo')}, {_edge_sql('hi')} FROM g)",
+        "path AS (SELECT event_type, shard, t, lo AS ts, v_lo AS v FROM e UNION ALL SELECT event_type, shard, t, ts_ms, value FROM m WHERE ts_ms > lo AND ts_ms < hi UNION ALL SELECT event_type, shard, t, hi, v_hi FROM e)",
+        "falls AS (SELECT *, lag(v) OVER (PARTITION BY event_type, shard, t ORDER BY ts) AS prev FROM path)",
+    ]
+
+
+    @_query("promql_smoothed_rate", _ctes(f"SELECT t, event_type, {_OUT}, round((arg_max(v, ts) - arg_min(v, ts) + sum(CASE WHEN v < prev THEN prev ELSE 0 END)) / 86400, 9) AS value FROM falls WHERE (event_type, shard, t) IN (SELECT (event_type, shard, t) FROM e) GROUP BY t, event_type, shard", *_SMOOTHED, views=("counters",)))
     def _(spark, d):
         return _flat(W.smoothed(S.counters(spark, d), "rate", GRID, DAY, lookback=DAY // 4), digits=9)
 
