@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telemark.llm import chat, decontaminate, language_id, line_dedup, near_dedup, nearest, packing, quality, substring_dedup, suffix_dedup
+from telemark.llm import (
+    chat,
+    clustering,
+    decontaminate,
+    exact_dedup,
+    language_id,
+    line_dedup,
+    near_dedup,
+    nearest,
+    packing,
+    quality,
+    substring_dedup,
+    suffix_dedup,
+    vector_codes,
+)
 from telemark.llm._tables import read
 
 
@@ -54,9 +68,45 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(read(spark, sf_dir, "documents"), with_text=False)
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.report(read(spark, sf_dir, "embeddings"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.report(read(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(read(spark, sf_dir, "embeddings"))
+
+
+#: In the order of their numbers.
+QUERIES = (
+    op1_decontaminate,
+    op2_language_id,
+    op3_line_dedup,
+    op4_near_dedup,
+    op5_quality,
+    op6_suffix_dedup,
+    op7_packing,
+    op8_nearest,
+    op9_chat,
+    op10_substring_dedup,
+    op11_centroid_clusters,
+    op12_exact_dedup,
+    op13_vector_codes,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_language_id, op3_line_dedup, op4_near_dedup, op5_quality, op6_suffix_dedup, op7_packing, op8_nearest, op9_chat, op10_substring_dedup)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.oracle_sql(), "op9_chat": chat.oracle_sql()}
+    return {
+        "op3_line_dedup": line_dedup.oracle_sql(),
+        "op9_chat": chat.oracle_sql(),
+        "op11_centroid_clusters": clustering.oracle_sql(),
+        "op12_exact_dedup": exact_dedup.oracle_sql(),
+        "op13_vector_codes": vector_codes.oracle_sql(),
+    }
