@@ -8,11 +8,13 @@ than a block is a block of its own).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK_BYTES = 1 << 20
 #: Low bits of a packed minimum that hold a position; the others order anchors.
@@ -99,48 +101,130 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers: list[np.ndarray] = []
+#: Sequences are hashed modulo this prime.
+PRIME = np.uint64((1 << 61) - 1)
+_LOW31, _LOW30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+_U30, _U31, _U61 = np.uint64(30), np.uint64(31), np.uint64(61)
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        _powers[:] = []
-        for base in (_BASE, _BASE_INVERSE):
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit numbers modulo the prime."""
+    x = (x & PRIME) + (x >> _U61)
+    return x - np.where(x >= PRIME, PRIME, np.uint64(0))
+
+
+def _shifted31(x: np.ndarray) -> np.ndarray:
+    """x * 2 ** 31, under 2 ** 62 and right modulo the prime; x is under 2 ** 62."""
+    return ((x & _LOW30) << _U31) + (x >> _U30)
+
+
+def times(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
+    """Products modulo the prime, from halves."""
+    a1, a0, b1, b0 = a >> _U31, a & _LOW31, b >> _U31, b & _LOW31
+    return _reduced(((a1 * b1) << np.uint64(1)) + _shifted31(a1 * b0 + a0 * b1) + a0 * b0)
+
+
+_powers: dict[str, np.ndarray] = {}
+
+
+def _powers_to(n: int, base: int, kind: str) -> np.ndarray:
+    """1, base, base ** 2 ... : modulo the prime, or with kind "wrap" modulo 2 ** 64."""
+    key = f"{kind}{base}"
+    if key not in _powers or len(_powers[key]) < n:
+        size = max(n, BLOCK_BYTES + 1) if kind == "wrap" else n + (n >> 2) + 1024
+        if kind == "wrap":
             p = np.full(size, base, np.uint64)
             p[0] = 1
-            _powers.append(np.multiply.accumulate(p))
-    return _powers[0][:n], _powers[1][:n]
+            p = np.multiply.accumulate(p)
+        else:
+            p = np.ones(1, np.uint64)
+            while len(p) < size:
+                p = np.concatenate((p, times(p, np.uint64(pow(base, len(p), int(PRIME))))))
+        _powers[key] = p
+    return _powers[key][:n]
 
 
-_BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+class Roll:
+    """Hashes of any stretches of a sequence of 64-bit units: a polynomial modulo a prime, from prefix sums.
 
+    Two different sequences have the same hash by chance alone, whatever repeats in them.
+    """
 
-class Roll:
-    """Hashes of any stretches of a sequence of 64-bit units, from prefix sums of a polynomial."""
+    _BASE = int(_BASE) % int(PRIME)
+    _INVERSE = pow(_BASE, -1, int(PRIME))
 
     def __init__(self, units: np.ndarray):
-        up, self._down = _powers_to(len(units) + 1)
-        self._sums = np.zeros(len(units) + 1, np.uint64)
-        np.cumsum(units * up[:-1], out=self._sums[1:])
+        n = len(units) + 1
+        self._down = _powers_to(n, self._INVERSE, "prime")
+        terms = times(_reduced(units), _powers_to(n, self._BASE, "prime")[:-1])
+        self._high, self._low = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        np.cumsum(terms >> _U31, out=self._high[1:])
+        np.cumsum(terms & _LOW31, out=self._low[1:])
 
-    @classmethod
-    def of_bytes(cls, data: np.ndarray) -> Roll:
-        return cls(_BYTE_VALUES[data])
+    def _of(self, high: np.ndarray, low: np.ndarray, down: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return mix(times(_reduced(_shifted31(high) + low), down) + size * _BASE)
 
     def between(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self._sums[ends] - self._sums[starts]) * self._down[starts] + (ends - starts).astype(np.uint64))
+        return self._of(self._high[ends] - self._high[starts], self._low[ends] - self._low[starts], self._down[starts], (ends - starts).astype(np.uint64))
 
     def grams(self, k: int) -> np.ndarray:
         """Of the k units from each place on."""
+        n = len(self._low) - k
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        return self._of(self._high[k:] - self._high[:n], self._low[k:] - self._low[:n], self._down[:n], np.array([k], np.uint64))
+
+
+_BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+
+
+class ByteMarks:
+    """Cheap hashes of the grams of a block's bytes: a polynomial modulo 2 ** 64.
+
+    Periodic and other regular sequences can collide, so they only propose: whoever uses
+    them compares the bytes themselves, or a hash of another kind.
+    """
+
+    def __init__(self, data: np.ndarray):
+        n = len(data) + 1
+        self._down = _powers_to(n, int(_BASE_INVERSE), "wrap")
+        self._sums = np.zeros(n, np.uint64)
+        np.cumsum(_BYTE_VALUES[data] * _powers_to(n, int(_BASE), "wrap")[:-1], out=self._sums[1:])
+
+    def grams(self, k: int) -> np.ndarray:
         n = len(self._sums) - k
         if n <= 0:
             return np.zeros(0, np.uint64)
         return mix((self._sums[k:] - self._sums[:n]) * self._down[:n] + np.uint64(k))
 
 
+def byte_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit XXH3 hashes of stretches of bytes."""
+    return np.array([xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
+
+
+#: Words are hashed in lanes of eight bytes up to this length, longer ones one by one.
+LANE_BYTES = 64
+
+
 def word_hashes(block: Block, w: Words) -> np.ndarray:
-    return Roll.of_bytes(block.data).between(w.starts, w.ends)
+    """64-bit hashes of words: every lane is mixed into all bits before the next one."""
+    size = w.ends - w.starts
+    out = mix(size.astype(np.uint64) * _BASE)
+    padded = np.concatenate((block.data, np.zeros(8, np.uint8)))
+    lanes = np.ndarray(len(block.data) + 1, "<u8", padded, strides=(1,))
+    left = np.flatnonzero(size <= LANE_BYTES)
+    for k in range(0, LANE_BYTES, 8):
+        left = left[size[left] > k] if k else left
+        if not len(left):
+            break
+        lane = lanes[w.starts[left] + k]
+        part = size[left] - k
+        lane &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * np.maximum(8 - part, 0).astype(np.uint64))
+        out[left] = mix(out[left] ^ (lane * np.uint64(0xD1342543DE82EF95)))
+    for i in np.flatnonzero(size > LANE_BYTES).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(block.data[w.starts[i] : w.ends[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -168,7 +252,7 @@ class Stretches(NamedTuple):
     row: np.ndarray
 
 
-def stretches(roll: Roll, offsets: np.ndarray, window: int, anchor: int) -> Stretches:
+def stretches(roll: Roll | ByteMarks, offsets: np.ndarray, window: int, anchor: int) -> Stretches:
     """Deal all windows of each row to the least anchor gram inside them, leftmost on ties.
 
     The anchor is a function of a window's content alone, so equal windows have

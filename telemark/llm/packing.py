@@ -150,7 +150,7 @@ class WordIds:
         """Ids of texts without special tokens, and where each text's begin."""
         data = K.lower_ascii(data)
         w = self._words(data, offsets)
-        hashes = K.Roll.of_bytes(data).between(w.starts, w.ends) | np.uint64(1)  # 0 is an empty slot
+        hashes = K.word_hashes(K.Block(0, data, offsets), w) | np.uint64(1)  # 0 is an empty slot
         entries = self.table.find(hashes)
         if (entries < 0).any():
             missing = np.flatnonzero(entries < 0)

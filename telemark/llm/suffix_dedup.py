@@ -23,8 +23,8 @@ that no task holds them all, with the same result.
 Cases: null and empty texts have no bytes and the digest of the empty string; texts under
 the length are never cut; repeated rows repeat each other's bytes and are all cut; an empty
 table gives no rows; other columns are ignored; doc_id may be null.  Stretches are compared
-by two 64-bit hashes where they are equal as a whole, by their symbols otherwise (but for
-anchors over the limit, see above).
+by a 64-bit hash of their bytes (and their anchors' marks) where they are equal as a whole, by
+their symbols otherwise (but for anchors over the limit, see above).
 """
 
 from __future__ import annotations
@@ -57,9 +57,8 @@ def _seeds(length: int, anchor: int):
         for batch in batches:
             for block in K.blocks(batch.column("text")):
                 rows = batch.slice(block.first, len(block.offsets) - 1)
-                roll = K.Roll.of_bytes(block.data)
-                s = K.stretches(roll, block.offsets, length, anchor)
-                body = roll.between(s.start, s.start + s.windows - 1 + length)
+                s = K.stretches(K.ByteMarks(block.data), block.offsets, length, anchor)
+                body = K.byte_hashes(block.data.tobytes(), s.start, s.start + s.windows - 1 + length)
                 row = pa.array(s.row)
                 ints = [s.start - block.offsets[s.row], s.windows, s.anchor - s.start]
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(row), rows.column("text_key").take(row), pa.array(s.key.view(np.int64)), pa.array(body.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in ints)], names=["doc_id", "text_key", "anchor", "body", "first", "windows", "before"])
@@ -251,8 +250,9 @@ def _repeats(length: int, gram: int, collection: int, segment: int):
 
     def solve(t: pa.Table) -> pa.RecordBatch:
         windows, before = (t.column(c).to_numpy().astype(np.int64) for c in ("windows", "before"))
-        group = np.unique(t.column("anchor").to_numpy(), return_inverse=True)[1]
         content = t.column("content").to_pylist()
+        numbers: dict[bytes, int] = {}  # by the anchor's bytes: its mark may be that of another one, too
+        group = [numbers.setdefault(x[b : b + gram], len(numbers)) for x, b in zip(content, before.tolist(), strict=True)]
         lengths = np.array([len(x) for x in content]) - gram + 1
         most = int(lengths.max())
         symbols = np.zeros((len(content), most), np.int64)
@@ -298,7 +298,7 @@ def _by_window(stretches: DataFrame, length: int) -> DataFrame:
     def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.column("windows").to_numpy()
-            grams = [K.Roll.of_bytes(np.frombuffer(x, np.uint8)).grams(length).view(np.int64) for x in batch.column("content").to_pylist()]
+            grams = [K.byte_hashes(x, np.arange(k), np.arange(k) + length).view(np.int64) for x, k in zip(batch.column("content").to_pylist(), n.tolist(), strict=True)]
             if grams:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(c).to_numpy(), n)) for c in ("anchor", "body", "copies")] + [pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in n])), pa.array(np.concatenate(grams))], names=["anchor", "body", "copies", "place", "gram"])
 

@@ -343,7 +343,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_registered_queries(spark):
     names = registered.queries()
-    assert sorted({int(n[2:].split("_")[0]) for n in names}) == list(range(1, 11))
+    assert sorted({int(n[2:].split("_")[0]) for n in names}) == list(range(1, 14))
     for name in ("op3_line_dedup", "op9_chat"):
         table = "documents" if "line" in name else "conversations"
         against_sql(names[name](spark, SF), registered.oracle_sql()[name], **{table: spark.read.parquet(f"{SF}/{table}.parquet")})
