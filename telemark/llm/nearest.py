@@ -3,7 +3,7 @@
 Method: a pseudo-rotation is three rounds of random signs and a fast Hadamard transform; a
 unit vector hashes to the signed axis nearest to the rotated vector.  A table concatenates
 as many of these hashes (the last one over fewer axes) as make about one cell for each
-`cell` vectors, so the number of cells grows with the vectors and a cell's size doesn't.  A
+`cell` vectors, by default about as many cells as a cell has vectors, whatever their number.  A
 query probes the cells whose axes have the largest sum of coordinates, and its candidates of
 all tables are ranked by their exact cosine on the original vectors.
 
@@ -47,7 +47,7 @@ from telemark.llm._tables import Scratch
 
 class Polytopes(NamedTuple):
     tables: int = 2
-    cell: int = 2048
+    cell: int | None = None  #: vectors of a cell; None: the square root of their number
     block: int = 8192
     recall: float = 0.95
     calibration: int = 100
@@ -102,7 +102,7 @@ class Table(NamedTuple):
 
 def make_tables(vectors: int, dimension: int, p: Polytopes) -> list[Table]:
     """Tables of about vectors / cell cells."""
-    n, axes, left = 1 << max(0, (dimension - 1).bit_length()), [], vectors / p.cell
+    n, axes, left = 1 << max(0, (dimension - 1).bit_length()), [], vectors / (p.cell or max(1.0, vectors**0.5))
     while left > 1:
         axes.append(min(n, 1 << max(0, int(np.ceil(np.log2(left / 2))))))
         left /= 2 * axes[-1]
@@ -224,11 +224,15 @@ def probes_needed(members: DataFrame, queries: DataFrame, tables: list[Table], k
         return 1
     q = np.array([r["q"] for r in found])
     v = np.frombuffer(b"".join(bytes(r["vector"]) for r in found), np.float64).reshape(len(found), -1)
-    most = min(tables[0].cells, 1 << 12)
+    most = tables[0].cells
     ranks = np.full(len(found), most)
     for t in tables:
-        hit = t.probes(x, most)[q] == t.cell_of(v)[:, None]
-        ranks = np.minimum(ranks, np.where(hit.any(axis=1), hit.argmax(axis=1) + 1, most))
+        own = t.cell_of(v)
+        for one in np.unique(q):  # all cells of one query at a time
+            mine = np.flatnonzero(q == one)
+            rank = np.empty(most, np.int64)
+            rank[t.probes(x[one : one + 1], most)[0]] = np.arange(1, most + 1)
+            ranks[mine] = np.minimum(ranks[mine], rank[own[mine]])
     return int(np.sort(ranks)[min(len(ranks) - 1, int(np.ceil(p.recall * len(ranks))) - 1)])
 
 

@@ -238,7 +238,7 @@ def test_nearest_looks_at_few_vectors_of_clusters(spark, monkeypatch):
     centres = rng.normal(size=(400, 64))
     x = (centres[rng.integers(0, 400, 20_000)] + 0.4 * rng.normal(size=(20_000, 64))).astype(np.float32)
     u = x.astype(np.float64) / np.linalg.norm(x, axis=1, keepdims=True)
-    p = nearest.Polytopes(cell=100)
+    p = nearest.Polytopes()
     tables = nearest.make_tables(len(x), 64, p)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     seen = []
@@ -257,20 +257,32 @@ def test_nearest_looks_at_few_vectors_of_clusters(spark, monkeypatch):
     assert tables[0].cells >= 128 and hits >= 0.9 * 5 * 400 and compared / 400 < 2_000
 
 
-@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables")
-def test_nearest_recall_on_the_table(spark):
-    """The table's vectors have no structure, so smaller cells than the query's are probed to show the recall."""
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.1"])
+def test_nearest_recall_on_the_table(spark, monkeypatch, size):
+    """With the query's own parameters; the table's vectors have no structure, so many cells are probed."""
+    path = f"/root/testdata/{size}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables")
+    df = spark.read.parquet(path).select("vec_id", "embedding")
     table = df.toArrow()
     ids, x = table.column(0).to_numpy(), np.array(table.column(1).to_pylist(), np.float32).astype(np.float64)
-    norm = np.sqrt((x * x).sum(axis=1))
-    want = set()
-    for q in np.flatnonzero(ids % 50 == 0):
-        s = (x[q] * x).sum(axis=1) / (norm[q] * norm)
-        want |= {(int(ids[q]), int(ids[j])) for j in [j for j in np.lexsort((ids, -s)) if j != q][:5]}
-    for p in (nearest.Polytopes(), nearest.Polytopes(cell=60)):
-        got = {(r["query_id"], r["vec_id"]) for r in nearest.search(df, F.col("id") % 50 == 0, p=p).collect()}
-        assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    asked, real = [], nearest.probes_needed
+    monkeypatch.setattr(nearest, "probes_needed", lambda *a: asked.append(real(*a)) or asked[-1])
+    got = defaultdict(set)
+    for r in registered.op8_nearest(spark, f"/root/testdata/{size}").collect():
+        got[r["query_id"]].add(r["vec_id"])
+    tables = nearest.make_tables(len(x), 64, nearest.Polytopes())
+    sizes = [np.bincount(t.cell_of(u), minlength=t.cells) for t in tables]
+    queries, hits, compared = np.flatnonzero(ids % 50 == 0), 0, 0
+    for q in queries:
+        s = u @ u[q]
+        s[q] = -2
+        hits += len(got[int(ids[q])] & set(ids[np.lexsort((ids, -s))[:5]].tolist()))
+        compared += sum(int(n[t.probes(u[q : q + 1], asked[0])[0]].sum()) for t, n in zip(tables, sizes, strict=True))
+    print(size, "cells", tables[0].cells, "probes", asked[0], "recall", hits / 5 / len(queries), "comparisons", compared / len(queries), "of", len(x))
+    assert set(got) == {int(ids[q]) for q in queries} and hits >= 0.9 * 5 * len(queries)
+    assert tables[0].cells >= 16 and asked[0] < tables[0].cells
 
 
 def against_sql(df, sql, **tables):
