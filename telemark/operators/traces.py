@@ -37,7 +37,7 @@ def matching(start_ns: int | None = None, end_ns: int | None = None, min_duratio
 
 
 def search(spans: DataFrame, condition: Column, limit: int = 1000) -> DataFrame:
-    return spans.where(condition).orderBy(F.desc("ts_start_ns"), "trace_id", "span_id").limit(min(limit, 1000))
+    return spans.where(condition).orderBy(F.desc("ts_start_ns"), "trace_id", "span_id").limit(limit)
 
 
 def count(spans: DataFrame, condition: Column) -> DataFrame:
@@ -131,32 +131,54 @@ def services(spans: DataFrame, start_ns: int, end_ns: int) -> DataFrame:
     return spans.where(_inside(start_ns, end_ns)).select("service_name").distinct().orderBy("service_name")
 
 
-def flame_graph(spans: DataFrame) -> DataFrame:
+def _located(spans: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(spans with _parent, null for roots; trace_id, span_id, depth of those that a root reaches)."""
+    last = F.max_by(F.struct("parent_span_id", "ts_start_ns", "ts_end_ns"), F.struct("ts_start_ns", "ts_end_ns", "parent_span_id"))
+    rows = spans.groupBy("trace_id", "span_id").agg(last.alias("s")).select("trace_id", "span_id", "s.*")
+    ids = rows.select(F.col("trace_id").alias("_trace"), F.col("span_id").alias("_parent"))
+    known = rows.join(ids, (F.col("trace_id") == F.col("_trace")) & (F.col("parent_span_id") == F.col("_parent")), "left").drop("_trace")
+    known = scratch.write(known, "known")
+    # the path to the root is found for all spans at once: each round doubles the length of the jump;
+    # a span whose jump has reached its root is settled and leaves the rounds, but is looked at by the others
+    settled = known.where("_parent IS NULL").select("trace_id", "span_id", F.lit(0).cast("long").alias("depth"))
+    going = scratch.write(known.where("_parent IS NOT NULL").select("trace_id", "span_id", F.col("_parent").alias("up"), F.lit(1).cast("long").alias("jump")), "going-0")
+    settled, k, most = scratch.write(settled, "settled-0"), 0, None
+    while not going.isEmpty():
+        most = most or known.groupBy("trace_id").count().agg(F.max("count")).first()[0]
+        if 2**k >= most:  # longer than any path to a root: what is left runs in a cycle or hangs below one
+            break
+        on = settled.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"), F.lit(None).cast("string").alias("_up"), F.col("depth").alias("_d"))
+        on = on.unionByName(going.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"), F.col("up").alias("_up"), F.col("jump").alias("_d")))
+        longer = going.join(on, (F.col("trace_id") == F.col("_t")) & (F.col("up") == F.col("_s"))).select("trace_id", "span_id", F.col("_up").alias("up"), (F.col("jump") + F.col("_d")).alias("jump"))
+        k += 1
+        longer = scratch.write(longer, f"longer-{k}")
+        arrived = longer.where("up IS NULL").select("trace_id", "span_id", F.col("jump").alias("depth"))
+        settled = scratch.write(settled.unionByName(arrived), f"settled-{k}")
+        going = scratch.write(longer.where("up IS NOT NULL"), f"going-{k}")
+        for done in (f"longer-{k}", f"settled-{k - 1}", f"going-{k - 1}"):
+            scratch.drop(done)
+    return known, settled
+
+
+def flame_graph(spans: DataFrame, trace_id: str | None = None) -> DataFrame:
     """trace_id, span_id, parent_span_id, depth, offset_ns, duration_ns, place among its siblings.
 
     A span whose parent is missing is a root; of spans with one id the last one counts.
-    The jump towards the root doubles in each join until all spans are at it, however deep
-    they are; parents that form a cycle raise an error.
+    Spans that no root reaches, as their parents form a cycle, aren't in any graph: they are
+    left out of a table's graphs (unreached() has them), and an error of the one trace asked for.
     """
-    last = Window.partitionBy("trace_id", "span_id").orderBy(F.desc("ts_start_ns"), F.desc("ts_end_ns"))
-    rows = spans.withColumn("_n", F.row_number().over(last)).where("_n = 1").select("trace_id", "span_id", "parent_span_id", "ts_start_ns", "ts_end_ns")
-    ids = rows.select(F.col("trace_id").alias("_trace"), F.col("span_id").alias("_parent"))
-    known = rows.join(ids, (F.col("trace_id") == F.col("_trace")) & (F.col("parent_span_id") == F.col("_parent")), "left")
-    begin = Window.partitionBy("trace_id")
-    siblings = Window.partitionBy("trace_id", "_parent").orderBy("ts_start_ns", "span_id")
-    placed = known.withColumns({"offset_ns": F.col("ts_start_ns") - F.min("ts_start_ns").over(begin), "duration_ns": F.greatest(F.lit(0).cast("long"), F.col("ts_end_ns") - F.col("ts_start_ns")), "place": F.row_number().over(siblings)})
     scratch = Scratch(spans.sparkSession, "flames")
-    placed = scratch.write(placed, "placed")
-    # the path to the root is found for all spans at once: each round doubles the length of the jump
-    up = placed.select("trace_id", "span_id", F.col("_parent").alias("up"), F.when(F.col("_parent").isNull(), 0).otherwise(1).alias("depth"))
-    up, k, most = scratch.write(up, "up-0"), 0, None
-    while not up.where("up IS NOT NULL").isEmpty():
-        most = most or placed.groupBy("trace_id").count().agg(F.max("count")).first()[0]
-        if 2**k >= most:
-            raise ValueError("the parents of some spans form a cycle")
-        above = up.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"), F.col("up").alias("_up"), F.col("depth").alias("_d"))
-        longer = up.join(above, (F.col("trace_id") == F.col("_t")) & (F.col("up") == F.col("_s")), "left").select("trace_id", "span_id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"))
-        k += 1
-        up = scratch.write(longer, f"up-{k}")
-        scratch.drop(f"up-{k - 1}")
-    return placed.join(up.select("trace_id", "span_id", "depth"), ["trace_id", "span_id"]).select("trace_id", "span_id", "parent_span_id", "depth", "offset_ns", "duration_ns", "place")
+    rows = spans if trace_id is None else spans.where(F.col("trace_id") == trace_id)
+    known, depths = _located(rows, scratch)
+    if trace_id is not None and known.count() > depths.count():
+        raise ValueError("the parents of some spans form a cycle")
+    begins = known.groupBy("trace_id").agg(F.min("ts_start_ns").alias("_begin"))
+    siblings = Window.partitionBy("trace_id", "_parent").orderBy("ts_start_ns", "span_id")
+    placed = known.join(depths, ["trace_id", "span_id"]).join(begins, "trace_id").withColumn("place", F.row_number().over(siblings))
+    return placed.select("trace_id", "span_id", "parent_span_id", F.col("depth").cast("int").alias("depth"), (F.col("ts_start_ns") - F.col("_begin")).alias("offset_ns"), F.greatest(F.lit(0).cast("long"), F.col("ts_end_ns") - F.col("ts_start_ns")).alias("duration_ns"), "place")
+
+
+def unreached(spans: DataFrame) -> DataFrame:
+    """trace_id, spans: how many of a trace's spans no root reaches."""
+    known, depths = _located(spans, Scratch(spans.sparkSession, "flames"))
+    return known.join(depths, ["trace_id", "span_id"], "left_anti").groupBy("trace_id").agg(F.count(F.lit(1)).alias("spans"))

@@ -171,12 +171,15 @@ def build(events: tuple, lines: tuple) -> tuple[dict, dict[str, str]]:
         return _flat(W.absent_over_time(chosen, GRID, 1_800_000, {"event_type": "click"}), ("event_type",))
 
 
+    #: Smoothed values of two decimals can end in an exact half, which engines round differently: both sides move off it.
+    _OFF_HALF = 3.14159265e-8
     _HOLT = "(0.5 * x.v + 0.5 * (a.l + a.s))"
 
 
-    @_query("promql_double_exponential_smoothing", _ctes(f"SELECT t, event_type, {_OUT}, round(list_reduce([{{'l': v[1], 's': v[2] - v[1], 'v': v[1]}}] || list_transform(v[2:], lambda y: {{'l': 0.0::DOUBLE, 's': 0.0::DOUBLE, 'v': y}}), lambda a, x: {{'l': {_HOLT}, 's': 0.3 * ({_HOLT} - a.l) + 0.7 * a.s, 'v': x.v}}).l, 6) AS value FROM (SELECT event_type, shard, t, list(value ORDER BY ts_ms) AS v FROM w GROUP BY ALL) WHERE len(v) > 1", f"w AS ({_within('gauges')})", views=("gauges",)))
+    @_query("promql_double_exponential_smoothing", _ctes(f"SELECT t, event_type, {_OUT}, round(list_reduce([{{'l': v[1], 's': v[2] - v[1], 'v': v[1]}}] || list_transform(v[2:], lambda y: {{'l': 0.0::DOUBLE, 's': 0.0::DOUBLE, 'v': y}}), lambda a, x: {{'l': {_HOLT}, 's': 0.3 * ({_HOLT} - a.l) + 0.7 * a.s, 'v': x.v}}).l + {_OFF_HALF}, 6) AS value FROM (SELECT event_type, shard, t, list(value ORDER BY ts_ms) AS v FROM w GROUP BY ALL) WHERE len(v) > 1", f"w AS ({_within('gauges')})", views=("gauges",)))
     def _(spark, d):
-        return _flat(W.double_exponential_smoothing(S.gauges(spark, d), GRID, DAY, 0.5, 0.3))
+        v = W.double_exponential_smoothing(S.gauges(spark, d), GRID, DAY, 0.5, 0.3)
+        return _flat(v.withColumn("value", F.col("value") + _OFF_HALF))
 
 
     # --- selectors ----------------------------------------------------------------------------
@@ -451,7 +454,7 @@ def build(events: tuple, lines: tuple) -> tuple[dict, dict[str, str]]:
     def _sets(how: str):
         def run(spark, d):
             v = _v(spark, d)
-            a, b = V.compare(v, ">", 60.0), V.compare(v, "<", 150.0)
+            a, b = V.compare(v, ">", 60.0), V.compare(v, ">", 150.0) if how == "unless" else V.compare(v, "<", 150.0)
             m = V.Matching(on=("event_type",))
             return _flat({"and": V.and_, "or": V.or_, "unless": V.unless}[how](a, b, m))
 
@@ -461,7 +464,7 @@ def build(events: tuple, lines: tuple) -> tuple[dict, dict[str, str]]:
     _PAIR = "b AS (SELECT DISTINCT t, event_type FROM latest WHERE value < 150), a AS (SELECT * FROM latest WHERE value > 60)"
     _cols = f"t, event_type, {_OUT}, round(value, 6) AS value"
     _query("promql_and", _ctes(f"SELECT {_cols} FROM a WHERE (t, event_type) IN (SELECT t, event_type FROM b)", _V, _PAIR, views=("gauges",)))(_sets("and"))
-    _query("promql_unless", _ctes(f"SELECT {_cols} FROM a WHERE (t, event_type) NOT IN (SELECT t, event_type FROM b)", _V, _PAIR, views=("gauges",)))(_sets("unless"))
+    _query("promql_unless", _ctes(f"SELECT {_cols} FROM a WHERE (t, event_type) NOT IN (SELECT t, event_type FROM latest WHERE value > 150)", _V, _PAIR, views=("gauges",)))(_sets("unless"))
     _query("promql_or", _ctes(f"SELECT {_cols} FROM a UNION ALL SELECT {_cols} FROM latest WHERE value < 150 AND (t, event_type) NOT IN (SELECT t, event_type FROM a)", _V, _PAIR, views=("gauges",)))(_sets("or"))
 
     # --- histograms ---------------------------------------------------------------------------
@@ -534,7 +537,7 @@ def build(events: tuple, lines: tuple) -> tuple[dict, dict[str, str]]:
 
 
     #: Every bucket of a return flag's cumulative histograms, day by day; a month starts anew.
-    _CUM = "e AS (SELECT l_returnflag AS returnflag, epoch_us(l_shipdate) // 1000 AS ts_ms, epoch_us(date_trunc('month', l_shipdate)) // 1000 AS month, ceil(log2(l_extendedprice) * 2)::INT AS i, count(*)::DOUBLE AS n FROM lineitem GROUP BY ALL), days AS (SELECT DISTINCT returnflag, month, ts_ms FROM e), cells AS (SELECT d.returnflag, d.month, d.ts_ms, i.i FROM days d JOIN (SELECT DISTINCT returnflag, month, i FROM e) i USING (returnflag, month)), c AS (SELECT x.returnflag, x.month, x.ts_ms, x.i, sum(coalesce(e.n, 0)) OVER (PARTITION BY x.returnflag, x.month, x.i ORDER BY x.ts_ms) AS n FROM cells x LEFT JOIN e USING (returnflag, month, ts_ms, i)), at_step AS (SELECT d.*, t FROM days d JOIN grid ON ts_ms > t - 1814400000 AND ts_ms <= t), w AS (SELECT returnflag, t, min(ts_ms) AS first, max(ts_ms) AS last, count(*) AS points FROM at_step GROUP BY ALL HAVING count(*) > 1), ends AS (SELECT returnflag, t, month, min(ts_ms) AS lo, max(ts_ms) AS hi FROM at_step GROUP BY ALL), grown AS (SELECT e.returnflag, e.t, c.i, sum(CASE WHEN c.ts_ms = e.hi THEN c.n ELSE 0 END - CASE WHEN c.ts_ms = w.first AND c.month = e.month AND c.ts_ms = e.lo THEN c.n ELSE 0 END) AS n FROM ends e JOIN w USING (returnflag, t) JOIN c ON c.returnflag = e.returnflag AND c.month = e.month AND c.ts_ms IN (e.lo, e.hi) GROUP BY ALL), held AS (SELECT w.returnflag, w.t, sum(c.n) AS n FROM w JOIN c ON c.returnflag = w.returnflag AND c.ts_ms = w.first GROUP BY ALL), x AS (SELECT w.*, held.n AS held, (last - first)::DOUBLE AS sampled, (last - first)::DOUBLE / (points - 1) AS gap, (SELECT sum(g.n) FROM grown g WHERE g.returnflag = w.returnflag AND g.t = w.t) AS total FROM w JOIN held USING (returnflag, t)), y AS (SELECT *, CASE WHEN first - (t - 1814400000) >= gap * 1.1 THEN gap / 2 ELSE first - (t - 1814400000) END AS s0, CASE WHEN t - last >= gap * 1.1 THEN gap / 2 ELSE t - last END AS s1 FROM x), z AS (SELECT *, (sampled + CASE WHEN total > 0 AND sampled * held / total < s0 THEN sampled * held / total ELSE s0 END + s1) / sampled AS factor FROM y)"
+    _CUM = "e AS (SELECT l_returnflag AS returnflag, epoch_us(l_shipdate) // 1000 AS ts_ms, epoch_us(date_trunc('month', l_shipdate)) // 1000 AS month, ceil(log2(l_extendedprice) * 2)::INT AS i, count(*)::DOUBLE AS n FROM lineitem GROUP BY ALL), days AS (SELECT DISTINCT returnflag, month, ts_ms FROM e), cells AS (SELECT d.returnflag, d.month, d.ts_ms, i.i FROM days d JOIN (SELECT DISTINCT returnflag, month, i FROM e) i USING (returnflag, month)), c AS MATERIALIZED (SELECT x.returnflag, x.month, x.ts_ms, x.i, sum(coalesce(e.n, 0)) OVER (PARTITION BY x.returnflag, x.month, x.i ORDER BY x.ts_ms) AS n FROM cells x LEFT JOIN e USING (returnflag, month, ts_ms, i)), at_step AS MATERIALIZED (SELECT d.*, t FROM days d JOIN grid ON ts_ms > t - 1814400000 AND ts_ms <= t), w AS (SELECT returnflag, t, min(ts_ms) AS first, max(ts_ms) AS last, count(*) AS points FROM at_step GROUP BY ALL HAVING count(*) > 1), ends AS (SELECT returnflag, t, month, min(ts_ms) AS lo, max(ts_ms) AS hi FROM at_step GROUP BY ALL), grown AS (SELECT e.returnflag, e.t, c.i, sum(CASE WHEN c.ts_ms = e.hi THEN c.n ELSE 0 END - CASE WHEN c.ts_ms = w.first AND c.month = e.month AND c.ts_ms = e.lo THEN c.n ELSE 0 END) AS n FROM ends e JOIN w USING (returnflag, t) JOIN c ON c.returnflag = e.returnflag AND c.month = e.month AND c.ts_ms IN (e.lo, e.hi) GROUP BY ALL), held AS (SELECT w.returnflag, w.t, sum(c.n) AS n FROM w JOIN c ON c.returnflag = w.returnflag AND c.ts_ms = w.first GROUP BY ALL), x AS (SELECT w.*, held.n AS held, (last - first)::DOUBLE AS sampled, (last - first)::DOUBLE / (points - 1) AS gap, (SELECT sum(g.n) FROM grown g WHERE g.returnflag = w.returnflag AND g.t = w.t) AS total FROM w JOIN held USING (returnflag, t)), y AS (SELECT *, CASE WHEN first - (t - 1814400000) >= gap * 1.1 THEN gap / 2 ELSE first - (t - 1814400000) END AS s0, CASE WHEN t - last >= gap * 1.1 THEN gap / 2 ELSE t - last END AS s1 FROM x), z AS (SELECT *, (sampled + CASE WHEN total > 0 AND sampled * held / total < s0 THEN sampled * held / total ELSE s0 END + s1) / sampled AS factor FROM y)"
     _WIDE = 21 * DAY
 
 

@@ -51,11 +51,18 @@ WHOLE_SQL = (_sql(_EVENTS, _AFTER_EVENTS), _sql(_LINES, _AFTER_LINES))
 
 
 def _of_tables(spark: SparkSession, sf_dir: str, column_of: dict[str, str], after: int) -> tuple[int, int]:
-    ends = [S.table(spark, sf_dir, t).agg(*(F.unix_micros(f(F.col(c).cast("timestamp"))) for f in (F.min, F.max))).first() for t, c in column_of.items()]
+    """The plain columns' least and greatest value, as a file's own statistics have them."""
+    ends = [S.table(spark, sf_dir, t).agg(F.min(c).alias("lo"), F.max(c).alias("hi")).select(*(F.unix_micros(F.col(x).cast("timestamp")) for x in ("lo", "hi"))).first() for t, c in column_of.items()]
     los, his = ([r[i] // (DAY * 1000) for r in ends if r[i] is not None] or [0] for i in (0, 1))
     return min(los) * DAY, (max(his) + after) * DAY
 
 
-def whole(spark: SparkSession, sf_dir: str) -> tuple[tuple[int, int], tuple[int, int]]:
-    """From the first row's day to after the last row's, of events and of lineitem and orders."""
-    return _of_tables(spark, sf_dir, _EVENTS, _AFTER_EVENTS), _of_tables(spark, sf_dir, _LINES, _AFTER_LINES)
+def whole(spark: SparkSession, sf_dir: str, events: bool = True, lines: bool = True) -> tuple[tuple[int, int], tuple[int, int]]:
+    """From the first row's day to after the last row's, of events and of lineitem and orders; a range that isn't asked for is the fixed one."""
+    return _of_tables(spark, sf_dir, _EVENTS, _AFTER_EVENTS) if events else FIXED[0], _of_tables(spark, sf_dir, _LINES, _AFTER_LINES) if lines else FIXED[1]
+
+
+def asked(sql: str) -> dict[str, bool]:
+    """Which of the ranges a statement over whole ones takes."""
+    takes = lambda column_of: any(f"max({c}) AS hi" in sql for c in column_of.values())
+    return {"events": takes(_EVENTS), "lines": takes(_LINES)}

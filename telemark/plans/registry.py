@@ -1,7 +1,7 @@
 """All registered queries of the library with their SQL over the same tables.
 
-A query that takes a range of time is there twice: NAME over a fixed range within the given
-tables, and NAME_whole over all rows, from the tables' own first day to their last.
+A query that takes a range of time takes all of it: from the tables' own first day to their
+last.  promql_sum_rate_range shows a range within them.
 """
 
 from __future__ import annotations
@@ -19,19 +19,22 @@ _FIXED, _WHOLE = ([m.build(*r) for m in _MODULES] for r in (ranges.FIXED, ranges
 _RELATIVE = {"overview"}
 
 
-def _ranged() -> list[tuple[int, str]]:
-    """Place of the module and name of each query that takes a range."""
-    pairs = enumerate(zip(_FIXED, _WHOLE, strict=True))
-    return [(i, n) for i, ((queries_, sql), (_, whole)) in pairs for n in queries_ if n not in _RELATIVE and (n not in sql or sql[n] != whole[n])]
+def _over_all(i: int, name: str) -> Callable[[SparkSession, str], DataFrame]:
+    sql = _WHOLE[i][1].get(name)
+    which = ranges.asked(sql) if sql else {}
+    return lambda spark, sf_dir: _MODULES[i].build(*ranges.whole(spark, sf_dir, **which))[0][name](spark, sf_dir)
 
 
-def _over_all(i: int, name: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: _MODULES[i].build(*ranges.whole(spark, sf_dir))[0][name](spark, sf_dir)
+def _takes_a_range(i: int, name: str) -> bool:
+    fixed, whole = _FIXED[i][1].get(name), _WHOLE[i][1].get(name)
+    return name not in _RELATIVE and (fixed is None or fixed != whole)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for q, _ in _FIXED for name, f in q.items()} | {f"{n}_whole": _over_all(i, n) for i, n in _ranged()}
+    out = {name: _over_all(i, name) if _takes_a_range(i, name) else f for i, (q, _) in enumerate(_FIXED) for name, f in q.items()}
+    return out | {f"{FLAGSHIP}_range": _FIXED[0][0][FLAGSHIP]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: s for _, sql in _FIXED for name, s in sql.items()} | {f"{n}_whole": _WHOLE[i][1][n] for i, n in _ranged() if n in _WHOLE[i][1]}
+    out = {name: _WHOLE[i][1][name] if _takes_a_range(i, name) else s for i, (_, sql) in enumerate(_FIXED) for name, s in sql.items()}
+    return out | {f"{FLAGSHIP}_range": _FIXED[0][1][FLAGSHIP]}

@@ -111,14 +111,19 @@ def build(events: tuple, lines: tuple) -> tuple[dict, dict[str, str]]:
     # --- discovery ----------------------------------------------------------------------------
 
     _ALL = (0, 2_000_000_000_000)
+    _STREAMS = (
+        "WITH streams AS (SELECT DISTINCT 'event_value' AS metric, 'gauge' AS type, 'ms' AS unit, MAP {'event_type': event_type, 'shard': CAST(user_id % 4 AS VARCHAR)} AS tags FROM events "
+        "UNION ALL SELECT DISTINCT 'sales', 'counter', 'usd', MAP {'returnflag': l_returnflag, 'linestatus': l_linestatus} FROM lineitem "
+        "UNION ALL SELECT DISTINCT 'quantity', 'histogram', '1', MAP {'returnflag': l_returnflag} FROM lineitem) "
+    )
 
 
-    @_query("metric_name_hints", "SELECT unnest(['event_value', 'quantity', 'sales']) AS metric WHERE (SELECT count(*) FROM events) > 0 AND (SELECT count(*) FROM lineitem) > 0")
+    @_query("metric_name_hints", _STREAMS + "SELECT DISTINCT metric FROM streams")
     def _(spark, d):
         return M.name_hints(_index(spark, d), *_ALL)
 
 
-    @_query("metric_tag_hints", "SELECT unnest(['linestatus', 'returnflag']) AS tag WHERE (SELECT count(*) FROM lineitem) > 0")
+    @_query("metric_tag_hints", _STREAMS + "SELECT DISTINCT unnest(map_keys(tags)) AS tag FROM streams WHERE metric = 'sales'")
     def _(spark, d):
         return M.tag_hints(_index(spark, d), *_ALL, "sales")
 
@@ -151,7 +156,7 @@ def build(events: tuple, lines: tuple) -> tuple[dict, dict[str, str]]:
         return M.kind_of(_index(spark, d)).groupBy("metric", "event_type").agg(F.count(F.lit(1)).alias("series"))
 
 
-    @_query("label_names", "SELECT unnest(['__name__', 'event_type', 'linestatus', 'returnflag', 'shard']) AS label WHERE (SELECT count(*) FROM events) > 0 AND (SELECT count(*) FROM lineitem) > 0")
+    @_query("label_names", _STREAMS + "SELECT DISTINCT unnest(map_keys(tags)) AS label FROM streams UNION SELECT '__name__' FROM streams")
     def _(spark, d):
         return M.label_names(_index(spark, d), *_ALL)
 
@@ -161,7 +166,7 @@ def build(events: tuple, lines: tuple) -> tuple[dict, dict[str, str]]:
         return M.label_values(_index(spark, d), *_ALL, "event_type")
 
 
-    @_query("metric_metadata", "SELECT unnest(['event_value', 'quantity', 'sales']) AS metric, unnest(['gauge', 'histogram', 'counter']) AS type, unnest(['ms', '1', 'usd']) AS unit WHERE (SELECT count(*) FROM events) > 0 AND (SELECT count(*) FROM lineitem) > 0")
+    @_query("metric_metadata", _STREAMS + "SELECT DISTINCT metric, type, unit FROM streams")
     def _(spark, d):
         return M.metadata(_index(spark, d), *_ALL)
 
@@ -236,14 +241,14 @@ def build(events: tuple, lines: tuple) -> tuple[dict, dict[str, str]]:
         return rows.withColumn("value", F.round(F.col("value").cast("double"), 6)).withColumn("ts_ns", F.col("ts_ns").cast("long"))
 
 
-    @_query("logs_exists", with_views(f"SELECT service_name, severity_text, count(*) AS count FROM logs WHERE {_IN} AND num_value IS NOT NULL AND severity_text = 'ERROR' GROUP BY ALL", "logs"))
+    @_query("logs_exists", with_views(f"SELECT service_name, severity_text, count(*) AS count FROM logs WHERE {_IN} AND num_value IS NOT NULL AND severity_text = 'WARN' GROUP BY ALL", "logs"))
     def _(spark, d):
         f = Q.LOGS
-        condition = Q.where(f, "fields['value']", "exists") & Q.where(f, "level", "=", "error") & Q.where(f, "nothing", "!exists") & Q.text(f, "sent")
+        condition = Q.where(f, "fields['value']", "exists") & Q.where(f, "level", "=", "warn") & Q.where(f, "nothing", "!exists") & Q.text(f, "sent")
         return Q.count_by(_logs(spark, d), f, ["service_name", "severity_text"], condition)
 
 
-    @_query("logs_free_text", with_views(f"SELECT service_name, severity_text, count(*) AS count FROM logs WHERE {_IN} AND num_value IS NOT NULL AND severity_text = 'INFO' AND (contains(lower(body), 'sent') OR contains(lower(service_name), 'sent')) GROUP BY ALL", "logs"))
+    @_query("logs_free_text", with_views(f"SELECT service_name, severity_text, count(*) AS count FROM logs WHERE {_IN} AND num_value IS NOT NULL AND severity_text = 'INFO' AND contains(body, 'sent') GROUP BY ALL", "logs"))
     def _(spark, d):
         f = Q.LOGS
         condition = Q.where(f, "fields['value']", "exists") & Q.where(f, "level", "=", "info") & Q.where(f, "nothing", "!exists") & Q.text(f, "sent")
@@ -330,12 +335,12 @@ def build(events: tuple, lines: tuple) -> tuple[dict, dict[str, str]]:
         return T.distribution(_spans(spark, d), ["flag", "priority", "span_status"])
 
 
-    @_query("span_attribute_catalog", with_views("SELECT unnest(['priority', 'flag', 'total', 'tax']) AS attribute_name, unnest(['string', 'string', 'number', 'number']) AS attribute_type WHERE (SELECT count(*) FROM spans) > 0", "spans"))
+    @_query("span_attribute_catalog", with_views("SELECT attribute_name, CASE WHEN min(kind) = max(kind) THEN min(kind) ELSE 'mixed' END AS attribute_type FROM (SELECT unnest(['priority', 'flag', 'total', 'tax']) AS attribute_name, unnest(['string', 'string', 'number', 'number']) AS kind, unnest([nullif(priority, '') IS NOT NULL, nullif(flag, '') IS NOT NULL, total IS NOT NULL, tax IS NOT NULL]) AS there FROM spans) WHERE there GROUP BY attribute_name", "spans"))
     def _(spark, d):
         return T.attribute_catalog(_spans(spark, d))
 
 
-    @_query("span_attribute_hints", with_views("SELECT unnest(['flag', 'kind', 'priority', 'service_name', 'tax', 'total']) AS attribute_name WHERE (SELECT count(*) FROM spans) > 0", "spans"))
+    @_query("span_attribute_hints", with_views("SELECT unnest(['kind', 'service_name']) AS attribute_name UNION SELECT attribute_name FROM (SELECT unnest(['priority', 'flag', 'total', 'tax']) AS attribute_name, unnest([nullif(priority, '') IS NOT NULL, nullif(flag, '') IS NOT NULL, total IS NOT NULL, tax IS NOT NULL]) AS there FROM spans) WHERE there", "spans"))
     def _(spark, d):
         return T.attribute_hints(_spans(spark, d), ["kind", "service_name"])
 

@@ -1,4 +1,4 @@
-"""Queries named _whole read all rows of their tables, whatever dates these have."""
+"""Queries read all rows of their tables, whatever dates these have."""
 
 import os
 
@@ -31,14 +31,14 @@ def total(df, column):
 def test_all_rows_are_read(spark, shifted):
     q = registry.queries()
     n = {t: spark.read.parquet(f"{shifted}/{t}.parquet").count() for t in ("events", "lineitem", "orders")}
-    assert total(q["gauge_hourly_count_whole"](spark, shifted), "value") == testbed.gauges(spark, shifted).count()
-    assert total(q["histogram_merge_whole"](spark, shifted), "n") == n["lineitem"]
-    assert total(q["logs_severity_whole"](spark, shifted), "count") == n["events"]
-    assert total(q["red_totals_whole"](spark, shifted), "count") == testbed.spans(spark, shifted).count() >= n["orders"]
+    assert total(q["gauge_hourly_count"](spark, shifted), "value") == testbed.gauges(spark, shifted).count()
+    assert total(q["histogram_merge"](spark, shifted), "n") == n["lineitem"]
+    assert total(q["logs_severity"](spark, shifted), "count") == n["events"]
+    assert total(q["red_totals"](spark, shifted), "count") == testbed.spans(spark, shifted).count() >= n["orders"]
 
 
 def test_grids_hold_all_samples(spark, shifted):
-    counts = registry.queries()["promql_count_over_time_whole"](spark, shifted)
+    counts = registry.queries()["promql_count_over_time"](spark, shifted)
     (start, end), (first, last) = ranges.whole(spark, shifted)
     steps = [sum(r["ts_ms"] <= t < r["ts_ms"] + ranges.DAY for t in range(start, end + 1, 21_600_000)) for r in testbed.gauges(spark, shifted).select("ts_ms").collect()]
     assert min(steps) >= 1 and total(counts, "value") == sum(steps)
@@ -46,8 +46,17 @@ def test_grids_hold_all_samples(spark, shifted):
     assert first <= weeks[0] and weeks[1] <= first + (last - first) // (7 * ranges.DAY) * 7 * ranges.DAY
 
 
-def test_fixed_ranges_stay_apart(spark):
+def test_one_query_has_a_range_within_the_tables(spark):
     q = registry.queries()
-    assert {n for n in q if n.startswith("promql_") and not n.endswith("_whole")} == {n.removesuffix("_whole") for n in q if n.startswith("promql_") and n.endswith("_whole")}
-    fixed, whole = (total(q[f"logs_severity{x}"](spark, DIR), "count") for x in ("", "_whole"))
-    assert fixed < whole
+    whole, part = (q[n](spark, DIR) for n in ("promql_sum_rate", "promql_sum_rate_range"))
+    assert 0 < part.count() < whole.count()
+    (start, end), _ = ranges.FIXED
+    steps = [r["t"] for r in part.select("t").distinct().collect()]
+    assert start <= min(steps) and max(steps) <= end
+
+
+def test_only_the_ranges_asked_for_are_looked_up():
+    sql = registry.oracle_sql()
+    assert ranges.asked(sql["promql_sum_rate"]) == {"events": True, "lines": False}
+    assert ranges.asked(sql["promql_native_count"]) == {"events": False, "lines": True}
+    assert not [n for n in sql if n.endswith("_whole")]
