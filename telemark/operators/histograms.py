@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from telemark.functions import ieee
 from telemark.model import VECTOR, drop_labels, keep_labels, label, label_key, labels_of, put_label
-from telemark.operators.windows import at_steps, steps_of
+from telemark.operators.windows import at_steps, in_chunks, steps_of
 
 CUSTOM = -53
 _KEY = ["lkey", "t"]
@@ -142,8 +142,8 @@ def bucket_rows(v: DataFrame) -> DataFrame:
         rows = base.select(*keys, "hist", F.posexplode(f"hist.{name}_buckets").alias("p", "n"))
         i = (F.col("p") + h[f"{name}_offset"]).cast("int")
         outer, inner = F.pow(F.lit(2.0), i * ratio), F.pow(F.lit(2.0), (i - 1) * ratio)
-        low = F.when(h["schema"] == CUSTOM, F.coalesce(_at(h["custom_values"], F.col("p") - 1), F.lit(-ieee.INF))).otherwise(inner if sign > 0 else -outer)
-        high = F.when(h["schema"] == CUSTOM, F.coalesce(_at(h["custom_values"], F.col("p")), F.lit(ieee.INF))).otherwise(outer if sign > 0 else -inner)
+        low = F.when(h["schema"] == CUSTOM, F.coalesce(_at(h["custom_values"], i - 1), F.lit(-ieee.INF))).otherwise(inner if sign > 0 else -outer)
+        high = F.when(h["schema"] == CUSTOM, F.coalesce(_at(h["custom_values"], i), F.lit(ieee.INF))).otherwise(outer if sign > 0 else -inner)
         return rows.select(*keys, h["schema"].alias("schema"), F.lit(sign).alias("side"), i.alias("i"), low.alias("lower"), high.alias("upper"), "n")
 
     # around zero, but only on the side that is filled, if one alone is
@@ -236,16 +236,49 @@ def scale(v: DataFrame, factor: float | Column) -> DataFrame:
     return v.withColumn("hist", h.withField("positive_buckets", scaled("positive_buckets")).withField("negative_buckets", scaled("negative_buckets")).withField("zero_count", h["zero_count"] * x).withField("sum", h["sum"] * x).withField("count", h["count"] * x))
 
 
-def _dense(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Bucket rows (side, i, n) gathered to offset and array of each side, holes filled with zero."""
-    g = rows.groupBy(*keys, "side").agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("m"))
-    g = g.withColumn("b", F.transform(F.sequence("lo", "hi"), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0))))
+def _combined(v: DataFrame, group: Column) -> DataFrame:
+    """gkey, t, series, hist: the sum of the histograms of each group label map and step, and how many they were.
+
+    Every histogram is read once: its buckets and its totals are rows that are added up at their
+    own resolution before they are shuffled; the group's resolution or bounds are known once
+    they are together, and all further steps keep that partitioning.
+    """
+    h = F.col("hist")
+
+    def cells(side: str, sign: int) -> Column:
+        return F.transform(h[f"{side}_buckets"], lambda n, p: F.struct(F.lit(sign).alias("side"), (p + h[f"{side}_offset"]).cast("int").alias("i"), n.alias("n"), F.lit(0.0).alias("zero_count"), F.lit(None).cast("double").alias("zero_threshold"), F.lit(0.0).alias("sum"), F.lit(0).alias("series")))
+
+    whole = F.array(F.struct(F.lit(0).alias("side"), F.lit(0).alias("i"), h["count"].alias("n"), h["zero_count"].alias("zero_count"), h["zero_threshold"].alias("zero_threshold"), h["sum"].alias("sum"), F.lit(1).alias("series")))
+    each = v.select(label_key(group).alias("gkey"), "t", h["schema"].alias("schema"), h["custom_values"].alias("custom_values"), F.explode(F.concat(cells("positive", 1), cells("negative", -1), whole)).alias("x"))
+    add = lambda c="": [F.sum(f"{c}n").alias("n"), F.sum(f"{c}zero_count").alias("zero_count"), F.max(f"{c}zero_threshold").alias("zero_threshold"), F.sum(f"{c}sum").alias("sum"), F.sum(f"{c}series").alias("series")]
+    part = each.groupBy("gkey", "t", "schema", "custom_values", F.col("x.side").alias("side"), F.col("x.i").alias("i")).agg(*add("x."))
+    together = Window.partitionBy("gkey", "t")
+    part = part.withColumns({"to": F.min("schema").over(together), "most": F.max("schema").over(together), "bounds": F.collect_set("custom_values").over(together)})
+    part = part.where((F.col("to") > CUSTOM) | (F.col("most") == CUSTOM))
+    part = part.withColumn("shared", F.aggregate(F.slice("bounds", 2, F.size("bounds")), F.get("bounds", F.lit(0)), lambda a, x: F.array_intersect(a, x)))
+    own = _at(F.col("custom_values"), F.col("i"))
+    among = F.when(own.isNull(), F.size("shared")).otherwise(F.size(F.filter("shared", lambda b: b < own)))
+    shrunk = F.ceil(F.col("i") / F.pow(F.lit(2.0), (F.col("schema") - F.col("to")).cast("double")))
+    part = part.withColumn("i", F.when(F.col("side") == 0, 0).when(F.col("to") == CUSTOM, among).otherwise(shrunk).cast("int"))
+    keys = ["gkey", "t", "to", "shared"]
+    sides = part.groupBy(*keys, "side", "i").agg(*add()).groupBy(*keys, "side").agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("m"), *add())
+    sides = sides.withColumn("b", F.transform(F.sequence("lo", "hi"), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0))))
     pick = lambda s, c: F.first(F.when(F.col("side") == s, F.col(c)), ignorenulls=True)
     none = F.array().cast("array<double>")
-    return g.groupBy(*keys).agg(
-        F.coalesce(pick(1, "lo"), F.lit(0)).alias("positive_offset"), F.coalesce(pick(1, "b"), none).alias("positive_buckets"),
-        F.coalesce(pick(-1, "lo"), F.lit(0)).alias("negative_offset"), F.coalesce(pick(-1, "b"), none).alias("negative_buckets"),
+    g = sides.groupBy(*keys).agg(*(pick(s, c).alias(f"{n}_{c}") for s, n in ((1, "p"), (-1, "m")) for c in ("lo", "b")), *(pick(0, c).alias(c) for c in ("n", "zero_count", "zero_threshold", "sum", "series")))
+    hist = F.struct(
+        F.col("to").alias("schema"), "zero_threshold", "zero_count", F.coalesce("p_lo", F.lit(0)).alias("positive_offset"), F.coalesce("p_b", none).alias("positive_buckets"),
+        F.coalesce("m_lo", F.lit(0)).alias("negative_offset"), F.coalesce("m_b", none).alias("negative_buckets"), F.col("shared").alias("custom_values"), "sum", F.col("n").alias("count"),
     )
+    return g.select("gkey", "t", "series", hist.alias("hist"))
+
+
+def _kept(by: list[str] | None, without: list[str] | None) -> Column:
+    return drop_labels("labels", without) if without is not None else keep_labels("labels", by or [])
+
+
+def _as_vector(g: DataFrame, hist: Column) -> DataFrame:
+    return g.select(F.lit(None).cast("string").alias("metric"), labels_of("gkey").alias("labels"), F.col("gkey").alias("lkey"), "t", hist.alias("hist"))
 
 
 def combine(v: DataFrame, by: list[str] | None = None, without: list[str] | None = None) -> DataFrame:
@@ -253,42 +286,18 @@ def combine(v: DataFrame, by: list[str] | None = None, without: list[str] | None
 
     Exponential ones are brought to the group's lowest resolution: a bucket i goes to
     ceil(i / 2 ** difference).  Custom ones keep the bounds that all of the group have, and a
-    bucket goes to the next of these.  Groups of both kinds give nothing.
+    bucket goes to the next of these.  Groups of both kinds give nothing; mixed.conflicts()
+    has them.
     """
-    kept = drop_labels("labels", without) if without is not None else keep_labels("labels", by or [])
-    rows = v.select(kept.alias("group"), label_key(kept).alias("gkey"), "t", "lkey", "hist")
-    h = F.col("hist")
-    common = rows.groupBy("gkey", "t").agg(
-        F.first("group").alias("group"), F.min(h["schema"]).alias("schema"), F.max(h["schema"]).alias("most"), F.sum(h["zero_count"]).alias("zero_count"), F.max(h["zero_threshold"]).alias("zero_threshold"),
-        F.sum(h["sum"]).alias("sum"), F.sum(h["count"]).alias("count"), F.collect_set(h["custom_values"]).alias("bounds"),
-    ).where((F.col("schema") > CUSTOM) | (F.col("most") == CUSTOM))
-    bounds = F.aggregate(F.slice("bounds", 2, F.size("bounds")), F.get("bounds", F.lit(0)), lambda a, x: F.array_intersect(a, x))
-    common = common.withColumn("custom_values", bounds).drop("bounds")
-    target = common.select(F.col("gkey"), "t", F.col("schema").alias("to"), F.col("custom_values").alias("shared"))
-
-    def side(sign: int) -> DataFrame:
-        name = "positive" if sign > 0 else "negative"
-        e = rows.join(target, ["gkey", "t"]).select("gkey", "t", "to", "shared", "hist", F.posexplode(f"hist.{name}_buckets").alias("p", "n"))
-        shrink = F.pow(F.lit(2.0), (h["schema"] - F.col("to")).cast("double"))
-        own = _at(h["custom_values"], F.col("p"))
-        among = F.when(own.isNull(), F.size("shared")).otherwise(F.size(F.filter("shared", lambda b: b < own)))
-        i = F.when(F.col("to") == CUSTOM, among).otherwise(F.ceil((F.col("p") + h[f"{name}_offset"]) / shrink)).cast("int")
-        return e.select("gkey", "t", F.lit(sign).alias("side"), i.alias("i"), "n")
-
-    summed = side(1).unionByName(side(-1)).groupBy("gkey", "t", "side", "i").agg(F.sum("n").alias("n"))
-    buckets = _dense(summed, ["gkey", "t"])
-    out = common.join(buckets, ["gkey", "t"], "left")
-    none = F.array().cast("array<double>")
-    filled = F.struct("schema", "zero_threshold", "zero_count", F.coalesce("positive_offset", F.lit(0)).alias("positive_offset"), F.coalesce("positive_buckets", none).alias("positive_buckets"), F.coalesce("negative_offset", F.lit(0)).alias("negative_offset"), F.coalesce("negative_buckets", none).alias("negative_buckets"), "custom_values", "sum", "count")
-    return out.select(F.lit(None).cast("string").alias("metric"), F.col("group").alias("labels"), F.col("gkey").alias("lkey"), "t", filled.alias("hist"))
+    return _as_vector(_combined(v, _kept(by, without)), F.col("hist"))
 
 
 def add(a: DataFrame, b: DataFrame) -> DataFrame:
     """Series by series; what has no partner gives nothing."""
-    both = a.join(b.select(*_KEY), _KEY, "left_semi").unionByName(b.join(a.select(*_KEY), _KEY, "left_semi"))
-    labels = both.groupBy(*_KEY).agg(F.first("labels").alias("labels"))
-    summed = combine(both.withColumn("labels", F.create_map(F.lit("_key"), F.col("lkey"))), by=["_key"])
-    return summed.withColumn("lkey", F.element_at("labels", "_key")).drop("labels").join(labels, _KEY).select("metric", "labels", "lkey", "t", "hist")
+    both = a.select(*_KEY, "hist").unionByName(b.select(*_KEY, "hist")).withColumn("labels", F.create_map(F.lit("_key"), F.col("lkey")))
+    summed = _combined(both, F.col("labels")).where("series = 2")
+    key = F.element_at(labels_of("gkey"), "_key")
+    return summed.select(F.lit(None).cast("string").alias("metric"), labels_of(key).alias("labels"), key.alias("lkey"), "t", "hist")
 
 
 def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -314,23 +323,69 @@ def compare(a: DataFrame, b: DataFrame, op: str, as_bool: bool = False) -> DataF
 
 def mean(v: DataFrame, by: list[str] | None = None, without: list[str] | None = None) -> DataFrame:
     """The average histogram of each group."""
-    kept = drop_labels("labels", without) if without is not None else keep_labels("labels", by or [])
-    n = v.groupBy(label_key(kept).alias("lkey"), "t").agg(F.count(F.lit(1)).alias("_n"))
-    h = F.col("hist")
-    total = combine(v, by, without).join(n, _KEY)
-    each = lambda c: F.transform(h[c], lambda x: x / F.col("_n"))
-    return total.withColumn("hist", h.withField("positive_buckets", each("positive_buckets")).withField("negative_buckets", each("negative_buckets")).withField("zero_count", h["zero_count"] / F.col("_n")).withField("sum", h["sum"] / F.col("_n")).withField("count", h["count"] / F.col("_n"))).drop("_n")
+    total = _combined(v, _kept(by, without))
+    return _as_vector(scale(total, 1.0 / F.col("series")), F.col("hist"))
 
 
-def trim(v: DataFrame, op: str, cut: float) -> DataFrame:
-    """`</` keeps what lies below the cut, `>/` what lies above; as bucket rows (lower, upper, n) with the cut bucket split by its share."""
-    rows = bucket_rows(v)
-    lower, upper, at = F.col("lower"), F.col("upper"), F.lit(float(cut))
-    log = F.when(lower > 0, ieee.div(F.log2(at) - F.log2(lower), F.log2(upper) - F.log2(lower))).otherwise(ieee.div(at - lower, upper - lower))
-    linear = F.when(lower == -ieee.INF, F.lit(0.0)).when(upper == ieee.INF, F.lit(1.0)).otherwise(ieee.div(at - lower, upper - lower))
-    below = F.when(upper <= at, F.lit(1.0)).when(lower >= at, F.lit(0.0)).when((F.col("schema") == CUSTOM) | (F.col("side") == 0), linear).otherwise(log)
-    share = below if op == "</" else 1 - below
-    return rows.withColumn("n", F.col("n") * share).where("n > 0")
+def _trimmed_side(v: DataFrame, side: str, at: Column, above: bool) -> DataFrame:
+    """With _offset, _buckets, _n and _s of a side: its buckets cut at `at`, without the empty ones on the side that goes, their count and sum."""
+    h, sign = F.col("hist"), 1 if side == "positive" else -1
+    custom, ratio = h["schema"] == CUSTOM, F.pow(F.lit(2.0), -h["schema"].cast("double"))
+    offset, buckets, bounds = h[f"{side}_offset"], h[f"{side}_buckets"], h["custom_values"]
+    first_low = F.when((F.size(bounds) > 0) & (F.get(bounds, F.lit(0)) > 0), F.lit(0.0)).otherwise(F.lit(-ieee.INF))
+
+    def bounds_of(n: Column, p: Column) -> Column:
+        i = p + offset
+        outer, inner = F.pow(F.lit(2.0), i * ratio), F.pow(F.lit(2.0), (i - 1) * ratio)
+        low = F.when(custom, F.when(i == 0, first_low).otherwise(F.get(bounds, i - 1))).otherwise(inner if sign > 0 else -outer)
+        high = F.when(custom, F.coalesce(F.get(bounds, i), F.lit(ieee.INF))).otherwise(outer if sign > 0 else -inner)
+        return F.struct(n.alias("n"), low.alias("low"), high.alias("high"))
+
+    name = lambda x: f"_{side}_{x}"
+    v = v.withColumn(name("wide"), F.transform(buckets, bounds_of))
+    v = v.withColumn(name("parts"), F.transform(name("wide"), lambda x: _cut_bucket(x["n"], x["low"], x["high"], at, above, ~custom)))
+    v = v.withColumn(name("counts"), F.transform(name("parts"), lambda x: x["n"]))
+    v = v.withColumn(name("places"), F.filter(F.transform(name("counts"), lambda n, p: F.when(n != 0, p)), lambda p: p.isNotNull()))
+    counts, places, size = F.col(name("counts")), F.col(name("places")), F.size(buckets)
+    leading = above if sign > 0 else not above
+    first = F.when(F.size(places) == 0, size).otherwise(F.get(places, F.lit(0))) if leading else F.lit(0)
+    last = size if leading else F.when(F.size(places) == 0, F.lit(0)).otherwise(F.try_element_at(places, F.lit(-1)) + 1)
+    v = v.withColumns({name("first"): first, name("length"): F.greatest(last - first, F.lit(0))})
+    add = lambda f: F.aggregate(name("parts"), F.lit(0.0), lambda a, x: a + x[f])
+    v = v.withColumns({name("offset"): (offset + F.col(name("first"))).cast("int"), name("buckets"): F.slice(counts, F.col(name("first")) + 1, F.col(name("length"))), name("n"): add("n"), name("s"): add("s")})
+    return v.drop(*(name(x) for x in ("wide", "parts", "counts", "places", "first", "length")))
+
+
+def _cut_bucket(n: Column, lower: Column, upper: Column, at: Column, above: bool, exponential: Column) -> Column:
+    """n, s: what lies on one side of `at`, by its share of the bucket, and an estimate of its sum."""
+    lo, hi = (F.greatest(lower, at), upper) if above else (lower, F.least(upper, at))
+    x = lo if above else hi  # the edge that cuts
+    log = F.when(upper <= 0, ieee.div(F.ln(-x) - F.ln(-lower), F.ln(-upper) - F.ln(-lower))).otherwise(ieee.div(F.ln(x) - F.ln(lower), F.ln(upper) - F.ln(lower)))
+    place = F.when(exponential, log).otherwise(ieee.div(x - lower, upper - lower))
+    share = F.when(~exponential & ((lower == -ieee.INF) | (upper == ieee.INF)), F.when((hi == ieee.INF) if above else (lo == -ieee.INF), 1.0).otherwise(0.0)).otherwise(1 - place if above else place)
+    count = F.when(lo >= hi, 0.0).when((lo <= lower) & (hi >= upper), n).otherwise(n * share)
+    geometric = F.when(hi <= 0, -F.sqrt(F.abs(lo * hi))).otherwise(F.sqrt(F.abs(lo * hi)))
+    middle = F.when(lo == -ieee.INF, hi).when(hi == ieee.INF, lo).otherwise((lo + hi) / 2)
+    total = F.when((lo >= hi) | (count == 0), 0.0).otherwise(count * F.when(exponential, geometric).otherwise(middle))
+    return F.struct(count.cast("double").alias("n"), total.cast("double").alias("s"))
+
+
+def trim(v: DataFrame, op: str, cut: float | Column) -> DataFrame:
+    """`</` keeps what lies below the cut, `>/` what lies above: histograms whose bucket at the cut is split by its share, sum and count estimated anew."""
+    above, h, at = op == ">/", F.col("hist"), cut if isinstance(cut, Column) else F.lit(float(cut))
+    filled = lambda side: F.exists(h[f"{side}_buckets"], lambda n: n != 0)
+    low = F.when(filled("negative") | ~filled("positive"), -h["zero_threshold"]).otherwise(F.lit(0.0))
+    high = F.when(filled("positive") | ~filled("negative"), h["zero_threshold"]).otherwise(F.lit(0.0))
+    zero = _cut_bucket(h["zero_count"], low, high, at, above, F.lit(False))
+    zero = F.when(h["schema"] == CUSTOM, F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"))).otherwise(zero)
+    out = _trimmed_side(_trimmed_side(v, "positive", at, above), "negative", at, above).withColumn("_z", zero)
+    total = lambda x: F.col(f"_positive_{x}") + F.col(f"_negative_{x}") + F.col("_z")[x]
+    kept = {"zero_count": F.col("_z")["n"], "count": total("n"), "sum": total("s")}
+    kept |= {f"{side}_{x}": F.col(f"_{side}_{x}") for side in ("positive", "negative") for x in ("offset", "buckets")}
+    fields = ("schema", "zero_threshold", "zero_count", "positive_offset", "positive_buckets", "negative_offset", "negative_buckets", "custom_values", "sum", "count")
+    new = F.struct(*(kept.get(f, h[f]).alias(f) for f in fields))
+    whole = at == (-ieee.INF if above else ieee.INF)
+    return out.withColumn("hist", F.when(whole, h).otherwise(new)).select(*v.columns)
 
 
 def _in_windows(samples: DataFrame, grid, width: int, offset: int) -> DataFrame:
@@ -354,21 +409,35 @@ def _is_reset(a: Column, b: Column) -> Column:
     return (a["schema"] != b["schema"]) | (b["count"] < a["count"]) | (b["zero_count"] < a["zero_count"]) | fell("positive") | fell("negative")
 
 
-def _followed(samples: DataFrame, grid, width: int, offset: int) -> DataFrame:
-    """Each histogram of a window with the next one, its place and whether that one is a reset."""
-    df = _in_windows(samples, grid, width, offset)
-    order = Window.partitionBy(*_SERIES).orderBy("ts_ms")
-    df = df.withColumns({"next": F.lead("hist").over(order), "k": F.row_number().over(order)})
-    return df.withColumn("reset", F.col("next").isNotNull() & F.coalesce(_is_reset(F.col("hist"), F.col("next")), F.lit(False)))
+def _linked(samples: DataFrame, grid, width: int, offset: int) -> DataFrame:
+    """Each histogram with the one before it (hist and time) and whether it is a reset, and its steps _lo to _hi, in chunks of steps.
 
+    What two neighbours have to do with one another is settled once, not in every window that
+    holds both; a chunk is a bounded time of a series.
+    """
+    df = samples.withColumn("ts_ms", F.col("ts_ms") + F.lit(offset).cast("long"))
+    lo, hi = steps_of(F.col("ts_ms"), grid, width)
+    df = in_chunks(df.withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi"), max(64, 8 * (width // grid.step + 1)))
+    order = Window.partitionBy("metric", "lkey", "_chunk").orderBy("ts_ms")
+    df = df.withColumns({"before": F.lag("hist").over(order), "before_ts": F.lag("ts_ms").over(order)})
+    return df.withColumn("reset", F.col("before").isNotNull() & F.coalesce(_is_reset(F.col("before"), F.col("hist")), F.lit(False)))
 
-def _summed(parts: DataFrame) -> DataFrame:
-    """The sum of the histograms of each series and step."""
-    labels = parts.groupBy(*_SERIES).agg(F.first("labels").alias("labels"))
-    both = parts.select(F.lit(None).cast("string").alias("metric"), F.create_map(F.lit("_name"), F.coalesce("metric", F.lit("")), F.lit("_key"), F.col("lkey")).alias("labels"), F.col("lkey"), "t", "hist")
-    out = combine(both, by=["_name", "_key"])
-    out = out.select(F.coalesce(F.element_at("labels", "_name"), F.lit("")).alias("_name"), F.element_at("labels", "_key").alias("lkey"), "t", "hist")
-    return out.join(labels.withColumn("_name", F.coalesce("metric", F.lit(""))), ["_name", "lkey", "t"]).select("metric", "labels", "lkey", "t", "hist")
+
+def _at_times(times: DataFrame, samples: DataFrame, offset: int) -> DataFrame:
+    """Rows metric, lkey, t, ts_ms, sign to the histograms of those times, times the sign."""
+    held = samples.select(F.coalesce("metric", F.lit("")).alias("_name"), "lkey", (F.col("ts_ms") + F.lit(offset).cast("long")).alias("ts_ms"), "labels", "hist")
+    named = times.withColumn("_name", F.coalesce("metric", F.lit("")))
+    return scale(named.join(held, ["_name", "lkey", "ts_ms"]).drop("_name"), F.col("sign"))
+
+
+def _summed(parts: DataFrame, mean: bool = False) -> DataFrame:
+    """The sum (or mean) of the histograms of each series and step."""
+    name = F.create_map(F.lit("_name"), F.coalesce("metric", F.lit("")), F.lit("_key"), F.col("lkey"))
+    out = _combined(parts.select(name.alias("labels"), "t", "hist"), F.col("labels"))
+    out = scale(out, 1.0 / F.col("series")) if mean else out
+    own = labels_of("gkey")
+    metric, key = F.try_element_at(own, F.lit("_name")), F.element_at(own, "_key")
+    return out.select(metric.alias("metric"), labels_of(key).alias("labels"), key.alias("lkey"), "t", "hist")
 
 
 def increase(samples: DataFrame, grid, width: int, offset: int = 0, extrapolate: bool = True) -> DataFrame:
@@ -377,15 +446,18 @@ def increase(samples: DataFrame, grid, width: int, offset: int = 0, extrapolate:
     Extrapolated to the window's ends as for counters: by half a mean interval where an end is
     further away than 1.1 of them, and not to before the count would have been zero.
     """
-    df = _followed(samples, grid, width, offset)
-    stats = df.groupBy(*_SERIES).agg(F.min("ts_ms").alias("first"), F.max("ts_ms").alias("last"), F.count(F.lit(1)).alias("n"), F.min_by("hist.count", "ts_ms").alias("held")).where("n > 1")
-    df = df.join(stats.select(*_SERIES), _SERIES, "left_semi")
-    signed = F.when(F.col("next").isNull() | F.col("reset"), 1.0).otherwise(0.0) - F.when(F.col("k") == 1, 1.0).otherwise(0.0)
-    parts = df.withColumn("sign", signed).where("sign <> 0")
-    out = _summed(scale(parts, F.col("sign")))
+    linked = _linked(samples, grid, width, offset)
+    light = at_steps(linked.select("metric", "lkey", "_chunk", "_lo", "_hi", "ts_ms", "before_ts", "reset", F.col("hist.count").alias("c")), grid)
+    fell = F.when(F.col("reset"), F.struct("ts_ms", "before_ts"))
+    stats = light.groupBy("metric", "lkey", "_chunk", "t").agg(F.min("ts_ms").alias("first"), F.max("ts_ms").alias("last"), F.count(F.lit(1)).alias("n"), F.min_by("c", "ts_ms").alias("held"), F.collect_list(fell).alias("fell")).where("n > 1")
+    # the last one, less the first one, and the one before each reset inside the window
+    inside = F.transform(F.filter("fell", lambda x: x["ts_ms"] > F.col("first")), lambda x: F.struct(x["before_ts"].alias("ts_ms"), F.lit(1.0).alias("sign")))
+    ends = F.array(F.struct(F.col("last").alias("ts_ms"), F.lit(1.0).alias("sign")), F.struct(F.col("first").alias("ts_ms"), F.lit(-1.0).alias("sign")))
+    times = stats.select(*_SERIES, F.explode(F.concat(ends, inside)).alias("x")).select(*_SERIES, "x.*")
+    out = _summed(_at_times(times, samples, offset))
     if not extrapolate:
         return out
-    out = out.join(stats.drop("n").join(stats.select(*_SERIES, "n"), _SERIES), _SERIES)
+    out = out.join(stats.drop("_chunk", "fell"), _SERIES)
     sampled = (F.col("last") - F.col("first")).cast("double")
     gap = sampled / (F.col("n") - 1)
     to_start, to_end = (F.col("first") - (F.col("t") - width)).cast("double"), (F.col("t") - F.col("last")).cast("double")
@@ -403,12 +475,13 @@ def rate(samples: DataFrame, grid, width: int, offset: int = 0) -> DataFrame:
 
 def irate(samples: DataFrame, grid, width: int, offset: int = 0) -> DataFrame:
     """Growth from the last but one to the last histogram of each window, per second (of one second at least)."""
-    df = _followed(samples, grid, width, offset)
-    order = Window.partitionBy(*_SERIES).orderBy(F.desc("ts_ms"))
-    two = df.withColumns({"back": F.row_number().over(order), "later": F.lag("ts_ms").over(order)}).where("back <= 2")
-    before = two.where("back = 2").select(*_SERIES, F.greatest((F.col("later") - F.col("ts_ms")) / 1000.0, F.lit(1.0)).alias("seconds"), F.col("reset").alias("anew"))
-    both = two.drop("reset").join(before, _SERIES).where("back = 1 or not anew")
-    return _summed(scale(both, F.when(F.col("back") == 1, 1.0).otherwise(-1.0) / F.col("seconds")))
+    light = at_steps(_linked(samples, grid, width, offset).select("metric", "lkey", "_chunk", "_lo", "_hi", "ts_ms", "before_ts", "reset"), grid)
+    last = F.max_by(F.struct("ts_ms", "before_ts", "reset"), "ts_ms")
+    two = light.groupBy("metric", "lkey", "_chunk", "t").agg(F.count(F.lit(1)).alias("n"), last.alias("x")).where("n > 1")
+    seconds = F.greatest((F.col("x.ts_ms") - F.col("x.before_ts")) / 1000.0, F.lit(1.0))
+    now, before = F.struct(F.col("x.ts_ms").alias("ts_ms"), (1 / seconds).alias("sign")), F.struct(F.col("x.before_ts").alias("ts_ms"), (-1 / seconds).alias("sign"))
+    times = two.select(*_SERIES, F.explode(F.when(F.col("x.reset"), F.array(now)).otherwise(F.array(now, before))).alias("y")).select(*_SERIES, "y.*")
+    return _summed(_at_times(times, samples, offset))
 
 
 def sum_over_time(samples: DataFrame, grid, width: int, offset: int = 0) -> DataFrame:
@@ -416,9 +489,7 @@ def sum_over_time(samples: DataFrame, grid, width: int, offset: int = 0) -> Data
 
 
 def avg_over_time(samples: DataFrame, grid, width: int, offset: int = 0) -> DataFrame:
-    df = _in_windows(samples, grid, width, offset)
-    n = df.groupBy(*_SERIES).agg(F.count(F.lit(1)).alias("_n"))
-    return _summed(scale(df.join(n, _SERIES), 1.0 / F.col("_n")))
+    return _summed(_in_windows(samples, grid, width, offset), mean=True)
 
 
 def _counted(df: DataFrame, value: Column) -> DataFrame:
@@ -431,11 +502,18 @@ def count_over_time(samples: DataFrame, grid, width: int, offset: int = 0) -> Da
     return _counted(_in_windows(samples, grid, width, offset), F.count(F.lit(1)))
 
 
+def _flagged(samples: DataFrame, grid, width: int, offset: int, flag: Column) -> DataFrame:
+    """How many histograms of a window, but for its first, have a flag."""
+    rows = _linked(samples, grid, width, offset).select("metric", "lkey", "_chunk", "_lo", "_hi", "ts_ms", F.coalesce(flag, F.lit(False)).cast("long").alias("hit"))
+    g = at_steps(rows, grid).groupBy("metric", "lkey", "_chunk", "t").agg((F.sum("hit") - F.min_by("hit", "ts_ms")).cast("double").alias("value"))
+    return g.select("metric", labels_of("lkey").alias("labels"), "lkey", "t", F.col("t").alias("src_ts"), "value", F.lit(True).alias("drop_name")).select(*VECTOR)
+
+
 def changes(samples: DataFrame, grid, width: int, offset: int = 0) -> DataFrame:
     """How often a histogram of the window differs from the one before."""
-    differs = F.col("next").isNotNull() & ~_canonical(F.col("hist")).eqNullSafe(_canonical(F.col("next")))
-    return _counted(_followed(samples, grid, width, offset), F.count_if(differs))
+    differs = F.col("before").isNotNull() & ~_canonical(F.col("before")).eqNullSafe(_canonical(F.col("hist")))
+    return _flagged(samples, grid, width, offset, differs)
 
 
 def resets(samples: DataFrame, grid, width: int, offset: int = 0) -> DataFrame:
-    return _counted(_followed(samples, grid, width, offset), F.count_if(F.col("reset")))
+    return _flagged(samples, grid, width, offset, F.col("reset"))

@@ -44,6 +44,22 @@ def count(spans: DataFrame, condition: Column) -> DataFrame:
     return spans.where(condition).agg(F.count(F.lit(1)).alias("spans"))
 
 
+def checked_aggregation(spans: DataFrame, attributes: list[str], aggregation: str, resolution: str | None = None) -> None:
+    """An error for an aggregation of attributes that aren't numbers, or without a resolution; a count takes any.
+
+    The types are looked up in the catalog of the given attributes' names, one row for each.
+    """
+    if aggregation == "COUNT":
+        return
+    if resolution is None:
+        raise ValueError("a resolution is required for numerical aggregations")
+    asked = [a for a in attributes if a != "duration"]
+    known = {r["attribute_name"]: r["attribute_type"] for r in attribute_catalog(spans).where(F.col("attribute_name").isin(*asked)).collect()} if asked else {}
+    for a in asked:
+        if known.get(a) != "number":
+            raise ValueError(f"numerical aggregation is not supported for the non-numerical attribute {a!r}")
+
+
 def numeric_series(spans: DataFrame, attributes: list[str], aggregation: str, resolution: str, condition: Column | None = None) -> DataFrame:
     """attribute, bucket_ns, value: an aggregate over the spans that have the attribute; `duration` is one of all spans."""
     width = RESOLUTION_NS[resolution]

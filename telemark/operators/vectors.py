@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from telemark.functions import ieee
+from telemark.functions import exact, ieee
 from telemark.model import METADATA_LABELS, VECTOR, drop_labels, keep_labels, label, label_key, labels_of, put_label
 from telemark.operators.windows import Grid, constant
 
@@ -203,14 +203,16 @@ def _quantile_at(values: Column, q: float) -> Column:
 
 
 _AGGREGATES = {
-    "sum": lambda v: F.sum(v), "avg": lambda v: F.avg(v), "count": lambda v: F.count(F.lit(1)), "group": lambda v: F.first(F.lit(1.0)),
+    "count": lambda v: F.count(F.lit(1)), "group": lambda v: F.first(F.lit(1.0)),
     "min": lambda v: F.coalesce(F.min(F.when(~F.isnan(v), v)), F.lit(ieee.NAN)), "max": lambda v: F.coalesce(F.max(F.when(~F.isnan(v), v)), F.lit(ieee.NAN)),
     "stddev": lambda v: F.stddev_pop(v), "stdvar": lambda v: F.var_pop(v),
 }
 
 
 def aggregate(v: DataFrame, op: str, by: list[str] | None = None, without: list[str] | None = None) -> DataFrame:
-    """sum, avg, count, group, min, max, stddev, stdvar of each group and step."""
+    """sum, avg, count, group, min, max, stddev, stdvar of each group and step; sums don't depend on the order of the series."""
+    if op in ("sum", "avg"):
+        return _result(exact.totals(_grouped(v, by, without), ["_gkey", "t"]), F.col(op))
     g = _grouped(v, by, without).groupBy("_gkey", "t").agg(_AGGREGATES[op](F.col("value")).alias("v"))
     return _result(g, F.col("v"))
 

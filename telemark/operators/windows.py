@@ -96,14 +96,18 @@ def instant_smoothed(raw: DataFrame, grid: Grid, offset: int = 0, lookback: int
     return both.select("metric", labels_of("lkey").alias("labels"), "lkey", "t", F.col("t").alias("src_ts"), value.alias("value"), F.lit(False).alias("drop_name"))
 
 
+def in_chunks(df: DataFrame, steps: int) -> DataFrame:
+    """Rows of the steps _lo to _hi dealt to the chunks of that many steps that they touch, with their steps there."""
+    df = df.withColumn("_chunk", F.explode(F.sequence(F.expr(f"_lo div {steps}"), F.expr(f"_hi div {steps}"))))
+    return df.withColumns({"_lo": F.greatest("_lo", F.col("_chunk") * steps), "_hi": F.least("_hi", F.col("_chunk") * steps + steps - 1)})
+
+
 def _chunked(raw: DataFrame, grid: Grid, width: int, offset: int, closed_left: bool = False, chunk_steps: int | None = None) -> DataFrame:
     """The samples by series and chunk of steps, each with the sample before it in its chunk and its first and last step there."""
     df = shifted(raw, offset).where(~F.col("is_stale"))
     steps = chunk_steps or max(64, 8 * (width // grid.step + 1))
     first, last = steps_of(F.col("ts_ms"), grid, width, closed_left)
-    df = df.withColumns({"_lo": first, "_hi": last}).where("_lo <= _hi")
-    df = df.withColumn("_chunk", F.explode(F.sequence(F.expr(f"_lo div {steps}"), F.expr(f"_hi div {steps}"))))
-    df = df.withColumns({"_lo": F.greatest("_lo", F.col("_chunk") * steps), "_hi": F.least("_hi", F.col("_chunk") * steps + steps - 1)})
+    df = in_chunks(df.withColumns({"_lo": first, "_hi": last}).where("_lo <= _hi"), steps)
     order = Window.partitionBy("metric", "lkey", "_chunk").orderBy("ts_ms")
     return df.withColumns({"prev": F.lag("value").over(order), "prev_ts": F.lag("ts_ms").over(order)})
 

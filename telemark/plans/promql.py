@@ -527,9 +527,26 @@ def build(events: tuple, lines: tuple) -> tuple[dict, dict[str, str]]:
 
     @_query("promql_native_trim", _ctes("SELECT t, returnflag, round(sum(n * least(greatest((log2(30000) - log2(lower)) / (log2(upper) - log2(lower)), 0), 1)), 6) AS value FROM b GROUP BY t, returnflag HAVING min(lower) < 30000", _EXP, grid=_H_GRID))
     def _(spark, d):
-        kept = H.trim(_native(spark, d), "</", 30000.0)
+        kept = H.bucket_rows(H.trim(_native(spark, d), "</", 30000.0))
         return kept.groupBy("t", label("labels", "returnflag").alias("returnflag")).agg(F.round(F.sum("n"), 6).alias("value"))
 
+
+
+    _SHARE = "n * least(greatest((ln(30000) - ln(lower)) / (ln(upper) - ln(lower)), 0), 1)"
+    _TRIMMED = f"{_EXP}, k AS (SELECT t, returnflag, i, lower, upper, {_SHARE} AS m, {_SHARE} * sqrt(lower * least(upper, 30000)) AS s FROM b WHERE lower < 30000)"
+
+
+    @_query("promql_native_trim_quantile", _ctes("SELECT t, returnflag, round(arg_min(pow(2, log2(lower) + (log2(upper) - log2(lower)) * (total * 0.5 - (upto - m)) / m), i), 4) AS value FROM (SELECT *, sum(m) OVER (PARTITION BY returnflag, t ORDER BY i) AS upto, sum(m) OVER (PARTITION BY returnflag, t) AS total FROM k) WHERE upto > total * 0.5 GROUP BY t, returnflag", _TRIMMED, grid=_H_GRID))
+    def _(spark, d):
+        kept = H.trim(_native(spark, d), "</", 30000.0)
+        return _flat(H.quantile(kept.where("hist.count > 0"), 0.5), ("returnflag",), 4)
+
+
+    @_query("promql_native_trim_count_sum", _ctes("SELECT l.t, l.returnflag, round(coalesce(sum(m), 0), 6) AS value, round(coalesce(sum(s), 0), 2) AS total FROM latest l LEFT JOIN k USING (t, returnflag) GROUP BY l.t, l.returnflag", _TRIMMED, grid=_H_GRID))
+    def _(spark, d):
+        kept = H.trim(_native(spark, d), "</", 30000.0)
+        return kept.select("t", label("labels", "returnflag").alias("returnflag"), F.round("hist.count", 6).alias("value"), F.round("hist.sum", 2).alias("total"))
+
     # --- histograms over ranges: lineitem's daily histograms, added up by day as cumulative ones --------
 
     def _cumulated(spark, d) -> DataFrame:
