@@ -2,7 +2,9 @@
 
 The core is step expansion: a sample belongs to every step whose window holds it, which is a
 contiguous run of steps known by integer arithmetic, so each sample is exploded to its steps
-and all functions are aggregates by (series, step).  No join with the grid is needed.
+and all functions are aggregates by (series, step).  No join with the grid is needed.  Where a
+window is a whole number of steps, the functions that can be put together from parts go by
+panes instead (panes.py), and no sample is copied.
 
 Functions of consecutive samples need the sample before.  Steps are dealt into chunks, and a
 sample goes to the chunks of its steps (to one, except near an edge), so a series with very
@@ -20,6 +22,7 @@ from pyspark.sql.window import Window
 
 from telemark.functions import ieee
 from telemark.model import METADATA_LABELS, VECTOR, drop_labels, label_key, labels_of, samples
+from telemark.operators import panes
 
 LOOKBACK_MS = 300_000
 MINUTE, HOUR, DAY = 60_000, 3_600_000, 86_400_000
@@ -143,6 +146,8 @@ def _extrapolated(grid_width: int, is_counter: bool = True) -> Column:
 
 def increase(raw: DataFrame, grid: Grid, width: int, offset: int = 0, chunk_steps: int | None = None) -> DataFrame:
     """Growth of a counter over each window, resets made good, carried to the window's edges; windows of two samples at least."""
+    if panes.applies(grid, width):
+        return _vector(_grown(raw, grid, width, offset, chunk_steps), _extrapolated(width))
     rows = at_steps(_chunked(raw, grid, width, offset, chunk_steps=chunk_steps).withColumn("reset", _reset()), grid)
     g = rows.groupBy("metric", "lkey", "_chunk", "t").agg(
         F.count(F.lit(1)).alias("n"), F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts"),
@@ -152,6 +157,17 @@ def increase(raw: DataFrame, grid: Grid, width: int, offset: int = 0, chunk_step
     return _vector(g, _extrapolated(width))
 
 
+def _grown(raw: DataFrame, grid: Grid, width: int, offset: int, chunk_steps: int | None) -> DataFrame:
+    """The samples of each window by panes: resets inside a pane come from its own samples, those between two from their ends."""
+    df = shifted(raw, offset).where(~F.col("is_stale"))
+    pane = df.withColumn("_k", F.floor((F.col("ts_ms") - grid.start + grid.step - 1) / grid.step))
+    order = Window.partitionBy("metric", "lkey", "_k").orderBy("ts_ms")
+    pane = pane.withColumn("prev", F.lag("value").over(order)).withColumn("reset", _reset()).drop("_k")
+    parts = panes.panes(pane, grid, width, panes.growth(), ["metric", "lkey"])
+    g = panes.windows(parts, grid, width, panes.growth(), chunk_steps).select("metric", "lkey", "_chunk", "t", "s.*")
+    return g.where("n > 1").withColumn("change", F.col("last_value") - F.col("first_value") + F.col("resets"))
+
+
 def rate(raw: DataFrame, grid: Grid, width: int, offset: int = 0, chunk_steps: int | None = None) -> DataFrame:
     return increase(raw, grid, width, offset, chunk_steps).withColumn("value", F.col("value") / (width / 1000.0))
 
@@ -246,8 +262,13 @@ _OVER_TIME = {
 
 def over_time(raw: DataFrame, function: str, grid: Grid, width: int, offset: int = 0) -> DataFrame:
     """avg, sum, count, present, min, max, stddev, stdvar, last, first and ts_of_* of each window; last and first keep the name."""
+    keeps_name = function in ("last", "first")
+    if panes.applies(grid, width):
+        fold = panes.folds()[function]
+        parts = panes.panes(shifted(raw, offset).where(~F.col("is_stale")), grid, width, fold, ["metric", "lkey"])
+        return _vector(panes.windows(parts, grid, width, fold), fold.finish(F.col("s")), drop_name=not keeps_name)
     g = expand(raw, grid, width, offset).groupBy("metric", "lkey", "t").agg(_OVER_TIME[function](F.col("value")).alias("v"))
-    return _vector(g, F.col("v"), drop_name=function not in ("last", "first"))
+    return _vector(g, F.col("v"), drop_name=not keeps_name)
 
 
 def quantile_over_time(raw: DataFrame, q: float, grid: Grid, width: int, offset: int = 0) -> DataFrame:
