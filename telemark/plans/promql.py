@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from telemark.model import label, materialize
 from telemark.operators import histograms as H
+from telemark.operators import mixed as X
 from telemark.operators import vectors as V
 from telemark.operators import windows as W
 from telemark.sources import testbed as S
@@ -627,6 +628,47 @@ def build(events: tuple, lines: tuple) -> tuple[dict, dict[str, str]]:
         return _flat(H.quantiles(_native(spark, d), "q", 0.25, 0.5, 0.9), ("returnflag", "q"), 4)
 
 
+    # --- floats and histograms together: weekly counts of sales, one of them in a group of histograms -------
+
+    _FLOATS = f"fl AS (SELECT t, CASE WHEN returnflag = 'R' AND linestatus = 'F' THEN 'R' ELSE 'S' || returnflag END AS returnflag, linestatus, count(*)::DOUBLE AS value FROM (SELECT l_returnflag AS returnflag, l_linestatus AS linestatus, epoch_us(l_shipdate) // 1000 AS ts_ms FROM lineitem) JOIN grid ON ts_ms > t - {7 * DAY} AND ts_ms <= t GROUP BY ALL)"
+    _GROUPS = "hi AS (SELECT t, returnflag, sum(n) AS n, max(total) AS s FROM (SELECT *, sum(s) OVER (PARTITION BY t, returnflag) AS total FROM b) GROUP BY ALL), nu AS (SELECT t, returnflag, sum(value) AS v, avg(value) AS a, count(*) AS c FROM fl GROUP BY ALL)"
+
+
+    def _mixed(spark, d) -> DataFrame:
+        s = S.delta_sums(spark, d).select("metric", F.col("tags").alias("labels"), "lkey", F.col("ts_start_ms").alias("ts_ms"), "value")
+        v = W.over_time(s, "count", H_GRID, 7 * DAY)
+        apart = V.label_replace(v, "returnflag", "S$1", "returnflag", "(.*)")
+        flag, status = label("labels", "returnflag"), label("labels", "linestatus")
+        known = v.where((flag == "R") & (status == "F")).unionByName(apart.where((flag != "SR") | (status != "F")))
+        return X.of_floats(known).unionByName(X.of_histograms(_native(spark, d)))
+
+
+    def _both_kinds(v: DataFrame) -> DataFrame:
+        return v.select("t", label("labels", "returnflag").alias("returnflag"), F.round("value", 6).alias("value"), F.round("hist.count", 6).alias("hist_count"), F.round("hist.sum", 2).alias("hist_sum"))
+
+
+    for _name, _column in (("sum", "v"), ("avg", "a")):
+        _query(f"promql_mixed_{_name}", _ctes(f"SELECT t, returnflag, round({_column}, 6) AS value, NULL::DOUBLE AS hist_count, NULL::DOUBLE AS hist_sum FROM nu WHERE (t, returnflag) NOT IN (SELECT (t, returnflag) FROM hi) UNION ALL SELECT t, returnflag, NULL, round(n, 6), round(s, 2) FROM hi WHERE (t, returnflag) NOT IN (SELECT (t, returnflag) FROM nu)", _EXP, _FLOATS, _GROUPS, grid=_H_GRID))(lambda spark, d, op=_name: _both_kinds(X.aggregate(_mixed(spark, d), op, by=["returnflag"])))
+
+
+    @_query("promql_mixed_count", _ctes("SELECT t, returnflag, sum(c)::DOUBLE AS value FROM (SELECT t, returnflag, c FROM nu UNION ALL SELECT t, returnflag, 1 FROM hi) GROUP BY ALL", _EXP, _FLOATS, _GROUPS, grid=_H_GRID))
+    def _(spark, d):
+        return _flat(X.aggregate(_mixed(spark, d), "count", by=["returnflag"]), ("returnflag",))
+
+
+    @_query("promql_mixed_conflicts", _ctes("SELECT nu.t, returnflag, c AS floats, 1 AS histograms FROM nu JOIN hi USING (t, returnflag)", _EXP, _FLOATS, _GROUPS, grid=_H_GRID))
+    def _(spark, d):
+        c = X.conflicts(_mixed(spark, d), by=["returnflag"])
+        return c.select("t", F.get_json_object("lkey", "$.returnflag").alias("returnflag"), "floats", F.col("exponential").alias("histograms"))
+
+
+    @_query("promql_mixed_changes", _ctes(f"SELECT t, returnflag, (sum(hit) - arg_min(hit, ts_ms))::DOUBLE AS value FROM (SELECT *, CASE WHEN n % 2 <> pn % 2 OR n <> pn OR n % 2 = 0 AND s <> ps THEN 1 ELSE 0 END AS hit FROM (SELECT *, lag(n) OVER w AS pn, lag(s) OVER w AS ps FROM (SELECT l_returnflag AS returnflag, epoch_us(l_shipdate) // 1000 AS ts_ms, count(*) AS n, round(sum(l_extendedprice), 2) AS s FROM lineitem GROUP BY ALL) WINDOW w AS (PARTITION BY returnflag ORDER BY ts_ms))) JOIN grid ON ts_ms > t - {_WIDE} AND ts_ms <= t GROUP BY ALL", grid=_H_GRID))
+    def _(spark, d):
+        e = S.exponential_samples(spark, d)
+        odd = F.col("hist.count") % 2 == 1
+        raw = X.samples(e.where(odd).withColumn("value", F.col("hist.count")), e.where(~odd))
+        return _flat(X.changes(raw, H_GRID, _WIDE), ("returnflag",))
+
     # --- set operations that leave rows, time and constants ---------------------------------------------
 
     @_query("promql_unless_busy", _ctes(f"SELECT {_cols} FROM latest WHERE (t, event_type) NOT IN (SELECT t, event_type FROM latest WHERE value > 150)", _V, views=("gauges",)))
@@ -635,4 +677,21 @@ def build(events: tuple, lines: tuple) -> tuple[dict, dict[str, str]]:
         return _flat(V.unless(v, V.compare(v, ">", 150.0), V.Matching(on=("event_type",))))
 
 
+    @_query("promql_time", _ctes("SELECT t, round(t / 1000.0, 6) AS value FROM grid"))
+    def _(spark, d):
+        return V.vector(V.time(GRID, spark)).select("t", F.round("value", 6).alias("value"))
+
+
+    @_query("promql_native_from_explicit", _ctes("SELECT t, returnflag, round(CASE WHEN rank <= c[1] THEN 10 * rank / c[1] WHEN rank <= c[2] THEN 10 + 10 * (rank - c[1]) / (c[2] - c[1]) WHEN rank <= c[3] THEN 20 + 10 * (rank - c[2]) / (c[3] - c[2]) WHEN rank <= c[4] THEN 30 + 10 * (rank - c[3]) / (c[4] - c[3]) ELSE 40 END, 6) AS value FROM (SELECT t, returnflag, c, 0.6 * c[5] AS rank FROM (SELECT t, returnflag, arg_max(c, ts_ms) AS c FROM (SELECT l_returnflag AS returnflag, epoch_us(l_shipdate) // 1000 + 86400000 AS ts_ms, [count(*) FILTER (WHERE l_quantity <= 10), count(*) FILTER (WHERE l_quantity <= 20), count(*) FILTER (WHERE l_quantity <= 30), count(*) FILTER (WHERE l_quantity <= 40), count(*)] AS c FROM lineitem GROUP BY l_returnflag, l_shipdate) JOIN grid ON ts_ms > t - 604800000 AND ts_ms <= t GROUP BY ALL))", grid=_H_GRID))
+    def _(spark, d):
+        h = H.instant(H.native_from_explicit(S.histograms(spark, d)), H_GRID, 7 * DAY)
+        return _flat(H.quantile(h, 0.6), ("returnflag",))
+
+
+    for _name, _value in {"delta": "v1 - coalesce(before, v0)", "rate": "(v1 - coalesce(before, v0) + r - CASE WHEN before IS NULL THEN r0 ELSE 0 END) / 86400", "changes": "ch - CASE WHEN before IS NULL THEN ch0 ELSE 0 END", "resets": "fe - CASE WHEN before IS NULL THEN fe0 ELSE 0 END"}.items():
+        _fell, _moved = "CASE WHEN value < prev THEN prev ELSE 0 END", "CASE WHEN value <> prev THEN 1 ELSE 0 END"
+        _down = "CASE WHEN value < prev THEN 1 ELSE 0 END"
+        _in = f"FILTER (WHERE ts_ms > t - {DAY})"
+        _query(f"promql_anchored_{_name}", _ctes(f"SELECT t, event_type, {_OUT}, round(({_value})::DOUBLE, 9) AS value FROM g", _LAGGED.format("counters"), f"w AS ({_within('lagged', 2 * DAY, '>=')})", f"g AS (SELECT event_type, shard, t, arg_max(value, ts_ms) FILTER (WHERE ts_ms <= t - {DAY}) AS before, arg_min(value, ts_ms) {_in} AS v0, arg_max(value, ts_ms) AS v1, sum({_fell}) {_in} AS r, arg_min({_fell}, ts_ms) {_in} AS r0, sum({_moved}) {_in} AS ch, arg_min({_moved}, ts_ms) {_in} AS ch0, sum({_down}) {_in} AS fe, arg_min({_down}, ts_ms) {_in} AS fe0 FROM w GROUP BY ALL HAVING count(*) {_in} > 0)", views=("counters",)))(lambda spark, d, f=_name: _flat(W.anchored(S.counters(spark, d), f, GRID, DAY, lookback=DAY), digits=9))
+
     return _QUERIES, _SQL
