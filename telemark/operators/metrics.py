@@ -103,16 +103,26 @@ def exemplars(rows: DataFrame, metric: str, start_ns: int, end_ns: int, tags: di
 # --- discovery ----------------------------------------------------------------------------
 
 
-def stream_index(gauges: DataFrame, sums: DataFrame, histograms: DataFrame) -> DataFrame:
-    """A row for each stream: event_type, metric, tags, lkey, unit, ts_start_ms, ts_end_ms."""
+_STREAM = ["event_type", "metric", "lkey", "unit"]
+
+
+def streams(df: DataFrame, kind: str, first: str, last: str) -> DataFrame:
+    """A row for each stream of one kind: event_type, metric, tags, lkey, unit, ts_start_ms, ts_end_ms."""
+    g = df.groupBy("metric", "lkey", "unit").agg(F.first("tags").alias("tags"), F.min(first).alias("ts_start_ms"), F.max(last).alias("ts_end_ms"))
+    return g.select(F.lit(kind).alias("event_type"), "metric", "tags", "lkey", "unit", "ts_start_ms", "ts_end_ms")
 
-    def streams(df: DataFrame, kind: str, first: str, last: str) -> DataFrame:
-        g = df.groupBy("metric", "lkey", "unit").agg(F.first("tags").alias("tags"), F.min(first).alias("ts_start_ms"), F.max(last).alias("ts_end_ms"))
-        return g.select(F.lit(kind).alias("event_type"), "metric", "tags", "lkey", "unit", "ts_start_ms", "ts_end_ms")
 
+def stream_index(gauges: DataFrame, sums: DataFrame, histograms: DataFrame) -> DataFrame:
+    """The streams of samples of all kinds; ingest.stream_index() has those that were kept at ingest, without reading samples."""
     return streams(gauges, "GAUGE", "ts_ms", "ts_ms").unionByName(streams(sums, "SUM", "ts_start_ms", "ts_end_ms")).unionByName(streams(histograms, "HISTO", "ts_start_ms", "ts_end_ms"))
 
 
+def merged_streams(rows: DataFrame) -> DataFrame:
+    """One row for each stream, from rows of parts of its time; the same whatever the parts, and however often merged."""
+    g = rows.groupBy(*_STREAM).agg(F.first("tags").alias("tags"), F.min("ts_start_ms").alias("ts_start_ms"), F.max("ts_end_ms").alias("ts_end_ms"))
+    return g.select("event_type", "metric", "tags", "lkey", "unit", "ts_start_ms", "ts_end_ms")
+
+
 def live(index: DataFrame, start: int, end: int) -> DataFrame:
     """Streams that overlap the window, both ends included."""
     return index.where((F.col("ts_start_ms") <= end) & (F.col("ts_end_ms") >= start))

@@ -78,13 +78,29 @@ def distribution(spans: DataFrame, attributes: list[str], condition: Column | No
     return counts.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).drop("_n")
 
 
-def attribute_catalog(spans: DataFrame) -> DataFrame:
-    """attribute_name, attribute_type: string, number, or mixed where both occur."""
-    named = lambda c, kind: spans.select(F.explode(F.map_keys(c)).alias("attribute_name")).distinct().withColumn("kind", F.lit(kind))
-    g = named("attrs_str", "string").unionByName(named("attrs_num", "number")).groupBy("attribute_name").agg(F.min("kind").alias("a"), F.max("kind").alias("b"))
+def attribute_kinds(spans: DataFrame) -> DataFrame:
+    """attribute_name, kind (string or number): each that occurs, in one pass."""
+    named = lambda c, kind: F.transform(F.map_keys(c), lambda k: F.struct(k.alias("attribute_name"), F.lit(kind).alias("kind")))
+    both = F.concat(*(F.coalesce(named(c, kind), F.array().cast("array<struct<attribute_name:string,kind:string>>")) for c, kind in (("attrs_str", "string"), ("attrs_num", "number"))))
+    return spans.select(F.explode(both).alias("x")).select("x.*").distinct()
+
+
+def catalog_of(kinds: DataFrame) -> DataFrame:
+    """attribute_name, attribute_type of the kinds that were seen: string, number, or mixed where both were."""
+    g = kinds.groupBy("attribute_name").agg(F.min("kind").alias("a"), F.max("kind").alias("b"))
     return g.select("attribute_name", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("mixed").alias("attribute_type"))
 
 
+def attribute_catalog(spans: DataFrame) -> DataFrame:
+    """The catalog of a table of spans; ingest.attribute_catalog() has the one kept at ingest."""
+    return catalog_of(attribute_kinds(spans))
+
+
+def red_events(spans: DataFrame) -> DataFrame:
+    """What red(), red_totals(), red_operations() and services() need of a span, and nothing else."""
+    return spans.select("ts_start_ns", "ts_end_ns", "service_name", "service_peer_name", "span_name", "kind", "span_status")
+
+
 def attribute_hints(spans: DataFrame, defaults: list[str], limit: int = 100) -> DataFrame:
     first = spans.sparkSession.createDataFrame([(d,) for d in defaults], "attribute_name string")
     return first.unionByName(attribute_catalog(spans).select("attribute_name")).distinct().orderBy("attribute_name").limit(limit)

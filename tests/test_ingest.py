@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from telemark.operators import metrics as M
 from telemark.operators import traces as T
 from telemark.sources import otlp
 from telemark.streaming import ingest
@@ -104,3 +105,61 @@ def test_response(spark):
     s = spark.createDataFrame([("m", {"a": "b"}, 1000, 2.0)], "metric string, labels map<string,string>, ts_ms long, value double")
     out = json.loads(otlp.response(W.instant(s, W.instant_at(1000))).first()["json"])
     assert out == {"metric": {"a": "b", "__name__": "m"}, "values": [["1.0", "2.0"]]}
+
+
+def gauge(name, ts, value=1.0, **kv):
+    point = {"attributes": attrs(**kv), "timeUnixNano": str(ts * 1_000_000), "asDouble": value}
+    return json.dumps({"resourceMetrics": [{"resource": {"attributes": []}, "scopeMetrics": [{"metrics": [{"name": name, "unit": "1", "gauge": {"dataPoints": [point]}}]}]}]})
+
+
+def streams_of(df):
+    return sorted((r["event_type"], r["metric"], r["lkey"], r["unit"], r["ts_start_ms"], r["ts_end_ms"]) for r in df.collect())
+
+
+def test_index_of_streams_is_kept_at_ingest(spark, tmp_path):
+    """Batches, one of them run again, and compaction in between give what all samples would."""
+    root = str(tmp_path / "out")
+    write = ingest.write_tables(ingest.METRIC_TABLES, root)
+    batches = [[gauge("load", 50, host="a"), gauge("load", 70, host="a"), metrics()], [gauge("load", 10, host="a"), gauge("load", 60, host="b")], [gauge("load", 90, host="b"), gauge("heat", 5, host="a")]]
+    seen = []
+    for k, texts in enumerate(batches):
+        seen += texts
+        write(payloads(spark, *texts), k)
+        if k == 1:
+            write(payloads(spark, *texts), k)
+            ingest.compact(spark, root, "streams")
+        p = payloads(spark, *seen)
+        kinds = [(otlp.gauges(p), "GAUGE", "ts_ms", "ts_ms"), (otlp.sums(p), "SUM", "ts_start_ms", "ts_end_ms"), (otlp.histograms(p), "HISTO", "ts_start_ms", "ts_end_ms"), (otlp.exponential_histograms(p), "HISTO", "ts_start_ms", "ts_end_ms")]
+        want = sorted(x for args in kinds for x in streams_of(M.streams(*args)))
+        assert streams_of(ingest.stream_index(spark, root)) == want
+    ingest.compact(spark, root, "streams")
+    index = ingest.stream_index(spark, root)
+    assert streams_of(index) == want and len(want) == 7
+    assert [r["metric"] for r in M.name_hints(index, 0, 100).collect()] == ["heat", "load"]
+    assert [r["value"] for r in M.label_values(index, 80, 100, "host").collect()] == ["b"]
+    assert all("/streams" in f for f in M.name_hints(index, 0, 100).inputFiles())
+
+
+def span(i, service="shop", code=1, **kv):
+    row = {"traceId": f"t{i}", "spanId": f"s{i}", "name": "op", "kind": 2, "startTimeUnixNano": str(10**18 + i), "endTimeUnixNano": str(10**18 + i + 1000 * (i + 1)), "attributes": attrs(**kv), "status": {"code": code}}
+    return json.dumps({"resourceSpans": [{"resource": {"attributes": attrs(service__name=service)}, "scopeSpans": [{"spans": [row]}]}]})
+
+
+def test_catalog_and_events_are_kept_at_ingest(spark, tmp_path):
+    source, root = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    found = []
+    for k, texts in enumerate([[span(0, user="a", size=1)], [span(1, user="b", code=2), span(2, "other", size=2)], [span(3, size="big")]]):
+        (source / f"{k}.txt").write_text("\n".join(texts) + "\n")
+        ingest.ingest(ingest.payload_files(spark, str(source)), ingest.SPAN_TABLES, root, str(tmp_path / "cp")).awaitTermination(120)
+        found.append({r["attribute_name"]: r["attribute_type"] for r in ingest.attribute_catalog(spark, root).collect()})
+        if k == 1:
+            ingest.compact(spark, root, "span_attributes")
+    assert found == [{"user": "string", "size": "number"}, {"user": "string", "size": "number"}, {"user": "string", "size": "mixed"}]
+    spans_so_far = otlp.spans(otlp.read_lines(spark, str(source)))
+    assert sorted(map(tuple, T.attribute_catalog(spans_so_far).collect())) == sorted(found[-1].items())
+    window = (10**18, 10**18 + 10**9)
+    for keys in (["service_name"], ["service_name", "service_peer_name"]):
+        got, want = (sorted(map(str, T.red(df, keys, *window, "HOURLY").collect())) for df in (ingest.red_events(spark, root), spans_so_far))
+        assert got == want and got
+    assert all("/red_events/" in f for f in T.red(ingest.red_events(spark, root), ["service_name"], *window, "HOURLY").inputFiles())
