@@ -33,10 +33,19 @@ class Fold(NamedTuple):
     finish: Callable[[Column], Column] = lambda s: s
 
 
-def applies(grid, width: int) -> bool:
+#: With fewer panes to a window, copies of the samples cost less than looking back.
+LEAST_PANES = 16
+
+
+def fits(grid, width: int) -> bool:
+    """Whether windows are whole numbers of steps, and more than one."""
     return width % grid.step == 0 and width > grid.step
 
 
+def applies(grid, width: int) -> bool:
+    return fits(grid, width) and width >= LEAST_PANES * grid.step
+
+
 def _number(v: Column) -> Column:
     return F.when(~F.isnan(v), v)
 

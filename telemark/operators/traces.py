@@ -173,8 +173,8 @@ def _located(spans: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     # the path to the root is found for all spans at once: each round doubles the length of the jump;
     # a span whose jump has reached its root is settled and leaves the rounds, but is looked at by the others
     settled = known.where("_parent IS NULL").select("trace_id", "span_id", F.lit(0).cast("long").alias("depth"))
-    going = scratch.write(known.where("_parent IS NOT NULL").select("trace_id", "span_id", F.col("_parent").alias("up"), F.lit(1).cast("long").alias("jump")), "going-0")
-    settled, k, most = scratch.write(settled, "settled-0"), 0, None
+    going = known.where("_parent IS NOT NULL").select("trace_id", "span_id", F.col("_parent").alias("up"), F.lit(1).cast("long").alias("jump"))
+    k, most = 0, None
     while not going.isEmpty():
         most = most or known.groupBy("trace_id").count().agg(F.max("count")).first()[0]
         if 2**k >= most:  # longer than any path to a root: what is left runs in a cycle or hangs below one
@@ -184,11 +184,8 @@ def _located(spans: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
         longer = going.join(on, (F.col("trace_id") == F.col("_t")) & (F.col("up") == F.col("_s"))).select("trace_id", "span_id", F.col("_up").alias("up"), (F.col("jump") + F.col("_d")).alias("jump"))
         k += 1
         longer = scratch.write(longer, f"longer-{k}")
-        arrived = longer.where("up IS NULL").select("trace_id", "span_id", F.col("jump").alias("depth"))
-        settled = scratch.write(settled.unionByName(arrived), f"settled-{k}")
-        going = scratch.write(longer.where("up IS NOT NULL"), f"going-{k}")
-        for done in (f"longer-{k}", f"settled-{k - 1}", f"going-{k - 1}"):
-            scratch.drop(done)
+        settled = settled.unionByName(longer.where("up IS NULL").select("trace_id", "span_id", F.col("jump").alias("depth")))
+        going = longer.where("up IS NOT NULL")
     return known, settled
 
 

@@ -32,6 +32,12 @@ def by_copies(monkeypatch, run):
         return run()
 
 
+def by_panes(monkeypatch, run):
+    with monkeypatch.context() as m:
+        m.setattr(panes, "applies", panes.fits)
+        return run()
+
+
 def points(v):
     return {(r["lkey"], r["t"]): r["value"] for r in v.collect()}
 
@@ -47,7 +53,7 @@ def test_functions(raw, monkeypatch, function):
     some = raw if function not in ("avg", "stddev", "stdvar", "sum") else raw.where("not isnan(value)")
     for grid, width, offset in ((W.Grid(0, 3000, 100), 700, 0), (W.Grid(50, 2950, 100), 800, -130), (W.Grid(0, 3000, 250), 500, 40)):
         run = lambda g=grid, w=width, o=offset: points(W.over_time(some, function, g, w, o))
-        close(run(), by_copies(monkeypatch, run))
+        close(by_panes(monkeypatch, run), by_copies(monkeypatch, run))
 
 
 def test_all_functions_are_there(spark):
@@ -59,7 +65,7 @@ def test_growth(raw, monkeypatch, chunk):
     some = raw.where("not isnan(value)")
     for grid, width in ((W.Grid(0, 3000, 100), 700), (W.Grid(0, 3000, 100), 1600)):
         run = lambda g=grid, w=width: points(W.increase(some, g, w, chunk_steps=chunk))
-        close(run(), by_copies(monkeypatch, run))
+        close(by_panes(monkeypatch, run), by_copies(monkeypatch, run))
 
 
 def test_rows_are_bounded(raw):
@@ -76,6 +82,7 @@ def test_rows_are_bounded(raw):
 def test_long_windows_look_back_by_halves(raw):
     plan = W.over_time(raw, "max", W.Grid(0, 3000, 1), 1024)._jdf.queryExecution().toString()
     assert plan.split("== Physical Plan ==")[1].count("lag(") < 60
-    assert not panes.applies(W.Grid(0, 10, 3), 10) and panes.applies(W.Grid(0, 10, 5), 10) and not panes.applies(W.Grid(0, 10, 5), 5)
+    assert not panes.fits(W.Grid(0, 10, 3), 10) and panes.fits(W.Grid(0, 10, 5), 10) and not panes.fits(W.Grid(0, 10, 5), 5)
+    assert panes.applies(W.Grid(0, 100, 1), 16) and not panes.applies(W.Grid(0, 100, 1), 15)
 
 
