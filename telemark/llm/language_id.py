@@ -7,8 +7,14 @@ length, all of them are scored in batches, and the text's language is the one wi
 largest mean log-probability, by which the score is made as well.
 
 Learning takes rows with a text and a language from a hash sample of about `per_language`
-documents for each language, `windows_each` different windows of each at most; twice their
-number is the most that reaches the driver, however often a row is repeated.  Prediction reads the text and nothing else.
+documents for each of the `most_languages` most frequent languages, `windows_each` different
+windows of each at most; twice their number is the most that reaches the driver, however often
+a row is repeated and however many values the column has.  Prediction reads the text and nothing else.
+
+Noise is a class of its own, learnt from windows of random bytes and of random printable
+characters, as many as a language has windows.  It never is a prediction: `lang_pred` and
+`score` are those among the languages, `noise` says that no language was likelier than noise,
+and keep_known() drops such texts.  No threshold is set by hand.
 
 Cases: a null text, or one without any letter, is `und` with score 0; without a labelled
 row everything is `und`; with one language all texts with letters get it; repeated rows are
@@ -30,8 +36,7 @@ from pyspark.sql import types as T
 from telemark.llm import _text as K
 
 UNKNOWN = "und"
-#: A draw among four languages scores 0.25.  The lowest of the check tool's 256,410 documents scores 0.37, so none of them goes.
-LEAST_SCORE = 0.3
+_ADDED = ("lang_pred", "score", "noise")
 
 
 class Shape(NamedTuple):
@@ -39,6 +44,7 @@ class Shape(NamedTuple):
     widths: tuple[int, ...] = (2, 3, 4)
     filters: int = 8
     per_language: int = 600
+    most_languages: int = 256
     windows_each: int = 3
     epochs: int = 8
     batch: int = 64
@@ -46,7 +52,7 @@ class Shape(NamedTuple):
 
 
 class Network:
-    """For each width a table of weights by place and byte; then a dense layer on the maxima."""
+    """For each width a table of weights by place and byte; then a dense layer on the maxima, to the languages and noise."""
 
     def __init__(self, languages: list[str], shape: Shape):
         rng = np.random.default_rng(7)
@@ -54,8 +60,8 @@ class Network:
         self.tables = [[rng.normal(0, 0.1, (256, shape.filters)).astype(np.float32) for _ in range(w)] for w in shape.widths]
         features = shape.filters * len(shape.widths)
         self.bias = np.zeros(features, np.float32)
-        self.dense = rng.normal(0, 0.3, (features, len(languages))).astype(np.float32)
-        self.out = np.zeros(len(languages), np.float32)
+        self.dense = rng.normal(0, 0.3, (features, len(languages) + 1)).astype(np.float32)
+        self.out = np.zeros(len(languages) + 1, np.float32)
 
     def _maxima(self, x: np.ndarray, places: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
         found, at = [], []
@@ -144,16 +150,22 @@ def _sampled(shape: Shape):
     return run
 
 
+def _noise(n: int, window: int) -> np.ndarray:
+    """Windows of random bytes and of random printable characters in turn, A-Z lower-cased."""
+    rng = np.random.default_rng(13)
+    out = rng.integers(0, 256, (n, window), np.uint8)
+    out[1::2] = rng.integers(32, 127, out[1::2].shape, np.uint8)
+    return K.lower_ascii(out.ravel()).reshape(n, window)
+
+
 def train(labelled: DataFrame, shape: Shape = Shape()) -> Network | None:
-    """A network for the languages of the rows lang, text; None if there is no such row with a letter."""
+    """A network for the most frequent languages of the rows lang, text; None if there is no such row with a letter."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(shape.most_languages).collect()
     if not counts:
         return None
-    share = F.lit(0.0)
-    for lang in sorted(counts):
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, shape.per_language / counts[lang]))).otherwise(share)
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1 << 20)) < share * (1 << 20))
+    shares = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, shape.per_language / r["n"])) for r in counts], "lang string, share double")
+    drawn = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1 << 20)) < F.col("share") * (1 << 20))
     windows = drawn.select("lang", "text").mapInArrow(_sampled(shape), "lang string, window binary").distinct()
     sample = windows.orderBy(F.xxhash64("window", "lang"), "window", "lang").limit(2 * shape.per_language * shape.windows_each * len(counts)).collect()
     languages = sorted({r["lang"] for r in sample})
@@ -162,21 +174,24 @@ def train(labelled: DataFrame, shape: Shape = Shape()) -> Network | None:
     network = Network(languages, shape)
     sample = sorted(sample, key=lambda r: (bytes(r["window"]), r["lang"]))
     x = np.frombuffer(b"".join(r["window"] for r in sample), np.uint8).reshape(-1, shape.window)
-    network.train(x, np.array([languages.index(r["lang"]) for r in sample]))
+    noise = _noise(-(-len(x) // len(languages)), shape.window)
+    known = np.array([languages.index(r["lang"]) for r in sample])
+    network.train(np.concatenate((x, noise)), np.concatenate((known, np.full(len(noise), len(languages)))))
     return network
 
 
 def predict(docs: DataFrame, network: Network | None, carry: list[str] | None = None) -> DataFrame:
-    """All rows, with the columns to carry (or all), `lang_pred` and `score` (columns of those names are replaced)."""
-    rows = docs.drop("lang_pred", "score")
+    """All rows, with the columns to carry (or all), `lang_pred`, `score` and `noise` (columns of those names are replaced)."""
+    rows = docs.drop(*_ADDED)
     carried = carry or rows.columns
     if network is None:
-        return rows.select(*carried).withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        return rows.select(*carried).withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "noise": F.lit(False)})
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         names = np.array([*net.languages, UNKNOWN])
+        classes = len(names)
         for batch in batches:
             known = batch.column("_has_letter").to_numpy(zero_copy_only=False)
             for block in K.blocks(batch.column("text"), 1 << 18):
@@ -184,18 +199,20 @@ def predict(docs: DataFrame, network: Network | None, carry: list[str] | None =
                 ok = known[block.first : block.first + n]
                 windows, count = _windows(block, net.shape.window)
                 logs = [net.log_probabilities(windows[k : k + 64]) for k in range(0, len(windows), 64)]
-                total = np.concatenate((np.zeros((1, len(net.languages))), np.cumsum(np.concatenate(logs), axis=0, dtype=np.float64))) if logs else np.zeros((1, len(net.languages)))
+                total = np.concatenate((np.zeros((1, classes)), np.cumsum(np.concatenate(logs), axis=0, dtype=np.float64))) if logs else np.zeros((1, classes))
                 ends = np.cumsum(count)
                 mean = (total[ends] - total[ends - count]) / np.maximum(count, 1)[:, None]
+                noise = ok & (mean[:, -1] > mean[:, :-1].max(axis=1))
+                mean = mean[:, :-1]
                 p = np.exp(mean - mean.max(axis=1, keepdims=True))
                 p /= p.sum(axis=1, keepdims=True)
                 best = np.where(ok, p.argmax(axis=1), len(names) - 1)
                 score = np.where(ok, p.max(axis=1), 0.0)
                 kept = [batch.column(c).slice(block.first, n) for c in carried]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=[*carried, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(noise)], names=[*carried, *_ADDED])
 
     given = rows.select(*dict.fromkeys([*carried, "text"])).withColumn("_has_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    out = T.StructType([*(rows.schema[c] for c in carried), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    out = T.StructType([*(rows.schema[c] for c in carried), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("noise", T.BooleanType())])
     return given.mapInArrow(run, out)
 
 
@@ -204,15 +221,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def identify(docs: DataFrame, shape: Shape = Shape(), carry: list[str] | None = None) -> DataFrame:
-    """All rows, the columns to carry (or all; doc_id among them) with lang_pred, score and held_out; learns from the rows that aren't held out."""
+    """All rows, the columns to carry (or all; doc_id among them) with lang_pred, score, noise and held_out; learns from the rows that aren't held out."""
     network = train(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "lang", "text"), shape)
     return predict(docs, network, carry).withColumn("held_out", held_out(F.col("doc_id")))
 
 
-def keep_known(docs: DataFrame, shape: Shape = Shape(), least: float = LEAST_SCORE) -> DataFrame:
-    """The rows, all columns kept, whose language is known with at least that score; texts that are like none of the languages score low."""
+def keep_known(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
+    """The rows, all columns kept, whose language is known; texts that are more like noise than like any language go."""
     read = ("doc_id", "lang", "text")
     names = {c: c if c in read else f"_c{i}" for i, c in enumerate(docs.columns)}
     inner = docs.select(*(F.col(c).alias(name) for c, name in names.items()))
-    found = identify(inner, shape, list(names.values())).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    found = identify(inner, shape, list(names.values())).where((F.col("lang_pred") != UNKNOWN) & ~F.col("noise"))
     return found.select(*(F.col(name).alias(c) for c, name in names.items()))

@@ -145,17 +145,90 @@ def test_language(spark):
     assert all(0 <= r["score"] <= 1 for r in found)
     kept = language_id.keep_known(df, language_id.Shape(per_language=60))
     assert kept.columns == df.columns and kept.count() == len(rows) - 3
-    known = [r for r in found if r["lang_pred"] != "und"]
-    least = sorted(r["score"] for r in known)[len(known) // 3]
-    strict = language_id.keep_known(df, language_id.Shape(per_language=60), least).collect()
-    assert {r["doc_id"] for r in strict} == {r["doc_id"] for r in known if r["score"] >= least} and 0 < len(strict) < len(known)
-    more = df.select("*", F.lit(77.0).alias("score"), F.lit("own").alias("lang_pred"), F.lit(3).alias("_has_letter"), F.lit(4).alias("held_out"))
+    more = df.select("*", F.lit(77.0).alias("score"), F.lit("own").alias("lang_pred"), F.lit(True).alias("noise"), F.lit(3).alias("_has_letter"), F.lit(4).alias("held_out"))
     kept = language_id.keep_known(more, language_id.Shape(per_language=60))
     assert kept.columns == more.columns and kept.select("score", "lang_pred", "_has_letter", "held_out").distinct().collect() == [(77.0, "own", 3, 4)]
     assert {r["lang_pred"] for r in language_id.identify(df.where("lang is null")).collect()} == {"und"}
     assert language_id.identify(df.limit(0)).count() == 0
 
 
+def plain_language(network, text):
+    """(best language, its share, whether noise is likelier) by loops over the bytes of every window."""
+    data, size = [b + 32 if 65 <= b <= 90 else b for b in text.encode()], network.shape.window
+    total = [0.0] * len(network.out)
+    windows = [data[k : k + size] for k in range(0, len(data), size)]
+    for window in windows:
+        window = window + [0] * (size - len(window))
+        maxima = []
+        for tables, width in zip(network.tables, network.shape.widths, strict=True):
+            for f in range(network.shape.filters):
+                maxima.append(max(sum(float(tables[j][window[k + j], f]) for j in range(width)) for k in range(size - width + 1)))
+        hidden = [max(0.0, m + float(b)) for m, b in zip(maxima, network.bias, strict=True)]
+        z = [float(o) + sum(h * float(network.dense[i, c]) for i, h in enumerate(hidden)) for c, o in enumerate(network.out)]
+        norm = max(z) + np.log(sum(np.exp(v - max(z)) for v in z))
+        total = [t + v - norm for t, v in zip(total, z, strict=True)]
+    mean = [t / len(windows) for t in total]
+    shares = [float(np.exp(v - max(mean[:-1]))) for v in mean[:-1]]
+    best = max(range(len(shares)), key=shares.__getitem__)
+    return network.languages[best], shares[best] / sum(shares), mean[-1] > max(mean[:-1])
+
+
+def against_plain_language(network, found, texts):
+    for i, text in texts.items():
+        lang, share, noise = plain_language(network, text)
+        assert (found[i]["lang_pred"], found[i]["noise"]) == (lang, noise) and abs(found[i]["score"] - share) < 1e-4
+
+
+def test_language_against_loops(spark):
+    """Whole texts, one of 40,000 bytes among them; noise goes, though it has letters, and repeated rows are alike."""
+    rng = random.Random(3)
+    junk = {700 + i: "".join(chr(rng.randint(33, 126)) for _ in range(700)) + "a" for i in range(5)}
+    rows = [*spoken(), (800, "kala " * 8000 + "proz", "aa"), *((i, t, None) for i, t in junk.items())]
+    df = spark.createDataFrame([*rows, *rows[:3]], "doc_id long, text string, lang string")
+    shape = language_id.Shape(per_language=60)
+    network = language_id.train(df.where(~language_id.held_out(F.col("doc_id"))), shape)
+    all_rows = language_id.predict(df, network).collect()
+    found = {r["doc_id"]: r for r in all_rows}
+    assert len(all_rows) == len(rows) + 3 and len({(r["doc_id"], r["lang_pred"], r["score"], r["noise"]) for r in all_rows}) == len(rows)
+    against_plain_language(network, found, {i: t for i, t, _ in [*rows[:10], rows[240], *rows[-2:]]})
+    assert {r["doc_id"] for r in all_rows if r["noise"]} == set(junk)
+    assert {r["doc_id"] for r in language_id.keep_known(df, shape).collect()} == {i for i, _, _ in rows} - set(junk)
+
+
+def test_language_column_of_junk(spark):
+    """A value of its own for each row: only the most frequent languages are learnt, and no more rows are collected."""
+    rows = [*spoken(), *((1000 + i, "kala muna", f"x{i}") for i in range(500))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    network = language_id.train(df, language_id.Shape(per_language=20, most_languages=3, epochs=1))
+    assert network.languages == sorted(SPOKEN)
+
+
+SYMBOLS, MARKS, ENDS = (set(c.encode()) for c in ("!#$%&*+/<=>@[\\]^_`{|}~", ".,;:?'\"-()", ".?!"))
+
+
+def plain_features(text):
+    data = text.encode()
+    split = re.compile("[^\x20\x09-\x0d]+").findall(text)
+    words = [w.encode() for w in split]
+    lines = [x.encode() for x in re.compile("[^\n]+").findall(text)]
+    share = lambda test: sum(map(test, data)) / max(1, len(data))
+    of_words = lambda values: sum(values) / max(1, len(words))
+    triples = list(zip(words, words[1:], words[2:], strict=False))
+    symbol = SYMBOLS.__contains__
+    return [
+        np.log1p(len(data)), np.log1p(len(words)), of_words(map(len, words)), share(lambda b: 65 <= b <= 90), share(lambda b: 48 <= b <= 57), share(symbol), share(lambda b: b in MARKS), share(lambda b: b == 32 or 9 <= b <= 13), share(lambda b: b >= 128),
+        len(set(words)) / max(1, len(words)), of_words(a == b for a, b in zip(words, words[1:], strict=False)), len(set(triples)) / max(1, len(triples)), of_words(any(map(symbol, w)) for w in words),
+        np.log1p(len(lines)), sum(map(len, lines)) / max(1, len(lines)), len(set(lines)) / max(1, len(lines)), of_words(w[-1] in ENDS for w in words), of_words(len(w) <= 3 for w in words),
+    ]
+
+
+def plain_quality(model, text):
+    x = plain_features(text)
+    bins = [sum(1 for e in edges if e <= v) for edges, v in zip(model.edges, x, strict=True)]
+    z = model.base + sum(float(t[b]) for t, b in zip(model.tables, bins, strict=True)) + sum(float(t[bins[i], bins[j]]) for i, j, t in model.pairs)
+    return 1 / (1 + np.exp(-z))
+
+
 def test_quality(spark):
     rng = random.Random(2)
     rows, labels = [], []
@@ -178,6 +251,17 @@ def test_quality(spark):
     assert {r["score"] for r in quality.classify(docs, marks.limit(0)).collect()} == {0.5}
     assert {r["predicted"] for r in quality.classify(docs, marks.where("quality = 1")).collect()} == {1}
     assert quality.classify(docs.limit(0), marks).count() == 0
+    odd = [(910, "One, two!\n\nThree (3) ÜÜ ÜÜ ÜÜ x"), (911, " \t\n"), (912, "kala " * 20_000 + "$$"), (912, "kala " * 20_000 + "$$")]
+    odd = spark.createDataFrame([*rows[:20], *((i, t, "p") for i, t in odd), *rows[-2:]], docs.schema)
+    model = quality.train(docs, marks.where(~quality.held_out(F.col("doc_id"))))
+    assert model.pairs and odd.count() == 26
+    against_plain_quality(model, odd, quality.score(odd, model).collect())
+
+
+def against_plain_quality(model, docs, found):
+    want = sorted(((r["doc_id"], plain_quality(model, r["text"] or "")) for r in docs.select("doc_id", "text").collect()), key=lambda r: r[0])
+    got = sorted(((r["doc_id"], r["score"]) for r in found), key=lambda r: r[0])
+    assert [i for i, _ in got] == [i for i, _ in want] and all(abs(a - b) < 1e-9 for (_, a), (_, b) in zip(got, want, strict=True))
 
 
 def nearest_brute(rows, k):
@@ -360,6 +444,16 @@ def test_registered_queries(spark):
         table = "documents" if "line" in name else "conversations"
         against_sql(names[name](spark, SF), registered.oracle_sql()[name], **{table: spark.read.parquet(f"{SF}/{table}.parquet")})
     assert names["op8_nearest"](spark, SF).count() == 50
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    network = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))).select("doc_id", "lang", "text"))
+    found = {r["doc_id"]: r for r in names["op2_language_id"](spark, SF).collect()}
+    short = docs.where("length(text) between 1 and 900").orderBy("doc_id").limit(10).collect()
+    assert len(found) == docs.count() and len(short) == 10
+    for r in short:
+        lang, share, _ = plain_language(network, r["text"])
+        assert found[r["doc_id"]]["lang_pred"] == lang and abs(found[r["doc_id"]]["score"] - share) < 1e-4
+    model = quality.train(docs, labels.where(~quality.held_out(F.col("doc_id"))))
+    against_plain_quality(model, docs, names["op5_quality"](spark, SF).collect())
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
