@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from telemark.model import attr_str, label_key
 
@@ -50,13 +51,34 @@ def sum_query(sums: DataFrame, metric: str, start: int, end: int, temporality: s
     return best.select("tags", "lkey", "unit", "s.ts_start_ms", "s.ts_end_ms", "s.value")
 
 
-def cumulative_to_delta(sums: DataFrame) -> DataFrame:
-    """Cumulative samples as deltas: less the one before, or the value itself at the start and after a reset."""
-    from pyspark.sql.window import Window
+def cumulative_to_delta(sums: DataFrame, chunk_ms: int = 3_600_000) -> DataFrame:
+    """Cumulative samples as deltas: less the one before, or the value itself at the start and after a reset.
 
-    order = Window.partitionBy("metric", "lkey", "unit").orderBy("ts_end_ms")
-    change = F.col("value") - F.lag("value").over(order)
-    return sums.withColumn("value", F.when(change.isNull() | (change < 0), F.col("value")).otherwise(change)).withColumn("sums_type", F.lit("DELTA"))
+    A series is sorted in chunks of time; a chunk's first sample goes on from the last one of the chunk before that has any.
+    """
+    stream, chunk = ["metric", "lkey", "unit"], F.floor(F.col("ts_end_ms") / chunk_ms)
+    place = F.struct("ts_end_ms", "ts_start_ms", "value")
+    rows = sums.withColumns({"_chunk": chunk, "_place": place})
+    ends = rows.groupBy(*stream, "_chunk").agg(F.max("_place").alias("_last"))
+    ends = ends.withColumn("_before", F.lag("_last").over(Window.partitionBy(*stream).orderBy("_chunk"))["value"])
+    same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*stream, "_chunk")]
+    rows = rows.join(ends.select(*(F.col(c).alias(f"_of_{c}") for c in (*stream, "_chunk")), "_before"), same)
+    before = F.coalesce(F.lag("value").over(Window.partitionBy(*stream, "_chunk").orderBy("_place")), "_before")
+    rows = rows.withColumn("_change", F.col("value") - before)
+    out = rows.withColumns({"value": F.when(F.col("_change").isNull() | (F.col("_change") < 0), F.col("value")).otherwise(F.col("_change")), "sums_type": F.lit("DELTA")})
+    return out.select(*sums.columns)
+
+
+def sum_scan(sums: DataFrame, metric: str, start: int, end: int, tags: dict[str, str] | None = None) -> DataFrame:
+    """Samples that overlap the window, as deltas: a series' own deltas if it has any there, else its cumulative samples' changes.
+
+    Each series chooses for itself; the first cumulative sample of the window counts as a whole.
+    """
+    rows = _overlapping(sums, metric, start, end, tags)
+    deltas, totals = rows.where("sums_type = 'DELTA'"), rows.where("sums_type = 'CUMULATIVE'")
+    have = deltas.select(F.col("lkey").alias("_lkey"), F.col("unit").alias("_unit")).distinct()
+    alone = totals.join(have, F.col("lkey").eqNullSafe(F.col("_lkey")) & F.col("unit").eqNullSafe(F.col("_unit")), "left_anti")
+    return deltas.unionByName(cumulative_to_delta(alone))
 
 
 def histogram_merge(histograms: DataFrame, metric: str, start: int, end: int, tags: dict[str, str] | None = None) -> DataFrame:
@@ -72,7 +94,7 @@ def histogram_merge(histograms: DataFrame, metric: str, start: int, end: int, ta
 def rebin(merged: DataFrame, bounds: list[float]) -> DataFrame:
     """Histograms of different bounds on common ones: counts spread evenly inside each bucket, then added up by series and unit.
 
-    The open buckets at both ends stay at their finite bound.
+    The lowest bucket's counts stay at its bound, those of the highest just over theirs.
     """
     edges = [float("-inf"), *bounds, float("inf")]
     low, high = F.get("buckets", F.col("i") - 1), F.get("buckets", F.col("i"))
@@ -80,7 +102,7 @@ def rebin(merged: DataFrame, bounds: list[float]) -> DataFrame:
 
     def share(a: float, b: float) -> Column:
         inside = F.greatest(F.lit(0.0), F.least(F.lit(b), F.col("high")) - F.greatest(F.lit(a), F.col("low"))) / (F.col("high") - F.col("low"))
-        point = ((F.col("low") > a) & (F.col("low") <= b)).cast("double")
+        point = F.when(F.col("i") == F.size("buckets"), (F.col("low") >= a) & (F.col("low") < b)).otherwise((F.col("low") > a) & (F.col("low") <= b)).cast("double")
         return F.sum(F.col("n") * F.when(F.col("high") == F.col("low"), point).otherwise(inside))
 
     counts = each.groupBy("lkey", "unit").agg(F.first("tags").alias("tags"), F.array(*(share(a, b) for a, b in zip(edges, edges[1:], strict=False))).alias("counts"))
@@ -88,6 +110,39 @@ def rebin(merged: DataFrame, bounds: list[float]) -> DataFrame:
     return counts.join(totals, ["lkey", "unit"]).withColumn("buckets", F.array(*map(F.lit, map(float, bounds))))
 
 
+#: Cumulative counts at foreign bounds are kept in this fraction of one, as integers, so that they add up alike in any order.
+_PART = 1 << 20
+
+
+def merge_bounds(merged: DataFrame) -> DataFrame:
+    """Histograms of different bounds put together by series and unit, on all the bounds that occur there.
+
+    The counts up to a bound are those of each histogram, on a straight line between its own
+    bounds; its lowest bucket counts from its bound on, its highest stays above all.  Counts are
+    whole and add up to all that was counted; the order in which rows are merged doesn't matter.
+    """
+    key = ["lkey", "unit"]
+    none = F.array().cast("array<double>")
+    given = merged.withColumn("buckets", F.coalesce(F.col("buckets").cast("array<double>"), none))
+    bounds = given.select(*key, F.explode("buckets").alias("b")).groupBy(*key).agg(F.array_sort(F.collect_set("b")).alias("_bounds"))
+    same = lambda df: df.select(*(F.col(c).alias(f"_{c}") for c in key), *(c for c in df.columns if c not in key))
+    on = lambda: F.col("lkey").eqNullSafe(F.col("_lkey")) & F.col("unit").eqNullSafe(F.col("_unit"))
+    upto = F.transform("counts", lambda _, i: F.aggregate(F.slice("counts", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, n: a + n))
+    each = given.join(same(bounds), on()).select(*key, "buckets", upto.alias("upto"), F.posexplode("_bounds").alias("j", "x"))
+    each = each.withColumn("k", F.size(F.filter("buckets", lambda b: b < F.col("x"))))  # its bounds below x
+    low, high, below, above = F.get("buckets", F.col("k") - 1), F.get("buckets", F.col("k")), F.get("upto", F.col("k") - 1), F.get("upto", F.col("k"))
+    at = F.when(high.isNull(), below).when(high == F.col("x"), above).when(low.isNull(), 0).otherwise(below + (above - below) * (F.col("x") - low) / (high - low))
+    part = F.floor(F.coalesce(at, F.lit(0)).cast("double") * _PART + 0.5).cast("long")
+    cells = each.groupBy(*key, "j").agg(F.floor((F.sum(part) + _PART // 2) / _PART).cast("long").alias("n"), F.first("x").alias("x"))
+    arrays = cells.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("j", "x", "n"))).alias("_cells"))
+    size = F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n)
+    totals = given.groupBy(*key).agg(F.first("tags").alias("tags"), F.sum("sum").alias("sum"), F.sum("count").alias("count"), F.sum(size).alias("_all"))
+    reached = F.concat(F.array(F.lit(0).cast("long")), F.transform("_cells", lambda c: c["n"]), F.array("_all"))
+    out = totals.join(same(arrays), on(), "left").withColumn("_cells", F.coalesce("_cells", F.array().cast("array<struct<j:int,x:double,n:bigint>>")))
+    steps = F.zip_with(F.slice(reached, 1, F.size("_cells") + 1), F.slice(reached, 2, F.size("_cells") + 1), lambda a, b: b - a)
+    return out.select("tags", *key, F.transform("_cells", lambda c: c["x"]).alias("buckets"), steps.alias("counts"), "sum", "count")
+
+
 def histogram_latest(histograms: DataFrame, metric: str, start: int, end: int, tags: dict[str, str] | None = None) -> DataFrame:
     """The cumulative histogram with the largest count, the first of equal ones, by series and unit."""
     rows = _overlapping(histograms, metric, start, end, tags).where("histo_type = 'CUMULATIVE'")

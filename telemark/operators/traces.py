@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from telemark.model import attr_num, attr_str, has_attr
+from telemark.operators import sketches as K
 from telemark.operators.metrics import aggregate_column
 from telemark.tables import Scratch
 
@@ -136,9 +137,35 @@ def red(spans: DataFrame, keys: list[str], start_ns: int, end_ns: int, resolutio
     duration = F.col("ts_end_ns") - F.col("ts_start_ns")
     timed = F.when((F.col("span_status") == "OK") & (duration > 0), duration)
     g = rows.groupBy(*keys, (F.col("ts_start_ns") - F.col("ts_start_ns") % width).alias("bucket_ns")).agg(F.count(F.lit(1)).alias("count"), F.count_if(F.col("span_status") == "ERROR").alias("errors"), F.percentile(timed, _LEVELS).alias("p"))
-    seconds = width / 10**9
     percentiles = {f"p{round(q * 100)}": F.get("p", F.lit(i)) for i, q in enumerate(_LEVELS)}
-    return g.withColumns({**percentiles, "rps": F.col("count") / seconds, "rpm": F.col("count") / seconds * 60, "error_rate": F.col("errors") / F.col("count")}).drop("p")
+    return g.withColumns({**percentiles, **_rates(width)}).drop("p")
+
+
+def _rates(width: int) -> dict[str, Column]:
+    seconds = width / 10**9
+    return {"rps": F.col("count") / seconds, "rpm": F.col("count") / seconds * 60, "error_rate": F.col("errors") / F.col("count")}
+
+
+def red_sketches(spans: DataFrame, keys: list[str], resolution: str = "MINUTELY", k: int = K.SIZE) -> DataFrame:
+    """keys, ts_start_ns (of the bucket), count, errors, sketch of the durations of OK spans: what red_merged() reads."""
+    width = RESOLUTION_NS[resolution]
+    duration = F.col("ts_end_ns") - F.col("ts_start_ns")
+    timed = F.when((F.col("span_status") == "OK") & (duration > 0), duration)
+    g = spans.groupBy(*keys, (F.col("ts_start_ns") - F.col("ts_start_ns") % width).alias("ts_start_ns"))
+    return g.agg(F.count(F.lit(1)).alias("count"), F.count_if(F.col("span_status") == "ERROR").alias("errors"), K.sketch(timed, k).alias("sketch"))
+
+
+def red_merged(kept: DataFrame, keys: list[str], start_ns: int, end_ns: int, resolution: str, k: int = K.SIZE) -> DataFrame:
+    """red() from sketches of finer buckets that begin in [start, end): the same columns, percentiles within K.error(k) in rank.
+
+    Kept rows of one bucket may come from many batches; spans that end after `end` count in the bucket where they begin.
+    """
+    width = RESOLUTION_NS[resolution]
+    rows = kept.where((F.col("ts_start_ns") >= start_ns) & (F.col("ts_start_ns") < end_ns))
+    g = rows.groupBy(*keys, (F.col("ts_start_ns") - F.col("ts_start_ns") % width).alias("bucket_ns"))
+    g = g.agg(F.sum("count").alias("count"), F.sum("errors").alias("errors"), K.merged(F.col("sketch"), k).alias("sketch"))
+    percentiles = {f"p{round(q * 100)}": K.quantile(F.col("sketch"), q) for q in _LEVELS}
+    return g.withColumns({**percentiles, **_rates(width)}).drop("sketch")
 
 
 def red_totals(spans: DataFrame, keys: list[str], start_ns: int, end_ns: int) -> DataFrame:

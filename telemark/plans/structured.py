@@ -9,6 +9,7 @@ from telemark.model import label
 from telemark.operators import filters as Q
 from telemark.operators import logs as L
 from telemark.operators import metrics as M
+from telemark.operators import sketches as K
 from telemark.operators import traces as T
 from telemark.operators.vectors import Matcher
 from telemark.plans.ranges import at_least
@@ -87,6 +88,14 @@ def build(events: tuple, lines: tuple) -> tuple[dict, dict[str, str]]:
         return s.select(label("tags", "event_type").alias("event_type"), label("tags", "shard").alias("shard"), "value")
 
 
+    @_query("sum_scan", with_views(f"SELECT event_type, CAST(shard AS VARCHAR) AS shard, ts_ms AS ts_end_ms, CASE WHEN deltas THEN 1.0 WHEN p IS NULL OR value < p THEN value ELSE value - p END AS value FROM (SELECT *, bool_or(shard = 0 AND ts_ms % 2 = 0) OVER (PARTITION BY event_type, shard) AS deltas, lag(value) OVER (PARTITION BY event_type, shard ORDER BY ts_ms) AS p FROM counters WHERE ts_ms - 1 < {EVENTS[1]} AND ts_ms > {EVENTS[0]}) WHERE NOT deltas OR ts_ms % 2 = 0", "counters"))
+    def _(spark, d):
+        totals = _cumulative(spark, d)
+        deltas = totals.where((label("tags", "shard") == "0") & (F.col("ts_end_ms") % 2 == 0)).withColumns({"value": F.lit(1.0), "sums_type": F.lit("DELTA")})
+        s = M.sum_scan(totals.unionByName(deltas), "events_total", *EVENTS)
+        return s.select(label("tags", "event_type").alias("event_type"), label("tags", "shard").alias("shard"), "ts_end_ms", "value")
+
+
     _HISTO = f"FROM lineitem WHERE epoch_us(l_shipdate) // 1000 < {LINES[1]} AND epoch_us(l_shipdate) // 1000 + {DAY} > {LINES[0]}"
 
 
@@ -102,6 +111,22 @@ def build(events: tuple, lines: tuple) -> tuple[dict, dict[str, str]]:
         return h.select(label("tags", "returnflag").alias("returnflag"), F.posexplode("counts").alias("i", "n")).withColumn("n", F.round("n", 6))
 
 
+    _UNLIKE = {0: (10.0, 20.0, 30.0, 40.0), 1: (15.0, 30.0, 45.0)}
+    _EDGES = " UNION ALL ".join(f"SELECT {odd} AS odd, unnest({list(b)}) AS b" for odd, b in _UNLIKE.items())
+
+
+    @_query("histogram_merge_bounds", f"""WITH rows AS (SELECT l_returnflag AS rf, epoch_us(l_shipdate) // 86400000000 % 2 AS odd, l_quantity AS q {_HISTO}), edges AS ({_EDGES}),
+points AS (SELECT rf, odd, b, count(*) FILTER (WHERE q <= b) AS c FROM rows JOIN edges USING (odd) GROUP BY ALL),
+around AS (SELECT p.rf, p.odd, x, max(b) FILTER (WHERE b <= x) AS lo, min(b) FILTER (WHERE b >= x) AS hi, max(c) FILTER (WHERE b <= x) AS c_lo, min(c) FILTER (WHERE b >= x) AS c_hi FROM (SELECT DISTINCT rf, b AS x FROM points) AS u JOIN points AS p ON u.rf = p.rf GROUP BY ALL),
+upto AS (SELECT rf, x, (sum(CAST(floor((CASE WHEN lo IS NULL THEN 0 WHEN hi IS NULL OR hi = lo THEN c_lo ELSE c_lo + (c_hi - c_lo) * (x - lo) / (hi - lo) END)::DOUBLE * 1048576 + 0.5) AS BIGINT)) + 524288) // 1048576 AS c FROM around GROUP BY rf, x)
+SELECT rf AS returnflag, x AS bound, CAST(c - coalesce(lag(c) OVER (PARTITION BY rf ORDER BY x), 0) AS BIGINT) AS n FROM upto
+UNION ALL SELECT rf, NULL, CAST((SELECT count(*) FROM rows WHERE rows.rf = upto.rf) - max(c) AS BIGINT) FROM upto GROUP BY rf""")
+    def _(spark, d):
+        parts = [S.histograms(spark, d, b).where(F.col("ts_start_ms") / DAY % 2 == odd) for odd, b in _UNLIKE.items()]
+        h = M.merge_bounds(M.histogram_merge(parts[0].unionByName(parts[1]), "quantity", *LINES))
+        return h.select(label("tags", "returnflag").alias("returnflag"), "buckets", F.posexplode("counts").alias("i", "n")).select("returnflag", F.get("buckets", F.col("i")).alias("bound"), "n")
+
+
     @_query("histogram_cumulative", "SELECT l_returnflag AS returnflag, arg_max(epoch_us(l_shipdate) // 1000, n * 1e13 - epoch_us(l_shipdate) // 1000) AS ts_start_ms, max(n) AS count FROM (SELECT l_returnflag, l_shipdate, count(*) AS n FROM lineitem GROUP BY ALL) " + f"WHERE epoch_us(l_shipdate) // 1000 < {LINES[1]} AND epoch_us(l_shipdate) // 1000 + {DAY} > {LINES[0]} GROUP BY l_returnflag")
     def _(spark, d):
         h = M.histogram_latest(S.histograms(spark, d).withColumn("histo_type", F.lit("CUMULATIVE")), "quantity", *LINES)
@@ -289,6 +314,22 @@ def build(events: tuple, lines: tuple) -> tuple[dict, dict[str, str]]:
         return _red(T.red(_spans(spark, d), ["service_name"], *_SPAN, "HOURLY"))
 
 
+    @_query("red_service_sketch", with_views(f"SELECT service_name, count(*) AS count, count(*) FILTER (WHERE span_status = 'ERROR') AS errors, true AS within FROM spans WHERE {_SPAN_IN} GROUP BY 1", "spans"))
+    def _(spark, d):
+        rows = _spans(spark, d).where((F.col("ts_start_ns") >= _SPAN[0]) & (F.col("ts_end_ns") <= _SPAN[1]))
+        kept = T.red_sketches(rows, ["service_name"], "HOURLY")
+        whole = kept.groupBy("service_name").agg(F.sum("count").alias("count"), F.sum("errors").alias("errors"), K.merged(F.col("sketch")).alias("sketch"))
+        levels = {"p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
+        read = K.quantiles(whole, levels)
+        timed = rows.where("span_status = 'OK' AND ts_end_ns > ts_start_ns").select("service_name", (F.col("ts_end_ns") - F.col("ts_start_ns")).alias("v"))
+        # the shares of durations below each quantile and up to it have its level between them, but for the sketch's error
+        both = timed.join(read, "service_name").groupBy("service_name").agg(*(F.avg((F.col("v") < F.col(p)).cast("int")).alias(f"{p}_below") for p in levels), *(F.avg((F.col("v") <= F.col(p)).cast("int")).alias(f"{p}_upto") for p in levels))
+        ok = F.lit(True)
+        for p, q in levels.items():
+            ok = ok & (F.col(f"{p}_below") - 3 * K.error() <= q) & (F.col(f"{p}_upto") + 3 * K.error() >= q)
+        return read.join(both, "service_name", "left").select("service_name", "count", "errors", F.coalesce(ok, F.col("p50").isNull()).alias("within"))
+
+
     @_query("red_peer", with_views(f"SELECT service_name, service_peer_name, {_HOUR}, {_RED} FROM spans WHERE {_SPAN_IN} AND service_peer_name <> '' GROUP BY ALL", "spans"))
     def _(spark, d):
         return _red(T.red(_spans(spark, d).where("service_peer_name <> ''"), ["service_name", "service_peer_name"], *_SPAN, "HOURLY"))

@@ -57,10 +57,10 @@ def delta_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("metric", "tags", label_key("tags").alias("lkey"), "ts_start_ms", (F.col("ts_start_ms") + 86_400_000).alias("ts_end_ms"), "value", F.lit("DELTA").alias("sums_type"), F.lit("usd").alias("unit"))
 
 
-def histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+def histograms(spark: SparkSession, sf_dir: str, bounds: tuple[float, ...] = BOUNDS) -> DataFrame:
     """quantity{returnflag} by day: explicit bounds, counts, sum, count."""
     t = table(spark, sf_dir, "lineitem").select("l_returnflag", _ms("l_shipdate").alias("ts"), "l_quantity")
-    edges = [None, *BOUNDS, None]
+    edges = [None, *bounds, None]
     q = F.col("l_quantity")
 
     def inside(lo, hi):
@@ -69,7 +69,7 @@ def histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     g = t.groupBy("l_returnflag", "ts").agg(F.array(*(inside(a, b) for a, b in zip(edges, edges[1:], strict=False))).alias("counts"), F.sum("l_quantity").alias("sum"), F.count(F.lit(1)).alias("count"))
     tags = label_map(returnflag=F.col("l_returnflag"))
-    return g.select(F.lit("quantity").alias("metric"), tags.alias("tags"), label_key(tags).alias("lkey"), F.col("ts").alias("ts_start_ms"), (F.col("ts") + 86_400_000).alias("ts_end_ms"), F.array(*map(F.lit, BOUNDS)).alias("buckets"), "counts", "sum", "count", F.lit("1").alias("unit"), F.lit("DELTA").alias("histo_type"))
+    return g.select(F.lit("quantity").alias("metric"), tags.alias("tags"), label_key(tags).alias("lkey"), F.col("ts").alias("ts_start_ms"), (F.col("ts") + 86_400_000).alias("ts_end_ms"), F.array(*map(F.lit, bounds)).alias("buckets"), "counts", "sum", "count", F.lit("1").alias("unit"), F.lit("DELTA").alias("histo_type"))
 
 
 def classic_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:

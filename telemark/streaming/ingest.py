@@ -6,7 +6,7 @@ only after all writes.
 
 Beside the samples a batch writes what describes them: its streams with their least and
 greatest time, the attributes of its spans with their kinds, and the events that summaries of
-rate, errors and duration read in place of spans.  Readers merge these rows, which gives the
+rate, errors and duration read in place of spans, with a sketch of the durations of each minute.  Readers merge these rows, which gives the
 same whatever the batches; compact() puts those of many batches together.
 """
 
@@ -37,7 +37,7 @@ DESCRIBED: dict[str, Tables] = {
     "sums": {"streams": lambda r: M.streams(r, "SUM", "ts_start_ms", "ts_end_ms")},
     "histograms": {"streams": lambda r: M.streams(r, "HISTO", "ts_start_ms", "ts_end_ms")},
     "exponential_histograms": {"streams": lambda r: M.streams(r, "HISTO", "ts_start_ms", "ts_end_ms")},
-    "spans": {"span_attributes": T.attribute_kinds, "red_events": T.red_events},
+    "spans": {"span_attributes": T.attribute_kinds, "red_events": T.red_events, "red_sketches": lambda r: T.red_sketches(r, ["service_name", "service_peer_name"])},
 }
 #: How rows of several batches become one set of rows.
 MERGED: Tables = {"streams": M.merged_streams, "span_attributes": lambda r: r.select("attribute_name", "kind").distinct()}
@@ -136,6 +136,11 @@ def red_events(spark: SparkSession, root: str, first_day: int | None = None, las
     return table(spark, root, "red_events", first_day, last_day)
 
 
+def red_sketches(spark: SparkSession, root: str, first_day: int | None = None, last_day: int | None = None) -> DataFrame:
+    """Counts and sketches by service, peer and minute, for traces.red_merged()."""
+    return table(spark, root, "red_sketches", first_day, last_day)
+
+
 def red_rollup(spans: DataFrame, late: str = "10 minutes", width: str = "1 minute") -> DataFrame:
     """service_name, start, count, errors by minute, of a stream of spans; spans later than `late` are left out."""
     timed = spans.withColumn("at", F.timestamp_micros(F.floor(F.col("ts_start_ns") / 1000).cast("long"))).withWatermark("at", late)
