@@ -74,13 +74,27 @@ LOGS = Fields(
     scopes={"attributes": ("attrs_str", "attrs_num"), "fields": ("attrs_str", "attrs_num"), "resource": ("res_str", "res_num"), "labels": ("res_str", "res_num")},
 )
 
+_SPAN_COLUMNS = (
+    "ts_start_ns", "ts_end_ns", "trace_id", "span_id", "parent_span_id", "span_status", "kind", "service_name", "service_peer_name", "span_name", "http_method", "http_status_code", "http_request_size", "http_response_size", "http_origin", "http_host",
+    "server_address", "server_port", "client_address", "client_port", "source_address", "source_port", "network_protocol_type", "network_protocol_version", "db_system", "db_collection_name", "db_namespace", "db_operation_name", "db_response_status_code",
+    "db_query_text", "db_query_summary", "db_stored_procedure_name", "db_response_returned_rows", "rpc_method", "rpc_method_original", "rpc_response_status_code",
+)
+
 SPANS = Fields(
     aliases={
-        **{c: c for c in ("ts_start_ns", "ts_end_ns", "trace_id", "span_id", "parent_span_id", "span_status", "kind", "service_name", "service_peer_name", "span_name", "http_method", "http_status_code", "db_system")},
-        "start": "ts_start_ns", "end": "ts_end_ns", "trace": "trace_id", "span": "span_id", "parent": "parent_span_id", "status": "span_status", "service": "service_name", "peer": "service_peer_name", "name": "span_name", "http.method": "http_method", "http.status_code": "http_status_code", "db.system": "db_system",
+        **{c: c for c in _SPAN_COLUMNS},
+        # fixed values: the other names by which a user knows the columns
+        "ts": "ts_start_ns", "time": "ts_start_ns", "timestamp": "ts_start_ns", "start": "ts_start_ns", "start_time": "ts_start_ns", "ts_start": "ts_start_ns", "end": "ts_end_ns", "end_time": "ts_end_ns", "ts_end": "ts_end_ns",
+        "trace": "trace_id", "span": "span_id", "parent": "parent_span_id", "status": "span_status", "kind_string": "kind", "service": "service_name", "peer": "service_peer_name", "service_peer": "service_peer_name", "peer_service": "service_peer_name", "name": "span_name",
+        "http.method": "http_method", "http.request.method": "http_method", "http.status_code": "http_status_code", "http.response.status_code": "http_status_code", "status_code": "http_status_code",
+        "http.host": "http_host", "http.request.header.host": "http_host", "http.origin": "http_origin",
+        "db.system": "db_system", "db_system_name": "db_system", "db.collection": "db_collection_name", "db_collection": "db_collection_name", "db.collection.name": "db_collection_name", "db.namespace": "db_namespace",
+        "db.operation": "db_operation_name", "db_operation": "db_operation_name", "db.operation.name": "db_operation_name", "db.query": "db_query_text", "db_query": "db_query_text", "db.query_summary": "db_query_summary",
+        "rpc.method": "rpc_method", "rpc.status_code": "rpc_response_status_code", "rpc_status_code": "rpc_response_status_code", "network.protocol_type": "network_protocol_type", "network.protocol_version": "network_protocol_version",
     },
-    numbers=frozenset({"ts_start_ns", "ts_end_ns", "http_status_code"}), defaults=("ts_start_ns", "ts_end_ns", "trace_id", "span_id", "parent_span_id", "span_status", "kind", "service_name", "service_peer_name", "span_name", "http_method", "http_status_code", "db_system"),
-    free_text=("service_name", "trace_id", "span_id", "span_name"), time="ts_start_ns", scopes={"attributes": ("attrs_str", "attrs_num"), "fields": ("attrs_str", "attrs_num")}, computed={"duration": "(ts_end_ns - ts_start_ns)"},
+    numbers=frozenset(c for c in _SPAN_COLUMNS if c.endswith(("_ns", "_status_code", "_size", "_port", "_rows"))), defaults=_SPAN_COLUMNS,
+    free_text=("service_name", "trace_id", "span_id", "span_name", "db_query_text", "rpc_method"), time="ts_start_ns", scopes={"attributes": ("attrs_str", "attrs_num"), "fields": ("attrs_str", "attrs_num")},
+    computed={"duration": "(ts_end_ns - ts_start_ns)", "dur": "(ts_end_ns - ts_start_ns)", "duration_ns": "(ts_end_ns - ts_start_ns)"},
 )
 
 _COMPARE = {"=": lambda a, b: a == b, "!=": lambda a, b: a != b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b}

@@ -403,6 +403,25 @@ UNION ALL SELECT rf, NULL, CAST((SELECT count(*) FROM rows WHERE rows.rf = upto.
         return Q.count_by(_spans(spark, d), f, ["service_name", "status"], condition).withColumnRenamed("status", "span_status")
 
 
+    @_query("span_filter_typed", with_views("SELECT db_operation_name, db_namespace, http_host, rpc_method, count(*) AS count FROM spans WHERE (db_collection_name = 'lineitem' AND db_response_returned_rows >= 2) OR http_origin = 'shop-1' OR (rpc_response_status_code IS NOT NULL AND rpc_response_status_code <> 0 AND rpc_method <> 'Ship/R') GROUP BY ALL", "spans"))
+    def _(spark, d):
+        f = Q.SPANS
+        stored = Q.where(f, "db.collection", "=", "lineitem") & Q.where(f, "db_response_returned_rows", ">=", 2)
+        called = Q.where(f, "rpc.status_code", "exists") & Q.where(f, "rpc.status_code", "!=", 0) & Q.where(f, "rpc.method", "!=", "Ship/R")
+        return Q.count_by(_spans(spark, d), f, ["db_operation_name", "db_namespace", "http_host", "rpc_method"], stored | Q.where(f, "http.origin", "=", "shop-1") | called)
+
+
+    @_query("span_free_text", with_views("SELECT service_name, count(*) AS count FROM spans WHERE contains(service_name, 'line 3') OR contains(trace_id, 'line 3') OR contains(span_id, 'line 3') OR contains(span_name, 'line 3') OR contains(db_query_text, 'line 3') OR contains(rpc_method, 'line 3') GROUP BY 1", "spans"))
+    def _(spark, d):
+        return Q.count_by(_spans(spark, d), Q.SPANS, ["service_name"], Q.text(Q.SPANS, "line 3"))
+
+
+    @_query("span_search_typed", with_views("SELECT trace_id, span_id, db_namespace, db_operation_name, db_query_text FROM spans WHERE db_namespace = 'ns-1' AND db_operation_name LIKE 'INS%' AND db_response_returned_rows = 2 ORDER BY ts_start_ns DESC, trace_id, span_id LIMIT 1000", "spans"))
+    def _(spark, d):
+        condition = T.matching(db_namespace="ns-1", db_operation_name="INS*", db_response_returned_rows=2)
+        return T.search(_spans(spark, d), condition).select("trace_id", "span_id", "db_namespace", "db_operation_name", "db_query_text")
+
+
     @_query("span_contributions", with_views("SELECT unnest(['', 'slow', 'store', 'bad']) AS condition, unnest([count(*) FILTER (WHERE a AND b AND c), count(*) FILTER (WHERE b AND c), count(*) FILTER (WHERE a AND c), count(*) FILTER (WHERE a AND b)]) AS rows FROM (SELECT ts_end_ns - ts_start_ns > 30000000 AS a, starts_with(service_name, 'store-1') AS b, span_status = 'ERROR' AS c FROM spans)", "spans"))
     def _(spark, d):
         f = Q.SPANS

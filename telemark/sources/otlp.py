@@ -22,13 +22,38 @@ METRICS = f"struct<resourceMetrics:array<struct<resource:struct<attributes:{_ATT
 LOGS = f"struct<resourceLogs:array<struct<resource:struct<attributes:{_ATTRS}>,scopeLogs:array<struct<logRecords:array<struct<timeUnixNano:string,observedTimeUnixNano:string,severityNumber:int,severityText:string,body:{_VALUE},attributes:{_ATTRS},traceId:string,spanId:string>>>>>>>"
 SPANS = f"struct<resourceSpans:array<struct<resource:struct<attributes:{_ATTRS}>,scopeSpans:array<struct<spans:array<struct<traceId:string,spanId:string,parentSpanId:string,name:string,kind:int,startTimeUnixNano:string,endTimeUnixNano:string,attributes:{_ATTRS},status:struct<code:int>>>>>>>>"
 
-#: Column of a span and the attributes that it is read from, the first that is there.
+#: Column of a span and the attributes that it is read from, the first that is there.  Fixed values: names of the semantic conventions.
 FALLBACKS = {
     "service_peer_name": ("service.peer.name", "peer.service"),
     "http_method": ("http.request.method", "http.method"),
     "http_status_code": ("http.response.status_code", "http.status_code"),
+    "http_request_size": ("http.request.body.size", "http.request_content_length"),
+    "http_response_size": ("http.response.body.size", "http.response_content_length"),
+    "http_origin": ("http.request.header.origin", "http.origin"),
+    "http_host": ("http.request.header.host", "http.host"),
+    "server_address": ("server.address",),
+    "server_port": ("server.port",),
+    "client_address": ("client.address",),
+    "client_port": ("client.port",),
+    "source_address": ("source.address",),
+    "source_port": ("source.port",),
+    "network_protocol_type": ("network.protocol.name", "network.type"),
+    "network_protocol_version": ("network.protocol.version",),
     "db_system": ("db.system.name", "db.system"),
+    "db_collection_name": ("db.collection.name",),
+    "db_namespace": ("db.namespace", "db.name"),
+    "db_operation_name": ("db.operation", "db.operation.name"),
+    "db_response_status_code": ("db.response.status_code",),
+    "db_query_text": ("db.query.text", "db.statement"),
+    "db_query_summary": ("db.query.summary",),
+    "db_stored_procedure_name": ("db.stored_procedure.name",),
+    "db_response_returned_rows": ("db.response.returned_rows",),
+    "rpc_method": ("rpc.method",),
+    "rpc_method_original": ("rpc.method.original", "rpc.method"),
+    "rpc_response_status_code": ("rpc.response.status_code",),
 }
+#: Those that are numbers, null where a span has none; the others are texts, empty there.
+NUMBERS = frozenset(c for c in FALLBACKS if c.endswith(("_status_code", "_size", "_port", "_rows")))
 _KINDS = ("UNK", "INTERNAL", "SERVER", "CLIENT", "PRODUCER", "CONSUMER")
 
 
@@ -145,7 +170,9 @@ def logs(payloads: DataFrame) -> DataFrame:
 def spans(payloads: DataFrame, keep: Column | None = None) -> DataFrame:
     """`keep` is a condition on the finished rows: what it rejects is never stored."""
     rows = parsed(payloads, SPANS).select(F.explode("x.resourceSpans").alias("r")).select("r.resource.attributes", F.explode("r.scopeSpans").alias("s")).select("attributes", F.explode("s.spans").alias("p"))
-    s, n, resource = strings(F.col("p.attributes")), numbers(F.col("p.attributes")), strings(F.col("attributes"))
+    # maps first, as columns of their own: each is made once, not once for every column that is read from it
+    rows = rows.select("p", strings(F.col("p.attributes")).alias("_s"), numbers(F.col("p.attributes")).alias("_n"), strings(F.col("attributes")).alias("_r"))
+    s, n, resource = F.col("_s"), F.col("_n"), F.col("_r")
     first_text = lambda c: F.coalesce(*(F.try_element_at(s, F.lit(k)) for k in FALLBACKS[c]), F.lit(""))
     first_number = lambda c: F.coalesce(*(F.try_element_at(n, F.lit(k)) for k in FALLBACKS[c]))
     promoted = [k for ks in FALLBACKS.values() for k in ks]
@@ -154,8 +181,8 @@ def spans(payloads: DataFrame, keep: Column | None = None) -> DataFrame:
     kind = F.coalesce(F.get(F.array(*map(F.lit, _KINDS)), F.col("p.kind")), F.lit("UNK"))
     out = rows.select(
         F.col("p.startTimeUnixNano").try_cast("long").alias("ts_start_ns"), F.col("p.endTimeUnixNano").try_cast("long").alias("ts_end_ns"), F.col("p.traceId").alias("trace_id"), F.col("p.spanId").alias("span_id"), F.coalesce("p.parentSpanId", F.lit("")).alias("parent_span_id"),
-        status.alias("span_status"), kind.alias("kind"), F.coalesce(F.try_element_at(resource, F.lit("service.name")), F.lit("")).alias("service_name"), first_text("service_peer_name").alias("service_peer_name"), F.col("p.name").alias("span_name"),
-        first_text("http_method").alias("http_method"), first_number("http_status_code").cast("int").alias("http_status_code"), first_text("db_system").alias("db_system"), rest(s).alias("attrs_str"), rest(n).alias("attrs_num"),
+        status.alias("span_status"), kind.alias("kind"), F.coalesce(F.try_element_at(resource, F.lit("service.name")), F.lit("")).alias("service_name"), F.col("p.name").alias("span_name"),
+        *((first_number(c).cast("int") if c in NUMBERS else first_text(c)).alias(c) for c in FALLBACKS), rest(s).alias("attrs_str"), rest(n).alias("attrs_num"),
     )
     return out if keep is None else out.where(keep)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from telemark.model import label_key, label_map, labels_of
+from telemark.sources.otlp import FALLBACKS, NUMBERS
 
 BOUNDS = (10.0, 20.0, 30.0, 40.0)
 _EMPTY = "map<string,string>"
@@ -113,6 +114,12 @@ def cumulative_exponential_samples(spark: SparkSession, sf_dir: str) -> DataFram
     return g.select("metric", labels_of("lkey").alias("labels"), "lkey", "ts_ms", hist.alias("hist"))
 
 
+def _typed(rows: DataFrame, **columns) -> DataFrame:
+    """The columns of a span that are read from its attributes: those given, the others empty or null."""
+    nothing = {c: F.lit(None).cast("int") if c in NUMBERS else F.lit("") for c in FALLBACKS if c not in rows.columns}
+    return rows.withColumns(nothing | columns)
+
+
 _TYPES = ("click", "view", "purchase", "signup", "error")
 
 
@@ -138,21 +145,25 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = lambda c: F.unix_micros(F.col(c).cast("timestamp")) * 1000
     key = F.col("o_orderkey").cast("string")
     nothing = F.create_map().cast("map<string,double>")
-    roots = o.select(
+    roots = _typed(o.select("o_custkey", 
         start("o_orderdate").alias("ts_start_ns"), (start("o_orderdate") + (F.lit(100) + F.col("o_custkey") % 900) * ms).alias("ts_end_ns"), key.alias("trace_id"), key.alias("span_id"), F.lit("").alias("parent_span_id"),
         F.when(F.col("o_orderstatus") == "F", "OK").when(F.col("o_orderstatus") == "O", "UNK").otherwise("ERROR").alias("span_status"), F.lit("SERVER").alias("kind"), F.lit("orders").alias("service_name"), F.lit("").alias("service_peer_name"),
         F.concat(F.lit("order."), F.lower("o_orderpriority")).alias("span_name"), F.lit("POST").alias("http_method"), F.when(F.col("o_orderstatus") == "F", 200).when(F.col("o_orderstatus") == "O", 202).otherwise(500).alias("http_status_code"), F.lit("").alias("db_system"),
         F.create_map(F.lit("priority"), F.col("o_orderpriority")).alias("attrs_str"), F.create_map(F.lit("total"), F.col("o_totalprice")).alias("attrs_num"),
-    )
+    ), http_origin=F.concat(F.lit("shop-"), (F.col("o_custkey") % 4).cast("string")), http_host=F.concat(F.lit("host-"), (F.col("o_custkey") % 3).cast("string"))).drop("o_custkey")
     lines = li.withColumn("n", F.row_number().over(every)).join(o.select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
     parent = F.col("l_orderkey").cast("string")
     begin = start("o_orderdate") + F.col("n") * 10 * ms
-    children = lines.select(
+    stored = F.col("l_linestatus") == "O"
+    when = lambda c: F.when(stored, c).otherwise("")
+    children = _typed(lines.select("l_linestatus", "l_returnflag", "l_suppkey", "n", 
         begin.alias("ts_start_ns"), (begin + F.col("l_quantity").cast("long") * ms).alias("ts_end_ns"), parent.alias("trace_id"), F.concat(parent, F.lit("-"), F.col("n").cast("string")).alias("span_id"), parent.alias("parent_span_id"),
         F.when(F.col("l_returnflag") == "R", "ERROR").when(F.col("l_returnflag") == "A", "OK").otherwise("UNK").alias("span_status"), F.lit("CLIENT").alias("kind"), F.concat(F.lit("store-"), (F.col("l_suppkey") % 5).cast("string")).alias("service_name"), F.concat(F.lit("peer-"), (F.col("l_partkey") % 3).cast("string")).alias("service_peer_name"),
         F.concat(F.lit("ship."), F.lower("l_linestatus")).alias("span_name"), F.lit("").alias("http_method"), F.lit(None).cast("int").alias("http_status_code"), F.when(F.col("l_linestatus") == "O", "postgres").otherwise("").alias("db_system"),
         F.create_map(F.lit("flag"), F.col("l_returnflag")).alias("attrs_str"), F.when(F.col("l_tax") > 0.02, F.create_map(F.lit("tax"), F.col("l_tax"))).otherwise(nothing).alias("attrs_num"),
-    )
+    ), db_collection_name=when(F.lit("lineitem")), db_namespace=when(F.concat(F.lit("ns-"), (F.col("l_suppkey") % 3).cast("string"))), db_operation_name=when(F.when(F.col("l_returnflag") == "R", "UPDATE").otherwise("INSERT")),
+        db_query_text=when(F.concat(F.lit("insert line "), F.col("n").cast("string"))), db_response_returned_rows=F.when(stored, F.col("n").cast("int")), rpc_method=F.when(stored, "").otherwise(F.concat(F.lit("Ship/"), F.col("l_returnflag"))), rpc_response_status_code=F.when(~stored, (F.col("n") % 3).cast("int")),
+    ).drop("l_linestatus", "l_returnflag", "l_suppkey", "n")
     return roots.unionByName(children)
 
 
@@ -163,9 +174,9 @@ SQL = {
     "delta_sums": "SELECT l_returnflag AS returnflag, l_linestatus AS linestatus, epoch_us(l_shipdate) // 1000 AS ts_start_ms, epoch_us(l_shipdate) // 1000 + 86400000 AS ts_end_ms, l_extendedprice AS value FROM lineitem",
     "buckets": "SELECT l_returnflag AS returnflag, epoch_us(l_shipdate) // 1000 AS ts_ms, unnest([10.0, 20.0, 30.0, 40.0, 'Infinity'::DOUBLE]) AS le, unnest([count(*) FILTER (WHERE l_quantity <= 10), count(*) FILTER (WHERE l_quantity <= 20), count(*) FILTER (WHERE l_quantity <= 30), count(*) FILTER (WHERE l_quantity <= 40), count(*)])::DOUBLE AS value FROM lineitem GROUP BY l_returnflag, l_shipdate",
     "logs": "SELECT epoch_us(ts) * 1000 AS ts_ns, 'svc-' || event_type AS service_name, 'stream-' || (user_id % 7) AS log_stream, CASE WHEN value >= 400 THEN 17 WHEN value >= 300 THEN 13 WHEN value >= 50 THEN 9 ELSE 5 END AS log_level, CASE WHEN value >= 400 THEN 'ERROR' WHEN value >= 300 THEN 'WARN' WHEN value >= 50 THEN 'INFO' ELSE 'DEBUG' END AS severity_text, event_id::VARCHAR AS trace_id, 's' || event_id AS span_id, 'User ' || user_id || ' sent ' || props AS body, event_id::VARCHAR AS line_id, event_type AS event_kind, CASE WHEN user_id % 2 = 0 THEN value END AS num_value, user_id::VARCHAR AS res_user FROM events",
-    "spans": """SELECT epoch_us(o_orderdate) * 1000 AS ts_start_ns, epoch_us(o_orderdate) * 1000 + (100 + o_custkey % 900) * 1000000 AS ts_end_ns, o_orderkey::VARCHAR AS trace_id, o_orderkey::VARCHAR AS span_id, '' AS parent_span_id, CASE o_orderstatus WHEN 'F' THEN 'OK' WHEN 'O' THEN 'UNK' ELSE 'ERROR' END AS span_status, 'SERVER' AS kind, 'orders' AS service_name, '' AS service_peer_name, 'order.' || lower(o_orderpriority) AS span_name, 'POST' AS http_method, CASE o_orderstatus WHEN 'F' THEN 200 WHEN 'O' THEN 202 ELSE 500 END AS http_status_code, '' AS db_system, o_orderpriority AS priority, NULL AS flag, o_totalprice AS total, NULL::DOUBLE AS tax FROM orders
+    "spans": """SELECT epoch_us(o_orderdate) * 1000 AS ts_start_ns, epoch_us(o_orderdate) * 1000 + (100 + o_custkey % 900) * 1000000 AS ts_end_ns, o_orderkey::VARCHAR AS trace_id, o_orderkey::VARCHAR AS span_id, '' AS parent_span_id, CASE o_orderstatus WHEN 'F' THEN 'OK' WHEN 'O' THEN 'UNK' ELSE 'ERROR' END AS span_status, 'SERVER' AS kind, 'orders' AS service_name, '' AS service_peer_name, 'order.' || lower(o_orderpriority) AS span_name, 'POST' AS http_method, CASE o_orderstatus WHEN 'F' THEN 200 WHEN 'O' THEN 202 ELSE 500 END AS http_status_code, '' AS db_system, o_orderpriority AS priority, NULL AS flag, o_totalprice AS total, NULL::DOUBLE AS tax, 'shop-' || (o_custkey % 4) AS http_origin, 'host-' || (o_custkey % 3) AS http_host, '' AS db_collection_name, '' AS db_namespace, '' AS db_operation_name, '' AS db_query_text, NULL::BIGINT AS db_response_returned_rows, '' AS rpc_method, NULL::BIGINT AS rpc_response_status_code FROM orders
 UNION ALL
-SELECT epoch_us(o_orderdate) * 1000 + n * 10000000, epoch_us(o_orderdate) * 1000 + n * 10000000 + l_quantity::BIGINT * 1000000, l_orderkey::VARCHAR, l_orderkey || '-' || n, l_orderkey::VARCHAR, CASE l_returnflag WHEN 'R' THEN 'ERROR' WHEN 'A' THEN 'OK' ELSE 'UNK' END, 'CLIENT', 'store-' || (l_suppkey % 5), 'peer-' || (l_partkey % 3), 'ship.' || lower(l_linestatus), '', NULL, CASE WHEN l_linestatus = 'O' THEN 'postgres' ELSE '' END, NULL, l_returnflag, NULL, CASE WHEN l_tax > 0.02 THEN l_tax END
+SELECT epoch_us(o_orderdate) * 1000 + n * 10000000, epoch_us(o_orderdate) * 1000 + n * 10000000 + l_quantity::BIGINT * 1000000, l_orderkey::VARCHAR, l_orderkey || '-' || n, l_orderkey::VARCHAR, CASE l_returnflag WHEN 'R' THEN 'ERROR' WHEN 'A' THEN 'OK' ELSE 'UNK' END, 'CLIENT', 'store-' || (l_suppkey % 5), 'peer-' || (l_partkey % 3), 'ship.' || lower(l_linestatus), '', NULL, CASE WHEN l_linestatus = 'O' THEN 'postgres' ELSE '' END, NULL, l_returnflag, NULL, CASE WHEN l_tax > 0.02 THEN l_tax END, '', '', CASE WHEN l_linestatus = 'O' THEN 'lineitem' ELSE '' END, CASE WHEN l_linestatus = 'O' THEN 'ns-' || (l_suppkey % 3) ELSE '' END, CASE WHEN l_linestatus <> 'O' THEN '' WHEN l_returnflag = 'R' THEN 'UPDATE' ELSE 'INSERT' END, CASE WHEN l_linestatus = 'O' THEN 'insert line ' || n ELSE '' END, CASE WHEN l_linestatus = 'O' THEN n END, CASE WHEN l_linestatus = 'O' THEN '' ELSE 'Ship/' || l_returnflag END, CASE WHEN l_linestatus <> 'O' THEN n % 3 END
 FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS n FROM lineitem) JOIN orders ON l_orderkey = o_orderkey""",
 }
 

@@ -4,6 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from telemark.operators import filters as Q
 from telemark.operators import metrics as M
 from telemark.operators import traces as T
 from telemark.sources import otlp
@@ -163,3 +164,15 @@ def test_catalog_and_events_are_kept_at_ingest(spark, tmp_path):
         got, want = (sorted(map(str, T.red(df, keys, *window, "HOURLY").collect())) for df in (ingest.red_events(spark, root), spans_so_far))
         assert got == want and got
     assert all("/red_events/" in f for f in T.red(ingest.red_events(spark, root), ["service_name"], *window, "HOURLY").inputFiles())
+
+
+def test_typed_columns_of_spans(spark):
+    """Each typed column from its first attribute that is there; what is promoted leaves the maps; absent ones are empty or null."""
+    of = lambda k, v: {"key": k, "value": {"intValue": str(v)} if isinstance(v, int) else {"stringValue": v}}
+    given = [of("db.name", "shop"), of("db.collection.name", "orders"), of("db.operation.name", "select"), of("db.statement", "select 1"), of("rpc.method", "Get"), of("rpc.response.status_code", 5), of("http.host", "h"), of("http.request.header.host", "first"), of("server.port", 80), of("own", "kept")]
+    row = {"traceId": "t", "spanId": "s", "name": "op", "kind": 2, "startTimeUnixNano": "1", "endTimeUnixNano": "2", "attributes": given}
+    text = json.dumps({"resourceSpans": [{"resource": {"attributes": attrs(service__name="shop")}, "scopeSpans": [{"spans": [row]}]}]})
+    s = otlp.spans(payloads(spark, text)).first()
+    assert (s["db_namespace"], s["db_collection_name"], s["db_operation_name"], s["db_query_text"], s["rpc_method"], s["rpc_method_original"], s["rpc_response_status_code"], s["http_host"], s["server_port"]) == ("shop", "orders", "select", "select 1", "Get", "Get", 5, "first", 80)
+    assert s["attrs_str"] == {"own": "kept"} and s["attrs_num"] == {} and s["db_query_summary"] == "" and s["client_port"] is None
+    assert set(Q.SPANS.defaults) <= set(s.asDict()) and Q.find(otlp.spans(payloads(spark, text)), Q.SPANS).count() == 1
