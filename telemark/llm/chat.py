@@ -4,29 +4,19 @@ Method: for every participant the dialogue is rendered with that speaker as the
 and all others as named users; the mask marks what the assistant says, end marker included,
 as the text to learn from.
 
-whole() and report_whole() render a conversation as one dialogue up to `most_chars`
-characters, far above ordinary ones.  A longer one is cut by position: a turn is in the
-section in which its first character falls, and the turns that reach into the last quarter
-before a section are carried into it as context, which the mask leaves out.  A section is
-rendered for the speakers of its own turns, so every turn is learnt exactly once.
-
-rotate() and report() render in sections of few turns: part k holds the turns numbered k * most_turns up to the
-next part, and a part in which turn numbers repeat is cut into sections of most_turns turns.
-A section is rendered for the speakers that it holds; one without a speaker's turns has
-nothing to learn for that speaker.  So every turn is the assistant's exactly once, and no row
-holds more than most_turns turns, however long a conversation is.
-
-Turns of the same number follow the digests of their speaker and text; counts (or sizes) by
-digest prefix give each turn its place, so that no task sorts more than the turns of one
-number and prefix, or the totals of blocks of turn numbers of one conversation.
+A conversation of up to `most_chars` characters, far above ordinary ones, is one dialogue;
+with None every one is, and a row has to hold it.  A longer one is cut by position: a turn is
+in the section in which its first character falls, and the turns that reach into the last
+quarter before a section are carried into it as context, which the mask leaves out.  A section
+is rendered for the speakers of its own turns, so every turn is learnt exactly once.
 
-oracle_sql() is report_whole(), sections_sql() is report().
+Turns of the same number follow the digests of their speaker and text; sizes by digest prefix give each turn its place, so that no task sorts more than the turns of one
+number and prefix, or the totals of blocks of turn numbers of one conversation.
 
 Built from DataFrame functions alone.
 
-Cases: a null conv_id is a conversation of its own; a null turn comes after all others in a
-part of its own (in whole(): last); a null or blank role is `unknown`; null text is empty; repeated rows are
-turns of their own; `<|` in a text is written `< |`, and names lose the characters of the
+Cases: a null conv_id is a conversation of its own; a null turn comes after all others;
+a null or blank role is `unknown`; null text is empty; repeated rows are turns of their own; `<|` in a text is written `< |`, and names lose the characters of the
 markers, so no text can forge a turn; an empty table gives no rows; other columns are ignored.
 """
 
@@ -36,40 +26,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MOST_TURNS = 64
 MOST_CHARS = 1_000_000
 END = "<|end|>"
 _LAST = (1 << 63) - 1
+#: Turn numbers that are totalled together before a conversation's totals are sorted.
+_BLOCK = 64
+_NO_CUT = 1 << 62
 
 
-def _named(conversations: DataFrame, block: int) -> DataFrame:
+def _named(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, name, body, part (blocks of turn numbers), digest, prefix."""
     name = F.btrim(F.translate(F.coalesce(F.col("role"), F.lit("")), "<|>\n\r\t", "      "))
     rows = conversations.select(
         "conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(_LAST)).alias("turn"),
         F.when(name == "", "unknown").otherwise(name).alias("name"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("body"),
     )
-    part = F.expr(f"(turn - pmod(turn, {block}L)) div {block}L")
+    part = F.expr(f"(turn - pmod(turn, {_BLOCK}L)) div {_BLOCK}L")
     return rows.withColumns({"part": part, "digest": F.md5(F.concat_ws("\x01", "name", "body"))}).withColumn("prefix", F.substring("digest", 1, 2))
 
 
-def _turns(conversations: DataFrame, most_turns: int) -> DataFrame:
-    """conv_id, part, section, at, name, body."""
-    rows = _named(conversations, most_turns)
-    before = Window.partitionBy("conv_id", "part").orderBy("turn", "prefix")
-    counts = rows.groupBy("conv_id", "part", "turn", "prefix").agg(F.count(F.lit(1)).alias("n")).withColumn("first", F.sum("n").over(before) - F.col("n")).drop("n")
-    inside = Window.partitionBy("conv_id", "part", "turn", "prefix").orderBy("digest")
-    ranked = rows.withColumn("inside", F.row_number().over(inside)).alias("r")
-    c = counts.select(*(F.col(x).alias(f"c_{x}") for x in ("conv_id", "part", "turn", "prefix")), "first")
-    joined = ranked.join(c, F.col("conv_id").eqNullSafe(F.col("c_conv_id")) & (F.col("part") == F.col("c_part")) & (F.col("turn") == F.col("c_turn")) & (F.col("prefix") == F.col("c_prefix")))
-    at = F.col("first") + F.col("inside") - 1
-    return joined.select("conv_id", "part", F.expr(f"(first + inside - 1) div {most_turns}L").alias("section"), at.alias("at"), "name", "body")
-
-
 def _placed(conversations: DataFrame) -> DataFrame:
     """conv_id, at (characters of the conversation before the turn), size, name, body."""
     size = F.length("name") + F.length("body") + len("<|user |>\n" + END + "\n")
-    rows = _named(conversations, MOST_TURNS).withColumn("size", size.cast("long"))
+    rows = _named(conversations).withColumn("size", size.cast("long"))
     group = ("conv_id", "part", "turn", "prefix")
     sizes = rows.groupBy(*group).agg(F.sum("size").alias("size"))
     blocks = sizes.groupBy("conv_id", "part").agg(F.sum("size").alias("size"))
@@ -87,15 +66,9 @@ def _opening(name: Column, speaker: Column) -> Column:
     return F.when(name == speaker, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user "), name, F.lit("|>\n")))
 
 
-def rotate(conversations: DataFrame, most_turns: int = MOST_TURNS) -> DataFrame:
-    """conv_id, part, section, speaker, n_turns, text, mask (array of start, end in characters)."""
-    turns = _turns(conversations, most_turns)
-    sections = turns.groupBy("conv_id", "part", "section").agg(F.array_sort(F.collect_list(F.struct("at", "name", "body"))).alias("turns"))
-    return _rendered(sections.withColumn("turns", F.transform("turns", lambda t: t.withField("own", F.lit(True)))))
-
-
-def whole(conversations: DataFrame, most_chars: int = MOST_CHARS) -> DataFrame:
-    """rotate()'s columns, part being 0: one row for a speaker of a conversation of up to most_chars characters; n_turns counts carried turns too."""
+def whole(conversations: DataFrame, most_chars: int | None = MOST_CHARS) -> DataFrame:
+    """conv_id, part (0), section, speaker, n_turns (carried ones too), text, mask (array of start, end in characters)."""
+    most_chars = most_chars or _NO_CUT
     turns = _placed(conversations)
     section = F.expr(f"at div {most_chars}L")
     later = F.greatest(section + 1, F.expr(f"(at + size) div {most_chars}L"))
@@ -124,24 +97,17 @@ def _rendered(sections: DataFrame) -> DataFrame:
     return spoken.select("conv_id", "part", "section", "speaker", F.size("turns").cast("long").alias("n_turns"), text.alias("text"), mask.alias("mask"))
 
 
-def report(conversations: DataFrame, most_turns: int = MOST_TURNS) -> DataFrame:
-    """rotate() with the mask written as start-end pairs and its number of characters."""
-    return _written(rotate(conversations, most_turns))
-
-
-def report_whole(conversations: DataFrame, most_chars: int = MOST_CHARS) -> DataFrame:
-    """whole() written as in report()."""
-    return _written(whole(conversations, most_chars))
-
-
-def _written(out: DataFrame) -> DataFrame:
+def report_whole(conversations: DataFrame, most_chars: int | None = MOST_CHARS) -> DataFrame:
+    """whole() with the mask written as start-end pairs and its number of characters."""
+    out = whole(conversations, most_chars)
     spans = F.array_join(F.transform("mask", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
     chars = F.aggregate("mask", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return out.select("conv_id", "part", "section", "speaker", "n_turns", "text", spans.alias("mask"), chars.alias("n_masked"))
 
 
-def oracle_sql(most_chars: int = MOST_CHARS) -> str:
+def oracle_sql(most_chars: int | None = MOST_CHARS) -> str:
     """report_whole() over the table conversations."""
+    most_chars = most_chars or _NO_CUT
     frame = len("<|user |>\n" + END + "\n")
     return f"""
 WITH named AS (
@@ -174,34 +140,3 @@ SELECT conv_id, 0::BIGINT AS part, section::BIGINT AS section, speaker, count(*)
        (sum(length(said)) FILTER (WHERE learnt))::BIGINT AS n_masked
 FROM measured GROUP BY conv_id, section, speaker
 """
-
-
-def sections_sql(most_turns: int = MOST_TURNS) -> str:
-    """report() over the table conversations."""
-    return f"""
-WITH named AS (
-  SELECT conv_id, coalesce(turn, {_LAST})::BIGINT AS turn, trim(translate(coalesce(role, ''), '<|>' || chr(10) || chr(13) || chr(9), '      ')) AS name, replace(coalesce(text, ''), '<|', '< |') AS body
-  FROM conversations
-),
-placed AS (
-  SELECT conv_id, turn // {most_turns} AS part, turn, CASE WHEN name = '' THEN 'unknown' ELSE name END AS name, body FROM named
-),
-ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id, part ORDER BY turn, md5(name || chr(1) || body)) - 1 AS pos FROM placed
-),
-turns AS (SELECT *, pos // {most_turns} AS section FROM ranked),
-speakers AS (SELECT DISTINCT conv_id, part, section, name AS speaker FROM turns),
-rendered AS (
-  SELECT s.conv_id, s.part, s.section, s.speaker, t.pos, t.name = s.speaker AS own,
-         CASE WHEN t.name = s.speaker THEN '<|assistant|>' || chr(10) ELSE '<|user ' || t.name || '|>' || chr(10) END AS opening, t.body || '{END}' AS said
-  FROM speakers s JOIN turns t ON s.conv_id IS NOT DISTINCT FROM t.conv_id AND s.part = t.part AND s.section = t.section
-),
-measured AS (
-  SELECT *, (sum(length(opening) + length(said) + 1) OVER (PARTITION BY conv_id, part, section, speaker ORDER BY pos))::BIGINT - length(said) - 1 AS start FROM rendered
-)
-SELECT conv_id, part::BIGINT AS part, section::BIGINT AS section, speaker, count(*)::BIGINT AS n_turns,
-       string_agg(opening || said || chr(10), '' ORDER BY pos) AS text,
-       string_agg(start::VARCHAR || '-' || (start + length(said))::VARCHAR, ',' ORDER BY pos) FILTER (WHERE own) AS mask,
-       (sum(length(said)) FILTER (WHERE own))::BIGINT AS n_masked
-FROM measured GROUP BY conv_id, part, section, speaker
-"""

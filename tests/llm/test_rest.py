@@ -415,22 +415,20 @@ def test_chat(spark):
     rows = [(1, 0, "system", "Be <|end|> kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "héllo"), (1, 2, "bob", "héllo"), (1, 3, "ann|>", None), (1, 70, "  ", "x"), (2, None, None, ""), (2, 0, "a", "b")]
     rows += [(3, 5, f"s{i % 3}", f"t{i}") for i in range(100)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    out = chat.report(df)
-    against_sql(out, chat.sections_sql(), conversations=df)
-    for most in (chat.MOST_CHARS, 300):
+    for most in (None, chat.MOST_CHARS, 300):
         against_sql(chat.report_whole(df, most), chat.oracle_sql(most), conversations=df)
-    found = chat.rotate(df).collect()
+    found = chat.whole(df, None).collect()
     own = defaultdict(int)
     for r in found:
         for s in r["mask"]:
             assert r["text"][s["start"] : s["end"]].endswith(chat.END)
             assert r["text"][: s["start"]].endswith("<|assistant|>\n")
             own[r["conv_id"]] += 1
-        assert r["text"].count("<|assistant|>") == len(r["mask"]) and r["n_turns"] <= chat.MOST_TURNS
+        assert r["text"].count("<|assistant|>") == len(r["mask"])
     assert own == {1: 6, 2: 2, 3: 100}
-    ann = next(r for r in found if r["conv_id"] == 1 and r["speaker"] == "ann" and r["part"] == 0)
+    ann = next(r for r in found if r["conv_id"] == 1 and r["speaker"] == "ann")
     assert ann["text"].startswith("<|user system|>\nBe < |end|> kind<|end|>\n<|assistant|>\nhi<|end|>\n<|user bob|>\nhéllo<|end|>\n")
-    assert chat.rotate(df.limit(0)).count() == 0
+    assert chat.whole(df.limit(0)).count() == 0
 
 
 SF = "/root/testdata/sf0.001"

@@ -60,7 +60,7 @@ def rendered(turns, most_chars):
     return sorted(out)
 
 
-@pytest.mark.parametrize("most_chars", [chat.MOST_CHARS, 400])
+@pytest.mark.parametrize("most_chars", [None, chat.MOST_CHARS, 400])
 def test_chat_renders_whole_conversations(spark, most_chars):
     rng = random.Random(8)
     sizes = {1: (0, 100), 2: (60, 11), 3: (-70, 140), None: (5, 70)}
@@ -72,7 +72,7 @@ def test_chat_renders_whole_conversations(spark, most_chars):
     found = chat.whole(df, most_chars).collect()
     for c, turns in talks.items():
         got = [(r["section"], r["speaker"], r["n_turns"], r["text"], tuple((m["start"], m["end"]) for m in r["mask"])) for r in found if r["conv_id"] == c]
-        assert sorted(got) == rendered(turns, most_chars)
+        assert sorted(got) == rendered(turns, most_chars or 1 << 62)
         assert sum(len(r[4]) for r in got) == len(turns)
 
 
