@@ -16,6 +16,7 @@ from telemark.model import VECTOR, drop_labels, label, label_key, labels_of, put
 from telemark.operators import histograms as H
 from telemark.operators import vectors as V
 from telemark.operators.windows import at_steps, in_chunks, steps_of
+from telemark.tables import Scratch
 
 HIST = "struct<schema:int,zero_threshold:double,zero_count:double,positive_offset:int,positive_buckets:array<double>,negative_offset:int,negative_buckets:array<double>,custom_values:array<double>,sum:double,count:double>"
 MIXED = [*VECTOR, "hist"]
@@ -76,8 +77,10 @@ def aggregate(v: DataFrame, op: str, by: list[str] | None = None, without: list[
     if op in ("count", "group"):
         g = grouped.groupBy("_gkey", "t").agg(F.count(F.lit(1)).alias("n"))
         return of_floats(V._result(g, F.col("n") if op == "count" else F.lit(1.0)))
+    # three parts read the vector: it is computed once
+    grouped = Scratch(v.sparkSession, "mixed").write(grouped.select("metric", "_gkey", "t", "value", "hist"), "grouped")
     numbers = exact.totals(grouped, ["_gkey", "t"], histograms=F.count("hist")).where("n > 0 and histograms = 0")
-    own = grouped.where(F.col("hist").isNotNull()).select("metric", F.col("_group").alias("labels"), F.col("_gkey").alias("lkey"), "t", "hist")
+    own = grouped.where(F.col("hist").isNotNull()).select("metric", labels_of("_gkey").alias("labels"), F.col("_gkey").alias("lkey"), "t", "hist")
     summed = H.mean(own, without=[]) if op == "avg" else H.combine(own, without=[])
     other = grouped.where(F.col("hist").isNull()).select(F.col("_gkey").alias("lkey"), "t").distinct()
     return of_floats(V._result(numbers, F.col(op))).unionByName(_named(summed.join(other, ["lkey", "t"], "left_anti"), by))

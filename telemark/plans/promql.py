@@ -11,6 +11,7 @@ from telemark.operators import mixed as X
 from telemark.operators import vectors as V
 from telemark.operators import windows as W
 from telemark.sources import testbed as S
+from telemark.tables import Scratch
 
 STEP, DAY = 21_600_000, 86_400_000
 
@@ -635,8 +636,8 @@ def build(events: tuple, lines: tuple) -> tuple[dict, dict[str, str]]:
 
 
     def _mixed(spark, d) -> DataFrame:
-        s = S.delta_sums(spark, d).select("metric", F.col("tags").alias("labels"), "lkey", F.col("ts_start_ms").alias("ts_ms"), "value")
-        v = W.over_time(s, "count", H_GRID, 7 * DAY)
+        # a table: conditions on its labels would be pushed down to every line, and the lines be read twice
+        v = Scratch(spark, "mixed").write(W.over_time(S.sales_counts(spark, d), "sum", H_GRID, 7 * DAY), "counts")
         apart = V.label_replace(v, "returnflag", "S$1", "returnflag", "(.*)")
         flag, status = label("labels", "returnflag"), label("labels", "linestatus")
         known = v.where((flag == "R") & (status == "F")).unionByName(apart.where((flag != "SR") | (status != "F")))

@@ -58,6 +58,12 @@ def delta_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("metric", "tags", label_key("tags").alias("lkey"), "ts_start_ms", (F.col("ts_start_ms") + 86_400_000).alias("ts_end_ms"), "value", F.lit("DELTA").alias("sums_type"), F.lit("usd").alias("unit"))
 
 
+def sales_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sales{returnflag, linestatus}: how many lines a day has; they are counted before there are labels, which cost far more than a line."""
+    t = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus", _ms("l_shipdate").alias("ts_ms")).agg(F.count(F.lit(1)).alias("value"))
+    return _samples(t, "sales", label_map(returnflag=F.col("l_returnflag"), linestatus=F.col("l_linestatus")))
+
+
 def histograms(spark: SparkSession, sf_dir: str, bounds: tuple[float, ...] = BOUNDS) -> DataFrame:
     """quantity{returnflag} by day: explicit bounds, counts, sum, count."""
     t = table(spark, sf_dir, "lineitem").select("l_returnflag", _ms("l_shipdate").alias("ts"), "l_quantity")
