@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from telemark.model import label_key, label_map, labels_of
 from telemark.sources.otlp import FALLBACKS, NUMBERS
+from telemark.tables import Scratch
 
 BOUNDS = (10.0, 20.0, 30.0, 40.0)
 _EMPTY = "map<string,string>"
@@ -104,8 +105,12 @@ def exponential_samples(spark: SparkSession, sf_dir: str, scale: int = 1) -> Dat
 
 
 def cumulative_exponential_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """exponential_samples() added up from the first of each month on."""
-    daily = exponential_samples(spark, sf_dir)
+    """exponential_samples() added up from the first of each month on.
+
+    Both are tables: each is read several times, and the lines once.
+    """
+    scratch = Scratch(spark, "cumulative")
+    daily = scratch.write(exponential_samples(spark, sf_dir), "daily")
     month = F.unix_millis(F.date_trunc("month", F.timestamp_millis("ts_ms")))
     rows = daily.select("metric", "lkey", month.alias("month"), "ts_ms", F.col("hist.sum").alias("s"), F.col("hist.positive_offset").alias("first"), F.posexplode("hist.positive_buckets").alias("p", "n")).withColumn("i", F.col("p") + F.col("first"))
     one = ["metric", "lkey", "month"]
@@ -117,7 +122,7 @@ def cumulative_exponential_samples(spark: SparkSession, sf_dir: str) -> DataFram
     none = F.array().cast("array<double>")
     filled = F.transform(F.sequence("first", "last"), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)))
     hist = F.struct(F.lit(1).alias("schema"), F.lit(0.0).alias("zero_threshold"), F.lit(0.0).alias("zero_count"), F.col("first").alias("positive_offset"), filled.alias("positive_buckets"), F.lit(0).alias("negative_offset"), none.alias("negative_buckets"), none.alias("custom_values"), F.col("s").alias("sum"), F.col("n").alias("count"))
-    return g.select("metric", labels_of("lkey").alias("labels"), "lkey", "ts_ms", hist.alias("hist"))
+    return scratch.write(g.select("metric", labels_of("lkey").alias("labels"), "lkey", "ts_ms", hist.alias("hist")), "cumulative")
 
 
 def _typed(rows: DataFrame, **columns) -> DataFrame:
