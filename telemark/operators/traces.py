@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -216,22 +221,93 @@ def _located(spans: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     return known, settled
 
 
-def flame_graph(spans: DataFrame, trace_id: str | None = None) -> DataFrame:
+def _with_places(spans: pa.Table) -> pa.Table:
+    """Adds depth, begin and place to whole traces in order of trace_id and span_id; depth is null where no root is reached."""
+    n = spans.num_rows
+    own, parent, name = (spans[c].combine_chunks() for c in ("span_id", "parent_span_id", "trace_id"))
+    new = np.ones(n, bool)
+    new[1:] = pc.not_equal(name[1:], name[:-1]).to_numpy(zero_copy_only=False)
+    trace, firsts = np.cumsum(new) - 1, np.flatnonzero(new)
+    codes = pc.fill_null(pc.dictionary_encode(pa.concat_arrays([own, parent])).indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    nameless, no_parent = codes[:n] < 0, codes[n:] < 0
+    key, wanted = trace * (2 * n) + codes[:n], trace * (2 * n) + codes[n:]
+    key[nameless], wanted[no_parent] = -1, -2
+    order = np.argsort(key, kind="stable")
+    found = order[np.minimum(np.searchsorted(key[order], wanted), n - 1)]
+    up = np.where(key[found] == wanted, found, -1)
+    # the length of the jump doubles: after a trace's size every span that has a root is there
+    at, depth = np.where(up < 0, np.arange(n), up), (up >= 0).astype(np.int64)
+    for _ in range(int(np.diff(np.append(firsts, n)).max()).bit_length()):
+        if (up[at] < 0).all():
+            break
+        depth, at = depth + depth[at], at[at]
+    starts = spans["ts_start_ns"].combine_chunks()
+    begin = np.minimum.reduceat(pc.fill_null(starts, np.iinfo(np.int64).max).to_numpy(zero_copy_only=False), firsts)[trace]
+    family = np.where(nameless, -2, up)
+    order = np.lexsort((pc.fill_null(starts, np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), family, trace))  # stable: of one start by span_id
+    begins = np.ones(n, bool)
+    begins[1:] = (np.diff(family[order]) != 0) | (np.diff(trace[order]) != 0)
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n) - np.maximum.accumulate(np.where(begins, np.arange(n), 0)) + 1
+    more = {"depth": pa.array(depth.astype(np.int32), mask=(up[at] >= 0) | nameless), "begin": pa.array(begin), "place": pa.array(place.astype(np.int32))}
+    for c, values in more.items():
+        spans = spans.append_column(c, values)
+    return spans
+
+
+def _trace_by_trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_with_places() of batches that a trace may run across: the last trace of one waits for the next."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        if rows.num_rows == 0:
+            continue
+        same = pc.equal(rows["trace_id"], rows["trace_id"][-1])
+        whole = pc.index(same, True).as_py()
+        held = rows.slice(whole)
+        if whole:
+            yield from _with_places(rows.slice(0, whole)).combine_chunks().to_batches()
+    if held is not None:
+        yield from _with_places(held).combine_chunks().to_batches()
+
+
+def _by_trace(spans: DataFrame) -> DataFrame:
+    """Spans with depth, begin and place, each trace in one task: one shuffle, whatever the depth."""
+    dealt = spans.select("trace_id", "span_id", "parent_span_id", "ts_start_ns", "ts_end_ns").where("trace_id IS NOT NULL").repartition("trace_id")
+    last = F.max(F.struct("ts_start_ns", "ts_end_ns", "parent_span_id"))
+    rows = dealt.groupBy("trace_id", "span_id").agg(last.alias("s")).select("trace_id", "span_id", "s.parent_span_id", "s.ts_start_ns", "s.ts_end_ns")
+    schema = "trace_id string, span_id string, parent_span_id string, ts_start_ns long, ts_end_ns long, depth int, begin long, place int"
+    return rows.sortWithinPartitions("trace_id", "span_id").mapInArrow(_trace_by_trace, schema)
+
+
+def _across_tasks(spans: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same by joins that deal a trace to all tasks."""
+    known, depths = _located(spans, scratch)
+    begins = known.groupBy("trace_id").agg(F.min("ts_start_ns").alias("begin"))
+    siblings = Window.partitionBy("trace_id", "_parent", F.col("span_id").isNull()).orderBy("ts_start_ns", "span_id")
+    placed = known.join(depths, ["trace_id", "span_id"], "left").join(begins, "trace_id").withColumn("place", F.row_number().over(siblings))
+    return placed.select("trace_id", "span_id", "parent_span_id", "ts_start_ns", "ts_end_ns", F.col("depth").cast("int").alias("depth"), "begin", "place")
+
+
+def flame_graph(spans: DataFrame, trace_id: str | None = None, most_spans: int = 100_000) -> DataFrame:
     """trace_id, span_id, parent_span_id, depth, offset_ns, duration_ns, place among its siblings.
 
     A span whose parent is missing is a root; of spans with one id the last one counts.
     Spans that no root reaches, as their parents form a cycle, aren't in any graph: they are
     left out of a table's graphs (unreached() has them), and an error of the one trace asked for.
+    Traces of more than `most_spans` rows are not brought to one task, but dealt to all.
     """
     scratch = Scratch(spans.sparkSession, "flames")
     rows = spans if trace_id is None else spans.where(F.col("trace_id") == trace_id)
-    known, depths = _located(rows, scratch)
-    if trace_id is not None and known.count() > depths.count():
+    large = scratch.write(rows.groupBy("trace_id").count().where(F.col("count") > most_spans).select("trace_id"), "large")
+    if large.isEmpty():
+        placed = _by_trace(rows)
+    else:
+        placed = _by_trace(rows.join(large, "trace_id", "left_anti")).unionByName(_across_tasks(rows.join(large, "trace_id", "left_semi"), scratch))
+    if trace_id is not None and not placed.where("depth IS NULL AND span_id IS NOT NULL").isEmpty():
         raise ValueError("the parents of some spans form a cycle")
-    begins = known.groupBy("trace_id").agg(F.min("ts_start_ns").alias("_begin"))
-    siblings = Window.partitionBy("trace_id", "_parent").orderBy("ts_start_ns", "span_id")
-    placed = known.join(depths, ["trace_id", "span_id"]).join(begins, "trace_id").withColumn("place", F.row_number().over(siblings))
-    return placed.select("trace_id", "span_id", "parent_span_id", F.col("depth").cast("int").alias("depth"), (F.col("ts_start_ns") - F.col("_begin")).alias("offset_ns"), F.greatest(F.lit(0).cast("long"), F.col("ts_end_ns") - F.col("ts_start_ns")).alias("duration_ns"), "place")
+    found = placed.where("depth IS NOT NULL")
+    return found.select("trace_id", "span_id", "parent_span_id", "depth", (F.col("ts_start_ns") - F.col("begin")).alias("offset_ns"), F.greatest(F.lit(0).cast("long"), F.col("ts_end_ns") - F.col("ts_start_ns")).alias("duration_ns"), "place")
 
 
 def unreached(spans: DataFrame) -> DataFrame:
