@@ -498,7 +498,7 @@ def build(events: tuple, lines: tuple) -> tuple[dict, dict[str, str]]:
 
 
     def _native(spark, d) -> DataFrame:
-        return H.instant(S.exponential_samples(spark, d), H_GRID, 7 * DAY)
+        return H.instant(S.daily_exponential_samples(spark, d), H_GRID, 7 * DAY)
 
 
     @_query("promql_native_avg", _ctes("SELECT t, returnflag, round(sum(s) / sum(n), 7) AS value FROM b GROUP BY t, returnflag", _EXP, grid=_H_GRID))
@@ -595,17 +595,17 @@ def build(events: tuple, lines: tuple) -> tuple[dict, dict[str, str]]:
 
     @_query("promql_native_sum_over_time", _ctes(f"SELECT t, returnflag, i::BIGINT AS i, sum(n) AS value FROM ({_SPAN_OF}) GROUP BY ALL", _EXP, grid=_H_GRID))
     def _(spark, d):
-        return _cells(H.sum_over_time(S.exponential_samples(spark, d), H_GRID, 7 * DAY))
+        return _cells(H.sum_over_time(S.daily_exponential_samples(spark, d), H_GRID, 7 * DAY))
 
 
     @_query("promql_native_avg_over_time", _ctes(f"SELECT t, returnflag, i::BIGINT AS i, round(sum(n) / max(points), 6) AS value FROM ({_SPAN_OF}) x JOIN (SELECT returnflag, t, count(DISTINCT ts_ms) AS points FROM ({_SPAN_OF}) GROUP BY ALL) USING (returnflag, t) GROUP BY ALL", _EXP, grid=_H_GRID))
     def _(spark, d):
-        return _cells(H.avg_over_time(S.exponential_samples(spark, d), H_GRID, 7 * DAY))
+        return _cells(H.avg_over_time(S.daily_exponential_samples(spark, d), H_GRID, 7 * DAY))
 
 
     @_query("promql_native_count_over_time", _ctes(f"SELECT t, returnflag, count(DISTINCT ts_ms)::DOUBLE AS value FROM ({_SPAN_OF}) GROUP BY ALL", _EXP, grid=_H_GRID))
     def _(spark, d):
-        return _flat(H.count_over_time(S.exponential_samples(spark, d), H_GRID, 7 * DAY), ("returnflag",))
+        return _flat(H.count_over_time(S.daily_exponential_samples(spark, d), H_GRID, 7 * DAY), ("returnflag",))
 
 
     @_query("promql_native_count", _ctes("SELECT t, returnflag, sum(n) AS value FROM b GROUP BY t, returnflag", _EXP, grid=_H_GRID))
@@ -615,13 +615,15 @@ def build(events: tuple, lines: tuple) -> tuple[dict, dict[str, str]]:
 
     @_query("promql_native_add", _ctes("SELECT t, returnflag, i::BIGINT AS i, 1.5 * n AS value FROM b", _EXP, grid=_H_GRID))
     def _(spark, d):
-        return _cells(H.subtract(H.add(_native(spark, d), _native(spark, d)), H.scale(_native(spark, d), 0.5)))
+        v = _native(spark, d)
+        return _cells(H.subtract(H.add(v, v), H.scale(v, 0.5)))
 
 
     @_query("promql_native_equal", _ctes("SELECT t, returnflag, (x.ts_ms = y.ts_ms)::DOUBLE AS value FROM latest x JOIN (SELECT returnflag, t, max(ts_ms) AS ts_ms FROM (SELECT DISTINCT returnflag, ts_ms FROM e) JOIN grid ON ts_ms > t - 691200000 AND ts_ms <= t - 86400000 GROUP BY ALL) y USING (returnflag, t)", _EXP, grid=_H_GRID))
     def _(spark, d):
-        before = H.instant(S.exponential_samples(spark, d), H_GRID, 7 * DAY, offset=DAY)
-        return _flat(H.compare(_native(spark, d), before, "==", as_bool=True), ("returnflag",))
+        e = S.daily_exponential_samples(spark, d)
+        now, before = (H.instant(e, H_GRID, 7 * DAY, offset=o) for o in (0, DAY))
+        return _flat(H.compare(now, before, "==", as_bool=True), ("returnflag",))
 
 
     @_query("promql_native_quantiles", _ctes("SELECT t, returnflag, q::VARCHAR AS q, round(arg_min(pow(2, log2(lower) + (log2(upper) - log2(lower)) * (total * q - (upto - n)) / n), i), 4) AS value FROM (SELECT *, sum(n) OVER (PARTITION BY returnflag, t ORDER BY i) AS upto, sum(n) OVER (PARTITION BY returnflag, t) AS total FROM b) CROSS JOIN (SELECT unnest([0.25, 0.5, 0.9]::DOUBLE[]) AS q) WHERE upto > total * q GROUP BY t, returnflag, q", _EXP, grid=_H_GRID))
@@ -665,7 +667,7 @@ def build(events: tuple, lines: tuple) -> tuple[dict, dict[str, str]]:
 
     @_query("promql_mixed_changes", _ctes(f"SELECT t, returnflag, (sum(hit) - arg_min(hit, ts_ms))::DOUBLE AS value FROM (SELECT *, CASE WHEN n % 2 <> pn % 2 OR n <> pn OR n % 2 = 0 AND s <> ps THEN 1 ELSE 0 END AS hit FROM (SELECT *, lag(n) OVER w AS pn, lag(s) OVER w AS ps FROM (SELECT l_returnflag AS returnflag, epoch_us(l_shipdate) // 1000 AS ts_ms, count(*) AS n, round(sum(l_extendedprice), 2) AS s FROM lineitem GROUP BY ALL) WINDOW w AS (PARTITION BY returnflag ORDER BY ts_ms))) JOIN grid ON ts_ms > t - {_WIDE} AND ts_ms <= t GROUP BY ALL", grid=_H_GRID))
     def _(spark, d):
-        e = S.exponential_samples(spark, d)
+        e = S.daily_exponential_samples(spark, d)
         odd = F.col("hist.count") % 2 == 1
         raw = X.samples(e.where(odd).withColumn("value", F.col("hist.count")), e.where(~odd))
         return _flat(X.changes(raw, H_GRID, _WIDE), ("returnflag",))

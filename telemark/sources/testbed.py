@@ -104,13 +104,18 @@ def exponential_samples(spark: SparkSession, sf_dir: str, scale: int = 1) -> Dat
     return g.select(F.lit("price").alias("metric"), labels.alias("labels"), label_key(labels).alias("lkey"), "ts_ms", hist.alias("hist"))
 
 
+def daily_exponential_samples(spark: SparkSession, sf_dir: str, scale: int = 1) -> DataFrame:
+    """exponential_samples() as a table: what reads it several times reads the lines once."""
+    return Scratch(spark, "exponential").write(exponential_samples(spark, sf_dir, scale), "daily")
+
+
 def cumulative_exponential_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """exponential_samples() added up from the first of each month on.
 
     Both are tables: each is read several times, and the lines once.
     """
     scratch = Scratch(spark, "cumulative")
-    daily = scratch.write(exponential_samples(spark, sf_dir), "daily")
+    daily = daily_exponential_samples(spark, sf_dir)
     month = F.unix_millis(F.date_trunc("month", F.timestamp_millis("ts_ms")))
     rows = daily.select("metric", "lkey", month.alias("month"), "ts_ms", F.col("hist.sum").alias("s"), F.col("hist.positive_offset").alias("first"), F.posexplode("hist.positive_buckets").alias("p", "n")).withColumn("i", F.col("p") + F.col("first"))
     one = ["metric", "lkey", "month"]
