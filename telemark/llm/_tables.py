@@ -2,11 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from telemark.tables import Scratch  # noqa: F401
 
+#: Of a batch of rows on their way to Python; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """mapInArrow in batches of BATCH_BYTES at most, or of what the session has set.
+
+    10,000 whole texts a batch, Spark's own measure, are tens of megabytes on both sides, in
+    buffers that neither the executor nor a Python worker gives back.
+    """
+    if df.sparkSession.conf.get(_BATCH, None) is None:
+        df.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
 
 def same_row(a: DataFrame, b: DataFrame) -> Column:
     """Null-safe match of doc_id and text_key."""

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemark.llm import _text as K
-from telemark.llm._tables import Scratch
+from telemark.llm._tables import Scratch, map_batches
 
 WINDOW = 10
 SET_LIMIT = 500_000
@@ -149,7 +149,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, set_limit:
     def scan(k: int, carried: list[str]) -> DataFrame:
         grams = spark.sparkContext.broadcast(_Set((windows.where(side == k) if sides > 1 else windows).toArrow().to_pylist()))
         fields = "".join(f", {c} {texts.schema[c].dataType.simpleString()}" for c in carried)
-        return texts.select("doc_id", "text_key", "text", *carried).mapInArrow(lambda batches: _scan(batches, grams, carried), _FOUND + fields)
+        return map_batches(texts.select("doc_id", "text_key", "text", *carried), lambda batches: _scan(batches, grams, carried), _FOUND + fields)
 
     carried = [f"_c{i}" for i in range(len(carry or []))]
     found = scan(0, carried)

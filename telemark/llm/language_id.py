@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from telemark.llm import _text as K
+from telemark.llm._tables import map_batches
 
 UNKNOWN = "und"
 _ADDED = ("lang_pred", "score", "noise")
@@ -164,9 +165,10 @@ def train(labelled: DataFrame, shape: Shape = Shape()) -> Network | None:
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(shape.most_languages).collect()
     if not counts:
         return None
-    shares = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, shape.per_language / r["n"])) for r in counts], "lang string, share double")
+    listed = F.array(*(F.struct(F.lit(r["lang"]).alias("lang"), F.lit(min(1.0, shape.per_language / r["n"])).alias("share")) for r in counts))
+    shares = labelled.sparkSession.range(1).select(F.inline(listed))  # createDataFrame() would start Python workers of another kind on the executors, which stay
     drawn = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1 << 20)) < F.col("share") * (1 << 20))
-    windows = drawn.select("lang", "text").mapInArrow(_sampled(shape), "lang string, window binary").distinct()
+    windows = map_batches(drawn.select("lang", "text"), _sampled(shape), "lang string, window binary").distinct()
     sample = windows.orderBy(F.xxhash64("window", "lang"), "window", "lang").limit(2 * shape.per_language * shape.windows_each * len(counts)).collect()
     languages = sorted({r["lang"] for r in sample})
     if not languages:
@@ -213,7 +215,7 @@ def predict(docs: DataFrame, network: Network | None, carry: list[str] | None =
 
     given = rows.select(*dict.fromkeys([*carried, "text"])).withColumn("_has_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     out = T.StructType([*(rows.schema[c] for c in carried), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("noise", T.BooleanType())])
-    return given.mapInArrow(run, out)
+    return map_batches(given, run, out)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -44,7 +44,7 @@ from pyspark.sql.window import Window
 
 from telemark.llm import _text as K
 from telemark.llm._components import components
-from telemark.llm._tables import Scratch, keyed
+from telemark.llm._tables import Scratch, keyed, map_batches
 
 LEVELS = (10, 20, 40, 80)
 
@@ -248,7 +248,7 @@ def _region_links(placed: DataFrame, mixed: DataFrame, sets: DataFrame, forest:
     guest = rows.where("component <> main").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     members_of = member.groupBy("region", "block").agg(F.collect_list(one).alias("members"))
     guests_of = guest.groupBy("region", "block", "part").agg(F.collect_list(one).alias("guests"))
-    return guests_of.join(members_of, ["region", "block"]).select("guests", "members").mapInArrow(_joined_parts(forest), "a long, b long").distinct()
+    return map_batches(guests_of.join(members_of, ["region", "block"]).select("guests", "members"), _joined_parts(forest), "a long, b long").distinct()
 
 
 def links(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
@@ -256,7 +256,7 @@ def links(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     texts = keyed(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    rows = scratch.write(texts.mapInArrow(_signatures(forest), "doc_id long, text_key long, n_shingles long, set_a long, set_b long, signature binary"), "signatures")
+    rows = scratch.write(map_batches(texts, _signatures(forest), "doc_id long, text_key long, n_shingles long, set_a long, set_b long, signature binary"), "signatures")
     usable = rows.where("n_shingles > 0 and doc_id is not null")
     equal = usable.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))  # equal sets, equal signatures
     classes = scratch.write(equal.select("set_a", "set_b", F.col("rep.doc_id").alias("node"), F.col("rep.text_key").alias("text_key"), "n_shingles", "signature"), "classes")
@@ -268,18 +268,18 @@ def links(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     ties = usable.join(several, "doc_id", "left_semi").join(classes.select("set_a", "set_b", "node"), ["set_a", "set_b"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
 
     names = ["region", *(f"p{x}" for x in LEVELS if x > forest.depth)]
-    paths = signatures.mapInArrow(_paths(forest), "node long, n_shingles long, " + ", ".join(f"{x} long" for x in names))
+    paths = map_batches(signatures, _paths(forest), "node long, n_shingles long, " + ", ".join(f"{x} long" for x in names))
     crowded = scratch.write(paths.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("region"), "crowded")
     members = scratch.write(paths.join(crowded, "region", "left_semi").select("node", "n_shingles", *names), "members")
     ordered = members.repartitionByRange(*names).sortWithinPartitions(*names, "node")
-    pairs = scratch.write(ordered.mapInArrow(_neighbours, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes")), "pairs")
+    pairs = scratch.write(map_batches(ordered, _neighbours, "a long, b long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes")), "pairs")
 
     wanted = members.select("node").distinct().join(classes.select("node", F.col("text_key").alias("rep_key")), "node")
     found = scratch.write(texts.join(wanted, (texts["doc_id"] == wanted["node"]) & (texts["text_key"] == wanted["rep_key"])).select("node", "text").dropDuplicates(["node", "text"]), "texts")
 
     def confirm(some: DataFrame, name: str) -> DataFrame:
         a, b = found.select(F.col("node").alias("a"), F.col("text").alias("text_a")), found.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        return scratch.write(some.join(a, "a").join(b, "b").mapInArrow(_confirmed(forest), "a long, b long"), name)
+        return scratch.write(map_batches(some.join(a, "a").join(b, "b"), _confirmed(forest), "a long, b long"), name)
 
     ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "votes"))
     order = Window.partitionBy("a").orderBy(F.desc("votes"), "b")
@@ -291,7 +291,7 @@ def links(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     mixed = scratch.write(mixed, "mixed")
     larger = mixed.where("size = 2").join(tried, ["a", "b"], "left_anti").select(*mixed.columns).unionByName(mixed.where("size > 2"))
     wanted = placed.join(larger.select("region"), "region", "left_semi").select("node").distinct()
-    sets = scratch.write(found.join(wanted, "node", "left_semi").mapInArrow(_sets(forest), "node long, shingles binary"), "sets")
+    sets = scratch.write(map_batches(found.join(wanted, "node", "left_semi"), _sets(forest), "node long, shingles binary"), "sets")
     more = scratch.write(_region_links(placed, larger, sets, forest), "links-2")
 
     # the second time only whole components are joined

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemark.llm import _text as K
+from telemark.llm._tables import map_batches
 
 SIZE = 4096
 END_ID = 2
@@ -329,4 +330,4 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = E
         yield from flushed()
 
     fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, fields)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, fields)

@@ -195,6 +195,30 @@ def test_language_against_loops(spark):
     assert {r["doc_id"] for r in language_id.keep_known(df, shape).collect()} == {i for i, _, _ in rows} - set(junk)
 
 
+def test_language_batches_are_bounded(spark, monkeypatch):
+    """Whole texts go to Python in batches of a few MB, unless the session says otherwise; no Python workers are started besides those of mapInArrow."""
+    import pyarrow as pa
+
+    from telemark.llm import _tables
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    def refused(*args, **kinds):
+        raise AssertionError("createDataFrame")
+
+    fresh = spark.newSession()
+    docs = fresh.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.expr("repeat(concat('some words of a text ', id, ' '), 400)").alias("text"))
+    monkeypatch.setattr(type(fresh), "createDataFrame", refused)
+    assert language_id.keep_known(docs).count() == 3000
+    n, largest, total = docs.mapInArrow(sizes, "n long").agg(F.count("n"), F.max("n"), F.sum("n")).first()
+    assert total > 5 * _tables.BATCH_BYTES and n > 5 and largest < 1.5 * _tables.BATCH_BYTES
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    fresh.conf.set(name, "1048576")
+    assert language_id.keep_known(docs.limit(100)).count() == 100 and fresh.conf.get(name) == "1048576"
+
+
 def test_language_column_of_junk(spark):
     """A value of its own for each row: only the most frequent languages are learnt, and no more rows are collected."""
     rows = [*spoken(), *((1000 + i, "kala muna", f"x{i}") for i in range(500))]
